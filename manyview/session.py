@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import shutil
 import tempfile
 from pathlib import Path
@@ -16,9 +17,10 @@ def ship_package(spark: SparkSession) -> SparkSession:
     context = spark.sparkContext
     if context.applicationId not in _SHIPPED:
         package = Path(__file__).resolve().parent
-        with tempfile.TemporaryDirectory() as folder:
-            copy = Path(folder) / "copy"
-            shutil.copytree(package, copy / package.name, ignore=shutil.ignore_patterns("__pycache__"))
-            context.addPyFile(shutil.make_archive(f"{folder}/{package.name}", "zip", copy))
+        folder = tempfile.mkdtemp(prefix="manyview-")  # the server reads the file when an executor asks for it
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        copy = Path(folder) / "copy"
+        shutil.copytree(package, copy / package.name, ignore=shutil.ignore_patterns("__pycache__"))
+        context.addPyFile(shutil.make_archive(f"{folder}/{package.name}", "zip", copy))
         _SHIPPED.add(context.applicationId)
     return spark
