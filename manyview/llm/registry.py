@@ -6,14 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from manyview.llm import bpe, linededup, mixing
+from manyview.llm import bpe, fingerprint, langid, license, linededup, minhash, mixing, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": bpe.op1_bpe,
+    "op2_topk": topk.op2_topk,
+    "op3_minhash": minhash.op3_minhash,
     "op4_line_dedup": linededup.op4_line_dedup,
+    "op5_license": license.op5_license,
+    "op6_fingerprint": fingerprint.op6_fingerprint,
+    "op7_langid": langid.op7_langid,
     "op10_mixing": mixing.op10_mixing,
 }
 
 SQL: dict[str, str] = {
+    "op2_topk": topk.OP2_SQL,
     "op4_line_dedup": linededup.OP4_SQL,
 }
