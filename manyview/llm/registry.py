@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from manyview.llm import bpe, fingerprint, langid, license, linededup, minhash, mixing, topk
+from manyview.llm import bpe, chat, fingerprint, langid, license, linededup, minhash, mixing, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": bpe.op1_bpe,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_license": license.op5_license,
     "op6_fingerprint": fingerprint.op6_fingerprint,
     "op7_langid": langid.op7_langid,
+    "op8_chat": chat.op8_chat,
     "op10_mixing": mixing.op10_mixing,
 }
 
