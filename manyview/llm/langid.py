@@ -23,6 +23,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from manyview.llm.common import table
 
@@ -216,20 +217,23 @@ class Scorer:
         return out
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, lang_pred, score) of each row; score: the posterior of the language, each being as likely before."""
+def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
+    """lang_pred and score of each row, after the columns `keep` (only doc_id if not given); score: the posterior of the
+    language, each being as likely before. Kept columns named lang_pred or score are replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    kept = [c for c in (keep or ["doc_id"]) if c not in ("lang_pred", "score")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
             for low in range(0, batch.num_rows, 250):
                 part = batch.slice(low, 250)
-                names, scores = zip(*scorer.judge(part.column(1).to_pylist()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
+                names, scores = zip(*scorer.judge(part.column(len(kept)).to_pylist()))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*kept, "lang_pred", "score"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+    rows = docs.select(*kept, F.col("text").alias("judged_text"))
+    schema = StructType([*rows.schema.fields[:-1], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    return rows.mapInArrow(run, schema)
 
 
 def held_out(doc_id: Column) -> Column:

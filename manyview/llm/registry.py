@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from manyview.llm import bpe, chat, fingerprint, langid, license, linededup, minhash, mixing, topk
+from manyview.llm import bpe, chat, fingerprint, langid, license, linededup, minhash, mixing, pii, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": bpe.op1_bpe,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_fingerprint": fingerprint.op6_fingerprint,
     "op7_langid": langid.op7_langid,
     "op8_chat": chat.op8_chat,
+    "op9_pii": pii.op9_pii,
     "op10_mixing": mixing.op10_mixing,
 }
 
