@@ -58,7 +58,7 @@ class Runs:
         path = f"{self.base}/{self.count}"
         self.count += 1
         dealt = keys.repartition(self.buckets, "h1", "h2")
-        dealt.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", path).format("parquet").saveAsTable(name)
+        dealt.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", path).option("compression", "uncompressed").format("parquet").saveAsTable(name)
         return name, path
 
     def add(self, keys: DataFrame) -> str:
@@ -89,7 +89,7 @@ def dropped_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4, fanout
     bounds = docs.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01) if batches > 1 else []
     batch = reduce(lambda a, b: a + b, [(F.col("doc_id") > bound).cast("int") for bound in bounds], F.lit(0))
     staged = scratch(spark, "lines")
-    hashed_lines(docs, min_chars).withColumn("batch", batch).write.partitionBy("batch").parquet(staged)
+    hashed_lines(docs, min_chars).withColumn("batch", batch).write.partitionBy("batch").option("compression", "uncompressed").parquet(staged)
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, pos int, h1 long, h2 long, batch int"
     runs, gone = Runs(spark, fanout), []
     for i in range(len(bounds) + 1):
