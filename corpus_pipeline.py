@@ -36,7 +36,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates, the document with the smallest doc_id."""
+    """Of each class of near duplicates, the document with the smallest doc_id; rows without a doc_id go."""
     classes = minhash.near_duplicates(docs)
     first = classes.where(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias("first_id"))
     return docs.join(first.hint("shuffle_hash"), F.col("doc_id") == F.col("first_id"), "left_semi").select(COLUMNS)

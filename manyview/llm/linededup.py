@@ -90,12 +90,12 @@ def dropped_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4, fanout
     batch = reduce(lambda a, b: a + b, [(F.col("doc_id") > bound).cast("int") for bound in bounds], F.lit(0))
     staged = scratch(spark, "lines")
     hashed_lines(docs, min_chars).withColumn("batch", batch).write.partitionBy("batch").option("compression", "uncompressed").parquet(staged)
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, pos int, h1 long, h2 long, batch int"
+    kind = docs.schema["doc_id"].dataType.simpleString()
     runs, gone = Runs(spark, fanout), []
     for i in range(len(bounds) + 1):
-        own = spark.read.schema(schema).parquet(staged).where(F.col("batch") == i).drop("batch")
+        own = spark.read.schema(f"doc_id {kind}, pos int, h1 long, h2 long, batch int").parquet(staged).where(F.col("batch") == i).drop("batch")
         path = runs.add(runs.unseen(own.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"))))
-        new = spark.read.parquet(path)
+        new = spark.read.schema(f"h1 long, h2 long, first {kind}").parquet(path)
         gone.append(own.join(new, ["h1", "h2"], "left").where(F.col("first").isNull() | (F.col("doc_id") > F.col("first"))).select("doc_id", "pos"))
     runs.forget()
     return reduce(DataFrame.unionAll, gone)

@@ -24,7 +24,8 @@ SEED = 20
 CYCLE = 3
 MOST_COPIES = 3
 HASH_BUCKETS = 64
-KNAPSACK = 1 << 15
+#: Words that are left to the knapsack at least, where the budget has as many, and at most.
+RESERVE, KNAPSACK = 1 << 13, 1 << 15
 PLAN = "source string, size long, whole int, picked long"
 
 
@@ -83,14 +84,15 @@ def fit(counts: dict[int, int], target: float) -> tuple[int, dict[int, int]]:
         return 0, {}
     whole = min(MOST_COPIES, int(target // total))
     budget = 0 if whole == MOST_COPIES else min(total, math.floor(target) - whole * total)
-    picked = {size: n * budget // total for size, n in counts.items()}
+    shared = max(0, budget - RESERVE)
+    picked = {size: n * shared // total for size, n in counts.items()}
     budget -= sum(size * n for size, n in picked.items())
     for size in sorted(counts, reverse=True):
         if size and budget > KNAPSACK:
             more = min(counts[size] - picked[size], -(-(budget - KNAPSACK) // size), budget // size)
             picked[size] += more
             budget -= more * size
-    rest = [(size, n - picked[size]) for size, n in sorted(counts.items()) if 0 < size <= budget and n > picked[size]]
+    rest = [(size, n - picked[size]) for size, n in sorted(counts.items(), reverse=True) if 0 < size <= budget and n > picked[size]]
     for size, n in knapsack(rest, budget).items():
         picked[size] += n
     return whole, picked
