@@ -7,14 +7,16 @@ within the element's weight. Each coordinate keeps its earliest dart; two sets a
 probability of their weighted Jaccard similarity. Only strips up to a rank that fills all coordinates are thrown, and
 the rank is doubled for the few sets that it leaves gaps in, so a set costs its elements plus about k ln k darts.
 
-Joining. Sets that are equal collapse into one row first. Bands of `rows` coordinates make buckets. No bucket's pairs are
-written out; two rounds find all links that matter for the classes:
+Joining. Sets that are equal collapse into one row first. Bands of `rows` coordinates make buckets. No large bucket's pairs
+are written out; two rounds find all links that matter for the classes:
 
-1. Each row of a bucket is compared with the bucket's smallest id.
-2. Rows that this linked are in one class already. What is left is compared among itself and, where the distance to
-   the smallest id allows it (the Jaccard distance is a metric), with the linked ones, only across classes.
+1. Each row of a bucket is compared with the bucket's head: the row whose buckets hold the most rows, which lies in the
+   middle of a group of near copies.
+2. Rows that this left outside the class of the head are compared with all rows of other classes: in buckets of up to
+   SMALL rows with each, in larger ones with those that share one of their rarest shingles, which similar sets must.
+   Texts that only have a frequent passage in common don't meet.
 
-Candidates pass a one-bit sketch with a margin of over five standard deviations, then the exact similarity of their
+Candidates pass a sketch of four bits a coordinate with a margin of four standard deviations, then the exact similarity of their
 shingle sets decides. Classes are the connected components of the links.
 
 Defined results: shingles are runs of `width` lower-cased words (Unicode letters, digits, underscore); a document of
@@ -32,7 +34,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from manyview.llm.common import cut, table
@@ -41,10 +43,10 @@ from manyview.llm.components import components
 WIDTH = 5
 SIMILARITY = (4, 5)
 BANDS, ROWS = 40, 5
-#: Of 200 one-bit coordinates, pairs of similarity 0.8 differ in 20 with a deviation of 4.2.
-MOST_BITS_APART = 44
-#: The same at similarity 0.6: 40 and 5.7.
-MOST_BITS_APART_VIA = 71
+#: Deviations by which a sketch may differ more than that of a pair of the least similarity does on average.
+MARGIN = 4
+SMALL = 32
+FEW_IDS = 200_000
 GROUP = 300_000
 
 _U = np.uint64
@@ -168,14 +170,14 @@ def banded(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def sketched(signatures: np.ndarray) -> np.ndarray:
-    """n x 4: one bit of each coordinate."""
-    bits = (mixed(signatures[:, :256]) & _U(1)).astype(np.uint8)
-    bits = np.pad(bits, ((0, 0), (0, 256 - bits.shape[1])))
-    return np.packbits(bits, axis=1).view(np.int64)
+    """Four bits of each coordinate, packed into 64-bit integers."""
+    bits = (mixed(signatures) & _U(15)).astype(np.uint8)
+    bits = np.pad(bits, ((0, 0), (0, -bits.shape[1] % 16)))
+    return (bits[:, 0::2] | bits[:, 1::2] << 4).view(np.int64)
 
 
 def sign(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, f1, f2, n, bands, s1..s4) of each row: a 128-bit fingerprint of the shingle set, its size, bands, sketch."""
+    """(doc_id, f1, f2, n, bands, sketch) of each row: a 128-bit fingerprint of the shingle set, its size, bands, sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         darts, words = Darts(bands * rows), WordHashes()
@@ -196,12 +198,13 @@ def sign(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: int = RO
                 sketch = sketched(sig)
                 banks = banded(sig, bands, rows).view(np.int64)
                 lists = pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * bands, pa.array(banks.ravel()))
-                columns = [pa.array(ids[low:high], batch.column(0).type), *(pa.array(prints[:, i]) for i in range(2)), pa.array(sizes, pa.int64()), lists, *(pa.array(sketch[:, i]) for i in range(4))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "f1", "f2", "n", "bands", "s1", "s2", "s3", "s4"])
+                sketches = pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * sketch.shape[1], pa.array(sketch.ravel()))
+                columns = [pa.array(ids[low:high], batch.column(0).type), *(pa.array(prints[:, i]) for i in range(2)), pa.array(sizes, pa.int64()), lists, sketches]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "f1", "f2", "n", "bands", "sketch"])
                 low = high
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, f1 long, f2 long, n long, bands array<long>, s1 long, s2 long, s3 long, s4 long")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, f1 long, f2 long, n long, bands array<long>, sketch array<long>")
 
 
 def shingle_arrays(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -220,8 +223,18 @@ def shingle_arrays(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, shingles array<long>")
 
 
-def _bits_apart(a: str, b: str) -> Column:
-    return reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{a}s{i}").bitwiseXOR(F.col(f"{b}s{i}"))) for i in range(1, 5)])
+def _near_sketches(k: int) -> Column:
+    """Whether two sketches of k coordinates differ in as many as those of similar sets may."""
+    least, of = SIMILARITY
+    chance = (1 - least / of) * 15 / 16
+    most = k * chance + MARGIN * (k * chance * (1 - chance)) ** 0.5
+
+    def differ(i: int) -> Column:
+        x = F.col("a_sketch")[i].bitwiseXOR(F.col("b_sketch")[i])
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        return F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(0x1111111111111111)))
+
+    return reduce(lambda x, y: x + y, map(differ, range(-(-k // 16)))) <= most
 
 
 def _sizes_near() -> Column:
@@ -233,11 +246,16 @@ def _as(df: DataFrame, prefix: str, *but: str) -> DataFrame:
     return df.select(*[F.col(c) if c in but else F.col(c).alias(f"{prefix}{c}") for c in df.columns])
 
 
-def verified(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+def of_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs with an id in ids (doc_id); few ids are sent to all tasks, else both sides are shuffled."""
+    ids = cut(ids.select(F.col("doc_id").alias("need")).distinct())
+    how = "broadcast" if ids.count() <= FEW_IDS else "shuffle_hash"
+    return docs.join(ids.hint(how), F.col("doc_id") == F.col("need"), "left_semi")
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose shingle sets are as similar as asked for."""
     least, of = SIMILARITY
-    needed = pairs.select(F.col("a").alias("need")).unionAll(pairs.select("b")).distinct()
-    sets = cut(shingle_arrays(docs.join(needed.hint("shuffle_hash"), F.col("doc_id") == F.col("need"), "left_semi"), width))
     with_a = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
     both = with_a.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
@@ -245,33 +263,67 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     return kept.where(F.col("c") * of >= (F.col("t") - F.col("c")) * least).select("a", "b")
 
 
-def near_links(unique: DataFrame, docs: DataFrame, width: int = WIDTH) -> DataFrame:
+def sets_of(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+    return cut(shingle_arrays(of_ids(docs, pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b"))), width))
+
+
+def sharing_a_rare_shingle(rows: DataFrame, sets: DataFrame, k: int) -> DataFrame:
+    """Pairs (a, b) of rows, a loose, with different labels, that share a shingle among their rarest.
+
+    Sets of n and m shingles with similarity s or more have at least s * n, s * m and s / (1 + s) * (n + m) in common. In an
+    order that all sets have, their first common one is thus among the first n - s * n + 1 of each, and from its place
+    on each has s / (1 + s) * (n + m) left. The rarest come first here.
+    """
+    least, of = SIMILARITY
+    each = sets.select("doc_id", F.explode("shingles").alias("shingle"))
+    counted = each.withColumn("often", F.count(F.lit(1)).over(Window.partitionBy("shingle")))
+    ordered = counted.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("often", "shingle"))).alias("all"))
+    n = F.size("all")
+    first = ordered.select("doc_id", F.posexplode(F.slice("all", F.lit(1), n - F.ceil(n * least / of).cast("int") + 1)).alias("nth", "x"))
+    marked = cut(first.select("doc_id", F.col("x.shingle").alias("shingle"), "nth").join(rows, "doc_id"))
+    a, b = _as(marked.where("loose"), "a_", "shingle"), _as(marked, "b_", "shingle")
+    left = F.least(F.col("a_n") - F.col("a_nth"), F.col("b_n") - F.col("b_nth"))
+    met = a.join(b, "shingle").where((left * (of + least) >= (F.col("a_n") + F.col("b_n")) * least) & _may_link(k))
+    return met.select(F.col("a_doc_id").alias("a"), F.col("b_doc_id").alias("b")).distinct()
+
+
+def _may_link(k: int) -> Column:
+    once = ~F.col("b_loose") | (F.col("a_doc_id") < F.col("b_doc_id"))
+    return once & _sizes_near() & (F.col("a_label") != F.col("b_label")) & _near_sketches(k)
+
+
+def near_links(unique: DataFrame, docs: DataFrame, width: int = WIDTH, k: int = BANDS * ROWS) -> DataFrame:
     """Links (a, b) that join all that is similar among `unique` (rows of `sign` with different fingerprints)."""
     buckets = unique.select("doc_id", F.explode("bands").alias("key"))
-    heads = buckets.groupBy("key").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    members = cut(buckets.join(heads.select("key", "head"), "key").where(F.col("doc_id") != F.col("head")))
+    sizes = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    shared = cut(buckets.join(sizes, "key"))
+    crowd = shared.groupBy("doc_id").agg(F.sum("rows").alias("crowd"))
+    heads = shared.join(crowd, "doc_id").groupBy("key").agg(F.max(F.struct("crowd", (-F.col("doc_id")).alias("less"))).alias("most"))
+    members = cut(shared.join(heads.select("key", (-F.col("most.less")).alias("head")), "key").select("key", "rows", "doc_id", "head"))
     rows = unique.drop("bands", "f1", "f2")
-    first = members.select(F.col("doc_id").alias("a"), F.col("head").alias("b")).distinct()
+    first = members.where(F.col("doc_id") != F.col("head")).select(F.col("doc_id").alias("a"), F.col("head").alias("b")).distinct()
     first = first.join(_as(rows, "a_").withColumnRenamed("a_doc_id", "a"), "a").join(_as(rows, "b_").withColumnRenamed("b_doc_id", "b"), "b")
-    first = cut(first.select("a", "b", _sizes_near().alias("near"), _bits_apart("a_", "b_").alias("apart")))
-    links = cut(verified(first.where(F.col("near") & (F.col("apart") <= MOST_BITS_APART)).select("a", "b"), docs, width))
+    first = cut(first.where(_sizes_near() & _near_sketches(k)).select("a", "b"))
+    links = cut(verified(first, sets_of(docs, first, width)))
     labels = cut(components(links))
 
-    # What the first round left: rows that their bucket's head is not linked with.
-    judged = first.join(links.withColumn("linked", F.lit(True)), ["a", "b"], "left").select("a", "b", "apart", F.coalesce("linked", F.lit(False)).alias("linked"))
-    state = members.join(judged.select(F.col("a").alias("doc_id"), F.col("b").alias("head"), "apart", "linked"), ["doc_id", "head"])
-    open_keys = state.where(~F.col("linked")).select("key").distinct()
-    state = state.join(open_keys, "key").join(rows, "doc_id").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    state = cut(state.withColumn("label", F.coalesce("label", "doc_id")))
-    loose, held = state.where(~F.col("linked")), state.where("linked")
-    similar = _sizes_near() & (F.col("a_label") != F.col("b_label")) & (_bits_apart("a_", "b_") <= MOST_BITS_APART)
-    among = _as(loose, "a_", "key").join(_as(loose, "b_", "key"), "key").where(similar & (F.col("a_doc_id") < F.col("b_doc_id")))
-    via = _as(loose.where(F.col("apart") <= MOST_BITS_APART_VIA), "a_", "key").join(_as(held, "b_", "key"), "key").where(similar)
-    second = among.select("a_doc_id", "b_doc_id").unionAll(via.select("a_doc_id", "b_doc_id")).toDF("a", "b").distinct()
-    second = cut(second)
-    if second.isEmpty():
-        return links
-    return links.unionAll(verified(second, docs, width))
+    # What the first round left: rows that are not in the class of their bucket's head.
+    state = members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    of_head = labels.select(F.col("node").alias("head"), F.col("label").alias("head_label"))
+    state = state.join(of_head, "head", "left").withColumn("loose", F.col("label") != F.coalesce("head_label", "head"))
+    open_keys = state.where("loose").select("key").distinct()
+    state = cut(state.join(open_keys, "key").select("key", "rows", "doc_id", "label", "loose").join(rows, "doc_id"))
+    small = state.where(F.col("rows") <= SMALL).drop("rows")
+    pairs = _as(small.where("loose"), "a_", "key").join(_as(small, "b_", "key"), "key").where(_may_link(k))
+    pairs = cut(pairs.select(F.col("a_doc_id").alias("a"), F.col("b_doc_id").alias("b")).distinct())
+    if not pairs.isEmpty():
+        links = links.unionAll(verified(pairs, sets_of(docs, pairs, width)))
+    large = state.where(F.col("rows") > SMALL).groupBy("doc_id", "label", "n", "sketch").agg(F.max("loose").alias("loose"))
+    large = cut(large)
+    if not large.isEmpty():
+        sets = cut(shingle_arrays(of_ids(docs, large), width))
+        links = links.unionAll(verified(cut(sharing_a_rare_shingle(large, sets, k)), sets))
+    return links
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -281,7 +333,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, row
     equal = signed.groupBy("f1", "f2").agg(F.min("doc_id").alias("first"))
     members = signed.select("doc_id", "f1", "f2").join(equal, ["f1", "f2"]).select("doc_id", "first").distinct()
     unique = signed.join(equal.withColumnRenamed("first", "doc_id"), ["doc_id", "f1", "f2"], "left_semi").dropDuplicates(["doc_id", "f1", "f2"])
-    links = near_links(unique, docs, width).unionAll(members.where("doc_id != first").toDF("a", "b"))
+    links = near_links(unique, docs, width, bands * rows).unionAll(members.where("doc_id != first").toDF("a", "b"))
     labels = cut(components(links))
     ids = members.select("doc_id").distinct()
     named = ids.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("label", "doc_id").alias("class_id"))
