@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from manyview.llm.common import ascii_lower, table, text_or_empty
+from manyview.llm.common import ascii_lower, cut, table, text_or_empty
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 GAP = 3
@@ -102,7 +102,7 @@ def summary(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) of each document."""
     met = votes(docs)
     grouped = met.groupBy("doc_id", "template", "label", "base", "votes", "diagonal")
-    counted = grouped.agg(F.sum("n_words").alias("n_words"), F.collect_set("at").alias("seen")).withColumn("hits", F.size("seen"))
+    counted = cut(grouped.agg(F.sum("n_words").alias("n_words"), F.collect_set("at").alias("seen")).withColumn("hits", F.size("seen")))
     found = places(counted.where("template >= 0")).select("doc_id", F.lit(0).cast("long").alias("n_words"), "label", "base", "start", "score")
     whole = counted.where("template = -1").select("doc_id", "n_words", F.lit(None).cast("string").alias("label"), F.lit(False).alias("base"), F.lit(None).cast("long").alias("start"), F.lit(0.0).alias("score"))
     base = F.when(F.col("base"), F.col("start"))
