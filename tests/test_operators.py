@@ -119,9 +119,22 @@ def test_tracks_with_conflicts(spark):
     assert tracks.build(tracks.labelled(none)).count() == 0
 
 
-def test_components_of_a_chain(spark):
-    links = spark.createDataFrame([(k, k + 1) for k in range(200)] + [(500, 400)], "a long, b long")
-    assert {r["label"] for r in graph.components(links).where("node <= 200").collect()} == {0}
+def test_components(spark):
+    rng = random.Random(2)
+    links = [(k, k + 1) for k in range(60)] + [(rng.randrange(100, 200), rng.randrange(100, 200)) for _ in range(60)] + [(300, 299), (5, 5), (400, 400)]
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    got = {r["node"]: r["label"] for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    linked = {x for link in links for x in link if link[0] != link[1]}
+    assert got == {x: find(x) for x in linked}
 
 
 def test_fixpoint_and_incremental(rig):
