@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from manyview.functions.projection import DEPTH_MEDIAN, DEPTH_MULTIVIEW
 from manyview.operators.errors import XYZ, observed
+from manyview.session import cut
 
 BEHIND = 1000.0
 MAD_TO_SIGMA = 1.4826
@@ -73,13 +74,14 @@ def adaptive_threshold(star: DataFrame, least_obs: int = 2) -> DataFrame:
 def adaptive(points: DataFrame, obs: DataFrame, cameras: DataFrame, least_obs: int = 2, depth_cov: float = 1.0) -> DataFrame:
     """(track_id, x, y, z, n_views, n_good, keep): by a threshold that follows the errors, view ratios, depths, then place."""
     star = observed(points, obs, cameras, DEPTH_MEDIAN).where((F.col("depth") > DEPTH_MEDIAN) & F.col("err").isNotNull())
+    star = cut(star.select("track_id", "depth", "err"))  # read three times
     limit = adaptive_threshold(star, least_obs).select("threshold")
     good = F.col("err") < F.col("threshold")
     depth = F.when(good, F.col("depth"))
     per = star.crossJoin(limit).groupBy("track_id").agg(F.count(F.lit(1)).alias("n_views"), F.count_if(good).alias("n_good"), (F.stddev_pop(depth) / F.avg(depth)).alias("cov"))
     needed = F.when(F.col("n_views") == 2, 1.0).when(F.col("n_views") == 3, 2.0 / 3.0).otherwise(0.6)
     passes = (F.col("n_views") >= least_obs) & (F.col("n_good") / F.col("n_views") >= needed) & (F.coalesce("cov", F.lit(0.0)) <= depth_cov)
-    joined = points.select("track_id", *XYZ).join(per.withColumn("passes", passes), "track_id", "left").withColumn("passes", F.coalesce("passes", F.lit(False)))
+    joined = cut(points.select("track_id", *XYZ).join(per.withColumn("passes", passes), "track_id", "left").withColumn("passes", F.coalesce("passes", F.lit(False))))
     stay = joined.where("passes")
     middle = stay.agg(*[F.median(c).alias(f"m{c}") for c in XYZ], F.count(F.lit(1)).alias("n_stay"))
     away = F.sqrt(sum(((F.col(c) - F.col(f"m{c}")) * (F.col(c) - F.col(f"m{c}")) for c in XYZ[1:]), (F.col("x") - F.col("mx")) * (F.col("x") - F.col("mx"))))

@@ -7,11 +7,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from manyview.functions.projection import DEPTH_MULTIVIEW
 from manyview.operators.errors import observed
 from manyview.operators.matching import initial_pair, pair_scores, with_pixels
 from manyview.operators.tracks import correspondences
 from manyview.operators.triangulate import triangulate_checked, two_view_reasons, validate
-from manyview.functions.projection import DEPTH_MULTIVIEW
 from manyview.session import cut
 
 
@@ -71,7 +71,7 @@ def incremental(matches: DataFrame, kps: DataFrame, track_obs: DataFrame, camera
         order.append(chosen["img_id"])
         seen = pixels.where(F.col("img_id") == order[-1]).select("track_id").join(made, "track_id", "left_anti")
         wanted = pixels.join(seen, "track_id", "left_semi")
-        usable = triangulate_checked(wanted.where(F.col("img_id").isin(order)), cameras, most_error, least_views)
+        usable = cut(triangulate_checked(wanted.where(F.col("img_id").isin(order)), cameras, most_error, least_views))
         good = validate(usable, wanted, cameras, most_error, least_views).where("valid").select("track_id")
         new = cut(usable.join(good, "track_id", "left_semi").withColumn("step", F.lit(len(order) - 2)))
         counts.append(new.count())

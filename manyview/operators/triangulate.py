@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from manyview.functions.linalg import UPPER, adjugate4, dot, finite, norm, once
 from manyview.functions.projection import DEPTH_MULTIVIEW, DEPTH_PROJECT, angle, centre, distance, pixel, projection_matrix
 from manyview.operators.errors import observed, point_summary
+from manyview.session import cut
 
 STEPS = 4
 #: Reasons of `two_view_reasons`, in the order of the tests; fixed values.
@@ -61,7 +62,7 @@ def triangulate(obs: DataFrame, cameras: DataFrame, least_views: int = 2) -> Dat
 
 def triangulate_checked(obs: DataFrame, cameras: DataFrame, most_error: float = 1.5, least_views: int = 2, slack: float = 2.0) -> DataFrame:
     """(track_id, x, y, z): only points before all their cameras with a median error of up to slack x most_error."""
-    made = triangulate(obs, cameras, least_views)
+    made = cut(triangulate(obs, cameras, least_views))
     star = observed(made, obs, cameras, DEPTH_MULTIVIEW)
     per = star.groupBy("track_id").agg(F.min("depth").alias("least"), F.median("err").alias("median"))
     good = per.where((F.col("least") > DEPTH_MULTIVIEW) & (F.col("median") <= slack * most_error)).select("track_id")
@@ -98,6 +99,7 @@ def two_view_reasons(pairs: DataFrame, cameras: DataFrame, most_error: float = 1
 def validate(points: DataFrame, obs: DataFrame, cameras: DataFrame, most_error: float = 1.5, least_views: int = 3, good_ratio: float = 0.6, adaptive: bool = True, mad_k: float = 3.5, cap: float = 4.0, depth_cov: float = 1.0) -> DataFrame:
     """(track_id, n_views, threshold, n_good, valid) over all views that a point lies before."""
     star = observed(points, obs, cameras, DEPTH_MULTIVIEW).where((F.col("depth") > DEPTH_MULTIVIEW) & F.col("err").isNotNull())
+    star = cut(star.select("track_id", "depth", "err"))  # read three times
     middle = star.groupBy("track_id").agg(F.count(F.lit(1)).alias("n_views"), F.median("err").alias("median"))
     with_middle = star.join(middle, "track_id")
     mad = with_middle.groupBy("track_id").agg(F.median(F.abs(F.col("err") - F.col("median"))).alias("mad"))
