@@ -27,6 +27,7 @@ PIVOTS = 16
 SCALE = 64
 EVERY = 20
 QUERY_BLOCK, BLOCK = 1024, 4096
+GROUP, STEP = 64, 512
 FINITE = float("inf")
 
 
@@ -86,38 +87,46 @@ class Block:
 
 
 def search(queries: Block, candidates: Block, k: int, best: list) -> None:
-    """Brings best, (score, id) of each query in order, up to date with a block of candidates."""
+    """Brings best, (scores, ids) of each query in order, up to date with a block of candidates.
+
+    Candidates go in the order of their best bound for a group of queries, some at a time; a query leaves out those whose
+    bounds are below its k-th best score, and the group stops when the next bound is below that of all its queries.
+    """
     exact = queries.most * candidates.most * max(1, queries.rows.shape[1]) < 2**52
     reach = float(max(queries.away.max(initial=0), candidates.away.max(initial=0))) + 1
-    for low in range(0, len(queries.ids), 64):
-        part = slice(low, low + 64)
+    for low in range(0, len(queries.ids), GROUP):
+        part = slice(low, low + GROUP)
         bound = np.zeros((len(queries.ids[part]), len(candidates.ids)), np.float32)
         for p in range(queries.away.shape[1]):
             np.maximum(bound, np.abs(queries.away[part, p, None] - candidates.away[None, :, p]), out=bound)
         bound = np.maximum(bound - 1e-5 * reach, 0).astype(np.float64)  # what rounding may have added
         most = (queries.squares[part, None] + candidates.squares[None, :] - bound**2) / 2
         most += 1e-9 * (np.abs(most) + 1)
-        for q in range(low, low + len(bound)):
-            ceiling = most[q - low]
-            scores, ids = best[q]
-            if len(scores) == k:
-                left = np.flatnonzero(ceiling >= scores[-1])
-                left = left[np.argsort(-ceiling[left], kind="stable")]
+        kth = np.array([s[-1] if len(s) == k else -np.inf for s, _ in best[part]])
+        highest = most.max(axis=0)
+        order = np.argsort(-highest, kind="stable")
+        for at in range(0, len(order), STEP):
+            chosen = order[at : at + STEP]
+            if highest[chosen[0]] < kth.min():
+                break
+            use = np.flatnonzero(most[:, chosen].max(axis=1) >= kth)
+            if not len(use):
+                continue
+            if exact:
+                scores = queries.rows[part][use] @ candidates.rows[chosen].T
             else:
-                left = np.argsort(-ceiling, kind="stable")
-            at, step = 0, 4 * k
-            while at < len(left) and (len(scores) < k or ceiling[left[at]] >= scores[-1]):
-                chosen = left[at : at + step]
-                at, step = at + step, 2 * step
-                chosen = chosen[candidates.ids[chosen] != queries.ids[q]]
-                if exact:
-                    new = (candidates.rows[chosen] @ queries.rows[q]).astype(np.int64)
-                else:
-                    new = np.array([int(sum(int(a) * int(b) for a, b in zip(row, queries.whole[q]))) for row in candidates.whole[chosen]], np.int64)
-                scores, ids = np.concatenate([scores, new]), np.concatenate([ids, candidates.ids[chosen]])
-                order = np.lexsort((ids, -scores))[:k]
-                scores, ids = scores[order], ids[order]
-            best[q] = (scores, ids)
+                scores = (queries.whole[part][use].astype(object) @ candidates.whole[chosen].T.astype(object)).astype(np.int64)
+            ids = candidates.ids[chosen]
+            scores = np.where(ids[None, :] == queries.ids[part][use][:, None], -np.inf, scores) if exact else scores
+            for row in np.flatnonzero((scores >= kth[use][:, None]).any(axis=1)):
+                q = low + int(use[row])
+                new = np.flatnonzero((scores[row] >= kth[use[row]]) & (ids != queries.ids[q]))
+                both = np.concatenate([best[q][0], scores[row][new].astype(np.int64)])
+                names = np.concatenate([best[q][1], ids[new]])
+                first = np.lexsort((names, -both))[:k]
+                best[q] = (both[first], names[first])
+                if len(first) == k:
+                    kth[use[row]] = best[q][0][-1]
 
 
 def top_k(rows: DataFrame, queries: DataFrame, k: int = TOP, pivots: int = PIVOTS) -> DataFrame:
