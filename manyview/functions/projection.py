@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from manyview.functions.linalg import Vector, applied, clean, dot, finite, norm, rotation, sub, transposed, vector
+from manyview.functions.linalg import Vector, applied, clean, dot, finite, norm, once, rotation, sub, transposed, vector
 
 #: Least depths: of projection, of per-point medians, of the multi-view tests.
 DEPTH_PROJECT, DEPTH_MEDIAN, DEPTH_MULTIVIEW = 1e-12, 1e-9, 1e-6
@@ -71,5 +71,21 @@ def quaternion(camera: str = "") -> list[Column]:
     return [q * sign for q in raw]
 
 
+def undistorted(df: DataFrame, keep: list[str], distortion: tuple[float, float, float, float, float], steps: int = 10) -> DataFrame:
+    """keep and x, y: pixels (x, y) of cameras (fx, fy, cx, cy) without their lens distortion (k1, k2, p1, p2, k3), by fixed-point
+    steps."""
+    k1, k2, p1, p2, k3 = distortion
+    lens = ["fx", "fy", "cx", "cy"]
+    start = {"x0": (F.col("x") - F.col("cx")) / F.col("fx"), "y0": (F.col("y") - F.col("cy")) / F.col("fy")}
+    now = once(df, [*keep, *lens], start | {"xn": start["x0"], "yn": start["y0"]})
+    x, y = F.col("xn"), F.col("yn")
+    r = x * x + y * y
+    radial = 1 + r * (k1 + r * (k2 + r * k3))
+    for _ in range(steps):
+        moved = {"xn": (F.col("x0") - (2 * p1 * x * y + p2 * (r + 2 * x * x))) / radial, "yn": (F.col("y0") - (p1 * (r + 2 * y * y) + 2 * p2 * x * y)) / radial}
+        now = once(now, [*keep, *lens, "x0", "y0"], moved)
+    return now.select(*keep, (x * F.col("fx") + F.col("cx")).alias("x"), (y * F.col("fy") + F.col("cy")).alias("y"))
+
+
 def rounded(**columns: Column) -> list[Column]:
     return [clean(column).alias(name) for name, column in columns.items()]

@@ -9,11 +9,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from manyview.functions.linalg import cross, dot, norm, once, rotation, times, transposed, vector
+from manyview.operators.triangulate import near_both
 
 
 def image_pairs(images: DataFrame) -> DataFrame:
@@ -92,6 +94,39 @@ def mutual(forward: DataFrame, backward: DataFrame) -> DataFrame:
     return forward.join(swapped, ["i", "j", "a", "b"], "left_semi")
 
 
+def mutual_within(forward: DataFrame, backward: DataFrame, slack: int = 1) -> DataFrame:
+    """The forward matches whose b has a backward match within `slack` of a; for keypoints in an order, such as contours."""
+    f = forward.alias("f")
+    r = backward.select(F.col("j").alias("i"), F.col("i").alias("j"), F.col("b").alias("a"), F.col("a").alias("b")).alias("r")
+    same = (F.col("f.i") == F.col("r.i")) & (F.col("f.j") == F.col("r.j")) & (F.col("f.b") == F.col("r.b"))
+    return f.join(r, same & (F.abs(F.col("f.a") - F.col("r.a")) <= slack), "left_semi")
+
+
+def unique_in_order(matches: DataFrame) -> DataFrame:
+    """Matches (i, j, a, b, nth) whose a and b are both still free, in the order of nth; one pair of images is one group."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        seen_a, seen_b, keep = set(), set(), []
+        group = group.sort_values(["nth", "a", "b"])
+        for a, b in zip(group["a"], group["b"]):
+            keep.append(a not in seen_a and b not in seen_b)
+            if keep[-1]:
+                seen_a.add(a)
+                seen_b.add(b)
+        return group[keep]
+
+    return matches.groupBy("i", "j").applyInPandas(run, matches.schema)
+
+
+def match_contours(contours: DataFrame, cameras: DataFrame, pairs: DataFrame, most: float = 5.0, least: int = 8, slack: int = 5, most_error: float = 3.0) -> DataFrame:
+    """(i, j, a, b) of contour matches both ways, in order along the contour, near their two-view points, of pairs with `least`."""
+    turned = pairs.select(F.col("j").alias("i"), F.col("i").alias("j"))
+    both = mutual(contour_matches(contours, cameras, pairs, most), contour_matches(contours, cameras, turned, most))
+    spots = contours.select("img_id", F.col("idx").alias("kp_id"), "x", "y")
+    ordered = with_pixels(monotonic(both.select("i", "j", "a", "b"), slack), spots).select("i", "j", "a", "b", "xi", "yi", "xj", "yj")
+    return enough(near_both(ordered, cameras, most_error).select("i", "j", "a", "b"), least)
+
+
 def match_descriptors(desc: DataFrame, pairs: DataFrame, ratio: float = 0.8, both_ways: bool = True) -> DataFrame:
     found = unique_by_distance(ratio_test(two_nearest(desc, pairs), ratio))
     if both_ways:

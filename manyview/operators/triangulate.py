@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from manyview.functions.linalg import UPPER, adjugate4, dot, finite, norm, once
-from manyview.functions.projection import DEPTH_MULTIVIEW, DEPTH_PROJECT, angle, centre, distance, pixel, projection_matrix
+from manyview.functions.projection import DEPTH_MULTIVIEW, DEPTH_PROJECT, angle, centre, distance, in_camera, pixel, projection_matrix
 from manyview.operators.errors import observed, point_summary
 from manyview.session import cut
 
@@ -69,22 +69,40 @@ def triangulate_checked(obs: DataFrame, cameras: DataFrame, most_error: float =
     return made.join(good, "track_id", "left_semi").select("track_id", "x", "y", "z")
 
 
-def triangulate_pairs(pairs: DataFrame, cameras: DataFrame) -> DataFrame:
-    """pairs (i, j, xi, yi, xj, yj, ...) with x, y, z of the two-view point and the columns of both cameras (i_*, j_*)."""
-    names = [c for c in cameras.columns if c != "img_id"]
-    keep = list(pairs.columns)
+def with_cameras(pairs: DataFrame, cameras: DataFrame) -> DataFrame:
+    """pairs (i, j, ...) with the columns of both cameras as i_* and j_*."""
     for side in "ij":
-        pairs = pairs.join(cameras.select(F.col("img_id").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in names]), side)
-    keep += [f"{s}_{c}" for s in "ij" for c in names]
+        pairs = pairs.join(cameras.select(F.col("img_id").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in cameras.columns if c != "img_id"]), side)
+    return pairs
+
+
+def triangulate_pairs(pairs: DataFrame) -> DataFrame:
+    """pairs (xi, yi, xj, yj, i_*, j_*, ...) with x, y, z of the two-view point."""
     rows = design_rows(F.col("xi"), F.col("yi"), "i_") + design_rows(F.col("xj"), F.col("yj"), "j_")
-    summed = once(pairs, keep, normal_entries(rows))
-    return euclidean(null_vector(summed, keep), keep)
+    return euclidean(null_vector(once(pairs, pairs.columns, normal_entries(rows)), pairs.columns), pairs.columns)
+
+
+def near_both(pairs: DataFrame, cameras: DataFrame, most_error: float = 3.0) -> DataFrame:
+    """The pairs (i, j, xi, yi, xj, yj, ...) whose two-view point lies within most_error of both pixels, on either side of the
+    cameras."""
+    keep = list(pairs.columns)
+    put = triangulate_pairs(with_cameras(pairs, cameras))
+    point, far = (F.col("x"), F.col("y"), F.col("z")), {}
+    for side in "ij":
+        x, y, z = in_camera(point, f"{side}_")
+        u, v = (F.try_divide(a, z) * F.col(f"{side}_f{n}") + F.col(f"{side}_c{n}") for a, n in ((x, "x"), (y, "y")))
+        far[f"e{side}"] = distance(u, v, F.col(f"x{side}"), F.col(f"y{side}"))
+    return once(put, keep, far).where((F.col("ei") <= most_error) & (F.col("ej") <= most_error)).select(*keep)
 
 
 def two_view_reasons(pairs: DataFrame, cameras: DataFrame, most_error: float = 1.5, least_angle: float = 3.0, most_depth: float = 1e6, most_abs: float = 1e6) -> DataFrame:
     """The first test that each two-view point fails: pairs with x, y, z, angle, reason (0 is none; names in REASONS)."""
-    keep = list(pairs.columns)
-    put = triangulate_pairs(pairs, cameras)
+    return reasons(with_cameras(pairs, cameras), list(pairs.columns), most_error, least_angle, most_depth, most_abs)
+
+
+def reasons(pairs: DataFrame, keep: list[str], most_error: float = 1.5, least_angle: float = 3.0, most_depth: float = 1e6, most_abs: float = 1e6) -> DataFrame:
+    """As two_view_reasons, for pairs that have the columns of their own two cameras."""
+    put = triangulate_pairs(pairs)
     point = (F.col("x"), F.col("y"), F.col("z"))
     ui, vi, zi = pixel(point, "i_")
     uj, vj, zj = pixel(point, "j_")

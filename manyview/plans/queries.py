@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from manyview.functions import text
+from manyview.functions import projection, text
 from manyview.functions.linalg import clean
 from manyview.functions.projection import centre, projection_matrix, quaternion
 from manyview.operators import adjust, cleanup, diagnostics, errors, matching, register, tracks, triangulate, twoview
@@ -145,6 +145,26 @@ def quaternions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(Scene(spark, sf_dir).cameras.select("img_id", *[q.alias(f"q{k}") for q, k in zip(quaternion(), "wxyz")]))
 
 
+DISTORTION = (0.05, -0.01, 0.001, -0.0005, 0.002)
+
+
+def _undistort_sql() -> str:
+    k1, k2, p1, p2, k3 = (f"{x!r}::DOUBLE" for x in DISTORTION)
+    parts, before = ["u0 AS (SELECT img_id, kp_id, (u - 512) / 800 AS x0, (v - 384) / 800 AS y0, (u - 512) / 800 AS x, (v - 384) / 800 AS y FROM kps)"], "u0"
+    for step in range(1, 11):
+        parts.append(f"r{step} AS (SELECT *, x*x + y*y AS r FROM {before})")
+        parts.append(f"u{step} AS (SELECT img_id, kp_id, x0, y0, (x0 - (2*{p1}*x*y + {p2}*(r + 2*x*x))) / (1 + r*({k1} + r*({k2} + r*{k3}))) AS x, (y0 - ({p1}*(r + 2*y*y) + 2*{p2}*x*y)) / (1 + r*({k1} + r*({k2} + r*{k3}))) AS y FROM r{step})")
+        before = f"u{step}"
+    return ", ".join(parts)
+
+
+@query(f"{SQL}, {_undistort_sql()} SELECT img_id, kp_id, {R('x * 800 + 512', 'x')}, {R('y * 800 + 384', 'y')} FROM u10")
+def undistorted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = Scene(spark, sf_dir)
+    with_lens = s.kps.select("img_id", "kp_id", "x", "y").join(s.cameras.select("img_id", "fx", "fy", "cx", "cy"), "img_id")
+    return rounded(projection.undistorted(with_lens, ["img_id", "kp_id"], DISTORTION))
+
+
 @query(f"{SQL} SELECT img_id, {R('1024 / (2 * tan(radians(60) / 2))', 'fx')} FROM cameras")
 def estimated_focal(spark: SparkSession, sf_dir: str) -> DataFrame:
     images = Scene(spark, sf_dir).cameras.select("img_id", F.lit(HEIGHT).alias("height"), F.lit(WIDTH).alias("width"))
@@ -403,6 +423,21 @@ def merge_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.merge_contours(s.matches, s.kps, s.contours, _contour(s))[1]
 
 
+@query(f"{SQL}, {FUND}, {CONT} SELECT i, j, a, b FROM cm WHERE EXISTS (SELECT 1 FROM cm q WHERE q.i = cm.i AND q.j = cm.j AND q.b = cm.b AND abs(q.a - cm.a) <= 1)")
+def contour_mutual_within(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contour matches against themselves turned round, within one step along the contour."""
+    found = _contour(Scene(spark, sf_dir)).select("i", "j", "a", "b")
+    turned = found.select(F.col("j").alias("i"), F.col("i").alias("j"), F.col("b").alias("a"), F.col("a").alias("b"))
+    return matching.mutual_within(found, turned, 1)
+
+
+@query()
+def contour_matches_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contour matches both ways, ordered, near their two-view points."""
+    s = Scene(spark, sf_dir)
+    return matching.match_contours(s.contours, s.cameras, matching.image_pairs(s.cameras.where("img_id < 8").select("img_id")))
+
+
 RUNS = "runs AS (SELECT img_id, CAST(v AS INTEGER) AS v, CAST(ceil(512 - sqrt(40000.0::DOUBLE - (v-384)*(v-384))) AS INTEGER) AS u0, CAST(floor(512 + sqrt(40000.0::DOUBLE - (v-384)*(v-384))) AS INTEGER) AS u1 FROM cameras, range(184, 585) t(v))"
 
 
@@ -546,6 +581,15 @@ def two_view_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_two(spark, sf_dir).where("reason = 0").select("i", "j", "a", "b", "x", "y", "z", "angle"))
 
 
+@query(
+    f"""{SQL}, {FUND}, {TWO} SELECT i, j, a, b FROM td WHERE sqrt((ai/zi*fx+cx-xi)*(ai/zi*fx+cx-xi)+(bi/zi*fy+cy-yi)*(bi/zi*fy+cy-yi)) <= 3
+    AND sqrt((aj/zj*fx+cx-xj)*(aj/zj*fx+cx-xj)+(bj/zj*fy+cy-yj)*(bj/zj*fy+cy-yj)) <= 3"""
+)
+def two_view_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = Scene(spark, sf_dir)
+    return triangulate.near_both(s.pixels.select("i", "j", "a", "b", "xi", "yi", "xj", "yj"), s.cameras).select("i", "j", "a", "b")
+
+
 @query(f"{SQL}, {FUND}, {TWO} SELECT reason, count(*) AS n FROM tr2 GROUP BY 1")
 def reject_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _two(spark, sf_dir).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
@@ -661,6 +705,14 @@ def two_view_poses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return twoview.two_view_poses(Scene(spark, sf_dir).pixels.where("i < 3"), K, 3.0)
 
 
+@query()
+def single_camera_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of a reconstruction without known poses, the first three images."""
+    s = Scene(spark, sf_dir)
+    kps = cut(s.kps)
+    return rounded(reconstruct.single_camera(kps, cut(scene.matches(kps)), K, images=3)["points"], 3)
+
+
 @query()
 def pnp_poses(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = Scene(spark, sf_dir)

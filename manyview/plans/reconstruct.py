@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from manyview.operators import cleanup, errors, matching, register, tracks, triangulate
+from manyview.operators import cleanup, errors, matching, register, tracks, triangulate, twoview
 from manyview.plans.config import PRESETS, Config
 from manyview.session import cut
 
@@ -25,3 +26,66 @@ def known_cameras(cameras: DataFrame, kps: DataFrame, matches: DataFrame, config
     order = spark.createDataFrame([(img, k) for k, img in enumerate(made.order)], "img_id int, ordinal int")
     star = errors.observed(points, pixels, cameras)
     return {"track_obs": track_obs, "points": points, "judged": judged, "meta": triangulate.point_meta(points, pixels, cameras), "errors": errors.point_summary(star), "order": order}
+
+
+_NAMES = ["fx", "fy", "cx", "cy", *[f"r{i}{j}" for i in range(3) for j in range(3)], "tx", "ty", "tz", "cx_w", "cy_w", "cz_w"]
+
+
+def _camera(k: tuple[float, ...], r: list[float], t: list[float]) -> tuple[float, ...]:
+    turned = np.array(r).reshape(3, 3)
+    return tuple(map(float, (*k, *turned.ravel(), *t, *(-turned.T @ np.array(t)))))
+
+
+def single_camera(kps: DataFrame, matches: DataFrame, k: tuple[float, float, float, float], config: Config | None = None, images: int | None = None) -> dict[str, DataFrame]:
+    """{"track_obs", "points" (track_id, x, y, z), "cameras"} from pixels of one camera, up to scale and place.
+
+    The first pair is the one with the most two-view points that pass all tests. Each next image is the one that sees the most
+    points; its pose comes from them, and tracks that it shows get points with the view farthest away. The loop ends
+    with the first image that can't be placed.
+    """
+    spark = kps.sparkSession
+    config = (config or PRESETS["singlecam"]).adapted(25, int(2 * k[2]), int(2 * k[3]))
+    t = config.triangulation
+    pixels = cut(matching.with_pixels(matches, kps).select("i", "j", "a", "b", "xi", "yi", "xj", "yj"))
+    fine = cut(twoview.verify_pairs(pixels, k, config.matching.ransac_px, config.matching.least_inliers))
+    track_obs = cut(tracks.build(cut(tracks.labelled(fine))))
+    spots = cut(track_obs.join(kps.select("img_id", "kp_id", F.col("x").alias("u"), F.col("y").alias("v")), ["img_id", "kp_id"]).select("track_id", "img_id", "u", "v"))
+    inside = cut(pixels.join(fine, ["i", "j", "a", "b"], "left_semi"))
+    poses = cut(twoview.two_view_poses(inside, k, config.matching.ransac_px))
+    unit = _camera(k, [1.0, 0, 0, 0, 1, 0, 0, 0, 1], [0.0, 0, 0])
+    at_j = [F.lit(v).alias(f"j_{n}") for n, v in zip(_NAMES[:4], k)] + [F.col("r")[n].alias(f"j_r{n // 3}{n % 3}") for n in range(9)] + [F.col("t")[n].alias(f"j_t{c}") for n, c in enumerate("xyz")]
+    posed = inside.join(poses, ["i", "j"]).select(*inside.columns, *[F.lit(v).alias(f"i_{n}") for n, v in zip(_NAMES, unit)], *at_j)
+    judged = cut(triangulate.reasons(posed, inside.columns, t.most_error, t.least_angle))
+    first = judged.where("reason = 0").groupBy("i", "j").agg(F.count(F.lit(1)).alias("score")).orderBy(F.desc("score"), "i", "j").first()
+    if first is None or first["score"] < 30:
+        raise ValueError("no pair of images gives enough points")
+    pose = poses.where((F.col("i") == first["i"]) & (F.col("j") == first["j"])).first()
+    known = {first["i"]: unit, first["j"]: _camera(k, pose["r"], pose["t"])}
+    schema = "img_id int, " + ", ".join(f"{n} double" for n in _NAMES)
+    table = lambda: spark.createDataFrame([(img, *c) for img, c in sorted(known.items())], schema)  # noqa: E731  a row for each image
+
+    ends = [track_obs.select("track_id", F.col("img_id").alias(s), F.col("kp_id").alias(c)) for s, c in (("i", "a"), ("j", "b"))]
+    seeds = judged.where((F.col("reason") == 0) & (F.col("i") == first["i"]) & (F.col("j") == first["j"]))
+    made = cut(seeds.join(ends[0], ["i", "a"]).join(ends[1], ["j", "b", "track_id"]).select("track_id", "x", "y", "z"))
+    everyone = kps.select("img_id").distinct().count() if images is None else images
+    while len(known) < everyone:
+        left = tracks.correspondences(spots.where(~F.col("img_id").isin(list(known))), made)
+        best = left.orderBy(F.desc("n"), "img_id").first()
+        if best is None or best["n"] < max(4, made.count() // 100):
+            break
+        links = spots.where(F.col("img_id") == best["img_id"]).join(made, "track_id").select("img_id", "track_id", "u", "v", "x", "y", "z")
+        placed = twoview.pnp(links, k, config.matching.ransac_px).first()
+        if placed is None:
+            break
+        known[best["img_id"]] = _camera(k, placed["r"], placed["t"])
+        cameras, others = table(), [img for img in known if img != best["img_id"]]
+        open_ = spots.join(made, "track_id", "left_anti")
+        partner = triangulate.best_baseline(open_, cameras, best["img_id"], others)
+        mine = open_.where(F.col("img_id") == best["img_id"]).select("track_id", F.col("img_id").alias("j"), F.col("u").alias("xj"), F.col("v").alias("yj"))
+        other = open_.select("track_id", F.col("img_id").alias("i"), F.col("u").alias("xi"), F.col("v").alias("yi"))
+        pairs = partner.select("track_id", F.col("partner").alias("i")).join(other, ["track_id", "i"]).join(mine, "track_id")
+        least_angle = max(1.0, 3.0 - 0.3 * len(known))
+        new = cut(triangulate.two_view_reasons(pairs.select("track_id", "i", "j", "xi", "yi", "xj", "yj"), cameras, t.most_error, least_angle).where("reason = 0").select("track_id", "x", "y", "z"))
+        good = triangulate.validate(new, spots, cameras, 1.5 * t.most_error, 2 if len(known) < 5 else 3).where("valid").select("track_id")
+        made = cut(made.unionByName(new.join(good, "track_id", "left_semi")))
+    return {"track_obs": track_obs, "points": made, "cameras": table()}
