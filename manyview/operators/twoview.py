@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 
 from manyview.operators.adjust import linearised, rodrigues
 
-ROUNDS = 300
+ROUNDS, POSE_ROUNDS = 300, 100
 
 
 def normalised(pixels: np.ndarray, k: np.ndarray) -> np.ndarray:
@@ -140,9 +140,10 @@ def pnp(links: DataFrame, k: tuple[float, float, float, float], threshold: float
         none = pd.DataFrame(columns=["img_id", "r", "t", "n_inliers"])
         if len(x) < least:
             return none
-        for _ in range(ROUNDS):
+        for _ in range(POSE_ROUNDS):
             pick = rng.choice(len(x), 6, replace=False)
-            inside = reprojected(*linear_pose(x[pick], uv[pick]), x, uv) < limit
+            tried = refined_pose(*linear_pose(x[pick], uv[pick]), x[pick], uv[pick], 3)  # six noisy points alone give a poor pose
+            inside = reprojected(*tried, x, uv) < limit
             best = inside if inside.sum() > best.sum() else best
         if best.sum() < least:
             return none

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from manyview.functions import text
-from manyview.functions.projection import quaternion
+from manyview.functions.projection import quaternion, undistorted
 from manyview.operators import adjust, cleanup, errors, graph, matching, register, tracks, triangulate, twoview
 from manyview.plans import reconstruct, scene
 from manyview.plans.config import PRESETS, Config
@@ -84,6 +84,49 @@ def test_unique_matches_are_greedy(spark):
     assert got == expected
 
 
+def test_unique_in_order(spark):
+    rng = random.Random(5)
+    rows = [(0, k % 2, rng.randrange(10), rng.randrange(10), k) for k in range(60)]
+    got = {(r["j"], r["a"], r["b"]) for r in matching.unique_in_order(spark.createDataFrame(rows, "i int, j int, a int, b int, nth int")).collect()}
+    used, expected = set(), set()
+    for _, j, a, b, _ in rows:
+        if not {(j, "a", a), (j, "b", b)} & used:
+            used |= {(j, "a", a), (j, "b", b)}
+            expected.add((j, a, b))
+    assert got == expected
+
+
+def test_mutual_within(spark):
+    kind = "i int, j int, a int, b int"
+    forward = spark.createDataFrame([(0, 1, 5, 7), (0, 1, 9, 2), (0, 1, 3, 3)], kind)
+    backward = spark.createDataFrame([(1, 0, 7, 6), (1, 0, 2, 4), (1, 0, 3, 3)], kind)
+    assert {(r["a"], r["b"]) for r in matching.mutual_within(forward, backward).collect()} == {(5, 7), (3, 3)}
+    assert {(r["a"], r["b"]) for r in matching.mutual(forward, backward).collect()} == {(3, 3)}
+
+
+def test_undistorted_inverts_the_lens(spark):
+    k1, k2, p1, p2, k3 = 0.05, -0.01, 0.001, -0.0005, 0.002
+    rows, true = [], {}
+    for n, (x, y) in enumerate([(0.0, 0.0), (0.3, -0.2), (-0.4, 0.3)]):
+        r = x * x + y * y
+        radial = 1 + k1 * r + k2 * r * r + k3 * r**3
+        rows.append((n, 800 * (x * radial + 2 * p1 * x * y + p2 * (r + 2 * x * x)) + 512, 800 * (y * radial + p1 * (r + 2 * y * y) + 2 * p2 * x * y) + 384, 800.0, 800.0, 512.0, 384.0))
+        true[n] = (800 * x + 512, 800 * y + 384)
+    df = spark.createDataFrame(rows, "n int, x double, y double, fx double, fy double, cx double, cy double")
+    for r in undistorted(df, ["n"], (k1, k2, p1, p2, k3)).collect():
+        assert np.allclose((r["x"], r["y"]), true[r["n"]], atol=1e-5)
+
+
+def test_single_camera(spark):
+    kps = cut(scene.keypoints(scene.obs(spark, "/root/testdata/sf0.01")))
+    k = (800.0, 800.0, 512.0, 384.0)
+    made = reconstruct.single_camera(kps, cut(scene.matches(kps)), k, images=3)
+    assert made["cameras"].count() == 3 and made["points"].count() >= 30
+    pixels = made["track_obs"].join(kps.select("img_id", "kp_id", F.col("x").alias("u"), F.col("y").alias("v")), ["img_id", "kp_id"])
+    star = errors.observed(made["points"], pixels, made["cameras"])
+    assert star.agg(F.median("err")).first()[0] < 1.5
+
+
 def test_monotonic(spark):
     rng = random.Random(4)
     rows = [(0, 1, a, rng.randrange(60)) for a in range(50)]
