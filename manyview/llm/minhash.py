@@ -28,13 +28,16 @@ links of all of them; an empty table gives no rows; other columns are not read.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from manyview.llm.common import cut, table
@@ -47,6 +50,8 @@ BANDS, ROWS = 40, 5
 MARGIN = 4
 SMALL = 32
 FEW_IDS = 200_000
+#: Hash values that shingles are counted by, and tasks that add up the counts.
+COUNTERS, ADDERS = 1 << 20, 16
 GROUP = 300_000
 
 _U = np.uint64
@@ -267,20 +272,52 @@ def sets_of(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
     return cut(shingle_arrays(of_ids(docs, pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b"))), width))
 
 
+def counted_shingles(sets: DataFrame) -> np.ndarray:
+    """How many sets have a shingle of each of COUNTERS hash values. Each task gives one table, and few tasks add them up."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for x in batch.column(0):
+                total[x.values.to_numpy() & (COUNTERS - 1)] += 1
+        packed = zlib.compress(total.astype("<u4").tobytes(), 1)
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % ADDERS], pa.int32()), pa.array([packed], pa.binary())], ["part", "counts"])
+
+    def add(group: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(zlib.decompress(x), "<u4").astype(np.int64) for x in group["counts"])
+        return pd.DataFrame({"counts": [zlib.compress(np.minimum(total, 2**32 - 1).astype("<u4").tobytes(), 1)]})
+
+    tables = sets.select("shingles").mapInArrow(count, "part int, counts binary").groupBy("part").applyInPandas(add, "counts binary")
+    return sum((np.frombuffer(zlib.decompress(r["counts"]), "<u4").astype(np.int64) for r in tables.collect()), np.zeros(COUNTERS, np.int64))
+
+
 def sharing_a_rare_shingle(rows: DataFrame, sets: DataFrame, k: int) -> DataFrame:
     """Pairs (a, b) of rows, a loose, with different labels, that share a shingle among their rarest.
 
     Sets of n and m shingles with similarity s or more have at least s * n, s * m and s / (1 + s) * (n + m) in common. In an
     order that all sets have, their first common one is thus among the first n - s * n + 1 of each, and from its place
-    on each has s / (1 + s) * (n + m) left. The rarest come first here.
+    on each has s / (1 + s) * (n + m) left. The rarest come first here, by counts in a table of fixed size.
     """
     least, of = SIMILARITY
-    each = sets.select("doc_id", F.explode("shingles").alias("shingle"))
-    counted = each.withColumn("often", F.count(F.lit(1)).over(Window.partitionBy("shingle")))
-    ordered = counted.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("often", "shingle"))).alias("all"))
-    n = F.size("all")
-    first = ordered.select("doc_id", F.posexplode(F.slice("all", F.lit(1), n - F.ceil(n * least / of).cast("int") + 1)).alias("nth", "x"))
-    marked = cut(first.select("doc_id", F.col("x.shingle").alias("shingle"), "nth").join(rows, "doc_id"))
+    often = rows.sparkSession.sparkContext.broadcast(counted_shingles(sets))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, 500):
+                part = batch.slice(low, 500)
+                ids, places, found = [], [], []
+                for i, x in zip(part.column(0).to_pylist(), part.column(1)):
+                    x = x.values.to_numpy()
+                    first = x[np.lexsort((x, often.value[x & (COUNTERS - 1)]))][: len(x) - -(-len(x) * least // of) + 1]
+                    ids += [i] * len(first)
+                    places.append(np.arange(len(first)))
+                    found.append(first)
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, part.column(0).type), pa.array(np.concatenate(places)), pa.array(np.concatenate(found))], ["doc_id", "nth", "shingle"])
+
+    kind = sets.schema["doc_id"].dataType.simpleString()
+    first = sets.select("doc_id", "shingles").mapInArrow(run, f"doc_id {kind}, nth long, shingle long")
+    marked = cut(first.join(rows, "doc_id"))
     a, b = _as(marked.where("loose"), "a_", "shingle"), _as(marked, "b_", "shingle")
     left = F.least(F.col("a_n") - F.col("a_nth"), F.col("b_n") - F.col("b_nth"))
     met = a.join(b, "shingle").where((left * (of + least) >= (F.col("a_n") + F.col("b_n")) * least) & _may_link(k))
