@@ -31,13 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from manyview.llm.common import table
+from manyview.llm.common import in_modest_batches, table
 
 NONE = 1 << 60
 LEAF_CHARS = 16_384
 LEAF_BYTES = 24
 SHORT = 64
-CACHED_WORDS = 400_000
+CACHED_WORDS, CACHED_PAIRS = 300_000, 100_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -121,7 +121,7 @@ class Codec:
     def stable(self, left: bytes, right: bytes) -> bool:
         """Whether the two tokens, encoded together, stay the two tokens."""
         if (known := self.pairs.get((left, right))) is None:
-            if len(self.pairs) > CACHED_WORDS:
+            if len(self.pairs) >= CACHED_PAIRS:
                 self.pairs.clear()
             known = self.pairs[left, right] = self.merged(left + right) == [left, right]
         return known
@@ -227,7 +227,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, pattern: str, id_column: str
                 )
 
     kind = docs.schema[id_column].dataType.simpleString()
-    rows = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
+    rows = in_modest_batches(docs).select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     return rows.mapInArrow(run, f"id {kind}, n_tokens long, token_ids binary, decoded binary").withColumnRenamed("id", id_column)
 
 

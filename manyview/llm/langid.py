@@ -25,14 +25,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from manyview.llm.common import table
+from manyview.llm.common import in_modest_batches, table
 
 PER_LANGUAGE = 400
 LONGEST_PIECE = 6
 ROUNDS = 3
 FLOOR = 1e-7
 UNKNOWN = "und"
-CACHED_WORDS = 300_000
+CACHED_WORDS = 200_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 _FACTOR = 0x9E3779B97F4A7C15
 
@@ -231,7 +231,7 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Da
                 names, scores = zip(*scorer.judge(part.column(len(kept)).to_pylist()))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*kept, "lang_pred", "score"])
 
-    rows = docs.select(*kept, F.col("text").alias("judged_text"))
+    rows = in_modest_batches(docs).select(*kept, F.col("text").alias("judged_text"))
     schema = StructType([*rows.schema.fields[:-1], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
     return rows.mapInArrow(run, schema)
 

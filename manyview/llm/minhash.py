@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from manyview.llm.common import cut, table
+from manyview.llm.common import cut, in_modest_batches, table
 from manyview.operators.graph import components
 
 WIDTH = 5
@@ -48,11 +48,12 @@ SIMILARITY = (4, 5)
 BANDS, ROWS = 40, 5
 #: Deviations by which a sketch may differ more than that of a pair of the least similarity does on average.
 MARGIN = 4
+SLICE = 1 << 20
 SMALL = 32
 FEW_IDS = 200_000
 #: Hash values that shingles are counted by, and tasks that add up the counts.
 COUNTERS, ADDERS = 1 << 20, 16
-GROUP = 300_000
+GROUP = 200_000
 
 _U = np.uint64
 _WORD = re.compile(r"\w+")
@@ -84,7 +85,7 @@ def shingles(text: str | None, width: int, words: WordHashes) -> np.ndarray:
     found = _WORD.findall((text or "").lower())
     if not found:
         return np.array([xxhash.xxh64_intdigest((text or "").encode("utf-8", "surrogatepass"), 7)], np.uint64)
-    if len(words) > 500_000:
+    if len(words) > 250_000:
         words.clear()
     hashes = np.fromiter(map(words.__getitem__, found), np.uint64, len(found))
     width = min(width, len(found))
@@ -132,8 +133,10 @@ class Darts:
         while open_sets.any():
             for strip in range(int(done[open_sets].min()) + 1, int(need[open_sets].max()) + 1):
                 use = (open_sets & (done < strip) & (need >= strip))[sets]
-                if use.any():
-                    self._throw(elements[use], weights[use], sets[use], strip, best)
+                at = np.flatnonzero(use)
+                for low in range(0, len(at), SLICE):  # so that a very long text needs little more than its shingles
+                    part = at[low : low + SLICE]
+                    self._throw(elements[part], weights[part], sets[part], strip, best)
             done[open_sets] = np.maximum(done, need)[open_sets]
             open_sets = (best.reshape(n, k) == np.iinfo(np.uint64).max).any(axis=1)
             need[open_sets] = np.maximum(done, need)[open_sets] + 1
@@ -209,7 +212,7 @@ def sign(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: int = RO
                 low = high
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, f1 long, f2 long, n long, bands array<long>, sketch array<long>")
+    return in_modest_batches(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, f1 long, f2 long, n long, bands array<long>, sketch array<long>")
 
 
 def shingle_arrays(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -225,7 +228,7 @@ def shingle_arrays(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets)))], ["doc_id", "shingles"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, shingles array<long>")
+    return in_modest_batches(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, shingles array<long>")
 
 
 def _near_sketches(k: int) -> Column:
