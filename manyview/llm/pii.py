@@ -37,7 +37,7 @@ SYLLABLES = {"latin": "ba be bo da do fa ga go ha ho ka ko la le lo ma mo na no
 _NAME = r"\p{Lu}[\p{L}'’\-]+"
 _TITLE = "|".join(title for titles in TITLES.values() for title in titles)
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[\p{L}\p{N}\-]+(?:\.[\p{L}\p{N}\-]+)+",
+    "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[\p{L}\p{N}\-]++(?:\.[\p{L}\p{N}\-]++){1,9}",
     "secret": r"(?i:\b(?:token|secret|password|passwd|api[_\-]?key)\s{0,3}[=:]\s{0,3})\"[^\"\s]{6,}\"|(?<![\p{L}\p{N}])[0-9a-fA-F]{32,}(?![\p{L}\p{N}])",
     "ip": r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)",
     "phone": r"\+\d{1,3}[ .\-]?\(?\d{2,4}\)?(?:[ .\-]?\d{2,4}){2,3}(?!\d)|\(\d{3}\) ?\d{3}-\d{4}(?!\d)",
