@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from manyview.llm.common import table
+from manyview.llm.common import in_modest_batches, table
 
 BUCKETS = 256
 STEP = 1.5
@@ -101,7 +101,7 @@ def edited(text: str, following: str) -> str:
 
 def with_next(docs: DataFrame, make: Callable[[int, str, str], tuple], schema: pa.Schema, ddl: str) -> DataFrame:
     """make(doc_id, text, text of the next document by descending doc_id) of each document."""
-    docs = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = in_modest_batches(docs).where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     ranges = min(MOST_RANGES, docs.count() // ROWS_PER_RANGE)
     # At most MOST_RANGES numbers: where the ranges begin.
     cuts = sorted(set(docs.approxQuantile("doc_id", [i / (ranges + 1) for i in range(1, ranges + 1)], 0.2 / (ranges + 1)))) if ranges else []
@@ -119,9 +119,9 @@ def with_next(docs: DataFrame, make: Callable[[int, str, str], tuple], schema: p
     before = {heads[b]: a for a, b in zip(order, order[1:])}
     if order:
         before[heads[order[0]]] = order[-1]  # the last document's next is the first
-    # At most one id for each range. Of rows that share it, the first by text is the head.
-    firsts = docs.where(F.col("doc_id").isin(list(before))).groupBy("doc_id").agg(F.min("text").alias("text"))
-    firsts = firsts.withColumn("part", F.element_at(F.create_map(*[F.lit(x) for pair in before.items() for x in pair]), F.col("doc_id"))) if before else firsts.withColumn("part", F.lit(0))
+    # One row for each range. Of documents that share the id, the first by text is the head.
+    places = docs.sparkSession.createDataFrame(list(before.items()), "doc_id long, part int")
+    firsts = docs.join(F.broadcast(places), "doc_id").groupBy("doc_id", "part").agg(F.min("text").alias("text"))
     rows = docs.mapInArrow(part, "doc_id long, text string, part int").withColumn("guest", F.lit(False)).unionByName(firsts.withColumn("guest", F.lit(True)))
     dealt = rows.repartition(max(1, len(cuts) + 1), "part").sortWithinPartitions("part", "guest", F.col("doc_id").desc(), "text")
 
