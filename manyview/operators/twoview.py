@@ -46,23 +46,23 @@ def essential(a: np.ndarray, b: np.ndarray, threshold: float, seed: int, rounds:
     return (e, refined) if refined.sum() >= best.sum() else (e, best)
 
 
-def linear_point(p: np.ndarray, q: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    rows = np.array([a[0] * p[2] - p[0], a[1] * p[2] - p[1], b[0] * q[2] - q[0], b[1] * q[2] - q[1]])
-    x = np.linalg.svd(rows)[2][-1]
-    return x[:3] / (x[3] if abs(x[3]) > 1e-12 else 1e-12)
+def linear_points(p: np.ndarray, q: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A point of each row of a and b under the projections p and q."""
+    rows = np.stack([a[:, :1] * p[2] - p[0], a[:, 1:] * p[2] - p[1], b[:, :1] * q[2] - q[0], b[:, 1:] * q[2] - q[1]], axis=1)
+    x = np.linalg.svd(rows)[2][:, -1]
+    return x[:, :3] / np.where(np.abs(x[:, 3:]) > 1e-12, x[:, 3:], 1e-12)
 
 
 def pose_of(e: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of the four (R, t) of an essential matrix, the one with the most points before both cameras."""
+    """Of the four (R, t) of an essential matrix, the one with the most of all points before both cameras."""
     u, _, v = np.linalg.svd(e)
     u, v = u * np.sign(np.linalg.det(u)), v * np.sign(np.linalg.det(v))
     w = np.array([[0.0, -1, 0], [1, 0, 0], [0, 0, 1]])
     first = np.hstack([np.eye(3), np.zeros((3, 1))])
 
     def before(r: np.ndarray, t: np.ndarray) -> int:
-        second = np.hstack([r, t[:, None]])
-        spots = [linear_point(first, second, x, y) for x, y in zip(a[:50], b[:50])]
-        return sum(s[2] > 0 and (r @ s + t)[2] > 0 for s in spots)
+        spots = linear_points(first, np.hstack([r, t[:, None]]), a, b)
+        return int(((spots[:, 2] > 0) & ((spots @ r.T + t)[:, 2] > 0)).sum())
 
     return max(((r, t) for r in (u @ w @ v, u @ w.T @ v) for t in (u[:, 2], -u[:, 2])), key=lambda x: before(*x))
 

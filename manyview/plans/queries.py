@@ -66,7 +66,7 @@ class Scene:
     def contours(self) -> DataFrame:
         turn = 2 * F.pi() * F.col("id") / 150
         disc = self.spark.range(150).select(F.col("id").cast("int").alias("idx"), F.floor(512.5 + 200 * F.cos(turn)).cast("double").alias("x"), F.floor(384.5 + 200 * F.sin(turn)).cast("double").alias("y"))
-        return self.cameras.where("img_id < 8").select("img_id").crossJoin(disc)
+        return self.cameras.select("img_id").crossJoin(disc)
 
     @property
     def pixels(self) -> DataFrame:
@@ -403,7 +403,7 @@ cm AS (SELECT * FROM cb QUALIFY row_number() OVER (PARTITION BY i, j, b ORDER BY
 
 
 def _contour(s: Scene) -> DataFrame:
-    return matching.contour_matches(s.contours, s.cameras, matching.image_pairs(s.cameras.where("img_id < 8").select("img_id")))
+    return matching.contour_matches(s.contours.where("img_id < 8"), s.cameras, matching.image_pairs(s.cameras.where("img_id < 8").select("img_id")))
 
 
 @query(f"{SQL}, {FUND}, {CONT} SELECT i, j, a, b, {R('dist', 'dist')} FROM cm")
@@ -420,7 +420,7 @@ def contour_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def merge_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = Scene(spark, sf_dir)
-    return matching.merge_contours(s.matches, s.kps, s.contours, _contour(s))[1]
+    return matching.merge_contours(s.matches, s.kps, s.contours.where("img_id < 8"), _contour(s))[1]
 
 
 @query(f"{SQL}, {FUND}, {CONT} SELECT i, j, a, b FROM cm WHERE EXISTS (SELECT 1 FROM cm q WHERE q.i = cm.i AND q.j = cm.j AND q.b = cm.b AND abs(q.a - cm.a) <= 1)")
@@ -435,7 +435,7 @@ def contour_mutual_within(spark: SparkSession, sf_dir: str) -> DataFrame:
 def contour_matches_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contour matches both ways, ordered, near their two-view points."""
     s = Scene(spark, sf_dir)
-    return matching.match_contours(s.contours, s.cameras, matching.image_pairs(s.cameras.where("img_id < 8").select("img_id")))
+    return matching.match_contours(s.contours, s.cameras, matching.image_pairs(s.cameras.select("img_id")))
 
 
 RUNS = "runs AS (SELECT img_id, CAST(v AS INTEGER) AS v, CAST(ceil(512 - sqrt(40000.0::DOUBLE - (v-384)*(v-384))) AS INTEGER) AS u0, CAST(floor(512 + sqrt(40000.0::DOUBLE - (v-384)*(v-384))) AS INTEGER) AS u1 FROM cameras, range(184, 585) t(v))"
@@ -677,19 +677,19 @@ def known_pose_fixpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def incremental_multicam(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Image by image with known poses, the first six images."""
+    """Image by image with known poses."""
     s = Scene(spark, sf_dir)
     kps = cut(s.kps)
     matches = cut(scene.matches(kps))
-    return rounded(register.incremental(matches, kps, cut(tracks.build(tracks.labelled(matches))), cut(s.cameras), most_images=6).points)
+    return rounded(register.incremental(matches, kps, cut(tracks.build(tracks.labelled(matches))), cut(s.cameras)).points)
 
 
 @query()
 def reconstruction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From keypoints and raw matches to a clean cloud, the first five images."""
+    """From keypoints and raw matches to a clean cloud."""
     s = Scene(spark, sf_dir)
     kps = cut(s.kps)
-    return rounded(reconstruct.known_cameras(cut(s.cameras), kps, cut(scene.matches(kps)), images=5)["points"])
+    return rounded(reconstruct.known_cameras(cut(s.cameras), kps, cut(scene.matches(kps)))["points"])
 
 
 # --- single camera and adjustment ---------------------------------------------------------------------------------------
@@ -697,26 +697,26 @@ def reconstruction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def essential_inliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return twoview.verify_pairs(Scene(spark, sf_dir).pixels.where("i < 3"), K, 3.0)
+    return twoview.verify_pairs(Scene(spark, sf_dir).pixels, K, 3.0)
 
 
 @query()
 def two_view_poses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return twoview.two_view_poses(Scene(spark, sf_dir).pixels.where("i < 3"), K, 3.0)
+    return twoview.two_view_poses(Scene(spark, sf_dir).pixels, K, 3.0)
 
 
 @query()
 def single_camera_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Points of a reconstruction without known poses, the first three images."""
+    """Points of a reconstruction without known poses."""
     s = Scene(spark, sf_dir)
     kps = cut(s.kps)
-    return rounded(reconstruct.single_camera(kps, cut(scene.matches(kps)), K, images=3)["points"], 3)
+    return rounded(reconstruct.single_camera(kps, cut(scene.matches(kps)), K)["points"], 3)
 
 
 @query()
 def pnp_poses(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = Scene(spark, sf_dir)
-    return twoview.pnp(s.obs.where("img_id < 6").join(s.points, "track_id").select("img_id", "track_id", "u", "v", "x", "y", "z"), K)
+    return twoview.pnp(s.obs.join(s.points, "track_id").select("img_id", "track_id", "u", "v", "x", "y", "z"), K)
 
 
 @query(
@@ -736,10 +736,10 @@ def ba_points_only(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def ba_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cameras and the hundred longest tracks, three rounds."""
+    """All cameras and all tracks, three rounds."""
     s = Scene(spark, sf_dir)
-    chosen = cut(s.obs.join(adjust.problem(s.obs, list(range(25)), 100).select("track_id").distinct(), "track_id", "left_semi"))
-    return rounded(adjust.full(triangulate.triangulate(chosen, s.cameras, 3), chosen, s.cameras, rounds=3)[0])
+    seen = cut(s.obs)
+    return rounded(adjust.full(triangulate.triangulate(seen, s.cameras, 3), seen, s.cameras, rounds=3)[0])
 
 
 # --- text, clouds, exports, diagnostics ---------------------------------------------------------------------------------

@@ -1,5 +1,6 @@
 """Operators against plain Python and NumPy, and the edge cases of each."""
 
+import inspect
 import random
 
 import numpy as np
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from manyview.functions import text
 from manyview.functions.projection import quaternion, undistorted
 from manyview.operators import adjust, cleanup, errors, graph, matching, register, tracks, triangulate, twoview
-from manyview.plans import reconstruct, scene
+from manyview.plans import queries, reconstruct, scene
 from manyview.plans.config import PRESETS, Config
 from manyview.session import cut
 from manyview.sources import calibration, clouds, exports, images
@@ -230,6 +231,57 @@ def test_poses_from_pixels(rig):
     assert np.allclose(np.array(found["r"]).reshape(3, 3), true, atol=5e-3)
 
 
+def test_pose_counts_all_inliers():
+    rng = np.random.default_rng(5)
+    turn = np.array([[np.cos(0.2), 0, np.sin(0.2)], [0, 1, 0], [-np.sin(0.2), 0, np.cos(0.2)]])
+    move = np.array([1.0, 0.1, 0.05])
+    spots = rng.uniform(-1, 1, (200, 3)) + [0, 0, 5]
+    spots[:60] *= -1  # a prefix of rows whose points lie behind the cameras
+    ahead = spots @ turn.T + move
+    a, b = spots[:, :2] / spots[:, 2:], ahead[:, :2] / ahead[:, 2:]
+    r, t = twoview.pose_of(twoview.eight_points(a, b), a, b)
+    assert np.allclose(r, turn, atol=1e-6) and np.allclose(t, move / np.linalg.norm(move), atol=1e-6)
+
+
+@pytest.mark.parametrize(("name", "module", "step"), [("essential_inliers", twoview, "verify_pairs"), ("two_view_poses", twoview, "two_view_poses"), ("pnp_poses", twoview, "pnp"), ("contour_matches_all", matching, "match_contours"), ("ba_full", adjust, "full")])
+def test_queries_hand_over_all_rows(spark, monkeypatch, name, module, step):
+    """What the operator is given; the operators themselves have other tests."""
+    given = []
+
+    def kept(*args, **kwargs):
+        given.extend(args)
+        raise InterruptedError
+
+    monkeypatch.setattr(module, step, kept)
+    with pytest.raises(InterruptedError):
+        queries.QUERIES[name](spark, SF)
+    s = queries.Scene(spark, SF)
+    if name == "ba_full":
+        assert given[1].count() == s.obs.count() and given[0].count() == triangulate.triangulate(s.obs, s.cameras, 3).count() > 100
+    elif name == "contour_matches_all":
+        assert given[0].select("img_id").distinct().count() == 25 and given[2].count() == 300
+    else:
+        assert given[0].count() == (s.obs.join(s.points, "track_id") if name == "pnp_poses" else s.pixels).count()
+
+
+@pytest.mark.parametrize(("name", "module", "loop"), [("incremental_multicam", register, "incremental"), ("reconstruction", reconstruct, "known_cameras"), ("single_camera_points", reconstruct, "single_camera")])
+def test_loops_are_not_capped(spark, monkeypatch, name, module, loop):
+    """The whole loops take minutes; here only that no number of images is handed to them."""
+    bound = {}
+
+    def kept(*args, **kwargs):
+        bound.update(inspect.signature(whole).bind(*args, **kwargs).arguments)
+        raise InterruptedError
+
+    whole = getattr(module, loop)
+    monkeypatch.setattr(module, loop, kept)
+    monkeypatch.setattr(tracks, "labelled", lambda matches: matches)
+    monkeypatch.setattr(tracks, "build", lambda matches: matches)
+    with pytest.raises(InterruptedError):
+        queries.QUERIES[name](spark, SF)
+    assert bound.get("most_images") is None and bound.get("images") is None
+
+
 def test_calibration_text(spark):
     odd = ["1e-3 -.5 5. 1.e5", "K = [[700, 0, 512], [0, 700, 384], [0, 0, 2]]", "1 2 3", "", '{"intrinsics": {"K": [[7,0,5],[0,7,4],[0,0,1]]}}', '{"x": 1}']
     df = spark.createDataFrame(list(enumerate(odd)), "stem string, body string")
