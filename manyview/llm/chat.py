@@ -10,8 +10,11 @@ depth-first in a pack, each once. A node has the offset of its tokens in the pac
 attend to: those of its ancestors, and its own up to each token. Tokens are code points here; the offsets and intervals
 hold for any finer unit after the same counting. The loss mask covers assistant texts.
 
-Packs. A pack has conversations with the same first turn, about `PACK` of them: a first turn that more conversations have gets
-as many packs as that takes, dealt by a hash of conv_id. Packs are formed in sorted partitions, one at a time.
+Packs. Conversations are sorted by the hashes of their turns, which is the depth-first order of the whole tree, over ranges of rows.
+A pack is a run of that order with the same first turn, of at most `PACK` conversations. A longer run is cut in its second half,
+where the conversations beside the cut share the least text; only those shared turns are there again in the next pack. A
+pack's number is the conv_id of its first conversation. Where ranges begin is drawn from a sample, so packs may differ
+from run to run; what is read back does not.
 
 Defined results: turns go by turn number, then role and text, null first; null roles and texts are empty; repeated rows are
 repeated turns; rows with a null conv_id take no part; an empty table gives no nodes; other columns are not read. One
@@ -121,15 +124,29 @@ def lay_out(pack: int, members: list[tuple[int, list[tuple[str, str]]]]) -> list
     return out
 
 
+def shared(x: list[tuple[str, str]], y: list[tuple[str, str]]) -> int:
+    """The characters of the turns that two conversations begin with in common, and one for each turn."""
+    total = 0
+    for one, other in zip(x, y):
+        if one != other:
+            break
+        total += 1 + len(one[1])
+    return total
+
+
+def cut_at(members: list[tuple[int, list[tuple[str, str]]]]) -> int:
+    """How many of the members go into a pack: half of them at least, not all; the last place where neighbours share the least."""
+    places = range((len(members) + 1) // 2, len(members))
+    return min(places, key=lambda at: (shared(members[at - 1][1], members[at][1]), -at))
+
+
 def format_chats(turns: DataFrame, pack: int = PACK) -> DataFrame:
     """The nodes of all packs: a row for each node, with the ids of the conversations that end at it."""
-    whole = conversations(in_modest_batches(turns)).withColumn("first", F.xxhash64(F.element_at("turns", 1)["role"], F.element_at("turns", 1)["text"]))
-    packs = whole.groupBy("first").agg(F.ceil(F.count(F.lit(1)) / pack).cast("int").alias("shares"))
-    dealt = whole.join(packs, "first").withColumn("pack", F.xxhash64("first", F.pmod(F.xxhash64("conv_id"), F.col("shares"))))
-    dealt = dealt.select("pack", "conv_id", "turns").repartition("pack").sortWithinPartitions("pack", "conv_id")
+    whole = conversations(in_modest_batches(turns)).withColumn("path", F.transform("turns", lambda t: F.xxhash64(t["role"], t["text"])))
+    dealt = whole.repartitionByRange("path", "conv_id").sortWithinPartitions("path", "conv_id").select("conv_id", "turns")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, members, out = None, [], []
+        members, out = [], []
 
         def flush() -> pa.RecordBatch:
             batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _SCHEMA)], schema=_SCHEMA)
@@ -138,16 +155,20 @@ def format_chats(turns: DataFrame, pack: int = PACK) -> DataFrame:
 
         for batch in batches:
             for low in range(0, batch.num_rows, 200):
-                for key, conv, said in zip(*(c.to_pylist() for c in batch.slice(low, 200).columns)):
-                    if key != now and members:
-                        out += lay_out(now, members)
+                for conv, said in zip(*(c.to_pylist() for c in batch.slice(low, 200).columns)):
+                    said = [(t["role"], t["text"]) for t in said]
+                    if members and members[-1][1][0] != said[0]:
+                        out += lay_out(members[0][0], members)
                         members = []
-                    now = key
-                    members.append((conv, [(t["role"], t["text"]) for t in said]))
+                    members.append((conv, said))
+                    if len(members) > pack:
+                        at = cut_at(members)
+                        out += lay_out(members[0][0], members[:at])
+                        members = members[at:]
                 if len(out) > 2000:
                     yield flush()
         if members:
-            out += lay_out(now, members)
+            out += lay_out(members[0][0], members)
         if out:
             yield flush()
 

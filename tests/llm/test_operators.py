@@ -289,6 +289,21 @@ def test_packs(spark):
     assert chat.read_packs(chat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
 
 
+def test_packs_share_deep_turns(spark):
+    """512 conversations under one system prompt, eight for each second turn."""
+    rows = [r for c in range(512) for r in ((c, 0, "system", "be kind " * 9), (c, 1, "user", f"question {c % 64}"), (c, 2, "assistant", f"answer {c}"))]
+    nodes = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), pack=8).collect()
+    packs, borders = len({r["pack"] for r in nodes}), 8
+    assert sorted(c for r in nodes for c in r["ends"]) == list(range(512)) and packs <= 64 + borders
+    assert len(nodes) <= (64 + 512) + 2 * packs + borders  # distinct turns below the first, <s> and the first for each pack
+
+
+def test_packs_of_equal_conversations(spark):
+    rows = [(c, 0, "user", "same") for c in range(300)]
+    nodes = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), pack=8).collect()
+    assert sorted(c for r in nodes for c in r["ends"]) == list(range(300)) and max(len(r["ends"]) for r in nodes) <= 8
+
+
 # --- 9 ------------------------------------------------------------------------------------------------------------------
 
 
