@@ -16,8 +16,8 @@ are written out; two rounds find all links that matter for the classes:
    SMALL rows with each, in larger ones with those that share one of their rarest shingles, which similar sets must.
    Texts that only have a frequent passage in common don't meet.
 
-Candidates pass a sketch of four bits a coordinate with a margin of four standard deviations, then the exact similarity of their
-shingle sets decides. Classes are the connected components of the links.
+Candidates pass a sketch of four bits a coordinate, whose limit a pair of the least similarity exceeds no more often than it has
+no band in common; then the exact similarity of their shingle sets decides. Classes are the connected components of the links.
 
 Defined results: shingles are runs of `width` lower-cased words (Unicode letters, digits, underscore); a document of
 fewer words is one shingle of all its words; documents without words are in one class if their texts are equal, null
@@ -31,6 +31,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import reduce
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -46,8 +47,6 @@ from manyview.operators.graph import components
 WIDTH = 5
 SIMILARITY = (4, 5)
 BANDS, ROWS = 40, 5
-#: Deviations by which a sketch may differ more than that of a pair of the least similarity does on average.
-MARGIN = 4
 SLICE = 1 << 20
 SMALL = 32
 FEW_IDS = 200_000
@@ -231,11 +230,21 @@ def shingle_arrays(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return in_modest_batches(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, shingles array<long>")
 
 
-def _near_sketches(k: int) -> Column:
-    """Whether two sketches of k coordinates differ in as many as those of similar sets may."""
+def most_different(k: int, lost: float) -> int:
+    """In how many of k coordinates the sketches of a pair of the least similarity differ at most, but for a chance of `lost`."""
     least, of = SIMILARITY
     chance = (1 - least / of) * 15 / 16
-    most = k * chance + MARGIN * (k * chance * (1 - chance)) ** 0.5
+    tail, most = 0.0, k
+    while most and (tail := tail + comb(k, most) * chance**most * (1 - chance) ** (k - most)) <= lost:
+        most -= 1
+    return most
+
+
+def _near_sketches(bands: int, rows: int) -> Column:
+    """Whether two sketches differ in as many coordinates as those of similar sets may; it loses no more than the bands do."""
+    least, of = SIMILARITY
+    k = bands * rows
+    most = most_different(k, (1 - (least / of) ** rows) ** bands)
 
     def differ(i: int) -> Column:
         x = F.col("a_sketch")[i].bitwiseXOR(F.col("b_sketch")[i])
@@ -294,7 +303,7 @@ def counted_shingles(sets: DataFrame) -> np.ndarray:
     return sum((np.frombuffer(zlib.decompress(r["counts"]), "<u4").astype(np.int64) for r in tables.collect()), np.zeros(COUNTERS, np.int64))
 
 
-def sharing_a_rare_shingle(rows: DataFrame, sets: DataFrame, k: int) -> DataFrame:
+def sharing_a_rare_shingle(rows: DataFrame, sets: DataFrame, bands: int, band_rows: int) -> DataFrame:
     """Pairs (a, b) of rows, a loose, with different labels, that share a shingle among their rarest.
 
     Sets of n and m shingles with similarity s or more have at least s * n, s * m and s / (1 + s) * (n + m) in common. In an
@@ -323,16 +332,16 @@ def sharing_a_rare_shingle(rows: DataFrame, sets: DataFrame, k: int) -> DataFram
     marked = cut(first.join(rows, "doc_id"))
     a, b = _as(marked.where("loose"), "a_", "shingle"), _as(marked, "b_", "shingle")
     left = F.least(F.col("a_n") - F.col("a_nth"), F.col("b_n") - F.col("b_nth"))
-    met = a.join(b, "shingle").where((left * (of + least) >= (F.col("a_n") + F.col("b_n")) * least) & _may_link(k))
+    met = a.join(b, "shingle").where((left * (of + least) >= (F.col("a_n") + F.col("b_n")) * least) & _may_link(bands, band_rows))
     return met.select(F.col("a_doc_id").alias("a"), F.col("b_doc_id").alias("b")).distinct()
 
 
-def _may_link(k: int) -> Column:
+def _may_link(bands: int, rows: int) -> Column:
     once = ~F.col("b_loose") | (F.col("a_doc_id") < F.col("b_doc_id"))
-    return once & _sizes_near() & (F.col("a_label") != F.col("b_label")) & _near_sketches(k)
+    return once & _sizes_near() & (F.col("a_label") != F.col("b_label")) & _near_sketches(bands, rows)
 
 
-def near_links(unique: DataFrame, docs: DataFrame, width: int = WIDTH, k: int = BANDS * ROWS) -> DataFrame:
+def near_links(unique: DataFrame, docs: DataFrame, width: int = WIDTH, bands: int = BANDS, band_rows: int = ROWS) -> DataFrame:
     """Links (a, b) that join all that is similar among `unique` (rows of `sign` with different fingerprints)."""
     buckets = unique.select("doc_id", F.explode("bands").alias("key"))
     sizes = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
@@ -343,7 +352,7 @@ def near_links(unique: DataFrame, docs: DataFrame, width: int = WIDTH, k: int =
     rows = unique.drop("bands", "f1", "f2")
     first = members.where(F.col("doc_id") != F.col("head")).select(F.col("doc_id").alias("a"), F.col("head").alias("b")).distinct()
     first = first.join(_as(rows, "a_").withColumnRenamed("a_doc_id", "a"), "a").join(_as(rows, "b_").withColumnRenamed("b_doc_id", "b"), "b")
-    first = cut(first.where(_sizes_near() & _near_sketches(k)).select("a", "b"))
+    first = cut(first.where(_sizes_near() & _near_sketches(bands, band_rows)).select("a", "b"))
     links = cut(verified(first, sets_of(docs, first, width)))
     labels = cut(components(links))
 
@@ -354,7 +363,7 @@ def near_links(unique: DataFrame, docs: DataFrame, width: int = WIDTH, k: int =
     open_keys = state.where("loose").select("key").distinct()
     state = cut(state.join(open_keys, "key").select("key", "rows", "doc_id", "label", "loose").join(rows, "doc_id"))
     small = state.where(F.col("rows") <= SMALL).drop("rows")
-    pairs = _as(small.where("loose"), "a_", "key").join(_as(small, "b_", "key"), "key").where(_may_link(k))
+    pairs = _as(small.where("loose"), "a_", "key").join(_as(small, "b_", "key"), "key").where(_may_link(bands, band_rows))
     pairs = cut(pairs.select(F.col("a_doc_id").alias("a"), F.col("b_doc_id").alias("b")).distinct())
     if not pairs.isEmpty():
         links = links.unionAll(verified(pairs, sets_of(docs, pairs, width)))
@@ -362,7 +371,7 @@ def near_links(unique: DataFrame, docs: DataFrame, width: int = WIDTH, k: int =
     large = cut(large)
     if not large.isEmpty():
         sets = cut(shingle_arrays(of_ids(docs, large), width))
-        links = links.unionAll(verified(cut(sharing_a_rare_shingle(large, sets, k)), sets))
+        links = links.unionAll(verified(cut(sharing_a_rare_shingle(large, sets, bands, band_rows)), sets))
     return links
 
 
@@ -373,7 +382,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, row
     equal = signed.groupBy("f1", "f2").agg(F.min("doc_id").alias("first"))
     members = signed.select("doc_id", "f1", "f2").join(equal, ["f1", "f2"]).select("doc_id", "first").distinct()
     unique = signed.join(equal.withColumnRenamed("first", "doc_id"), ["doc_id", "f1", "f2"], "left_semi").dropDuplicates(["doc_id", "f1", "f2"])
-    links = near_links(unique, docs, width, bands * rows).unionAll(members.where("doc_id != first").toDF("a", "b"))
+    links = near_links(unique, docs, width, bands, rows).unionAll(members.where("doc_id != first").toDF("a", "b"))
     labels = cut(components(links))
     ids = members.select("doc_id").distinct()
     named = ids.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("label", "doc_id").alias("class_id"))

@@ -1,6 +1,7 @@
 """Each operator against a plain version, and on nulls, empty and long texts, ties, repeated rows and extra columns."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -148,6 +149,15 @@ def test_near_duplicates(spark):
     assert minhash.near_duplicates(empty_docs(spark)).count() == 0
 
 
+def test_sketch_loses_no_more_than_the_bands(spark):
+    k, chance = minhash.BANDS * minhash.ROWS, 0.2 * 15 / 16
+    bands_lose = (1 - 0.8**minhash.ROWS) ** minhash.BANDS
+    over = lambda most: sum(math.comb(k, i) * chance**i * (1 - chance) ** (k - i) for i in range(most + 1, k + 1))
+    most = minhash.most_different(k, bands_lose)
+    assert over(most) <= bands_lose < over(most - 1) < over(59)  # 59: four deviations
+    assert str(minhash._near_sketches(minhash.BANDS, minhash.ROWS)).endswith(f", {most})'>")
+
+
 # --- 4 ------------------------------------------------------------------------------------------------------------------
 
 
