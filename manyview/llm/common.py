@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from manyview.session import cut, scratch
 
-__all__ = ["ascii_lower", "cut", "in_modest_batches", "scratch", "table", "text_or_empty"]
+__all__ = ["ascii_lower", "cut", "in_modest_batches", "joined_by_hot_key", "scratch", "table", "text_or_empty"]
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -35,3 +35,24 @@ def in_modest_batches(df: DataFrame) -> DataFrame:
     if not 0 < int(df.sparkSession.conf.get(key)) <= ROWS_PER_BATCH:
         df.sparkSession.conf.set(key, ROWS_PER_BATCH)
     return df
+
+
+#: A key with at least one in HOT_SHARE of all rows is hot; so there are at most HOT_SHARE hot keys, which may be sent to all tasks.
+HOT_SHARE = 1_000
+
+
+def joined_by_hot_key(many: DataFrame, one: DataFrame, counts: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """many joined with one, which has a row for each of the keys; counts: (keys, n), how many rows `many` has of each.
+
+    Rows of a hot key are dealt over as many salts as it has times the share of rows that makes a key hot, and its row
+    of `one` goes to each; so no task gets more than about that share by one key. Other keys have one salt.
+    """
+    whole = counts.agg(F.sum("n").alias("whole"))
+    salts = F.ceil(F.col("n") * HOT_SHARE / F.col("whole")).cast("int")
+    hot = cut(counts.join(F.broadcast(whole)).where(F.col("n") * HOT_SHARE >= F.col("whole")).select(*keys, salts.alias("salts")))
+    others = [F.col(c) for c in many.columns if c not in keys]
+    dealt = F.pmod(F.xxhash64(*others), F.coalesce("salts", F.lit(1))).cast("int")
+    spread = F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))
+    left = many.join(F.broadcast(hot), keys, "left").withColumn("salt", dealt).drop("salts")
+    right = one.join(F.broadcast(hot), keys, "left").withColumn("salt", spread).drop("salts")
+    return left.join(right, [*keys, "salt"], how).drop("salt")
