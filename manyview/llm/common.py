@@ -30,7 +30,8 @@ ROWS_PER_BATCH = 500
 
 def in_modest_batches(df: DataFrame) -> DataFrame:
     """df, in a session that hands Python at most ROWS_PER_BATCH rows at a time: texts are long, and a batch is held in memory by
-    both sides. A smaller setting stays."""
+    both sides. A smaller setting stays. Spark reads the setting when a plan runs, which is after its operator has returned,
+    so it can't be put back here."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(df.sparkSession.conf.get(key)) <= ROWS_PER_BATCH:
         df.sparkSession.conf.set(key, ROWS_PER_BATCH)

@@ -90,6 +90,48 @@ def test_topk(spark):
     assert topk.top_k(none, none).count() == 0
 
 
+def by_force(rows, queries, k):
+    """{(query id, vector): its list} over (id, vector) pairs."""
+    out = {}
+    for q, v in {(q, tuple(v)) for q, v in queries}:
+        scores = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in rows if i != q and len(w) == len(v))
+        out[q, v] = [(i, -s) for s, i in scores[:k]]
+    return out
+
+
+def test_topk_leaves_out_most_of_clustered_vectors(spark, monkeypatch):
+    """Clusters, one with a third of all rows, repeated rows and query ids, vectors of 2,000 components, an extra column."""
+    for name, value in (("BLOCK", 64), ("QUERY_BLOCK", 16), ("ROWS_PER_CELL", 60), ("SAMPLE", 700), ("TILE", 3), ("STEP", 8)):
+        monkeypatch.setattr(topk, name, value)
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(12, 16)) * 60
+    of = np.where(rng.random(1500) < 0.33, 0, rng.integers(0, 12, 1500))
+    rows = [(i, [int(x) for x in centres[c] + rng.normal(size=16) * 4]) for i, c in enumerate(of)]
+    rows += [(i, rows[0][1]) for i in range(2000, 2100)] + [rows[7]] * 3 + [(3000 + i, rng.integers(-9, 9, 2000).tolist()) for i in range(8)]
+    queries = [r for r in rows if r[0] % 20 == 0] + [rows[20], (20, rows[21][1])]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "id long, v array<long>, score int").repartition(5)
+    out = topk.top_k(df, spark.createDataFrame(queries, "id long, v array<long>"), k=6, pivots=40, joint=8).collect()
+    expected = by_force(rows, queries, 6)
+    lists = {}
+    for r in sorted(out, key=lambda r: r["rank"]):
+        lists.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    for q in lists:
+        assert sorted(lists[q]) == sorted((n + 1, *hit) for (i, _), hits in expected.items() if i == q for n, hit in enumerate(hits)), q
+    assert set(lists) == {q for q, _ in expected}
+    cost = {(r["query_id"], r["evaluated"]) for r in out if r["query_id"] < 3000}
+    assert sum(n for _, n in cost) < 0.25 * len(rows) * len(cost)
+
+
+def test_topk_of_large_components(spark):
+    """Inner products beyond what a double holds exactly."""
+    rows = [(i, [10**8 + i, -(10**8) + 3 * i, 7]) for i in range(50)]
+    df = spark.createDataFrame(rows, "id long, v array<long>")
+    got = {}
+    for r in topk.top_k(df, df.where("id % 20 = 0"), k=4).orderBy("rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert got == {q: hits for (q, _), hits in by_force(rows, [r for r in rows if r[0] % 20 == 0], 4).items()}
+
+
 # --- 3 ------------------------------------------------------------------------------------------------------------------
 
 
