@@ -24,4 +24,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 SQL: dict[str, str] = {
     "op2_topk": topk.OP2_SQL,
     "op4_line_dedup": linededup.OP4_SQL,
+    "op5_license": license.OP5_SQL,
 }

@@ -237,16 +237,57 @@ def test_line_dedup_null_ids(spark):
 # --- 5 ------------------------------------------------------------------------------------------------------------------
 
 
-def test_license(spark):
-    mit = license.SENTENCES[0][1]
-    changed = mit.replace("free of charge", "totally free of any charge").upper()
-    rows = [(1, "See the MIT License, mit LICENSE! mit-license"), (2, f"intro words {changed}, end"), (3, None), (4, ""), (5, "cc by cc by by"), (6, "the mit éLicense"), (7, "of the software is in this"), (8, " ".join(mit.split()[:5]))]
-    got = {r["doc_id"]: r for r in license.summary(spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, label string")).collect()}
-    assert (got[1]["n_words"], got[1]["n_base"], got[1]["first_word"], got[1]["last_word"], got[1]["base_labels"]) == (8, 3, 2, 6, "mit")
-    assert got[2]["labels"] == "mit" and got[2]["base_labels"] == "" and got[2]["first_word"] is None and license.COVER <= got[2]["score"] <= 1
-    assert [got[i]["n_words"] for i in (3, 4)] == [0, 0] and got[3]["score"] == 0
-    assert (got[5]["n_base"], got[5]["first_word"], got[5]["last_word"]) == (2, 0, 2)
-    assert got[6]["n_base"] == 0 and got[7]["labels"] == "" and got[8]["labels"] == ""
+def scanned(text):
+    """A text's result by plain loops."""
+    words = [w for w in re.split(license.NOT_WORD, (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))) if w]
+    base, labels, score = [], [], 0.0
+    for label, is_base, known in license.template_words():
+        if is_base:
+            at = [i for i in range(len(words)) if words[i : i + len(known)] == known]
+            base += [(i, label) for i in at]
+            score = max([score] + [1.0] * len(at))
+            continue
+        k, places = license.LONG, {}
+        for i in range(len(known) - k + 1):
+            if not set(known[i : i + k]) <= license.FUNCTION_WORDS:
+                places.setdefault(tuple(known[i : i + k]), []).append(i)
+        found = sorted((i - at, i, at) for i in range(len(words) - k + 1) for at in places.get(tuple(words[i : i + k]), []))
+        spans = []
+        for hit in found:
+            if not spans or hit[0] - spans[-1][-1][0] > license.GAP:
+                spans.append([])
+            spans[-1].append(hit)
+        for span in spans:
+            last, covered = -k, 0
+            for _, at in sorted(hit[1:] for hit in span):
+                if at > last:
+                    covered, last = covered + min(k, at - last), at
+            if covered / len(known) >= license.COVER:
+                labels.append(label)
+                score = max(score, min(1.0, covered / len(known)))
+    starts = [i for i, _ in base]
+    join = lambda x: ",".join(sorted(set(x)))
+    return len(words), len(base), min(starts, default=None), max(starts, default=None), join(x for _, x in base), join([x for _, x in base] + labels), score
+
+
+def test_license_equals_plain_loops(spark):
+    rng = random.Random(5)
+    texts = ["See the MIT License, mit LICENSE! mit-license", None, "", "cc by cc by by", "the mit éLicense", "of the software is in this", "gnu general", "zzz yyy general public license"]
+    for label, text in license.NOTICES + license.TEXTS:
+        words = text.split()
+        for _ in range(2):  # words left out, put in, exchanged
+            changed = list(words)
+            for _ in range(len(words) // 15 + 1):
+                at = rng.randrange(len(changed))
+                changed[at : at + rng.randrange(3)] = rng.choices(words + ["other"], k=rng.randrange(3))
+            texts.append("intro words " + " ".join(changed).upper() + " end")
+        texts += [" ".join(words[: len(words) // 2]), " ".join(rng.sample(words, len(words))), text + " and " + text]
+    texts.append("word " * 50_000 + license.TEXTS[0][1] + " word" * 50_000)
+    rows = [(i // 2 if i % 7 else None, t) for i, t in enumerate(texts)] + [(3, texts[0])] * 3
+    got = license.summary(spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, label string")).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(repr((i, *scanned(t))) for i, t in rows)
+    found = [scanned(t)[5] for t in texts]
+    assert sum(map(bool, found)) > 60 and found[7] == "" and found[6] == ""
     assert license.summary(empty_docs(spark)).count() == 0
 
 
