@@ -3,10 +3,10 @@
 The pieces are those of a fixed public vocabulary that are letters only. Each language has a probability for each piece.
 The probability of a word is the sum over all its segmentations into pieces, by the forward algorithm; that of a text is
 the product over its words. Piece probabilities are fitted by expectation maximisation, whose expected counts also sum
-over all segmentations. The fit reads `per_language` labelled documents of each language, those with the smallest
-hashes; this bound is a parameter, and all else reads all documents.
+over all segmentations. The fit reads `per_language` labelled documents of each of the MOST_LANGUAGES most frequent languages, those
+with the smallest hashes, copies once; both bounds are parameters, and all else reads all documents.
 
-Defined results: words are runs of lower-cased letters; a null text or one without letters is `und` with score 0; letters
+Defined results: words are runs of letters (\\p{L}) of the lower-cased text; a null text or one without letters is `und` with score 0; letters
 that no piece has get a small floor probability in each language; languages tie to the first by code point; without a
 labelled document all is `und`; rows that share a doc_id are each judged; columns other than doc_id, text and, for
 training, lang are not read.
@@ -14,26 +14,25 @@ training, lang are not read.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from manyview.llm.common import in_modest_batches, table
 
-PER_LANGUAGE = 400
-LONGEST_PIECE = 6
+PER_LANGUAGE, MOST_LANGUAGES = 400, 200
 ROUNDS = 3
 FLOOR = 1e-7
 UNKNOWN = "und"
 CACHED_WORDS = 200_000
-_LETTERS = re.compile(r"[^\W\d_]+")
+_LETTERS = regex.compile(r"\p{L}+")
 _FACTOR = 0x9E3779B97F4A7C15
 
 
@@ -41,15 +40,15 @@ def words_of(text: str | None) -> list[str]:
     return _LETTERS.findall((text or "").lower())
 
 
-def pieces_of(tokens: list[bytes], longest: int = LONGEST_PIECE) -> list[str]:
-    """The lower-cased letters-only strings of at most `longest` characters among a vocabulary's tokens, sorted."""
+def pieces_of(tokens: list[bytes]) -> list[str]:
+    """The lower-cased letters-only strings among a vocabulary's tokens, sorted."""
     found = set()
     for token in tokens:
         try:
             piece = token.decode().strip().lower()
         except UnicodeDecodeError:
             continue
-        if len(piece) <= longest and piece.isalpha():
+        if piece.isalpha():
             found.add(piece)
     return sorted(found)
 
@@ -72,16 +71,17 @@ def _points(words: list[str]) -> np.ndarray:
 
 @dataclass
 class Model:
-    """codes: of the pieces, sorted; logs: probability of each piece in each language, in that order."""
+    """codes: of the pieces, sorted; probabilities: of each piece in each language, in that order; longest: letters of a piece."""
 
     languages: list[str]
     codes: np.ndarray
     probabilities: np.ndarray
+    longest: int
 
     def ids(self, points: np.ndarray) -> list[np.ndarray]:
         """Piece numbers of each length at each position; one past the last piece where there is none."""
         out = []
-        for code in _codes(points, min(LONGEST_PIECE, points.shape[1])):
+        for code in _codes(points, min(self.longest, points.shape[1])):
             at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
             out.append(np.where(self.codes[at] == code, at, len(self.codes)))
         return out
@@ -94,7 +94,7 @@ class Model:
         scale = np.zeros((n, 1))
         for end in range(1, size + 1):
             total = 0.0
-            for length in range(1, min(LONGEST_PIECE, end) + 1):
+            for length in range(1, min(self.longest, end) + 1):
                 chance = self.probabilities[ids[length - 1][:, end - length]]
                 if length == 1:
                     chance = np.maximum(chance, FLOOR)
@@ -102,13 +102,15 @@ class Model:
             alpha.append(total)
             if end % 12 == 0:
                 most = total.max(axis=1, keepdims=True)
-                alpha = [a / most for a in alpha[-LONGEST_PIECE:]]
+                alpha = [a / most for a in alpha[-self.longest :]]
                 scale += np.log(most)
         return np.log(alpha[-1]) + scale
 
 
 def by_length(words: list[str], most: int = 4000) -> Iterator[list[int]]:
     """Positions of words of one length at a time."""
+    if not words:
+        return
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     order = np.argsort(sizes, kind="stable")
     for group in np.split(order, np.flatnonzero(np.diff(sizes[order])) + 1):
@@ -139,29 +141,43 @@ def expected(model: Model, words: list[str], times: np.ndarray) -> np.ndarray:
     return counts[:-1]
 
 
-def fit_language(words: list[str], times: np.ndarray, codes: np.ndarray, rounds: int = ROUNDS, smoothing: float = 0.1) -> np.ndarray:
+def fit_language(words: list[str], times: np.ndarray, codes: np.ndarray, longest: int, rounds: int = ROUNDS, smoothing: float = 0.1) -> np.ndarray:
     """Probabilities of the pieces from a language's words. Words over 60 letters, whose sums could underflow, go by parts."""
     cut = [(w[i : i + 60], t) for w, t in zip(words, times) for i in range(0, len(w), 60)]
     words, times = [w for w, _ in cut], np.array([t for _, t in cut], float)
     chances = np.full((len(codes) + 1, 1), 1 / max(1, len(codes)))
     chances[-1] = 0
     for _ in range(rounds):
-        counts = expected(Model([""], codes, chances), words, times) + smoothing
+        counts = expected(Model([""], codes, chances, longest), words, times) + smoothing
         chances[:-1, 0] = counts / counts.sum()
     return chances[:-1, 0]
 
 
-def train(labelled: DataFrame, tokens: list[bytes], per_language: int = PER_LANGUAGE) -> Model:
-    """Fits the model to at most per_language documents (doc_id, text, lang) of each language."""
+def sampled(labelled: DataFrame, per_language: int, most_languages: int) -> DataFrame:
+    """(lang, text) of at most per_language different documents of each of the most frequent languages.
+
+    Counts set a threshold on hashes that about twice as many documents pass; only these are ranked, so that no task gets all
+    documents of a language.
+    """
+    some = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    counts = some.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages)
+    share = F.least(F.lit(1.0), (2 * per_language + 100) / F.col("n"))
+    hashed = some.select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
+    # At most most_languages rows:
+    few = hashed.join(F.broadcast(counts.select("lang", (share * 2**30).cast("long").alias("below"))), "lang").where(F.pmod("h", F.lit(2**30)) < F.col("below"))
+    once = few.groupBy("lang", "h").agg(F.first("text").alias("text"))
+    order = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(2**30)), "h")
+    return once.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_language).select("lang", "text")
+
+
+def train(labelled: DataFrame, tokens: list[bytes], per_language: int = PER_LANGUAGE, most_languages: int = MOST_LANGUAGES) -> Model:
+    """Fits the model to a sample of documents (doc_id, text, lang)."""
     spark = labelled.sparkSession
     pieces = pieces_of(tokens)
+    longest = max(map(len, pieces), default=1)
     codes = np.array([int(_codes(_points([p]), len(p))[len(p) - 1][0, 0]) for p in pieces], np.uint64)
     codes.sort()
-    some = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = some.select("doc_id", "lang").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_language).select("doc_id").distinct()
-    # At most per_language ids for each language: that many rows are sent to all executors.
-    sample = some.join(F.broadcast(ids), "doc_id").select("lang", "text")
+    sample = sampled(labelled, per_language, most_languages)
     shared = spark.sparkContext.broadcast(codes)
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -170,16 +186,16 @@ def train(labelled: DataFrame, tokens: list[bytes], per_language: int = PER_LANG
             yield pd.DataFrame(parts, columns=["lang", "word"]).value_counts().rename("times").reset_index()
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
-        chances = fit_language(group["word"].tolist(), group["times"].to_numpy(), shared.value)
+        chances = fit_language(group["word"].tolist(), group["times"].to_numpy(), shared.value, longest)
         return pd.DataFrame({"lang": [group["lang"].iloc[0]], "chances": [chances]})
 
     counted = sample.mapInPandas(split, "lang string, word string, times long").groupBy("lang", "word").agg(F.sum("times").alias("times"))
-    # A row for each language, of a length that the vocabulary fixes.
+    # A row for each of at most most_languages languages, of a length that the vocabulary fixes.
     fitted = sorted(counted.groupBy("lang").applyInPandas(fit, "lang string, chances array<double>").collect())
     table_ = np.zeros((len(codes) + 1, len(fitted)))
     for k, row in enumerate(fitted):
         table_[:-1, k] = row["chances"]
-    return Model([row["lang"] for row in fitted], codes, table_)
+    return Model([row["lang"] for row in fitted], codes, table_, longest)
 
 
 class Scorer:

@@ -25,4 +25,6 @@ SQL: dict[str, str] = {
     "op2_topk": topk.OP2_SQL,
     "op4_line_dedup": linededup.OP4_SQL,
     "op5_license": license.OP5_SQL,
+    "op6_fingerprint": fingerprint.OP6_SQL,
+    "op8_chat": chat.OP8_SQL,
 }

@@ -294,11 +294,10 @@ def test_license_equals_plain_loops(spark):
 # --- 6 ------------------------------------------------------------------------------------------------------------------
 
 
-def test_fingerprints_of_neighbours(spark, monkeypatch):
+def test_fingerprints_of_neighbours(spark):
     rng = random.Random(8)
     texts = {i * 3: " ".join(rng.choices(["alpha", "béta", "gamma", "delta"], k=rng.randrange(0, 60))) for i in range(50)}
     texts[7], texts[8] = "", "ab"
-    monkeypatch.setattr(fingerprint, "ROWS_PER_RANGE", 9)
     import pyarrow as pa
 
     schema = pa.schema({"doc_id": pa.int64(), "edited": pa.string()})
@@ -306,6 +305,10 @@ def test_fingerprints_of_neighbours(spark, monkeypatch):
     out = fingerprint.with_next(df, lambda i, a, b: (i, fingerprint.edited(a, b)), schema, "doc_id long, edited string")
     ids = sorted(texts, reverse=True)
     assert {r["doc_id"]: r["edited"] for r in out.collect()} == {a: fingerprint.edited(texts[a], texts[b]) for a, b in zip(ids, ids[1:] + ids[:1])}
+    rows = [(9, "a"), (9, "b"), (None, "lost"), (3, "word " * 50_000), (9, "b"), (5, None)]
+    odd = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, fingerprint string")
+    got = [(r["doc_id"], r["edited"]) for r in fingerprint.with_next(odd, lambda i, a, b: (i, a[:1] + ">" + b[:1]), schema, "doc_id long, edited string").collect()]
+    assert sorted(got) == [(3, "w>a"), (5, ">w"), (9, "a>b"), (9, "b>"), (9, "b>b")]
     alone = spark.createDataFrame([(4, "abcdef")], "doc_id long, text string")
     assert fingerprint.with_next(alone, lambda i, a, b: (i, a + b), schema, "doc_id long, edited string").first()["edited"] == "abcdefabcdef"
     assert fingerprint.with_next(empty_docs(spark), lambda i, a, b: (i, a), schema, "doc_id long, edited string").count() == 0
@@ -331,7 +334,7 @@ def test_forward_sums_all_segmentations():
     codes = np.array([int(langid._codes(langid._points([p]), len(p))[len(p) - 1][0, 0]) for p in pieces], np.uint64)
     order = np.argsort(codes)
     chances = np.array([[0.1], [0.2], [0.3], [0.15], [0.25], [0]])
-    model = langid.Model(["x"], codes[order], np.vstack([chances[order], [[0]]]))
+    model = langid.Model(["x"], codes[order], np.vstack([chances[order], [[0]]]), 3)
     by_piece = dict(zip(pieces, chances[:, 0]))
 
     def total(word):
@@ -346,12 +349,16 @@ def test_language_id(spark):
     rng = random.Random(10)
     rows = [(i, " ".join(rng.choices(words[lang], k=30)), lang) for i, lang in enumerate(["en", "de", "fr"] * 60)]
     rows += [(500, None, "en"), (501, "", None), (502, "12 !?", "de"), (503, "Δοκιμή", None), (504, "the wind and the rain", None)]
+    rows += [(505, "² ½ ① Ⅷ _ 12", None), (506, "²½①", "en"), (507, "the " * 60_000, "en"), (504, "the wind and the rain", None)] + [(600, rows[0][1], "en")] * 1500
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, lang string, score string")
     found = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(df, langid.default_model(df)).collect()}
     lang = {i: x for i, _, x in rows}
     assert all(found[i][0] == lang[i] for i in range(180)) and found[504][0] == "en"
-    assert all(found[i] == ("und", 0.0) for i in (500, 501, 502)) and found[503][0] in words and all(0 <= s <= 1 for _, s in found.values())
+    assert all(found[i] == ("und", 0.0) for i in (500, 501, 502, 505, 506)) and found[507][0] == "en" and found[503][0] in words and all(0 <= s <= 1 for _, s in found.values())
     assert langid.identify(df, langid.default_model(empty_docs(spark))).where("lang_pred != 'und'").count() == 0
+    assert langid.identify(df, langid.default_model(df)).count() == len(rows)
+    by_lang = Counter(r["lang"] for r in langid.sampled(df, 20, 2).collect())
+    assert by_lang == {"en": 20, "de": 20} and langid.sampled(df.where("doc_id = 600"), 20, 2).count() == 1
     assert langid.identify(df, langid.default_model(df), df.columns).columns == ["doc_id", "text", "lang", "lang_pred", "score"]
 
 
