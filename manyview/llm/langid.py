@@ -156,13 +156,13 @@ def fit_language(words: list[str], times: np.ndarray, codes: np.ndarray, longest
 def sampled(labelled: DataFrame, per_language: int, most_languages: int) -> DataFrame:
     """(lang, text) of at most per_language different documents of each of the most frequent languages.
 
-    Counts set a threshold on hashes that about twice as many documents pass; only these are ranked, so that no task gets all
+    Counts of different documents set a threshold on hashes that about twice as many pass; only these are ranked, so that no task gets all
     documents of a language.
     """
     some = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = some.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages)
-    share = F.least(F.lit(1.0), (2 * per_language + 100) / F.col("n"))
     hashed = some.select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
+    counts = hashed.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages)
+    share = F.least(F.lit(1.0), (2 * per_language + 100) / F.col("n"))
     # At most most_languages rows:
     few = hashed.join(F.broadcast(counts.select("lang", (share * 2**30).cast("long").alias("below"))), "lang").where(F.pmod("h", F.lit(2**30)) < F.col("below"))
     once = few.groupBy("lang", "h").agg(F.first("text").alias("text"))
