@@ -21,28 +21,27 @@ no band in common; then the exact similarity of their shingle sets decides. Clas
 
 Defined results: shingles are runs of `width` lower-cased words (Unicode letters, digits, underscore); a document of
 fewer words is one shingle of all its words; documents without words are in one class if their texts are equal, null
-counting as empty; rows with a null doc_id take no part; rows that share a doc_id are one document that has the
+counting as empty; the similarity that is asked for is that of sets, so all weights are one here (`Darts` takes any, for uses where
+repeats of a shingle count); rows with a null doc_id take no part; rows that share a doc_id are one document that has the
 links of all of them; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from functools import reduce
 from math import comb
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from manyview.llm.common import cut, in_modest_batches, table
 from manyview.operators.graph import components
+from manyview.operators.skew import hot_keys, joined_by_hot_key
 
 WIDTH = 5
 SIMILARITY = (4, 5)
@@ -50,8 +49,8 @@ BANDS, ROWS = 40, 5
 SLICE = 1 << 20
 SMALL = 32
 FEW_IDS = 200_000
-#: Hash values that shingles are counted by, and tasks that add up the counts.
-COUNTERS, ADDERS = 1 << 20, 16
+#: Hash values that shingles are counted by.
+COUNTERS = 1 << 20
 GROUP = 200_000
 
 _U = np.uint64
@@ -270,11 +269,17 @@ def of_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(ids.hint(how), F.col("doc_id") == F.col("need"), "left_semi")
 
 
+def _met(many: DataFrame, other: DataFrame, key: str) -> DataFrame:
+    """Joined by a key that may be hot in `many`: the head of a large group meets all its members."""
+    return joined_by_hot_key(many, other, hot_keys(many.groupBy(key).agg(F.count(F.lit(1)).alias("n")), [key]), [key])
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose shingle sets are as similar as asked for."""
     least, of = SIMILARITY
-    with_a = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
-    both = with_a.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
+    x = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
+    y = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
+    both = _met(_met(pairs, x, "a"), y, "b")
     common = F.size(F.array_intersect("x", "y"))
     kept = both.select("a", "b", common.alias("c"), (F.size("x") + F.size("y")).alias("t"))
     return kept.where(F.col("c") * of >= (F.col("t") - F.col("c")) * least).select("a", "b")
@@ -285,22 +290,12 @@ def sets_of(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
 
 
 def counted_shingles(sets: DataFrame) -> np.ndarray:
-    """How many sets have a shingle of each of COUNTERS hash values. Each task gives one table, and few tasks add them up."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, np.int64)
-        for batch in batches:
-            for x in batch.column(0):
-                total[x.values.to_numpy() & (COUNTERS - 1)] += 1
-        packed = zlib.compress(total.astype("<u4").tobytes(), 1)
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % ADDERS], pa.int32()), pa.array([packed], pa.binary())], ["part", "counts"])
-
-    def add(group: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(zlib.decompress(x), "<u4").astype(np.int64) for x in group["counts"])
-        return pd.DataFrame({"counts": [zlib.compress(np.minimum(total, 2**32 - 1).astype("<u4").tobytes(), 1)]})
-
-    tables = sets.select("shingles").mapInArrow(count, "part int, counts binary").groupBy("part").applyInPandas(add, "counts binary")
-    return sum((np.frombuffer(zlib.decompress(r["counts"]), "<u4").astype(np.int64) for r in tables.collect()), np.zeros(COUNTERS, np.int64))
+    """How many sets have a shingle of each of COUNTERS hash values; that many numbers at most come to the driver."""
+    key = F.col("shingle").bitwiseAND(F.lit(COUNTERS - 1)).cast("int").alias("key")
+    counts = sets.select(F.explode("shingles").alias("shingle")).groupBy(key).agg(F.count(F.lit(1)).alias("n")).toPandas()
+    out = np.zeros(COUNTERS, np.int64)
+    out[counts["key"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
+    return out
 
 
 def sharing_a_rare_shingle(rows: DataFrame, sets: DataFrame, bands: int, band_rows: int) -> DataFrame:
@@ -332,7 +327,7 @@ def sharing_a_rare_shingle(rows: DataFrame, sets: DataFrame, bands: int, band_ro
     marked = cut(first.join(rows, "doc_id"))
     a, b = _as(marked.where("loose"), "a_", "shingle"), _as(marked, "b_", "shingle")
     left = F.least(F.col("a_n") - F.col("a_nth"), F.col("b_n") - F.col("b_nth"))
-    met = a.join(b, "shingle").where((left * (of + least) >= (F.col("a_n") + F.col("b_n")) * least) & _may_link(bands, band_rows))
+    met = _met(a, b, "shingle").where((left * (of + least) >= (F.col("a_n") + F.col("b_n")) * least) & _may_link(bands, band_rows))
     return met.select(F.col("a_doc_id").alias("a"), F.col("b_doc_id").alias("b")).distinct()
 
 
@@ -344,14 +339,17 @@ def _may_link(bands: int, rows: int) -> Column:
 def near_links(unique: DataFrame, docs: DataFrame, width: int = WIDTH, bands: int = BANDS, band_rows: int = ROWS) -> DataFrame:
     """Links (a, b) that join all that is similar among `unique` (rows of `sign` with different fingerprints)."""
     buckets = unique.select("doc_id", F.explode("bands").alias("key"))
-    sizes = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    shared = cut(buckets.join(sizes, "key"))
+    sizes = cut(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"))
+    hot = hot_keys(sizes.withColumnRenamed("rows", "n"), ["key"])
+    shared = cut(joined_by_hot_key(buckets, sizes, hot, ["key"]))
     crowd = shared.groupBy("doc_id").agg(F.sum("rows").alias("crowd"))
     heads = shared.join(crowd, "doc_id").groupBy("key").agg(F.max(F.struct("crowd", (-F.col("doc_id")).alias("less"))).alias("most"))
-    members = cut(shared.join(heads.select("key", (-F.col("most.less")).alias("head")), "key").select("key", "rows", "doc_id", "head"))
+    heads = heads.select("key", (-F.col("most.less")).alias("head"))
+    members = cut(joined_by_hot_key(shared, heads, hot, ["key"]).select("key", "rows", "doc_id", "head"))
     rows = unique.drop("bands", "f1", "f2")
     first = members.where(F.col("doc_id") != F.col("head")).select(F.col("doc_id").alias("a"), F.col("head").alias("b")).distinct()
-    first = first.join(_as(rows, "a_").withColumnRenamed("a_doc_id", "a"), "a").join(_as(rows, "b_").withColumnRenamed("b_doc_id", "b"), "b")
+    first = cut(first).join(_as(rows, "a_").withColumnRenamed("a_doc_id", "a"), "a")
+    first = _met(first, _as(rows, "b_").withColumnRenamed("b_doc_id", "b"), "b")
     first = cut(first.where(_sizes_near() & _near_sketches(bands, band_rows)).select("a", "b"))
     links = cut(verified(first, sets_of(docs, first, width)))
     labels = cut(components(links))
@@ -359,9 +357,11 @@ def near_links(unique: DataFrame, docs: DataFrame, width: int = WIDTH, bands: in
     # What the first round left: rows that are not in the class of their bucket's head.
     state = members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
     of_head = labels.select(F.col("node").alias("head"), F.col("label").alias("head_label"))
-    state = state.join(of_head, "head", "left").withColumn("loose", F.col("label") != F.coalesce("head_label", "head"))
+    by_head = hot_keys(members.groupBy("head").agg(F.count(F.lit(1)).alias("n")), ["head"])
+    state = joined_by_hot_key(state, of_head, by_head, ["head"], "left").withColumn("loose", F.col("label") != F.coalesce("head_label", "head"))
+    state = cut(state.select("key", "rows", "doc_id", "label", "loose"))
     open_keys = state.where("loose").select("key").distinct()
-    state = cut(state.join(open_keys, "key").select("key", "rows", "doc_id", "label", "loose").join(rows, "doc_id"))
+    state = cut(joined_by_hot_key(state, open_keys, hot, ["key"]).join(rows, "doc_id"))
     small = state.where(F.col("rows") <= SMALL).drop("rows")
     pairs = _as(small.where("loose"), "a_", "key").join(_as(small, "b_", "key"), "key").where(_may_link(bands, band_rows))
     pairs = cut(pairs.select(F.col("a_doc_id").alias("a"), F.col("b_doc_id").alias("b")).distinct())
@@ -379,17 +379,47 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, row
     """(doc_id, class_id, class_size) of each document; class_id: the smallest doc_id of its class."""
     docs = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
     signed = cut(sign(docs, width, bands, rows))
-    equal = signed.groupBy("f1", "f2").agg(F.min("doc_id").alias("first"))
-    members = signed.select("doc_id", "f1", "f2").join(equal, ["f1", "f2"]).select("doc_id", "first").distinct()
-    unique = signed.join(equal.withColumnRenamed("first", "doc_id"), ["doc_id", "f1", "f2"], "left_semi").dropDuplicates(["doc_id", "f1", "f2"])
-    links = near_links(unique, docs, width, bands, rows).unionAll(members.where("doc_id != first").toDF("a", "b"))
-    labels = cut(components(links))
-    ids = members.select("doc_id").distinct()
-    named = ids.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("label", "doc_id").alias("class_id"))
-    sizes = named.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))
-    return named.join(sizes, "class_id").select("doc_id", "class_id", "class_size")
+    equal = cut(signed.groupBy("f1", "f2").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")))
+    prints = signed.select("doc_id", "f1", "f2")
+    members = joined_by_hot_key(prints, equal.drop("n"), hot_keys(equal.select("f1", "f2", "n"), ["f1", "f2"]), ["f1", "f2"])
+    members = cut(members.select("doc_id", "first").distinct())
+    unique = signed.join(equal.select("f1", "f2", F.col("first").alias("doc_id")), ["doc_id", "f1", "f2"], "left_semi").dropDuplicates(["doc_id", "f1", "f2"])
+    # Only one document of each set of equal ones is in links; and a document of several texts links theirs.
+    several = members.groupBy("doc_id").agg(F.min("first").alias("b"), F.max("first").alias("most")).where("b <> most")
+    tied = members.join(several.select("doc_id", "b"), "doc_id").select(F.col("first").alias("a"), "b").where("a <> b")
+    labels = cut(components(near_links(unique, docs, width, bands, rows).unionAll(tied))).withColumnRenamed("node", "first")
+    by_first = hot_keys(members.groupBy("first").agg(F.count(F.lit(1)).alias("n")), ["first"])
+    named = joined_by_hot_key(members, labels, by_first, ["first"], "left")
+    named = cut(named.groupBy("doc_id").agg(F.min(F.coalesce("label", "first")).alias("class_id")))
+    sizes = cut(named.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size")))
+    hot = hot_keys(sizes.withColumnRenamed("class_size", "n"), ["class_id"])
+    return joined_by_hot_key(named, sizes, hot, ["class_id"]).select("doc_id", "class_id", "class_size")
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents: the class of near duplicates that each is in."""
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+#: Every pair of documents with a common shingle, then the closure of the links.
+OP3_SQL = r"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS words FROM documents WHERE doc_id IS NOT NULL),
+words AS (SELECT doc_id, len(words) AS n, unnest(words) AS w, unnest(range(len(words))) AS pos FROM docs),
+runs AS (
+  SELECT doc_id, n, pos, w || ' ' || lead(w) OVER o || ' ' || lead(w, 2) OVER o || ' ' || lead(w, 3) OVER o || ' ' || lead(w, 4) OVER o AS s
+  FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+shingles AS (
+  SELECT DISTINCT doc_id, hash(s) AS s FROM runs WHERE s IS NOT NULL
+  UNION SELECT doc_id, hash(array_to_string(words, ' ')) FROM docs WHERE len(words) BETWEEN 1 AND 4
+  UNION SELECT doc_id, hash('no words: ' || text) FROM docs WHERE len(words) = 0),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 5 * c >= 4 * (x.n + y.n - c)),
+edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(a, b) AS (SELECT a, b FROM edges UNION SELECT reach.a, edges.b FROM reach JOIN edges ON reach.b = edges.a),
+classes AS (SELECT DISTINCT docs.doc_id, least(docs.doc_id, coalesce(m, docs.doc_id)) AS class_id FROM docs LEFT JOIN (SELECT a, min(b) AS m FROM reach GROUP BY 1) r ON r.a = docs.doc_id)
+SELECT doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS class_size FROM classes
+"""

@@ -13,7 +13,7 @@ Collision checks: over all entities of a type, a surrogate that two entities sha
 is given up by all but the first, which try the next attempt, until none collide. Names grow by a syllable with each attempt and
 all else by a character with each attempt after PLAIN_ATTEMPTS, so that no number of entities can use up a form.
 
-Hot entities (HOT_SHARE of all mentions or more, so at most one in HOT_SHARE) are dealt over salts where mentions meet surrogates.
+Where mentions meet surrogates, those of an entity with a large share of all mentions are dealt over salts.
 
 Defined results: a null text stays null and has no entities; rows with a null doc_id, repeated rows and rows that share a
 doc_id are each rewritten; an empty table gives no rows; columns other than doc_id and text are not read. "Mr. Smith" and "Mr. John
@@ -25,7 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from manyview.llm.common import cut, joined_by_hot_key, table, text_or_empty
+from manyview.llm.common import cut, table, text_or_empty
+from manyview.operators.skew import hot_keys, joined_by_hot_key
 
 #: The key of a session that sets none. It is public, so surrogates made with it can be recomputed by anyone.
 KEY, KEY_SETTING = "a key that the caller should replace", "spark.manyview.pii.key"
@@ -268,7 +269,7 @@ def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
     found = cut(mentions(docs))
     counted = cut(found.groupBy("kind", "canon").agg(F.count(F.lit(1)).alias("n")))
     table_ = surrogates(counted.select("kind", "canon"), key)
-    filled = joined_by_hot_key(found, table_, counted, ["kind", "canon"]).withColumn("new", rendered(F.col("kind"), F.col("mention"), F.col("replacement")))
+    filled = joined_by_hot_key(found, table_, hot_keys(counted, ["kind", "canon"]), ["kind", "canon"]).withColumn("new", rendered(F.col("kind"), F.col("mention"), F.col("replacement")))
     by_doc = filled.groupBy(F.col("doc_id").alias("of_id"), F.col("text_key").alias("of_text")).agg(F.sort_array(F.collect_set(F.struct("nth", "new", "kind"))).alias("found"))
     keyed = docs.select("doc_id", "text").withColumn("text_key", F.xxhash64("text"))
     same = F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_key") == F.col("of_text"))

@@ -23,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 SQL: dict[str, str] = {
     "op2_topk": topk.OP2_SQL,
+    "op3_minhash": minhash.OP3_SQL,
     "op4_line_dedup": linededup.OP4_SQL,
     "op5_license": license.OP5_SQL,
     "op6_fingerprint": fingerprint.OP6_SQL,
