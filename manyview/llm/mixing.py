@@ -6,7 +6,8 @@ knapsack over the counts fills the remaining budget exactly, or as nearly as the
 length are taken follows a seeded hash, ranked within hash buckets so that no length lands in one task.
 
 Defined results: the size of a null text is 0; sources go by code point, null last, and weigh 1, 2, 3, repeating; documents
-of size 0 take part with 0 words; a source of size 0 has the target 0; rows that share a doc_id are separate documents;
+of size 0 take part with 0 words; a source of size 0 has the target 0; rows that share a doc_id, have none or are repeated are
+separate documents; sources are ranked in one task, which sees a row for each of them;
 an empty table gives no rows; columns other than doc_id, text and source are not read.
 """
 
@@ -30,10 +31,10 @@ PLAN = "source string, size long, whole int, picked long"
 
 
 def sized(docs: DataFrame, seed: int) -> DataFrame:
-    """(doc_id, source, size, h, bucket) of each document."""
+    """(doc_id, source, text_key, size, h, bucket) of each document; text_key tells texts apart where rows share a doc_id."""
     size = F.size(F.regexp_extract_all(text_or_empty(), F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(0))).cast("long")
     h = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    return docs.select("doc_id", "source", size.alias("size"), h.alias("h"), F.pmod(h, F.lit(HASH_BUCKETS)).cast("int").alias("bucket"))
+    return docs.select("doc_id", "source", F.xxhash64("text").alias("text_key"), size.alias("size"), h.alias("h"), F.pmod(h, F.lit(HASH_BUCKETS)).cast("int").alias("bucket"))
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -105,7 +106,7 @@ def _plan(group: pd.DataFrame) -> pd.DataFrame:
 
 
 def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies, taken) of each document; copies: how often the mix has it."""
+    """(doc_id, source, text_key, size, source_size, target, copies, taken) of each document; copies: how often the mix has it."""
     sizes = cut(sized(docs, seed))
     goal = cut(targets(sizes))
     per = sizes.groupBy("source", "size", "bucket").agg(F.count(F.lit(1)).alias("n"))
@@ -116,7 +117,7 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
     plan = cut(plan)
     start = F.sum("n").over(Window.partitionBy("source", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     starts = per.select("source", "size", "bucket", F.coalesce(start, F.lit(0)).alias("start"))
-    ranked = sizes.withColumn("rank", F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy("h", "doc_id")) - 1)
+    ranked = sizes.withColumn("rank", F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy("h", "doc_id", "text_key")) - 1)
 
     def same(a: DataFrame, b: DataFrame, *keys: str) -> DataFrame:
         b = b.select(*[F.col(k).alias(f"other_{k}") if k in keys else F.col(k) for k in b.columns])
@@ -125,9 +126,28 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
 
     out = same(same(same(ranked, starts, "source", "size", "bucket"), plan, "source", "size"), goal, "source")
     copies = F.col("whole") + (F.col("start") + F.col("rank") < F.col("picked")).cast("int")
-    return out.withColumn("copies", copies).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    return out.withColumn("copies", copies).select("doc_id", "source", "text_key", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents: their size, their source's size and target, and the words that the mix takes of each."""
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def taken_rows(docs: DataFrame, seed: int = SEED) -> DataFrame:
+    """The rows of docs as often as the mix takes them, which may be never; repeated rows take turns."""
+    keys = ["doc_id", "source", "text_key"]
+    counts = cut(mix(docs, seed).groupBy(*keys).agg(F.sum("copies").alias("total"), F.count(F.lit(1)).alias("rows")).where("total > 0"))
+    keyed = docs.withColumn("text_key", F.xxhash64("text"))
+
+    def met(part: DataFrame) -> DataFrame:
+        part = part.select(*[F.col(k).alias(f"of_{k}") for k in keys], "total", "rows")
+        same = [F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in keys]
+        return keyed.join(part.hint("shuffle_hash"), same)
+
+    even = met(counts.where("total % rows = 0")).withColumn("times", (F.col("total") / F.col("rows")).cast("int"))
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0)))
+    uneven = met(counts.where("total % rows > 0")).withColumn("nth", nth)
+    more = (F.col("nth") <= F.col("total") % F.col("rows")).cast("int")
+    uneven = uneven.withColumn("times", F.floor(F.col("total") / F.col("rows")).cast("int") + more).where("times > 0").drop("nth")
+    return even.unionByName(uneven).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(docs.columns)

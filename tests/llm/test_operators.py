@@ -569,6 +569,16 @@ def test_mixing(spark):
     assert mixing.mix(empty_docs(spark)).count() == 0
 
 
+def test_mixing_takes_repeated_rows_in_turns(spark):
+    rows = [(i, f"text {i} " + "w " * (i % 7), "ab"[i % 2]) for i in range(40)] + [(7, "w " * 30_000, "a"), (None, "no id", "c"), (3, "another text", "b")] + [(50, "the same row", "a")] * 9
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, source string, copies string")
+    mixed = Counter()
+    for r in mixing.mix(df).collect():
+        mixed[r["doc_id"], r["source"], r["size"]] += r["copies"]
+    got = Counter((r["doc_id"], r["source"], len(r["text"].split())) for r in mixing.taken_rows(df).collect())
+    assert got == +mixed and mixing.taken_rows(empty_docs(spark)).count() == 0
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.dictionaries(st.integers(1, 30), st.integers(1, 5), min_size=1, max_size=6), st.integers(0, 200))
 def test_knapsack(counts, budget):
