@@ -44,17 +44,17 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, which may be never."""
-    copies = mixing.mix(docs).groupBy(F.col("doc_id").alias("mixed_id")).agg(F.max("copies").alias("copies")).where("copies > 0")
-    taken = docs.join(copies.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("mixed_id")))
-    return taken.select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select(COLUMNS)
+    return mixing.taken_rows(docs.select(COLUMNS))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, token_ids) of each row: packed little-endian unsigned 32-bit ids."""
+    """(doc_id, n_tokens, token_ids, decoded_sha256) of each row: packed little-endian unsigned 32-bit ids, and a digest of the bytes
+    that they decode to."""
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return bpe.encode_decode(docs, path, public_tokenizers.PATTERN).select("doc_id", "n_tokens", "token_ids")
+    coded = bpe.encode_decode(docs, path, public_tokenizers.PATTERN)
+    return coded.select("doc_id", "n_tokens", "token_ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [
