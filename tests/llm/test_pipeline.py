@@ -1,5 +1,7 @@
 """The pipeline's stages against plain versions of each, and the queries' SQL."""
 
+import hashlib
+
 import duckdb
 import public_tokenizers
 import tiktoken
@@ -38,9 +40,30 @@ def test_stages(spark, tmp_path):
             plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
             expected = sorted((r[0], b"".join(i.to_bytes(4, "little") for i in plain.encode_ordinary(r[1]))) for r in rows)
             assert sorted((r["doc_id"], bytes(r["token_ids"])) for r in out) == expected
+            texts = {(r[0], hashlib.sha256(r[1].encode()).hexdigest()) for r in rows}
+            assert {(r["doc_id"], r["decoded_sha256"]) for r in out} == texts
     assert corpus_pipeline.run(spark, SF).count() == len(out)
 
 
+def test_odd_rows_pass_through(spark):
+    """Null ids and texts, repeated rows, rows that share a doc_id, a very long text."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    first = docs.first()
+    rows = [(None, first["text"], "en", "src0", 1), (900, None, "en", None, 0), (901, "", None, "src1", 0), (902, first["text"] + " and more", "en", "src1", 1), (902, "12 !!", "en", "src1", 1)]
+    rows += [(903, "a line that is long enough here\nand one more line of text", "en", "src2", 1)] * 3 + [(904, "the word of a text and " * 20_000, "en", "src3", 1)]
+    docs = docs.unionByName(spark.createDataFrame(rows, docs.schema))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        if name != "bpe":
+            out = spark.createDataFrame(out.collect(), docs.schema)
+        if name == "language_id":
+            assert out.where("text is null or text = '' or text = '12 !!'").count() == 0 and out.where("doc_id is null").count() == 1
+        if name == "near_dedup":
+            assert out.where("doc_id is null").count() == 0 and out.where("doc_id = 904").count() == 1
+        docs = out
+    assert docs.count() > 10
+
+
 def test_empty_table_passes_through(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
@@ -50,7 +73,7 @@ def test_empty_table_passes_through(spark):
 def test_sql(spark):
     for name, sql in registry.SQL.items():
         con = duckdb.connect()
-        for t in ("documents", "embeddings", "conversations"):
+        for t in ("documents", "embeddings", "conversations"):  # every query with SQL, over whole tables
             con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
         expected = con.execute(sql).fetchdf()
         got = registry.QUERIES[name](spark, SF).toPandas()[list(expected.columns)]
