@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 from manyview.functions.projection import DEPTH_MEDIAN, DEPTH_MULTIVIEW
 from manyview.operators.errors import XYZ, observed
+from manyview.operators.quantiles import away_from, exact_percentiles
 from manyview.session import cut
 
 BEHIND = 1000.0
 MAD_TO_SIGMA = 1.4826
+MEDIANS = {c: (c, 0.5) for c in XYZ}
 
 
 def strict(points: DataFrame, obs: DataFrame, cameras: DataFrame, any_view: float = 5.0, median: float = 1.0, good_views: int = 3) -> DataFrame:
@@ -36,12 +38,12 @@ def strict(points: DataFrame, obs: DataFrame, cameras: DataFrame, any_view: floa
 
 def spatial(points: DataFrame, percentile: float = 0.95, multiplier: float = 2.0, least: int = 10) -> DataFrame:
     """points with distance (to the median centre) and keep: distances up to multiplier x percentile stay; all of fewer than `least`."""
-    middle = points.agg(*[F.median(c).alias(f"m{c}") for c in XYZ], F.count(F.lit(1)).alias("n_all"))
-    away = F.sqrt(sum(((F.col(c) - F.col(f"m{c}")) * (F.col(c) - F.col(f"m{c}")) for c in XYZ[1:]), (F.col("x") - F.col("mx")) * (F.col("x") - F.col("mx"))))
-    far = points.crossJoin(middle).withColumn("distance", away)
-    limit = far.agg((F.percentile("distance", F.lit(percentile)) * multiplier).alias("limit"))
-    keep = (F.col("n_all") < least) | (F.col("distance") <= F.col("limit"))
-    return far.crossJoin(limit).withColumn("keep", keep).drop("mx", "my", "mz", "n_all", "limit")
+    points = cut(points)
+    middle = exact_percentiles(points, MEDIANS)
+    far = points.withColumn("distance", away_from(middle))
+    limit = exact_percentiles(far, {"limit": ("distance", percentile)})["limit"]
+    keep = F.lit(middle["n"] < least) | (F.col("distance") <= F.lit(limit).cast("double") * multiplier)
+    return far.withColumn("keep", keep)
 
 
 def kept(points: DataFrame) -> DataFrame:
@@ -64,11 +66,14 @@ def adaptive_threshold(star: DataFrame, least_obs: int = 2) -> DataFrame:
     counted = fine.withColumn("views", F.count(F.lit(1)).over(Window.partitionBy("track_id")))
     any_with = counted.agg(F.coalesce(F.max("views") >= least_obs, F.lit(False)).alias("enough"))
     used = counted.crossJoin(any_with).where((F.col("views") >= least_obs) | ~F.col("enough"))
-    middle = used.agg(F.median("err").alias("median"), F.count(F.lit(1)).alias("n"))
-    apart = used.crossJoin(middle).agg(F.first("n").alias("n"), F.first("median").alias("median"), F.median(F.abs(F.col("err") - F.col("median"))).alias("mad"))
+    used = cut(used.select("err"))
+    middle = exact_percentiles(used, {"median": ("err", 0.5)})
+    apart = used.select(F.abs(F.col("err") - F.lit(middle["median"]).cast("double")).alias("apart"))
+    mad = exact_percentiles(apart, {"mad": ("apart", 0.5)})["mad"]
+    row = star.sparkSession.createDataFrame([(middle["n"], middle["median"], mad)], "n long, median double, mad double")
     loose = F.col("median") + 3.5 * MAD_TO_SIGMA * (F.col("mad") + 1e-9)
     top = F.greatest(F.lit(2.0), 4.0 * F.greatest("median", F.lit(1e-6)))
-    return apart.withColumn("threshold", F.least(F.greatest(loose, F.lit(0.75)), top))
+    return row.withColumn("threshold", F.least(F.greatest(loose, F.lit(0.75)), top))
 
 
 def adaptive(points: DataFrame, obs: DataFrame, cameras: DataFrame, least_obs: int = 2, depth_cov: float = 1.0) -> DataFrame:
@@ -83,29 +88,30 @@ def adaptive(points: DataFrame, obs: DataFrame, cameras: DataFrame, least_obs: i
     passes = (F.col("n_views") >= least_obs) & (F.col("n_good") / F.col("n_views") >= needed) & (F.coalesce("cov", F.lit(0.0)) <= depth_cov)
     joined = cut(points.select("track_id", *XYZ).join(per.withColumn("passes", passes), "track_id", "left").withColumn("passes", F.coalesce("passes", F.lit(False))))
     stay = joined.where("passes")
-    middle = stay.agg(*[F.median(c).alias(f"m{c}") for c in XYZ], F.count(F.lit(1)).alias("n_stay"))
-    away = F.sqrt(sum(((F.col(c) - F.col(f"m{c}")) * (F.col(c) - F.col(f"m{c}")) for c in XYZ[1:]), (F.col("x") - F.col("mx")) * (F.col("x") - F.col("mx"))))
-    far = stay.crossJoin(middle).withColumn("away", away)
-    centre = far.agg(F.median("away").alias("away_median"))
-    spread = far.crossJoin(centre).agg(F.first("away_median").alias("away_median"), F.median(F.abs(F.col("away") - F.col("away_median"))).alias("away_mad"))
-    gate = far.crossJoin(spread).select("track_id", ((F.col("n_stay") <= 20) | (F.col("away") <= F.col("away_median") + 4.0 * MAD_TO_SIGMA * F.col("away_mad"))).alias("near"))
+    middle = exact_percentiles(stay, MEDIANS)
+    far = cut(stay.select("track_id", away_from(middle).alias("away")))
+    centre = exact_percentiles(far, {"away": ("away", 0.5)})["away"]
+    spread = exact_percentiles(far.select(F.abs(F.col("away") - F.lit(centre).cast("double")).alias("apart")), {"mad": ("apart", 0.5)})["mad"]
+    limit = F.lit(centre).cast("double") + 4.0 * MAD_TO_SIGMA * F.lit(spread).cast("double")
+    gate = far.select("track_id", (F.lit(middle["n"] <= 20) | (F.col("away") <= limit)).alias("near"))
     return joined.join(gate, "track_id", "left").select("track_id", *XYZ, F.coalesce("n_views", F.lit(0)).alias("n_views"), F.coalesce("n_good", F.lit(0)).alias("n_good"), (F.col("passes") & F.coalesce("near", F.lit(False))).alias("keep"))
 
 
 def statistics(points: DataFrame) -> DataFrame:
     """One row about a cloud: centre, box and distances to the median centre."""
-    middle = points.agg(*[F.median(c).alias(f"median_{c}") for c in XYZ])
-    away = F.sqrt(sum(((F.col(c) - F.col(f"median_{c}")) * (F.col(c) - F.col(f"median_{c}")) for c in XYZ[1:]), (F.col("x") - F.col("median_x")) * (F.col("x") - F.col("median_x"))))
-    far = points.crossJoin(middle).withColumn("away", away)
-    limit = far.agg(F.percentile("away", F.lit(0.95)).alias("p95"))
-    return far.crossJoin(limit).agg(
+    points = cut(points)
+    middle = exact_percentiles(points, MEDIANS)
+    far = cut(points.withColumn("away", away_from(middle)))
+    parts = exact_percentiles(far, {"median": ("away", 0.5), "p90": ("away", 0.9), "p95": ("away", 0.95), "p99": ("away", 0.99)})
+    number = {k: F.lit(v).cast("double") for k, v in parts.items() if k != "n"}
+    return far.agg(
         F.count(F.lit(1)).alias("n"),
-        *[F.first(f"median_{c}").alias(f"median_{c}") for c in XYZ],
+        *[F.lit(middle[c]).cast("double").alias(f"median_{c}") for c in XYZ],
         *[F.avg(c).alias(f"mean_{c}") for c in XYZ],
         *[f(c).alias(f"{n}_{c}") for c in XYZ for n, f in (("min", F.min), ("max", F.max))],
-        F.avg("away").alias("away_mean"), F.median("away").alias("away_median"), F.stddev_pop("away").alias("away_std"),
-        F.min("away").alias("away_min"), F.max("away").alias("away_max"), F.percentile("away", F.lit(0.9)).alias("away_p90"),
-        F.first("p95").alias("away_p95"), F.percentile("away", F.lit(0.99)).alias("away_p99"), F.count_if(F.col("away") > F.col("p95")).alias("n_outliers"),
+        F.avg("away").alias("away_mean"), number["median"].alias("away_median"), F.stddev_pop("away").alias("away_std"),
+        F.min("away").alias("away_min"), F.max("away").alias("away_max"), number["p90"].alias("away_p90"),
+        number["p95"].alias("away_p95"), number["p99"].alias("away_p99"), F.count_if(F.col("away") > number["p95"]).alias("n_outliers"),
     )
 
 

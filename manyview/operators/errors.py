@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from manyview.functions.projection import DEPTH_MEDIAN, DEPTH_PROJECT, distance, pixel
+from manyview.operators.quantiles import exact_percentiles
+from manyview.session import cut
 
 XYZ = ("x", "y", "z")
 
@@ -43,8 +45,9 @@ def statistics(star: DataFrame, most: int | None = None) -> DataFrame:
     rows = star.where("err is not null")
     if most is not None:
         rows = rows.orderBy("track_id", "img_id").limit(most)
-    parts = F.percentile("err", F.array(F.lit(0.5), F.lit(0.9), F.lit(0.95)))
-    return rows.agg(F.count("err").alias("n"), F.avg("err").alias("mean"), parts.alias("p")).select("n", "mean", F.col("p")[0].alias("median"), F.col("p")[1].alias("p90"), F.col("p")[2].alias("p95"))
+    rows = cut(rows.select("err"))
+    found = exact_percentiles(rows, {"median": ("err", 0.5), "p90": ("err", 0.9), "p95": ("err", 0.95)})
+    return rows.agg(F.count("err").alias("n"), F.avg("err").alias("mean"), *[F.lit(found[k]).cast("double").alias(k) for k in ("median", "p90", "p95")])
 
 
 def worst(star: DataFrame, most: int) -> DataFrame:
