@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from manyview.session import cut
 
 INVALID = 1e6
+#: Points that one step of numpy takes, and pairs of observations.
+POINTS, PAIRS = 2_000, 100_000
 
 
 def problem(obs: DataFrame, images: list[int], points_cap: int, least_views: int = 2) -> DataFrame:
@@ -43,26 +45,42 @@ def rodrigues(w: np.ndarray) -> np.ndarray:
     if angle < 1e-12:
         return np.eye(3)
     a = w / angle
-    s = np.array([[0, -a[2], a[1]], [a[2], 0, -a[0]], [-a[1], a[0], 0]])
+    s = skew(a)
     return np.eye(3) + np.sin(angle) * s + (1 - np.cos(angle)) * s @ s
 
 
-def linearised(x: np.ndarray, cam: dict[str, np.ndarray], uv: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Residual (2), its derivatives by the camera's (rotation, translation) (2x6) and by the point (2x3)."""
-    p = cam["r"] @ x + cam["t"]
-    fx, fy, cx, cy = cam["k"]
-    if not p[2] > 1e-9:
-        return np.full(2, INVALID), np.zeros((2, 6)), np.zeros((2, 3))
-    residual = np.array([fx * p[0] / p[2] + cx, fy * p[1] / p[2] + cy]) - uv
-    d = np.array([[fx / p[2], 0, -fx * p[0] / p[2] ** 2], [0, fy / p[2], -fy * p[1] / p[2] ** 2]])
-    turned = cam["r"] @ x
-    skew = np.array([[0, -turned[2], turned[1]], [turned[2], 0, -turned[0]], [-turned[1], turned[0], 0]])
-    return residual, np.hstack([-d @ skew, d]), d @ cam["r"]
-
-
-def cauchy(residual: np.ndarray, scale: float) -> float:
-    """Weight of a residual under the Cauchy loss."""
-    return 1 / (1 + float(residual @ residual) / scale**2)
+def skew(v: np.ndarray) -> np.ndarray:
+    """The matrix (or matrices) of the cross product with v (..., 3)."""
+    x, y, z = v[..., 0], v[..., 1], v[..., 2]
+    zero = np.zeros_like(x)
+    return np.stack([np.stack([zero, -z, y], -1), np.stack([z, zero, -x], -1), np.stack([-y, x, zero], -1)], -2)
+
+
+def linearised(x: np.ndarray, r: np.ndarray, t: np.ndarray, k: np.ndarray, uv: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Residuals (..., 2) of points x (..., 3) in cameras r (..., 3, 3), t (..., 3), k (..., 4: fx, fy, cx, cy), and their derivatives
+    by the camera's rotation and translation (..., 2, 6) and by the point (..., 2, 3). A point that no camera has before it
+    has residuals INVALID and no derivatives."""
+    turned = (r @ x[..., None])[..., 0]
+    p = turned + t
+    fine = p[..., 2] > 1e-9
+    depth = np.where(fine, p[..., 2], 1.0)
+    fx, fy = k[..., 0] / depth, k[..., 1] / depth
+    u, v = p[..., 0] / depth, p[..., 1] / depth
+    residual = np.stack([k[..., 0] * u + k[..., 2], k[..., 1] * v + k[..., 3]], -1) - uv
+    zero = np.zeros_like(fx)
+    d = np.stack([np.stack([fx, zero, -fx * u], -1), np.stack([zero, fy, -fy * v], -1)], -2)
+    d = np.where(fine[..., None, None], d, 0.0)
+    return np.where(fine[..., None], residual, INVALID), np.concatenate([-d @ skew(turned), d], -1), d @ r
+
+
+#: Of a squared residual over the squared scale: the loss, and its derivative, which is the weight of the residual.
+LOSSES = {
+    "linear": (lambda z: z, np.ones_like),
+    "huber": (lambda z: np.where(z <= 1, z, 2 * np.sqrt(z) - 1), lambda z: np.where(z <= 1, 1.0, 1 / np.sqrt(np.maximum(z, 1)))),
+    "soft_l1": (lambda z: 2 * (np.sqrt(1 + z) - 1), lambda z: 1 / np.sqrt(1 + z)),
+    "cauchy": (np.log1p, lambda z: 1 / (1 + z)),
+    "arctan": (np.arctan, lambda z: 1 / (1 + z * z)),
+}
 
 
 def listed(points: DataFrame, obs: DataFrame) -> DataFrame:
@@ -71,103 +89,172 @@ def listed(points: DataFrame, obs: DataFrame) -> DataFrame:
     return points.select("track_id", "x", "y", "z").join(seen, "track_id")
 
 
-def points_only(points: DataFrame, obs: DataFrame, cameras: DataFrame, rounds: int = 8, scale: float = 2.0) -> DataFrame:
+class Cameras:
+    """A table of cameras as stacked arrays, a row for each image."""
+
+    def __init__(self, table: dict[int, dict[str, np.ndarray]]):
+        self.images = np.array(sorted(table))
+        self.k, self.r, self.t = (np.array([table[i][n] for i in self.images.tolist()]) for n in ("k", "r", "t"))
+
+
+class Batch:
+    """The observations of some points, one after another; sums over those of each point."""
+
+    def __init__(self, seen: list, cameras: Cameras):
+        self.sizes = np.array([len(s) for s in seen])
+        self.owner = np.repeat(np.arange(len(seen)), self.sizes)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        flat = [(o["img_id"], o["u"], o["v"]) for s in seen for o in s]
+        self.camera = np.searchsorted(cameras.images, [o[0] for o in flat])
+        self.uv = np.array([o[1:] for o in flat]).reshape(-1, 2)
+
+    def summed(self, values: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(values, self.starts, axis=0)
+
+    def linearised(self, x: np.ndarray, cameras: Cameras) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = self.camera
+        return linearised(x[self.owner], cameras.r[at], cameras.t[at], cameras.k[at], self.uv)
+
+
+def _costs(residual: np.ndarray, scale: float, loss: str) -> tuple[np.ndarray, np.ndarray]:
+    """Cost and weight of each residual."""
+    z = (residual**2).sum(axis=-1) / scale**2
+    return scale**2 * LOSSES[loss][0](z), LOSSES[loss][1](z)
+
+
+def _damped(a: np.ndarray, damping: np.ndarray | float, floor: float) -> np.ndarray:
+    """Matrices (..., n, n) with their diagonals raised."""
+    diagonal = np.einsum("...ii->...i", a)
+    return a + np.einsum("...i,ij->...ij", np.asarray(damping)[..., None] * (diagonal + floor), np.eye(a.shape[-1]))
+
+
+def moved_points(x: np.ndarray, batch: Batch, cameras: Cameras, rounds: int, scale: float, loss: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Points after damped Gauss-Newton steps that all take together, each with a damping of its own; costs before and after."""
+
+    def cost(y: np.ndarray) -> np.ndarray:
+        return batch.summed(_costs(batch.linearised(y, cameras)[0], scale, loss)[0])
+
+    before = now = cost(x)
+    damping, open_ = np.full(len(x), 1e-3), np.ones(len(x), bool)
+    for _ in range(rounds):
+        if not open_.any():
+            break
+        r, _, j = batch.linearised(x, cameras)
+        w = _costs(r, scale, loss)[1][:, None, None]
+        a = batch.summed(w * j.transpose(0, 2, 1) @ j)
+        g = batch.summed((w * j.transpose(0, 2, 1) @ r[:, :, None])[..., 0])
+        tried = x - np.linalg.solve(_damped(a, damping, 1e-12) + 1e-15 * np.eye(3), g[..., None])[..., 0]
+        new = cost(tried)
+        better = open_ & (new < now)
+        open_ &= ~better | (now - new >= 1e-10 * (1 + new))
+        x, now = np.where(better[:, None], tried, x), np.where(better, new, now)
+        damping = np.where(better, damping / 3, damping * 5)
+    return x, before, now
+
+
+def points_only(points: DataFrame, obs: DataFrame, cameras: DataFrame, rounds: int = 8, scale: float = 2.0, loss: str = "cauchy") -> DataFrame:
     """(track_id, x, y, z, before, after): points moved to the least robust error under fixed cameras; costs before and after."""
     table = points.sparkSession.sparkContext.broadcast(_camera_table(cameras))
 
-    def cost(x: np.ndarray, seen: list) -> float:
-        return sum(scale**2 * np.log1p(float(r @ r) / scale**2) for r in (linearised(x, table.value[i], uv)[0] for i, uv in seen))
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for track, x0, y0, z0, seen in batch.itertuples(index=False):
-                x = np.array([x0, y0, z0])
-                seen = [(s["img_id"], np.array([s["u"], s["v"]])) for s in seen]
-                before = now = cost(x, seen)
-                damping = 1e-3
-                for _ in range(rounds):
-                    a, b = np.zeros((3, 3)), np.zeros(3)
-                    for i, uv in seen:
-                        r, _, j = linearised(x, table.value[i], uv)
-                        w = cauchy(r, scale)
-                        a += w * j.T @ j
-                        b -= w * j.T @ r
-                    tried = x + np.linalg.lstsq(a + damping * np.diag(np.diag(a) + 1e-12), b, rcond=None)[0]
-                    if (new := cost(tried, seen)) < now:
-                        gain, x, now, damping = now - new, tried, new, damping / 3
-                        if gain < 1e-10 * (1 + now):
-                            break
-                    else:
-                        damping *= 5
-                out.append((track, *x, before, now))
-            yield pd.DataFrame(out, columns=["track_id", "x", "y", "z", "before", "after"])
+        cams = Cameras(table.value)
+        for rows in batches:
+            for low in range(0, len(rows), POINTS):
+                part = rows.iloc[low : low + POINTS]
+                x, before, after = moved_points(part[["x", "y", "z"]].to_numpy(), Batch(part["seen"].tolist(), cams), cams, rounds, scale, loss)
+                yield pd.DataFrame({"track_id": part["track_id"], **dict(zip("xyz", x.T)), "before": before, "after": after})
 
     return listed(points, obs).mapInPandas(run, "track_id long, x double, y double, z double, before double, after double")
 
 
-def full(points: DataFrame, obs: DataFrame, cameras: DataFrame, rounds: int = 5, scale: float = 2.0, fixed: int = 1) -> tuple[DataFrame, DataFrame, list[float]]:
+class Reduced:
+    """A batch's points eliminated: their damped inverse blocks, gradients, and coupling to the free cameras."""
+
+    def __init__(self, x: np.ndarray, seen: list, cameras: Cameras, fixed: int, damping: float, scale: float, loss: str):
+        self.batch = batch = Batch(seen, cameras)
+        r, jc, jp = batch.linearised(x, cameras)
+        costs, w = _costs(r, scale, loss)
+        w = w[:, None, None]
+        self.cost = float(costs.sum())
+        self.inverse = np.linalg.inv(_damped(batch.summed(w * jp.transpose(0, 2, 1) @ jp), damping, 1e-9))
+        self.g = -batch.summed((w * jp.transpose(0, 2, 1) @ r[:, :, None])[..., 0])
+        self.use = np.flatnonzero(batch.camera >= fixed)  # cameras are in the order of their ids, the first are fixed
+        self.at, self.owner = batch.camera[self.use] - fixed, batch.owner[self.use]
+        jc, jp, w, r = jc[self.use], jp[self.use], w[self.use], r[self.use]
+        self.u, self.gc = w * jc.transpose(0, 2, 1) @ jc, -(w * jc.transpose(0, 2, 1) @ r[:, :, None])[..., 0]
+        self.w = w * jc.transpose(0, 2, 1) @ jp
+
+    def add_to(self, s: np.ndarray, b: np.ndarray, damping: float) -> None:
+        """s: (cameras, cameras, 6, 6); b: (cameras, 6)."""
+        y = self.w @ self.inverse[self.owner]
+        np.add.at(s, (self.at, self.at), _damped(self.u, damping, 0.0))
+        np.add.at(b, self.at, self.gc - (y @ self.g[self.owner][..., None])[..., 0])
+        sizes = np.bincount(self.owner, minlength=len(self.g))
+        starts = np.cumsum(sizes) - sizes
+        times = sizes[self.owner]  # each observation meets all of its point
+        one = np.repeat(np.arange(len(self.owner)), times)
+        other = np.arange(len(one)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(starts[self.owner], times)
+        for low in range(0, len(one), PAIRS):
+            i, j = one[low : low + PAIRS], other[low : low + PAIRS]
+            np.add.at(s, (self.at[i], self.at[j]), -y[i] @ self.w[j].transpose(0, 2, 1))
+
+    def moved(self, x: np.ndarray, delta: np.ndarray) -> np.ndarray:
+        """delta: (cameras, 6)."""
+        back = np.zeros_like(self.g)
+        np.add.at(back, self.owner, (self.w.transpose(0, 2, 1) @ delta[self.at][..., None])[..., 0])
+        return x + (self.inverse @ (self.g - back)[..., None])[..., 0]
+
+
+def full(
+    points: DataFrame, obs: DataFrame, cameras: DataFrame, rounds: int = 5, scale: float = 2.0, fixed: int = 1, loss: str = "cauchy"
+) -> tuple[DataFrame, DataFrame, list[float]]:
     """(points, cameras, costs): all points and all but the first `fixed` cameras are free. Each round: one job that sums the
     reduced camera system, one that moves the points; a round that does not lower the cost raises the damping."""
     spark = points.sparkSession
     rows = cut(listed(points, obs))
     table = _camera_table(cameras)
     free = sorted(table)[fixed:]
-    place = {img: 6 * k for k, img in enumerate(free)}
-    size, damping, costs = 6 * len(free), 1e-3, []
-
-    def blocks(x, seen, cams, lam):
-        """A point's damped inverse block, its gradient, and its coupling to each free camera."""
-        v, g, couple, cost = np.zeros((3, 3)), np.zeros(3), [], 0.0
-        for s in seen:
-            r, jc, jp = linearised(x, cams[s["img_id"]], np.array([s["u"], s["v"]]))
-            w = cauchy(r, scale)
-            cost += scale**2 * np.log1p(float(r @ r) / scale**2)
-            v += w * jp.T @ jp
-            g -= w * jp.T @ r
-            if s["img_id"] in place:
-                couple.append((place[s["img_id"]], w * jc.T @ jc, -w * jc.T @ r, w * jc.T @ jp))
-        return np.linalg.inv(v + lam * np.diag(np.diag(v) + 1e-9)), g, couple, cost
-
-    def reduce(batches: Iterator[pd.DataFrame], cams, lam) -> Iterator[pd.DataFrame]:
-        s, b, cost = np.zeros((size, size)), np.zeros(size), 0.0
-        for batch in batches:
-            for _, x0, y0, z0, seen in batch.itertuples(index=False):
-                inverse, g, couple, c = blocks(np.array([x0, y0, z0]), seen, cams, lam)
-                cost += c
-                for at, u, gc, w in couple:
-                    s[at : at + 6, at : at + 6] += u + lam * np.diag(np.diag(u))
-                    b[at : at + 6] += gc - w @ inverse @ g
-                    for other, _, _, w2 in couple:
-                        s[at : at + 6, other : other + 6] -= w @ inverse @ w2.T
-        at = np.concatenate([np.arange(size * size + size), [-1]])
-        yield pd.DataFrame({"at": at, "value": np.concatenate([s.ravel(), b, [cost]])})
-
-    def moved(batches: Iterator[pd.DataFrame], cams, lam, delta) -> Iterator[pd.DataFrame]:
+    n, damping, costs = len(free), 1e-3, []
+    size = 6 * n
+
+    def parts(batches: Iterator[pd.DataFrame], cams: Cameras, lam: float) -> Iterator[tuple[pd.DataFrame, np.ndarray, Reduced]]:
         for batch in batches:
-            new = []
-            for _, x0, y0, z0, seen in batch.itertuples(index=False):
-                x = np.array([x0, y0, z0])
-                inverse, g, couple, _ = blocks(x, seen, cams, lam)
-                new.append(x + inverse @ (g - sum((w.T @ delta[at : at + 6] for at, _, _, w in couple), np.zeros(3))))
-            batch[["x", "y", "z"]] = np.array(new).reshape(-1, 3)
-            yield batch
-
-    def sums(df, cams, lam):
+            for low in range(0, len(batch), POINTS):
+                part = batch.iloc[low : low + POINTS]
+                x = part[["x", "y", "z"]].to_numpy()
+                yield part, x, Reduced(x, part["seen"].tolist(), cams, fixed, lam, scale, loss)
+
+    def reduce(batches: Iterator[pd.DataFrame], table_: dict, lam: float) -> Iterator[pd.DataFrame]:
+        s, b, cost = np.zeros((n, n, 6, 6)), np.zeros((n, 6)), 0.0
+        for _, _, made in parts(batches, Cameras(table_), lam):
+            made.add_to(s, b, lam)
+            cost += made.cost
+        flat = np.concatenate([s.transpose(0, 2, 1, 3).ravel(), b.ravel(), [cost]])
+        at = np.flatnonzero(flat)  # only pairs of cameras that share points
+        yield pd.DataFrame({"at": at, "value": flat[at]})
+
+    def moved(batches: Iterator[pd.DataFrame], table_: dict, lam: float, delta: np.ndarray) -> Iterator[pd.DataFrame]:
+        for part, x, made in parts(batches, Cameras(table_), lam):
+            part = part.copy()
+            part[["x", "y", "z"]] = made.moved(x, delta)
+            yield part
+
+    def sums(df: DataFrame, cams: dict, lam: float) -> tuple[np.ndarray, np.ndarray, float]:
         shared = spark.sparkContext.broadcast(cams)
         out = df.mapInPandas(lambda it: reduce(it, shared.value, lam), "at long, value double").groupBy("at").agg(F.sum("value").alias("value")).collect()
-        flat = {r["at"]: r["value"] for r in out}  # (6 cameras)^2 numbers, whatever the number of points
-        return np.array([flat.get(k, 0.0) for k in range(size * size)]).reshape(size, size), np.array([flat.get(size * size + k, 0.0) for k in range(size)]), flat.get(-1, 0.0)
+        flat = np.zeros(size * size + size + 1)  # (6 cameras)^2 numbers, whatever the number of points
+        for r in out:
+            flat[r["at"]] = r["value"]
+        return flat[: size * size].reshape(size, size), flat[size * size : -1], float(flat[-1])
 
     s, b, cost = sums(rows, table, damping)
     costs.append(cost)
     for _ in range(rounds):
-        delta = np.linalg.lstsq(s + 1e-9 * np.eye(size), b, rcond=None)[0]
+        delta = np.linalg.lstsq(s + 1e-9 * np.eye(size), b, rcond=None)[0].reshape(n, 6)
         shared, lam = spark.sparkContext.broadcast(table), damping
         tried = cut(rows.mapInPandas(lambda it, c=shared, m=lam, d=delta: moved(it, c.value, m, d), rows.schema))
         trial = dict(table)
-        for img in free:
-            d = delta[place[img] : place[img] + 6]
+        for img, d in zip(free, delta):
             trial[img] = {"k": table[img]["k"], "r": rodrigues(d[:3]) @ table[img]["r"], "t": table[img]["t"] + d[3:]}
         damping_next = damping / 5
         new = sums(tried, trial, damping_next)
@@ -179,10 +266,27 @@ def full(points: DataFrame, obs: DataFrame, cameras: DataFrame, rounds: int = 5,
         costs.append(cost)
     flat = [(img, *map(float, c["k"]), *map(float, c["r"].ravel()), *map(float, c["t"]), *map(float, -c["r"].T @ c["t"])) for img, c in sorted(table.items())]
     names = ["fx", "fy", "cx", "cy", *[f"r{i}{j}" for i in range(3) for j in range(3)], "tx", "ty", "tz", "cx_w", "cy_w", "cz_w"]
-    return rows.select("track_id", "x", "y", "z"), spark.createDataFrame(flat, "img_id int, " + ", ".join(f"{n} double" for n in names)), costs
+    return rows.select("track_id", "x", "y", "z"), spark.createDataFrame(flat, "img_id int, " + ", ".join(f"{n_} double" for n_ in names)), costs
 
 
 def updated(old: DataFrame, new: DataFrame) -> DataFrame:
     """(track_id, x, y, z): the new place where there is one, else the old."""
     fresh = new.select("track_id", *[F.col(c).alias(f"new_{c}") for c in "xyz"])
     return old.join(fresh, "track_id", "left").select("track_id", *[F.coalesce(f"new_{c}", c).alias(c) for c in "xyz"])
+
+
+def run(
+    points: DataFrame, obs: DataFrame, cameras: DataFrame, images: list[int], points_cap: int, least_points: int = 50, least_obs: int = 200,
+    scale: float = 2.0, loss: str = "cauchy", rounds: int = 5,
+) -> tuple[DataFrame, DataFrame]:
+    """(points, cameras) after an adjustment of the chosen images and of the points with the most views in them; both as they were
+    if there is too little to adjust. The first chosen image stays in place."""
+    chosen = cut(problem(obs.join(points.select("track_id"), "track_id", "left_semi"), images, points_cap))
+    size = chosen.agg(F.countDistinct("track_id").alias("points"), F.count(F.lit(1)).alias("obs")).first()
+    if len(images) < 2 or size["points"] < least_points or size["obs"] < least_obs:
+        return points, cameras
+    seen = obs.join(chosen.select("track_id", "img_id"), ["track_id", "img_id"], "left_semi")
+    some = points.join(chosen.select("track_id").distinct(), "track_id", "left_semi")
+    moved, placed, _ = full(some, seen, cameras.where(F.col("img_id").isin(images)), rounds, scale, loss=loss)
+    others = cameras.where(~F.col("img_id").isin(images)).select(placed.columns)
+    return updated(points, moved), placed.unionByName(others)

@@ -10,37 +10,65 @@ from pyspark.sql import DataFrame
 from manyview.operators.adjust import linearised, rodrigues
 
 ROUNDS, POSE_ROUNDS = 300, 100
+#: Hypotheses times correspondences that are judged at once.
+CELLS = 1_000_000
 
 
 def normalised(pixels: np.ndarray, k: np.ndarray) -> np.ndarray:
     return (pixels - k[2:]) / k[:2]
 
 
+def least_vectors(rows: np.ndarray) -> np.ndarray:
+    """For matrices (..., n, m), the unit vectors that they take nearest to zero, from the m x m products with their transposes."""
+    return np.linalg.eigh(np.swapaxes(rows, -1, -2) @ rows)[1][..., 0]
+
+
 def eight_points(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Essential matrix of at least eight correspondences in normalised coordinates."""
-    rows = np.column_stack([b[:, 0] * a[:, 0], b[:, 0] * a[:, 1], b[:, 0], b[:, 1] * a[:, 0], b[:, 1] * a[:, 1], b[:, 1], a[:, 0], a[:, 1], np.ones(len(a))])
-    u, s, v = np.linalg.svd(np.linalg.svd(rows)[2][-1].reshape(3, 3))
+    """Essential matrices of (..., n, 2) correspondences, eight at least, in normalised coordinates."""
+    ax, ay, bx, by = a[..., 0], a[..., 1], b[..., 0], b[..., 1]
+    e = least_vectors(np.stack([bx * ax, bx * ay, bx, by * ax, by * ay, by, ax, ay, np.ones_like(ax)], -1))
+    u, _, v = np.linalg.svd(e.reshape(*e.shape[:-1], 3, 3))
     return u @ np.diag([1.0, 1.0, 0.0]) @ v
 
 
 def sampson(e: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """(..., n): distances of n correspondences to each of the matrices."""
     x, y = np.column_stack([a, np.ones(len(a))]), np.column_stack([b, np.ones(len(b))])
-    ex, ey = x @ e.T, y @ e
-    return np.abs((y * ex).sum(axis=1)) / np.sqrt(ex[:, 0] ** 2 + ex[:, 1] ** 2 + ey[:, 0] ** 2 + ey[:, 1] ** 2 + 1e-18)
+    ex, ey = x @ np.swapaxes(e, -1, -2), y @ e
+    return np.abs((y * ex).sum(axis=-1)) / np.sqrt(ex[..., 0] ** 2 + ex[..., 1] ** 2 + ey[..., 0] ** 2 + ey[..., 1] ** 2 + 1e-18)
+
+
+def samples(rng: np.random.Generator, n: int, size: int, rounds: int) -> np.ndarray:
+    """rounds x size different numbers below n."""
+    if n < 16 * size:
+        return rng.random((rounds, n)).argsort(axis=1)[:, :size]
+    out = rng.integers(0, n, (rounds, size))
+    while len(again := np.flatnonzero((np.diff(np.sort(out, axis=1), axis=1) == 0).any(axis=1))):
+        out[again] = rng.integers(0, n, (len(again), size))
+    return out
+
+
+def most_inliers(tried: int, n: int, inside) -> np.ndarray:
+    """The largest set of inliers, of the earliest hypothesis that has it; inside(slice) gives a row for each hypothesis."""
+    best, step = np.zeros(n, bool), max(1, CELLS // max(1, n))
+    for low in range(0, tried, step):
+        found = inside(slice(low, low + step))
+        at = int(found.sum(axis=1).argmax())
+        if found[at].sum() > best.sum():
+            best = found[at]
+    return best
 
 
 def essential(a: np.ndarray, b: np.ndarray, threshold: float, seed: int, rounds: int = ROUNDS) -> tuple[np.ndarray | None, np.ndarray]:
     """The matrix with the most inliers, refitted to them, and which these are."""
-    best, rng = np.zeros(len(a), bool), np.random.default_rng(seed)
+    none = np.zeros(len(a), bool)
     if len(a) < 8:
-        return None, best
-    for _ in range(rounds):
-        pick = rng.choice(len(a), 8, replace=False)
-        inside = sampson(eight_points(a[pick], b[pick]), a, b) < threshold
-        if inside.sum() > best.sum():
-            best = inside
+        return None, none
+    pick = samples(np.random.default_rng(seed), len(a), 8, rounds)
+    tried = eight_points(a[pick], b[pick])
+    best = most_inliers(rounds, len(a), lambda some: sampson(tried[some], a, b) < threshold)
     if best.sum() < 8:
-        return None, np.zeros(len(a), bool)
+        return None, none
     e = eight_points(a[best], b[best])
     refined = sampson(e, a, b) < threshold
     return (e, refined) if refined.sum() >= best.sum() else (e, best)
@@ -48,8 +76,7 @@ def essential(a: np.ndarray, b: np.ndarray, threshold: float, seed: int, rounds:
 
 def linear_points(p: np.ndarray, q: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """A point of each row of a and b under the projections p and q."""
-    rows = np.stack([a[:, :1] * p[2] - p[0], a[:, 1:] * p[2] - p[1], b[:, :1] * q[2] - q[0], b[:, 1:] * q[2] - q[1]], axis=1)
-    x = np.linalg.svd(rows)[2][:, -1]
+    x = least_vectors(np.stack([a[:, :1] * p[2] - p[0], a[:, 1:] * p[2] - p[1], b[:, :1] * q[2] - q[0], b[:, 1:] * q[2] - q[1]], axis=1))
     return x[:, :3] / np.where(np.abs(x[:, 3:]) > 1e-12, x[:, 3:], 1e-12)
 
 
@@ -100,33 +127,46 @@ def two_view_poses(pixels: DataFrame, k: tuple[float, float, float, float], thre
 
 
 def linear_pose(x: np.ndarray, uv: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(R, t) of at least six points and their normalised pixels."""
-    h, zero = np.column_stack([x, np.ones(len(x))]), np.zeros((len(x), 4))
-    p = np.linalg.svd(np.vstack([np.hstack([h, zero, -uv[:, :1] * h]), np.hstack([zero, h, -uv[:, 1:] * h])]))[2][-1].reshape(3, 4)
-    u, s, v = np.linalg.svd(p[:, :3])
+    """R (..., 3, 3) and t (..., 3) of (..., n, 3) points, six at least, and their normalised pixels."""
+    h = np.concatenate([x, np.ones_like(x[..., :1])], -1)
+    zero = np.zeros_like(h)
+    rows = np.concatenate([np.concatenate([h, zero, -uv[..., :1] * h], -1), np.concatenate([zero, h, -uv[..., 1:] * h], -1)], -2)
+    p = least_vectors(rows)
+    p = p.reshape(*p.shape[:-1], 3, 4)
+    u, s, v = np.linalg.svd(p[..., :3])
     r = u @ v
-    sign = np.sign(np.linalg.det(r)) or 1.0
-    return r * sign, p[:, 3] * sign / s.mean()
+    sign = np.where(np.linalg.det(r) < 0, -1.0, 1.0)
+    return r * sign[..., None, None], p[..., 3] * (sign / np.maximum(s.mean(axis=-1), 1e-300))[..., None]
 
 
 def reprojected(r: np.ndarray, t: np.ndarray, x: np.ndarray, uv: np.ndarray) -> np.ndarray:
-    p = x @ r.T + t
-    with np.errstate(divide="ignore", invalid="ignore"):
-        far = np.linalg.norm(p[:, :2] / p[:, 2:] - uv, axis=1)
-    return np.where(p[:, 2] > 1e-12, far, np.inf)
+    """(..., n): how far n points fall from their pixels in each pose; infinitely where they lie behind it."""
+    p = x @ np.swapaxes(r, -1, -2) + t[..., None, :]
+    with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+        far = np.linalg.norm(p[..., :2] / p[..., 2:] - uv, axis=-1)
+    return np.where(p[..., 2] > 1e-12, far, np.inf)
 
 
 def refined_pose(r: np.ndarray, t: np.ndarray, x: np.ndarray, uv: np.ndarray, steps: int = 10) -> tuple[np.ndarray, np.ndarray]:
-    unit = np.array([1.0, 1.0, 0.0, 0.0])
+    """Poses (..., 3, 3), (..., 3) after Gauss-Newton steps over their own (..., n) points; each stops at a step that is none better."""
+    unit, shape = np.array([1.0, 1.0, 0.0, 0.0]), r.shape[:-2]
+    r, t = r.reshape(-1, 3, 3), t.reshape(-1, 3)
+    x, uv = (np.broadcast_to(v, (*shape, *v.shape[-2:])).reshape(len(r), *v.shape[-2:]) for v in (x, uv))
+    cost, open_ = np.square(reprojected(r, t, x, uv)).sum(axis=1), np.ones(len(r), bool)
     for _ in range(steps):
-        parts = [linearised(p, {"k": unit, "r": r, "t": t}, q)[:2] for p, q in zip(x, uv)]
-        j, e = np.vstack([c for _, c in parts]), np.concatenate([r_ for r_, _ in parts])
-        d = np.linalg.lstsq(j, -e, rcond=None)[0]
-        tried = rodrigues(d[:3]) @ r, t + d[3:]
-        if np.square(reprojected(*tried, x, uv)).sum() >= np.square(reprojected(r, t, x, uv)).sum():
+        e, j, _ = linearised(x, r[:, None], t[:, None], unit, uv)
+        j, e = j.reshape(len(r), -1, 6), e.reshape(len(r), -1, 1)
+        a = np.swapaxes(j, 1, 2) @ j
+        a += (1e-12 * np.trace(a, axis1=1, axis2=2) + 1e-18)[:, None, None] * np.eye(6)
+        d = -np.linalg.solve(a, np.swapaxes(j, 1, 2) @ e)[..., 0]
+        tried = np.stack([rodrigues(w) for w in d[:, :3]]) @ r, t + d[:, 3:]
+        new = np.square(reprojected(*tried, x, uv)).sum(axis=1)
+        open_ &= new < cost
+        if not open_.any():
             break
-        r, t = tried
-    return r, t
+        r, t = np.where(open_[:, None, None], tried[0], r), np.where(open_[:, None], tried[1], t)
+        cost = np.where(open_, new, cost)
+    return r.reshape(*shape, 3, 3), t.reshape(*shape, 3)
 
 
 def pnp(links: DataFrame, k: tuple[float, float, float, float], threshold: float = 3.0, least: int = 6) -> DataFrame:
@@ -136,15 +176,13 @@ def pnp(links: DataFrame, k: tuple[float, float, float, float], threshold: float
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("track_id")
         x, uv = group[["x", "y", "z"]].to_numpy(), normalised(group[["u", "v"]].to_numpy(), kk)
-        limit, rng, best = threshold / float(kk[:2].mean()), np.random.default_rng(int(group["img_id"].iloc[0])), np.zeros(len(x), bool)
+        limit = threshold / float(kk[:2].mean())
         none = pd.DataFrame(columns=["img_id", "r", "t", "n_inliers"])
         if len(x) < least:
             return none
-        for _ in range(POSE_ROUNDS):
-            pick = rng.choice(len(x), 6, replace=False)
-            tried = refined_pose(*linear_pose(x[pick], uv[pick]), x[pick], uv[pick], 3)  # six noisy points alone give a poor pose
-            inside = reprojected(*tried, x, uv) < limit
-            best = inside if inside.sum() > best.sum() else best
+        pick = samples(np.random.default_rng(int(group["img_id"].iloc[0])), len(x), 6, POSE_ROUNDS)
+        r, t = refined_pose(*linear_pose(x[pick], uv[pick]), x[pick], uv[pick], 3)  # six noisy points alone give a poor pose
+        best = most_inliers(POSE_ROUNDS, len(x), lambda some: reprojected(r[some], t[some], x, uv) < limit)
         if best.sum() < least:
             return none
         for _ in range(3):  # the inliers of the refined pose are fitted again
