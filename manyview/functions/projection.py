@@ -71,6 +71,18 @@ def quaternion(camera: str = "") -> list[Column]:
     return [q * sign for q in raw]
 
 
+def rotation_of(q: list[Column]) -> list[list[Column]]:
+    """The rotation of a quaternion (w, x, y, z) of any length but zero."""
+    w, x, y, z = q
+    n = w * w + x * x + y * y + z * z
+    s = F.try_divide(F.lit(2.0), n)
+    return [
+        [1 - s * (y * y + z * z), s * (x * y - w * z), s * (x * z + w * y)],
+        [s * (x * y + w * z), 1 - s * (x * x + z * z), s * (y * z - w * x)],
+        [s * (x * z - w * y), s * (y * z + w * x), 1 - s * (x * x + y * y)],
+    ]
+
+
 def undistorted(df: DataFrame, keep: list[str], distortion: tuple[float, float, float, float, float], steps: int = 10) -> DataFrame:
     """keep and x, y: pixels (x, y) of cameras (fx, fy, cx, cy) without their lens distortion (k1, k2, p1, p2, k3), by fixed-point
     steps."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from manyview.operators.errors import projected
+from manyview.operators.errors import observed, projected
 
 
 def _in_image(width: int, height: int):
@@ -25,10 +25,15 @@ def projection_counts(points: DataFrame, cameras: DataFrame, obs: DataFrame, wid
     )
 
 
+def _shuffled(key: str):
+    """A number below 2^32 by which rows are drawn without regard to the order of the key."""
+    return F.pmod(F.pmod(F.col(key), F.lit(2**31)) * F.lit(2654435761), F.lit(2**32))
+
+
 def draw_list(points: DataFrame, cameras: DataFrame, obs: DataFrame, width: int, height: int, most: int) -> DataFrame:
-    """(img_id, track_id, u, v, seen): up to `most` points of each image, observed ones first, then in the order of a hash."""
+    """(img_id, track_id, u, v, seen): up to `most` points of each image, observed ones first, then mixed."""
     put = projected(points, cameras).where(_in_image(width, height)).join(obs.select("track_id", "img_id", F.lit(True).alias("seen")), ["track_id", "img_id"], "left")
-    order = Window.partitionBy("img_id").orderBy(F.col("seen").isNull(), F.xxhash64("track_id"), "track_id")
+    order = Window.partitionBy("img_id").orderBy(F.col("seen").isNull(), _shuffled("track_id"), "track_id")
     return put.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most).select("img_id", "track_id", "u", "v", F.coalesce("seen", F.lit(False)).alias("seen"))
 
 
@@ -67,3 +72,58 @@ def long_tracks(track_obs: DataFrame, kps: DataFrame, least: int) -> DataFrame:
 def removed(judged: DataFrame, obs: DataFrame) -> DataFrame:
     """(track_id, img_id, u, v, reason): observations of points that a filter removed."""
     return judged.where("reason is not null").select("track_id", "reason").join(obs, "track_id").select("track_id", "img_id", "u", "v", "reason")
+
+
+def drawn_keypoints(kps: DataFrame, most: int) -> DataFrame:
+    """(img_id, kp_id, x, y): up to `most` keypoints of each image, mixed."""
+    order = Window.partitionBy("img_id").orderBy(_shuffled("kp_id"), "kp_id")
+    return kps.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most).select("img_id", "kp_id", "x", "y")
+
+
+def drawn_matches(pixels: DataFrame, most: int) -> DataFrame:
+    """(i, j, a, b, xi, yi, xj, yj): up to `most` matches of each pair, mixed."""
+    order = Window.partitionBy("i", "j").orderBy(_shuffled("a"), "a", "b")
+    return pixels.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most).select("i", "j", "a", "b", "xi", "yi", "xj", "yj")
+
+
+def residuals(star: DataFrame, least: float = 0.0) -> DataFrame:
+    """(img_id, track_id, u, v, pu, pv, err): where points fall against where they were seen, from `least` pixels on."""
+    return star.where(F.col("err") >= least).select("img_id", "track_id", "u", "v", "pu", "pv", "err")
+
+
+def foreground(runs: DataFrame, width: int, height: int) -> DataFrame:
+    """(img_id, ratio): the share of an image's pixels that its mask covers."""
+    return runs.groupBy("img_id").agg((F.sum(F.col("u1") - F.col("u0") + 1) / F.lit(width * height)).alias("ratio"))
+
+
+def resized_runs(runs: DataFrame, old: tuple[int, int], new: tuple[int, int]) -> DataFrame:
+    """Mask runs (img_id, v, u0, u1) for images of (width, height) new instead of old, by the nearest pixel."""
+
+    def first(x, k: int):
+        """The first new pixel whose old one is x or later."""
+        return F.ceil(x * new[k] / old[k])
+
+    rows = F.sequence(first(F.col("v"), 1), first(F.col("v") + 1, 1) - 1)
+    some = runs.where((first(F.col("v") + 1, 1) > first(F.col("v"), 1)) & (first(F.col("u1") + 1, 0) > first(F.col("u0"), 0)))
+    made = some.select("img_id", F.explode(rows).alias("v"), first(F.col("u0"), 0).alias("u0"), (first(F.col("u1") + 1, 0) - 1).alias("u1"))
+    return made.select("img_id", *[F.col(c).cast("int").alias(c) for c in ("v", "u0", "u1")])
+
+
+def export(folder: str, tables: dict[str, DataFrame]) -> None:
+    """Writes each relation as Parquet under its name."""
+    for name, table in tables.items():
+        table.write.mode("overwrite").parquet(f"{folder.rstrip('/')}/{name}")
+
+
+def report(points: DataFrame, kps: DataFrame, track_obs: DataFrame, cameras: DataFrame, judged: DataFrame, width: int, height: int, most: int = 3000) -> dict[str, DataFrame]:
+    """The relations of a reconstruction's diagnostics, ready for `export`: keypoint and long-track heat cells, counts of
+    projections, points to draw, residuals, and what the cleanup removed."""
+    obs = track_obs.join(kps.select("img_id", "kp_id", F.col("x").alias("u"), F.col("y").alias("v")), ["img_id", "kp_id"]).select("track_id", "img_id", "u", "v")
+    return {
+        "keypoint_cells": heat_cells(kps, width, height),
+        "track_cells": heat_cells(long_tracks(track_obs, kps, 3), width, height),
+        "projection_counts": projection_counts(points, cameras, obs, width, height),
+        "draw_list": draw_list(points, cameras, obs, width, height, most),
+        "residuals": residuals(observed(points, obs, cameras)),
+        "removed": removed(judged, obs),
+    }

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from manyview.functions.projection import DEPTH_MULTIVIEW
@@ -14,6 +15,9 @@ from manyview.operators.tracks import correspondences
 from manyview.operators.triangulate import triangulate_checked, two_view_reasons, validate
 from manyview.session import cut
 
+#: Rounds after which the points of all rounds so far are written together.
+COMPACT = 6
+
 
 def visible(points: DataFrame, obs: DataFrame, cameras: DataFrame, most_error: float = 1.5, least: int = 3) -> DataFrame:
     """(img_id, n_visible): images in which at least `least` points lie before the camera and near their observation."""
@@ -21,11 +25,22 @@ def visible(points: DataFrame, obs: DataFrame, cameras: DataFrame, most_error: f
     return star.groupBy("img_id").agg(F.count(F.lit(1)).alias("n_visible")).where(F.col("n_visible") >= least)
 
 
+def small(spark: SparkSession, **columns: pa.Array) -> DataFrame:
+    """A few rows as a table. What changes from round to round comes in this way and not as literals, so that the code that
+    Spark generates for a round serves all rounds."""
+    return spark.createDataFrame(pa.table(columns))
+
+
+def images_table(spark: SparkSession, images: list[int]) -> DataFrame:
+    return F.broadcast(small(spark, img_id=pa.array(images, pa.int32())))
+
+
 def scores(obs: DataFrame, points: DataFrame, cameras: DataFrame, registered: list[int]) -> DataFrame:
     """(img_id, n, baseline, score) of the images not yet registered: correspondences and a tenth of the largest baseline."""
-    known = cameras.where(F.col("img_id").isin(registered)).select(*[F.col(f"c{k}_w").alias(f"k{k}") for k in "xyz"])
+    there = images_table(cameras.sparkSession, registered)
+    known = cameras.join(there, "img_id", "left_semi").select(*[F.col(f"c{k}_w").alias(f"k{k}") for k in "xyz"])
     gap = [F.col(f"c{k}_w") - F.col(f"k{k}") for k in "xyz"]
-    open_ = cameras.where(~F.col("img_id").isin(registered))
+    open_ = cameras.join(there, "img_id", "left_anti")
     far = open_.crossJoin(known).groupBy("img_id").agg(F.max(F.sqrt(gap[0] * gap[0] + gap[1] * gap[1] + gap[2] * gap[2])).alias("baseline"))
     counted = far.join(correspondences(obs, points), "img_id", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
     return counted.withColumn("score", F.round(F.col("n") + 0.1 * F.col("baseline"), 9)).select("img_id", "n", "baseline", "score")
@@ -56,6 +71,7 @@ class Reconstruction:
 def incremental(matches: DataFrame, kps: DataFrame, track_obs: DataFrame, cameras: DataFrame, most_error: float = 1.5, least_views: int = 3, most_images: int | None = None) -> Reconstruction:
     """Images one by one with known poses. A point is made in the first step in which it passes, from the views registered then,
     and stays as it is. The loop has as many rounds as images; each is a set operation over all tracks, cut from its past."""
+    spark = matches.sparkSession
     first = initial_pair(pair_scores(matches)).first()
     if first is None:
         raise ValueError("no pair of images has enough matches")
@@ -69,13 +85,17 @@ def incremental(matches: DataFrame, kps: DataFrame, track_obs: DataFrame, camera
         if chosen is None:
             break
         order.append(chosen["img_id"])
-        seen = pixels.where(F.col("img_id") == order[-1]).select("track_id").join(made, "track_id", "left_anti")
-        wanted = pixels.join(seen, "track_id", "left_semi")
-        usable = cut(triangulate_checked(wanted.where(F.col("img_id").isin(order)), cameras, most_error, least_views))
+        seen = pixels.join(images_table(spark, order[-1:]), "img_id", "left_semi").select("track_id").join(made, "track_id", "left_anti")
+        wanted = cut(pixels.join(seen, "track_id", "left_semi"))
+        usable = triangulate_checked(wanted.join(images_table(spark, order), "img_id", "left_semi"), cameras, most_error, least_views)
+        usable = cut(usable)
         good = validate(usable, wanted, cameras, most_error, least_views).where("valid").select("track_id")
-        new = cut(usable.join(good, "track_id", "left_semi").withColumn("step", F.lit(len(order) - 2)))
+        step = small(spark, step=pa.array([len(order) - 2], pa.int32()))
+        new = cut(usable.join(good, "track_id", "left_semi").crossJoin(F.broadcast(step)))
         counts.append(new.count())
-        made = cut(made.unionByName(new))
+        made = made.unionByName(new)
+        if len(order) % COMPACT == 0:
+            made = cut(made.coalesce(int(spark.conf.get("spark.sql.shuffle.partitions"))))
     return Reconstruction(made, order, counts)
 
 
@@ -84,7 +104,7 @@ def fixpoint(obs: DataFrame, cameras: DataFrame, first: tuple[int, int], most_er
     that sees enough of the points; until no image comes in."""
     order, made, counts = list(first), None, []
     for step in range(most_rounds):
-        known = obs.where(F.col("img_id").isin(order))
+        known = obs.join(images_table(obs.sparkSession, order), "img_id", "left_semi")
         open_ = known if made is None else known.join(made, "track_id", "left_anti")
         new = triangulate_checked(open_, cameras, most_error, least_views, 1.0).withColumn("step", F.lit(step))
         made = cut(new if made is None else made.unionByName(new))

@@ -48,7 +48,10 @@ class Adjustment:
     local_window: int = 4
     local_cap: int = 5000
     global_cap: int = 20000
+    global_points: int = 200
+    global_obs: int = 800
     scale: float = 2.0
+    loss: str = "cauchy"
 
     def has(self, part: str) -> bool:
         """Whether a mode such as local+global_end names the part."""

@@ -394,8 +394,8 @@ def monotonic_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CONT = """
-cont AS (SELECT img_id, CAST(k AS INTEGER) AS idx, floor(512.5::DOUBLE + 200 * cos(2 * pi() * k / 150)) AS x, floor(384.5::DOUBLE + 200 * sin(2 * pi() * k / 150)) AS y FROM cameras, range(150) t(k) WHERE img_id < 8),
-cl AS (SELECT i, j, idx AS a, f00*x+f01*y+f02 AS l0, f10*x+f11*y+f12 AS l1, f20*x+f21*y+f22 AS l2 FROM fm JOIN cont ON img_id = i WHERE j < 8),
+cont AS (SELECT img_id, CAST(k AS INTEGER) AS idx, floor(512.5::DOUBLE + 200 * cos(2 * pi() * k / 150)) AS x, floor(384.5::DOUBLE + 200 * sin(2 * pi() * k / 150)) AS y FROM cameras, range(150) t(k)),
+cl AS (SELECT i, j, idx AS a, f00*x+f01*y+f02 AS l0, f10*x+f11*y+f12 AS l1, f20*x+f21*y+f22 AS l2 FROM fm JOIN cont ON img_id = i),
 cd AS (SELECT i, j, a, idx AS b, round(abs(l0*x+l1*y+l2)/(sqrt(l0*l0+l1*l1)+1e-12), 9) AS dist FROM cl JOIN cont ON img_id = j),
 cb AS (SELECT * FROM cd WHERE dist < 5 QUALIFY row_number() OVER (PARTITION BY i, j, a ORDER BY dist, b) = 1),
 cm AS (SELECT * FROM cb QUALIFY row_number() OVER (PARTITION BY i, j, b ORDER BY a) = 1)
@@ -403,7 +403,7 @@ cm AS (SELECT * FROM cb QUALIFY row_number() OVER (PARTITION BY i, j, b ORDER BY
 
 
 def _contour(s: Scene) -> DataFrame:
-    return matching.contour_matches(s.contours.where("img_id < 8"), s.cameras, matching.image_pairs(s.cameras.where("img_id < 8").select("img_id")))
+    return matching.contour_matches(s.contours, s.cameras, matching.image_pairs(s.cameras.select("img_id")))
 
 
 @query(f"{SQL}, {FUND}, {CONT} SELECT i, j, a, b, {R('dist', 'dist')} FROM cm")
@@ -420,7 +420,7 @@ def contour_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def merge_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = Scene(spark, sf_dir)
-    return matching.merge_contours(s.matches, s.kps, s.contours.where("img_id < 8"), _contour(s))[1]
+    return matching.merge_contours(s.matches, s.kps, s.contours, _contour(s))[1]
 
 
 @query(f"{SQL}, {FUND}, {CONT} SELECT i, j, a, b FROM cm WHERE EXISTS (SELECT 1 FROM cm q WHERE q.i = cm.i AND q.j = cm.j AND q.b = cm.b AND abs(q.a - cm.a) <= 1)")
@@ -490,10 +490,10 @@ def track_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracks.statistics(_labelled(spark, sf_dir))
 
 
-@query(f"{SQL} SELECT img_id, count(*) AS n FROM obs WHERE track_id % 3 = 0 GROUP BY 1")
+@query(f"{SQL} SELECT img_id, count(*) AS n FROM obs GROUP BY 1")
 def corr_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = Scene(spark, sf_dir)
-    return tracks.correspondences(s.obs, s.points.where("track_id % 3 = 0"))
+    return tracks.correspondences(s.obs, s.points)
 
 
 @query(f"{SQL}, long AS (SELECT track_id FROM kps GROUP BY 1 HAVING count(*) >= 5) SELECT img_id, track_id, {R('u', 'x')}, {R('v', 'y')} FROM kps WHERE track_id IN (SELECT track_id FROM long)")
@@ -638,14 +638,14 @@ def register_visible(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SCORES = """
 sc AS (SELECT c.img_id, max(sqrt((c.cx_w-k.cx_w)*(c.cx_w-k.cx_w) + (c.cy_w-k.cy_w)*(c.cy_w-k.cy_w) + (c.cz_w-k.cz_w)*(c.cz_w-k.cz_w))) AS baseline FROM cameras c, cameras k WHERE k.img_id IN (0, 1, 5) AND c.img_id NOT IN (0, 1, 5) GROUP BY 1),
-co AS (SELECT img_id, count(*) AS n FROM obs WHERE track_id % 3 = 0 GROUP BY 1),
+co AS (SELECT img_id, count(*) AS n FROM obs GROUP BY 1),
 sx AS (SELECT img_id, coalesce(n, 0) AS n, baseline, round(coalesce(n, 0) + 0.1::DOUBLE * baseline, 9) AS score FROM sc LEFT JOIN co USING (img_id))
 """
 
 
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = Scene(spark, sf_dir)
-    return register.scores(s.obs, s.points.where("track_id % 3 = 0"), s.cameras, [0, 1, 5])
+    return register.scores(s.obs, s.points, s.cameras, [0, 1, 5])
 
 
 @query(f"{SQL}, {SCORES} SELECT img_id, n, {R('baseline', 'baseline')}, {R('score', 'score')} FROM sx")
@@ -825,18 +825,23 @@ def outside_silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(diagnostics.outside_masks(s.points, s.cameras, s.runs, WIDTH, HEIGHT))
 
 
+#: Tracks that have a point here: those with a median error of up to one pixel.
+POINTS = f"{SUMMARY}, pt AS (SELECT points.* FROM points JOIN per USING (track_id) WHERE round(median_err, 9) <= 1)"
+
+
 def _numbered(s: Scene) -> tuple[DataFrame, DataFrame, DataFrame]:
     kps = s.kps
-    points = s.points.where("track_id % 3 <> 0").withColumn("pid", F.col("track_id"))
+    fine = errors.point_summary(s.star).where(F.round("median_err", 9) <= 1).select("track_id")
+    points = s.points.join(fine, "track_id", "left_semi").withColumn("pid", F.col("track_id"))
     return kps.select("img_id", "kp_id", "x", "y"), kps.select("track_id", "img_id", "kp_id"), points
 
 
-@query(f"{SQL} SELECT CAST(img_id + 1 AS INTEGER) AS image_id, kp_id, {R('u', 'x')}, {R('v', 'y')}, CASE WHEN track_id % 3 <> 0 THEN track_id + 1 ELSE -1 END AS point_id FROM kps")
+@query(f"{SQL}, {POINTS} SELECT CAST(img_id + 1 AS INTEGER) AS image_id, kp_id, {R('u', 'x')}, {R('v', 'y')}, coalesce(pt.track_id + 1, -1) AS point_id FROM kps LEFT JOIN pt USING (track_id)")
 def sparse_points2d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(exports.points2d(*_numbered(Scene(spark, sf_dir))))
 
 
-@query(f"{SQL}, {SUMMARY}, t AS (SELECT track_id, string_agg((img_id + 1) || ' ' || kp_id, ' ' ORDER BY img_id, kp_id) AS track FROM kps GROUP BY 1) SELECT track_id + 1 AS point_id, {R('coalesce(median_err, 0)', 'error')}, coalesce(track, '') AS track FROM points LEFT JOIN t USING (track_id) LEFT JOIN per USING (track_id) WHERE track_id % 3 <> 0")
+@query(f"{SQL}, {POINTS}, t AS (SELECT track_id, string_agg((img_id + 1) || ' ' || kp_id, ' ' ORDER BY img_id, kp_id) AS track FROM kps GROUP BY 1) SELECT track_id + 1 AS point_id, {R('coalesce(median_err, 0)', 'error')}, coalesce(track, '') AS track FROM pt LEFT JOIN t USING (track_id) LEFT JOIN per USING (track_id)")
 def sparse_points3d(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = Scene(spark, sf_dir)
     _, seen, points = _numbered(s)

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from manyview.operators import cleanup, errors, matching, register, tracks, triangulate, twoview
+from manyview.operators import adjust, cleanup, errors, matching, register, tracks, triangulate, twoview
 from manyview.plans.config import PRESETS, Config
 from manyview.session import cut
 
@@ -41,7 +41,8 @@ def single_camera(kps: DataFrame, matches: DataFrame, k: tuple[float, float, flo
 
     The first pair is the one with the most two-view points that pass all tests. Each next image is the one that sees the most
     points; its pose comes from them, and tracks that it shows get points with the view farthest away. The loop ends
-    with the first image that can't be placed.
+    with the first image that can't be placed. Every few images the last ones are adjusted, at the end all of them, as the
+    configuration says; known poses, as in known_cameras, are never adjusted. Then the adaptive cleanup judges the points.
     """
     spark = kps.sparkSession
     config = (config or PRESETS["singlecam"]).adapted(25, int(2 * k[2]), int(2 * k[3]))
@@ -67,6 +68,16 @@ def single_camera(kps: DataFrame, matches: DataFrame, k: tuple[float, float, flo
     ends = [track_obs.select("track_id", F.col("img_id").alias(s), F.col("kp_id").alias(c)) for s, c in (("i", "a"), ("j", "b"))]
     seeds = judged.where((F.col("reason") == 0) & (F.col("i") == first["i"]) & (F.col("j") == first["j"]))
     made = cut(seeds.join(ends[0], ["i", "a"]).join(ends[1], ["j", "b", "track_id"]).select("track_id", "x", "y", "z"))
+    a = config.adjustment
+
+    def adjusted(images: list[int], cap: int, least_points: int, least_obs: int) -> None:
+        """Moves points and the poses of the images to the least error; the first of the images stays."""
+        nonlocal made
+        moved, placed = adjust.run(made, spots, table(), images, cap, least_points, least_obs, a.scale, a.loss)
+        made = cut(moved)
+        for row in placed.collect():  # a row for each image
+            known[row["img_id"]] = tuple(row[n] for n in _NAMES)
+
     everyone = kps.select("img_id").distinct().count() if images is None else images
     while len(known) < everyone:
         left = tracks.correspondences(spots.where(~F.col("img_id").isin(list(known))), made)
@@ -88,4 +99,19 @@ def single_camera(kps: DataFrame, matches: DataFrame, k: tuple[float, float, flo
         new = cut(triangulate.two_view_reasons(pairs.select("track_id", "i", "j", "xi", "yi", "xj", "yj"), cameras, t.most_error, least_angle).where("reason = 0").select("track_id", "x", "y", "z"))
         good = triangulate.validate(new, spots, cameras, 1.5 * t.most_error, 2 if len(known) < 5 else 3).where("valid").select("track_id")
         made = cut(made.unionByName(new.join(good, "track_id", "left_semi")))
-    return {"track_obs": track_obs, "points": made, "cameras": table()}
+        if a.has("local") and len(known) >= 3 and len(known) % a.local_every == 0:
+            adjusted(list(known)[-a.local_window :], a.local_cap, 50, 200)
+    if a.has("global_end") and len(known) >= 3:
+        adjusted(list(known), a.global_cap, a.global_points, a.global_obs)
+    judged = cut(cleanup.adaptive(made, spots, table()))
+    points = made.join(judged.where("keep").select("track_id"), "track_id", "left_semi")
+    return {"track_obs": track_obs, "points": points, "judged": judged, "cameras": table()}
+
+
+def run(matches: DataFrame, kps: DataFrame, cameras: DataFrame | None = None, k: tuple[float, float, float, float] | None = None, config: Config | None = None) -> dict[str, DataFrame]:
+    """A reconstruction by what is known: the cameras' poses, else the intrinsics of the one camera."""
+    if cameras is not None:
+        return known_cameras(cameras, kps, matches, config)
+    if k is None:
+        raise ValueError("either cameras or the intrinsics of one camera have to be given")
+    return single_camera(kps, matches, k, config)

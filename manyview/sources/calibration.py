@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,8 +55,27 @@ def decompose(projections: DataFrame) -> DataFrame:
     return projections.where(F.size("p") == 12).select("stem", "p").mapInPandas(run, "stem string, " + ", ".join(f"{n} double" for n in names))
 
 
+def stem_index(paths: DataFrame) -> DataFrame:
+    """(stem, path) of (path): files by stem; of those with one stem, the last by path."""
+    return paths.groupBy(stem(F.col("path")).alias("stem")).agg(F.max("path").alias("path"))
+
+
+def read_npy(spark: SparkSession, folder: str, pattern: str = "*.npy") -> DataFrame:
+    """(stem, k, valid): 3 x 3 or 3 x 4 matrices of .npy files, the left three columns row by row; NULL for other shapes."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            arrays = [np.load(io.BytesIO(x), allow_pickle=False) for x in batch["content"]]
+            k = [a[:, :3].astype(float).ravel().tolist() if a.ndim == 2 and a.shape[0] == 3 and a.shape[1] >= 3 else None for a in arrays]
+            yield pd.DataFrame({"stem": batch["stem"], "k": pd.Series(k, dtype=object)})
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select(stem(F.col("path")).alias("stem"), "content")
+    return files.mapInPandas(run, "stem string, k array<double>").withColumn("valid", valid_intrinsics(F.col("k")))
+
+
 def pair_with_images(images: DataFrame, cameras: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(both, images without a camera, cameras without an image), paired by stem; both are numbered by stem as img_id."""
+    """(both, images without a camera, cameras without an image), paired by stem; both are numbered by stem as img_id, which one
+    task does, as there is a row for each image. Stems are to be unique on either side: see stem_index."""
     both = images.join(cameras, "stem").withColumn("img_id", (F.row_number().over(Window.orderBy("stem")) - 1).cast("int"))
     return both, images.join(cameras, "stem", "left_anti"), cameras.join(images, "stem", "left_anti")
 

@@ -111,11 +111,61 @@ def border(on: np.ndarray) -> list[tuple[int, int]]:
         at, back = nxt, (way + 5) % 8
 
 
-def contours(files: DataFrame, samples: int = 150, least: int = 50) -> DataFrame:
-    """(img_id, idx, x, y): up to `samples` points along the shorter of the dark and the bright object's border with `least`."""
+def objects(on: np.ndarray) -> list[tuple[np.ndarray, int, int]]:
+    """The 8-connected objects of a mask, each as a mask of its bounding box and the box's first row and column; by runs of rows."""
+    edges = np.diff(np.pad(on, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    rows, starts = np.nonzero(edges == 1)
+    ends = np.nonzero(edges == -1)[1]  # past the last
+    parent = list(range(len(rows)))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    first = np.searchsorted(rows, np.arange(on.shape[0] + 1))
+    for y in range(1, on.shape[0]):
+        above, here = first[y - 1], first[y]
+        while above < first[y] and here < first[y + 1]:
+            if starts[above] <= ends[here] and starts[here] <= ends[above]:
+                parent[root(int(above))] = root(int(here))
+            if ends[above] < ends[here]:
+                above += 1
+            else:
+                here += 1
+    label = np.array([root(k) for k in range(len(rows))], int)
+    out = []
+    for one in np.unique(label):
+        runs = np.flatnonzero(label == one)
+        top, left = int(rows[runs].min()), int(starts[runs].min())
+        mask = np.zeros((int(rows[runs].max()) - top + 1, int(ends[runs].max()) - left), bool)
+        for k in runs.tolist():
+            mask[rows[k] - top, starts[k] - left : ends[k] - left] = True
+        out.append((mask, top, left))
+    return out
+
+
+def largest_border(on: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """The outer border of the object whose border encloses the most, if it has `least` points; else nothing."""
+
+    def enclosed(line: list[tuple[int, int]]) -> float:
+        x, y = np.array(line, float).T
+        return abs(float(x @ np.roll(y, -1) - y @ np.roll(x, -1))) / 2
+
+    found = [[(x + left, y + top) for x, y in border(mask)] for mask, top, left in objects(on) if 2 * sum(mask.shape) >= least / 2]
+    line = max(found, key=lambda b: (enclosed(b), len(b)), default=[])
+    return line if len(line) >= least else []
+
+
+def contours(files: DataFrame, samples: int = 150, least: int = 50, polarity: str = "shorter") -> DataFrame:
+    """(img_id, idx, x, y): up to `samples` points along the border of the largest dark or bright object with `least` border points;
+    polarity: dark, bright, or the one with the shorter border."""
+    kinds = {"dark": [True], "bright": [False], "shorter": [True, False]}[polarity]
 
     def make(image: np.ndarray) -> list[tuple[int, float, float]]:
-        found = [b for on in (image[..., 0] < 128, image[..., 0] >= 128) if len(b := border(on)) >= least]
+        dark = image[..., 0] < 128
+        found = [b for kind in kinds if (b := largest_border(dark if kind else ~dark, least))]
         if not found:
             return []
         line = min(found, key=len)
@@ -125,6 +175,11 @@ def contours(files: DataFrame, samples: int = 150, least: int = 50) -> DataFrame
     return _per_image(files, make, "img_id int, idx int, x double, y double", ["img_id", "idx", "x", "y"])
 
 
+def contour_features(contours_: DataFrame) -> DataFrame:
+    """(img_id, kp_id, x, y, desc): contour points as keypoints, without descriptors."""
+    return contours_.select("img_id", F.col("idx").alias("kp_id"), "x", "y", F.lit(None).cast("array<double>").alias("desc"))
+
+
 def _blurred(image: np.ndarray, sigma: float) -> np.ndarray:
     reach = int(np.ceil(3 * sigma))
     kernel = np.exp(-np.arange(-reach, reach + 1) ** 2 / (2 * sigma**2))
@@ -135,34 +190,53 @@ def _blurred(image: np.ndarray, sigma: float) -> np.ndarray:
     return image
 
 
-def features(files: DataFrame, contrast: float = 0.04, sigma: float = 1.6, most: int = 2000) -> DataFrame:
-    """(img_id, kp_id, x, y, desc): extrema of differences of Gaussians at one octave, with 4 x 4 cells of 8 gradient directions."""
+def _described(base: np.ndarray, contrast: float, sigma: float) -> list[tuple[float, float, float, list[float]]]:
+    """(strength, x, y, descriptor) of the extrema of one octave. The 4 x 4 cells of 8 gradient directions are turned to the
+    strongest direction around the point."""
+    stack = np.stack([_blurred(base, sigma * 2 ** (k / 3)) for k in range(5)])
+    dog = np.diff(stack, axis=0)
+    around = np.lib.stride_tricks.sliding_window_view(np.pad(dog, 1, "edge"), (3, 3, 3))
+    strong = (np.abs(dog) > contrast / 3) & ((dog >= around.max(axis=(-3, -2, -1))) | (dog <= around.min(axis=(-3, -2, -1))))
+    layers, ys, xs = np.nonzero(strong[1:3])
+    inside = (ys >= 8) & (ys < base.shape[0] - 8) & (xs >= 8) & (xs < base.shape[1] - 8)
+    layers, ys, xs = layers[inside], ys[inside], xs[inside]
+    strength = np.abs(dog[layers + 1, ys, xs])
+    order = np.argsort(-strength, kind="stable")
+    _, once = np.unique(ys[order] * base.shape[1] + xs[order], return_index=True)
+    order = order[np.sort(once)]
+    gy, gx = np.gradient(stack[1])
+    size, turn = np.hypot(gx, gy), np.arctan2(gy, gx) / (2 * np.pi)
+    offset = np.arange(-8, 8)
+    out = []
+    for low in range(0, len(order), 2_000):
+        at = order[low : low + 2_000]
+        y, x = ys[at][:, None, None] + offset[:, None], xs[at][:, None, None] + offset[None, :]
+        near, way = size[y, x], turn[y, x]
+        n = np.arange(len(at))[:, None, None]
+        peaks = np.bincount((n * 36 + (way * 36).astype(int) % 36).ravel(), near.ravel(), 36 * len(at)).reshape(-1, 36).argmax(axis=1) / 36
+        dy, dx = np.meshgrid(offset + 0.5, offset + 0.5, indexing="ij")
+        c, s = np.cos(2 * np.pi * peaks)[:, None, None], np.sin(2 * np.pi * peaks)[:, None, None]
+        cell_x, cell_y = (np.clip(((v + 8) // 4).astype(int), 0, 3) for v in (c * dx + s * dy, c * dy - s * dx))
+        cell = (n * 16 + cell_y * 4 + cell_x) * 8 + (((way - peaks[:, None, None]) % 1) * 8).astype(int) % 8
+        desc = np.bincount(cell.ravel(), near.ravel(), 128 * len(at)).reshape(-1, 128)
+        desc = np.minimum(desc / (np.linalg.norm(desc, axis=1, keepdims=True) + 1e-12), 0.2)
+        desc /= np.linalg.norm(desc, axis=1, keepdims=True) + 1e-12
+        out += list(zip(strength[at].tolist(), xs[at].astype(float).tolist(), ys[at].astype(float).tolist(), desc.tolist()))
+    return out
+
+
+def features(files: DataFrame, contrast: float = 0.04, sigma: float = 1.6, most: int = 0, octaves: int = 4) -> DataFrame:
+    """(img_id, kp_id, x, y, desc): extrema of differences of Gaussians over octaves, each of half the size of the one before, the
+    strongest first; all of them, or the `most` strongest where that is given."""
 
     def make(image: np.ndarray) -> list[tuple[int, float, float, list[float]]]:
-        base = gray(image) / 255
-        if min(base.shape) < 20:
-            return []
-        stack = np.stack([_blurred(base, sigma * 2 ** (k / 3)) for k in range(5)])
-        dog = np.diff(stack, axis=0)
-        around = np.lib.stride_tricks.sliding_window_view(np.pad(dog, 1, "edge"), (3, 3, 3))
-        strong = (np.abs(dog) > contrast / 3) & ((dog >= around.max(axis=(-3, -2, -1))) | (dog <= around.min(axis=(-3, -2, -1))))
-        layers, ys, xs = np.nonzero(strong[1:3])
-        order = np.argsort(-np.abs(dog[layers + 1, ys, xs]), kind="stable")
-        gy, gx = np.gradient(stack[1])
-        size, turn = np.hypot(gx, gy), ((np.arctan2(gy, gx) / (2 * np.pi) * 8) % 8).astype(int) % 8
-        out, taken = [], set()
-        for k in order.tolist():
-            y, x = int(ys[k]), int(xs[k])
-            if (y, x) in taken or not (8 <= y < base.shape[0] - 8 and 8 <= x < base.shape[1] - 8):
-                continue
-            taken.add((y, x))
-            cut_size, cut_turn = size[y - 8 : y + 8, x - 8 : x + 8], turn[y - 8 : y + 8, x - 8 : x + 8]
-            cell = (np.arange(16)[:, None] // 4 * 4 + np.arange(16)[None, :] // 4) * 8 + cut_turn
-            desc = np.bincount(cell.ravel(), cut_size.ravel(), 128)
-            desc = np.minimum(desc / (np.linalg.norm(desc) + 1e-12), 0.2)
-            out.append((len(out), float(x), float(y), (desc / (np.linalg.norm(desc) + 1e-12)).tolist()))
-            if len(out) == most:
+        base, found = gray(image) / 255, []
+        for octave in range(octaves):
+            if min(base.shape) < 20:
                 break
-        return out
+            found += [(w, x * 2**octave, y * 2**octave, d) for w, x, y, d in _described(base, contrast, sigma)]
+            base = _blurred(base, 2 * sigma)[::2, ::2]
+        found.sort(key=lambda f: -f[0])
+        return [(k, x, y, d) for k, (_, x, y, d) in enumerate(found[:most] if most else found)]
 
     return _per_image(files, make, "img_id int, kp_id int, x double, y double, desc array<double>", ["img_id", "kp_id", "x", "y", "desc"])

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from manyview.plans import queries
+from manyview.plans import relations as queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = ["nation", "part", "lineitem", "embeddings"]
