@@ -5,17 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from manyview.session import cut
-
 #: A key with at least one in HOT_SHARE of all rows is hot; so there are at most HOT_SHARE hot keys, which may be sent to all tasks.
 HOT_SHARE = 1_000
 
 
-def hot_keys(counts: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, salts) of the hot keys; counts: (keys, n), how many rows there are of each."""
-    whole = counts.agg(F.sum("n").alias("whole"))
-    salts = F.ceil(F.col("n") * HOT_SHARE / F.col("whole")).cast("int")
-    return cut(counts.join(F.broadcast(whole)).where(F.col("n") * HOT_SHARE >= F.col("whole")).select(*keys, salts.alias("salts")))
+def hot_keys(counts: DataFrame, keys: list[str], whole: int) -> DataFrame:
+    """(keys, salts) of the hot keys as a local table; counts: (keys, n), how many rows there are of each; whole: of how many."""
+    salts = F.ceil(F.col("n") * HOT_SHARE / F.lit(max(1, whole))).cast("int")
+    hot = counts.where(F.col("n") * HOT_SHARE >= whole).select(*keys, salts.alias("salts"))
+    return counts.sparkSession.createDataFrame(hot.toArrow(), hot.schema)
 
 
 def joined_by_hot_key(many: DataFrame, other: DataFrame, hot: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
