@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from manyview.session import cut
 
 MOST_ROUNDS = 60
+#: Of a partition, about.
+LINKS = 200_000
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -33,11 +35,16 @@ def _state(links: DataFrame) -> tuple:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, label) of each node that has a link (a, b); label: the smallest id of its component."""
+    """(node, label) of each node that has a link (a, b); label: the smallest id of its component.
+
+    Links get fewer from round to round, and so do the partitions that they lie in. Where many links share a node, the joins
+    of a round are left to Spark's splitting of skewed partitions.
+    """
     now = cut(links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = _state(now)
     for _ in range(MOST_ROUNDS):
-        now = cut(_star(_star(now, True), False))
+        parts = max(1, -(-state[0] // LINKS))
+        now = cut(_star(_star(now, True).coalesce(parts), False).coalesce(parts))
         before, state = state, _state(now)
         if before == state:
             break
