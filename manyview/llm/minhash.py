@@ -269,9 +269,10 @@ def of_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(ids.hint(how), F.col("doc_id") == F.col("need"), "left_semi")
 
 
-def _met(many: DataFrame, other: DataFrame, key: str) -> DataFrame:
-    """Joined by a key that may be hot in `many`: the head of a large group meets all its members."""
-    return joined_by_hot_key(many, other, hot_keys(many.groupBy(key).agg(F.count(F.lit(1)).alias("n")), [key]), [key])
+def _met_heads(pairs: DataFrame, other: DataFrame) -> DataFrame:
+    """pairs joined by b: the head of a large group meets all its members, while no row is often on the other side."""
+    counts = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
+    return joined_by_hot_key(pairs, other, hot_keys(counts, ["b"], pairs.count()), ["b"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -279,7 +280,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     least, of = SIMILARITY
     x = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
     y = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
-    both = _met(_met(pairs, x, "a"), y, "b")
+    both = _met_heads(pairs.join(x, "a"), y)
     common = F.size(F.array_intersect("x", "y"))
     kept = both.select("a", "b", common.alias("c"), (F.size("x") + F.size("y")).alias("t"))
     return kept.where(F.col("c") * of >= (F.col("t") - F.col("c")) * least).select("a", "b")
@@ -290,9 +291,21 @@ def sets_of(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
 
 
 def counted_shingles(sets: DataFrame) -> np.ndarray:
-    """How many sets have a shingle of each of COUNTERS hash values; that many numbers at most come to the driver."""
-    key = F.col("shingle").bitwiseAND(F.lit(COUNTERS - 1)).cast("int").alias("key")
-    counts = sets.select(F.explode("shingles").alias("shingle")).groupBy(key).agg(F.count(F.lit(1)).alias("n")).toPandas()
+    """How many sets have a shingle of each of COUNTERS hash values. A task counts in a table of that size, few tasks go over all
+    sets, Spark adds up their counts, and COUNTERS numbers at most come to the driver."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for x in batch.column(0):
+                total[x.values.to_numpy() & (COUNTERS - 1)] += 1
+        at = np.flatnonzero(total)
+        for low in range(0, len(at), 1 << 16):
+            some = at[low : low + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some])], ["key", "n"])
+
+    tasks = sets.sparkSession.sparkContext.defaultParallelism
+    counts = sets.select("shingles").coalesce(tasks).mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(COUNTERS, np.int64)
     out[counts["key"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
     return out
@@ -327,7 +340,7 @@ def sharing_a_rare_shingle(rows: DataFrame, sets: DataFrame, bands: int, band_ro
     marked = cut(first.join(rows, "doc_id"))
     a, b = _as(marked.where("loose"), "a_", "shingle"), _as(marked, "b_", "shingle")
     left = F.least(F.col("a_n") - F.col("a_nth"), F.col("b_n") - F.col("b_nth"))
-    met = _met(a, b, "shingle").where((left * (of + least) >= (F.col("a_n") + F.col("b_n")) * least) & _may_link(bands, band_rows))
+    met = a.join(b, "shingle").where((left * (of + least) >= (F.col("a_n") + F.col("b_n")) * least) & _may_link(bands, band_rows))
     return met.select(F.col("a_doc_id").alias("a"), F.col("b_doc_id").alias("b")).distinct()
 
 
@@ -338,9 +351,10 @@ def _may_link(bands: int, rows: int) -> Column:
 
 def near_links(unique: DataFrame, docs: DataFrame, width: int = WIDTH, bands: int = BANDS, band_rows: int = ROWS) -> DataFrame:
     """Links (a, b) that join all that is similar among `unique` (rows of `sign` with different fingerprints)."""
+    n_docs = unique.count()
     buckets = unique.select("doc_id", F.explode("bands").alias("key"))
     sizes = cut(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"))
-    hot = hot_keys(sizes.withColumnRenamed("rows", "n"), ["key"])
+    hot = hot_keys(sizes.withColumnRenamed("rows", "n"), ["key"], bands * n_docs)
     shared = cut(joined_by_hot_key(buckets, sizes, hot, ["key"]))
     crowd = shared.groupBy("doc_id").agg(F.sum("rows").alias("crowd"))
     heads = shared.join(crowd, "doc_id").groupBy("key").agg(F.max(F.struct("crowd", (-F.col("doc_id")).alias("less"))).alias("most"))
@@ -348,8 +362,8 @@ def near_links(unique: DataFrame, docs: DataFrame, width: int = WIDTH, bands: in
     members = cut(joined_by_hot_key(shared, heads, hot, ["key"]).select("key", "rows", "doc_id", "head"))
     rows = unique.drop("bands", "f1", "f2")
     first = members.where(F.col("doc_id") != F.col("head")).select(F.col("doc_id").alias("a"), F.col("head").alias("b")).distinct()
-    first = cut(first).join(_as(rows, "a_").withColumnRenamed("a_doc_id", "a"), "a")
-    first = _met(first, _as(rows, "b_").withColumnRenamed("b_doc_id", "b"), "b")
+    first = first.join(_as(rows, "a_").withColumnRenamed("a_doc_id", "a"), "a")
+    first = _met_heads(cut(first), _as(rows, "b_").withColumnRenamed("b_doc_id", "b"))
     first = cut(first.where(_sizes_near() & _near_sketches(bands, band_rows)).select("a", "b"))
     links = cut(verified(first, sets_of(docs, first, width)))
     labels = cut(components(links))
@@ -357,7 +371,7 @@ def near_links(unique: DataFrame, docs: DataFrame, width: int = WIDTH, bands: in
     # What the first round left: rows that are not in the class of their bucket's head.
     state = members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
     of_head = labels.select(F.col("node").alias("head"), F.col("label").alias("head_label"))
-    by_head = hot_keys(members.groupBy("head").agg(F.count(F.lit(1)).alias("n")), ["head"])
+    by_head = hot_keys(members.groupBy("head").agg(F.count(F.lit(1)).alias("n")), ["head"], bands * n_docs)
     state = joined_by_hot_key(state, of_head, by_head, ["head"], "left").withColumn("loose", F.col("label") != F.coalesce("head_label", "head"))
     state = cut(state.select("key", "rows", "doc_id", "label", "loose"))
     open_keys = state.where("loose").select("key").distinct()
@@ -379,20 +393,22 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, row
     """(doc_id, class_id, class_size) of each document; class_id: the smallest doc_id of its class."""
     docs = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
     signed = cut(sign(docs, width, bands, rows))
+    n_docs = signed.count()
     equal = cut(signed.groupBy("f1", "f2").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")))
     prints = signed.select("doc_id", "f1", "f2")
-    members = joined_by_hot_key(prints, equal.drop("n"), hot_keys(equal.select("f1", "f2", "n"), ["f1", "f2"]), ["f1", "f2"])
+    members = joined_by_hot_key(prints, equal.drop("n"), hot_keys(equal.select("f1", "f2", "n"), ["f1", "f2"], n_docs), ["f1", "f2"])
     members = cut(members.select("doc_id", "first").distinct())
-    unique = signed.join(equal.select("f1", "f2", F.col("first").alias("doc_id")), ["doc_id", "f1", "f2"], "left_semi").dropDuplicates(["doc_id", "f1", "f2"])
+    unique = signed.join(equal.select("f1", "f2", F.col("first").alias("doc_id")), ["doc_id", "f1", "f2"], "left_semi")
+    unique = cut(unique.dropDuplicates(["doc_id", "f1", "f2"]))
     # Only one document of each set of equal ones is in links; and a document of several texts links theirs.
     several = members.groupBy("doc_id").agg(F.min("first").alias("b"), F.max("first").alias("most")).where("b <> most")
     tied = members.join(several.select("doc_id", "b"), "doc_id").select(F.col("first").alias("a"), "b").where("a <> b")
     labels = cut(components(near_links(unique, docs, width, bands, rows).unionAll(tied))).withColumnRenamed("node", "first")
-    by_first = hot_keys(members.groupBy("first").agg(F.count(F.lit(1)).alias("n")), ["first"])
+    by_first = hot_keys(equal.groupBy("first").agg(F.sum("n").alias("n")), ["first"], n_docs)
     named = joined_by_hot_key(members, labels, by_first, ["first"], "left")
     named = cut(named.groupBy("doc_id").agg(F.min(F.coalesce("label", "first")).alias("class_id")))
     sizes = cut(named.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size")))
-    hot = hot_keys(sizes.withColumnRenamed("class_size", "n"), ["class_id"])
+    hot = hot_keys(sizes.withColumnRenamed("class_size", "n"), ["class_id"], n_docs)
     return joined_by_hot_key(named, sizes, hot, ["class_id"]).select("doc_id", "class_id", "class_size")
 
 

@@ -269,7 +269,7 @@ def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
     found = cut(mentions(docs))
     counted = cut(found.groupBy("kind", "canon").agg(F.count(F.lit(1)).alias("n")))
     table_ = surrogates(counted.select("kind", "canon"), key)
-    filled = joined_by_hot_key(found, table_, hot_keys(counted, ["kind", "canon"]), ["kind", "canon"]).withColumn("new", rendered(F.col("kind"), F.col("mention"), F.col("replacement")))
+    filled = joined_by_hot_key(found, table_, hot_keys(counted, ["kind", "canon"], found.count()), ["kind", "canon"]).withColumn("new", rendered(F.col("kind"), F.col("mention"), F.col("replacement")))
     by_doc = filled.groupBy(F.col("doc_id").alias("of_id"), F.col("text_key").alias("of_text")).agg(F.sort_array(F.collect_set(F.struct("nth", "new", "kind"))).alias("found"))
     keyed = docs.select("doc_id", "text").withColumn("text_key", F.xxhash64("text"))
     same = F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_key") == F.col("of_text"))
