@@ -118,6 +118,7 @@ def export(folder: str, tables: dict[str, DataFrame]) -> None:
 def report(points: DataFrame, kps: DataFrame, track_obs: DataFrame, cameras: DataFrame, judged: DataFrame, width: int, height: int, most: int = 3000) -> dict[str, DataFrame]:
     """The relations of a reconstruction's diagnostics, ready for `export`: keypoint and long-track heat cells, counts of
     projections, points to draw, residuals, and what the cleanup removed."""
+    kps, track_obs = kps.select("img_id", "kp_id", "x", "y"), track_obs.select("track_id", "img_id", "kp_id")
     obs = track_obs.join(kps.select("img_id", "kp_id", F.col("x").alias("u"), F.col("y").alias("v")), ["img_id", "kp_id"]).select("track_id", "img_id", "u", "v")
     return {
         "keypoint_cells": heat_cells(kps, width, height),

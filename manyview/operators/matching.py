@@ -32,6 +32,7 @@ def window_pairs(images: DataFrame, window: int) -> DataFrame:
 
 
 ROWS_AT_ONCE = 1024
+DESCRIPTORS = 4096
 NEARLY = 1e-6
 
 
@@ -56,10 +57,13 @@ def _nearest(left: np.ndarray, right: np.ndarray, ids: np.ndarray) -> Iterator[t
 def two_nearest(desc: DataFrame, pairs: DataFrame) -> DataFrame:
     """(i, j, a, b, place, dist): for each keypoint a of i its two nearest of j.
 
-    An image's descriptors travel as one row, so a pair of images is a row with two blocks, and not a row for each pair of
-    keypoints. The keypoints of one image bound a block.
+    An image's descriptors travel in blocks of about DESCRIPTORS, so a pair of images is a few rows with two blocks each, and
+    not a row for each pair of keypoints; the nearest of all blocks of j are the nearest.
     """
-    blocks = desc.groupBy("img_id").agg(F.sort_array(F.collect_list(F.struct("kp_id", F.col("desc").cast("array<double>").alias("v")))).alias("rows"))
+    counts = desc.groupBy("img_id").agg(F.ceil(F.count(F.lit(1)) / DESCRIPTORS).cast("int").alias("parts"))  # a row for each image
+    part = F.pmod(F.xxhash64("kp_id"), F.col("parts")).alias("part")
+    dealt = desc.join(F.broadcast(counts), "img_id").select("img_id", part, "kp_id", F.col("desc").cast("array<double>").alias("v"))
+    blocks = dealt.groupBy("img_id", "part").agg(F.sort_array(F.collect_list(F.struct("kp_id", "v"))).alias("rows"))
     sides = [blocks.select(F.col("img_id").alias(k), F.col("rows.kp_id").alias(f"{k}_ids"), F.flatten("rows.v").alias(f"{k}_rows")) for k in "ij"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,12 +71,14 @@ def two_nearest(desc: DataFrame, pairs: DataFrame) -> DataFrame:
             for at in range(batch.num_rows):
                 i, j, left_ids, left, right_ids, right = (c[at].values.to_numpy() if k > 1 else c[at].as_py() for k, c in enumerate(batch.columns))
                 found = list(_nearest(left.reshape(len(left_ids), -1), right.reshape(len(right_ids), -1), right_ids))
-                rows = [(i, j, int(left_ids[a]), b, place, dist) for a, place, b, dist in found]
-                kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.float64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["i", "j", "a", "b", "place", "dist"])
+                rows = [(i, j, int(left_ids[a]), b, dist) for a, _, b, dist in found]
+                kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.float64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["i", "j", "a", "b", "dist"])
 
     met = pairs.join(sides[0], "i").join(sides[1], "j").select("i", "j", "i_ids", "i_rows", "j_ids", "j_rows")
-    return met.mapInArrow(run, "i int, j int, a int, b int, place int, dist double")
+    found = met.mapInArrow(run, "i int, j int, a int, b int, dist double")
+    two = found.groupBy("i", "j", "a").agg(F.slice(F.sort_array(F.collect_list(F.struct("dist", "b"))), 1, 2).alias("two"))  # two of each block
+    return two.select("i", "j", "a", F.posexplode("two").alias("nth", "hit")).select("i", "j", "a", "hit.b", (F.col("nth") + 1).alias("place"), "hit.dist")
 
 
 def ratio_test(nearest: DataFrame, ratio: float) -> DataFrame:

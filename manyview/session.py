@@ -28,9 +28,12 @@ def ship_package(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share, which the session names in spark.checkpoint.dir; a temporary one where it names
+    none and all runs on one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
+    if not named and not context.getCheckpointDir() and not (context.master == "local" or context.master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
     if not context.getCheckpointDir():
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="manyview-"))
     return named or context.getCheckpointDir()

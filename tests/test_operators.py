@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from manyview.functions import text
 from manyview.functions.projection import quaternion, undistorted
-from manyview.operators import adjust, cleanup, errors, graph, matching, register, tracks, triangulate, twoview
+from manyview.operators import adjust, cleanup, diagnostics, errors, graph, matching, register, tracks, triangulate, twoview
 from manyview.plans import queries, reconstruct, scene
 from manyview.plans.config import PRESETS, Config
 from manyview.session import cut
@@ -379,3 +379,85 @@ def test_stream_appends(spark, tmp_path):
         spark.createDataFrame(rows, MATCHES).write.mode("append").parquet(str(tmp_path / "in"))
         append_matches(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+
+
+def test_two_nearest_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(i, k, rng.integers(0, 4, 6).astype(float).tolist()) for i in (0, 1) for k in range(40)]
+    df = spark.createDataFrame(rows, "img_id int, kp_id int, desc array<double>")
+    pairs = spark.createDataFrame([(0, 1)], "i int, j int")
+    whole = sorted(map(tuple, matching.two_nearest(df, pairs).collect()))
+    monkeypatch.setattr(matching, "DESCRIPTORS", 7)
+    assert sorted(map(tuple, matching.two_nearest(df, pairs).collect())) == whole and len(whole) == 80
+    for a in range(40):
+        far = sorted((round(float(np.linalg.norm(np.array(rows[a][2]) - np.array(v))), 9), k) for i, k, v in rows if i == 1)[:2]
+        assert sorted((r[5], r[3]) for r in whole if r[2] == a) == far
+
+
+def test_objects_and_largest_border():
+    from manyview.sources.images import border, largest_border, objects
+
+    on = np.zeros((40, 60), bool)
+    on[0, 0] = on[1, 1] = True  # touch by a corner
+    on[10:30, 20:50] = True
+    on[15:25, 25:45] = False  # a hole
+    on[18:20, 30:32] = True
+    on[35, 3:9] = True
+    found = sorted((int(m.sum()), top, left) for m, top, left in objects(on))
+    assert found == [(2, 0, 0), (4, 18, 30), (6, 35, 3), (400, 10, 20)]
+    line = largest_border(on, 50)
+    assert len(line) == 2 * (20 + 30) - 4 and min(line) == (20, 10) and max(line) == (49, 29)
+    assert largest_border(on, 200) == [] and largest_border(np.zeros((5, 5), bool), 1) == [] and border(np.zeros((3, 3), bool)) == []
+
+
+def test_features_over_octaves(spark):
+    from manyview.sources.images import _described
+
+    y, x = np.mgrid[0:160, 0:160]
+    image = np.exp(-((x - 70) ** 2 + (y - 80) ** 2) / 20) + 0.6 * np.exp(-((x - 78) ** 2 + (y - 80) ** 2) / 9)  # a blob with a tail
+    first, turned = (np.array([d for *_, d in sorted(_described(v, 0.04, 1.6), reverse=True)[:2]]) for v in (image, np.rot90(image)))
+    assert (turned @ first.T).max() > 0.9
+    assert len(_described(np.zeros((64, 64)), 0.04, 1.6)) == 0
+
+
+def test_npy_and_stems(spark, tmp_path):
+    np.save(tmp_path / "a.npy", np.array([[700, 0, 512], [0, 700, 384], [0, 0, 1.0]]))
+    np.save(tmp_path / "b.npy", np.zeros(4))
+    got = {r["stem"]: r for r in calibration.read_npy(spark, str(tmp_path)).collect()}
+    assert got["a"]["k"] == [700, 0, 512, 0, 700, 384, 0, 0, 1] and got["a"]["valid"] and got["b"]["k"] is None and not got["b"]["valid"]
+    paths = spark.createDataFrame([("/x/a.ppm",), ("/y/a.pgm",), ("/x/b.ppm",)], "path string")
+    assert {tuple(r) for r in calibration.stem_index(paths).collect()} == {("a", "/y/a.pgm"), ("b", "/x/b.ppm")}
+
+
+@pytest.mark.parametrize("loss", sorted(adjust.LOSSES))
+def test_losses(loss):
+    """The weight is the derivative of the loss; a small residual counts as its square, but for none is it more."""
+    value, weight = adjust.LOSSES[loss]
+    z = np.array([1e-6, 0.3, 0.9, 2.0, 50.0])
+    assert np.allclose((value(z + 1e-7) - value(z - 1e-7)) / 2e-7, weight(z), rtol=1e-3) and np.allclose(value(z[:1]), z[:1]) and (value(z) <= z + 1e-12).all()
+
+
+def test_adjustment_of_chosen_images(spark):
+    s = queries.Scene(spark, SF)
+    obs, cameras = s.obs.cache(), s.cameras.cache()
+    points = triangulate.triangulate(obs, cameras, 2).select("track_id", "x", "y", "z").cache()
+    images = sorted(r["img_id"] for r in obs.select("img_id").distinct().collect())[:4]
+    moved, placed = adjust.run(points, obs, cameras, images, 40, 10, 30)
+    assert moved.count() == points.count() and placed.count() == cameras.count()
+    changed = moved.join(points.toDF("track_id", "a", "b", "c"), "track_id").where("x <> a or y <> b or z <> c").count()
+    assert 10 <= changed <= 40
+    same = placed.join(cameras.select("img_id", F.col("tx").alias("was")), "img_id").where("tx = was").count()
+    assert same >= cameras.count() - 3 and placed.where(F.col("img_id") == images[0]).first()["tx"] == pytest.approx(cameras.where(F.col("img_id") == images[0]).first()["tx"])
+    nothing, as_before = adjust.run(points, obs, cameras, images, 40, 10_000, 30)
+    assert nothing is points and as_before is cameras
+
+
+def test_report_is_written_and_read(spark, tmp_path):
+    s = queries.Scene(spark, SF)
+    kps = s.kps
+    track_obs = kps.select("track_id", "img_id", "kp_id")
+    judged = cleanup.strict(s.points, s.obs, s.cameras)
+    tables = diagnostics.report(s.points, kps, track_obs, s.cameras, judged, 1024, 768, most=50)
+    diagnostics.export(str(tmp_path), tables)
+    for name, table in tables.items():
+        assert spark.read.parquet(str(tmp_path / name)).count() == table.count() > 0
