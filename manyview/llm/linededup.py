@@ -3,12 +3,14 @@
 Documents come in batches of rising doc_id. The keys of all earlier batches lie in sorted runs, bucketed by hash. A
 batch's own keys are merge-anti-joined with every run; what is left is new and becomes a run of level 0 that also holds
 the first document of each key. As soon as a level has `fanout` runs, they are merged into one of the next level. A line
-goes if its key isn't new in its batch, or is new but first held by an earlier document of the batch.
+goes if its key isn't new in its batch, or is new but first held by an earlier document of the batch. The number of batches is a
+parameter: all documents at hand in few batches, as here, or one for each delivery. Partitions that a very common
+line fills are split by Spark where lines meet their keys.
 
 Defined results: a null or empty text is one empty line and stays as it is; keys shorter than min_chars never go; rows
 with a null doc_id keep all lines and shield none; rows that share a doc_id count as one document, so lines that only
-they share stay; a document whose lines all go has the empty text; an empty table gives no rows; other columns are kept
-by `dedup_lines`, but for those named n_lines, n_dropped and kept, which it replaces.
+they share stay, but each row keeps its own lines; repeated rows are alike; a document whose lines all go has the empty text; an empty table gives no rows; other columns are kept
+by `dedup_lines`, but for those named n_lines, n_dropped and kept, which it replaces, and those of WORK, which it drops.
 """
 
 from __future__ import annotations
@@ -22,6 +24,9 @@ from manyview.llm.common import ascii_lower, scratch, table, text_or_empty
 
 STRIPPED = " \t\n\x0b\x0c\r"
 OUT = ("n_lines", "n_dropped", "kept")
+WORK = ("gone_id", "gone_key", "gone_pos", "lines", "whole")
+#: With it, Spark takes the order of a bucket's one file as it is and doesn't sort runs again.
+RUN_ORDER = "spark.sql.legacy.bucketedTableScan.outputOrdering"
 
 
 def lines_of(text: Column) -> Column:
@@ -33,10 +38,10 @@ def line_key(line: Column) -> Column:
 
 
 def hashed_lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(doc_id, pos, h1, h2): the lines that may go, their keys as 128 bits of hash."""
-    lines = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.posexplode(lines_of(text_or_empty())).alias("pos", "line"))
-    keys = lines.where(F.length("line") >= min_chars).select("doc_id", "pos", line_key(F.col("line")).alias("key"))
-    return keys.where(F.length("key") >= min_chars).select("doc_id", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), F.col("key")).alias("h2"))
+    """(doc_id, text_key, pos, h1, h2): the lines that may go, their keys as 128 bits of hash."""
+    lines = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(lines_of(text_or_empty())).alias("pos", "line"))
+    keys = lines.where(F.length("line") >= min_chars).select("doc_id", "text_key", "pos", line_key(F.col("line")).alias("key"))
+    return keys.where(F.length("key") >= min_chars).select("doc_id", "text_key", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), F.col("key")).alias("h2"))
 
 
 class Runs:
@@ -84,7 +89,7 @@ class Runs:
 
 
 def dropped_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4, fanout: int = 3) -> DataFrame:
-    """(doc_id, pos) of the lines that go."""
+    """(doc_id, text_key, pos) of the lines that go."""
     spark = docs.sparkSession
     bounds = docs.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01) if batches > 1 else []
     batch = reduce(lambda a, b: a + b, [(F.col("doc_id") > bound).cast("int") for bound in bounds], F.lit(0))
@@ -92,24 +97,35 @@ def dropped_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4, fanout
     hashed_lines(docs, min_chars).withColumn("batch", batch).write.partitionBy("batch").option("compression", "uncompressed").parquet(staged)
     kind = docs.schema["doc_id"].dataType.simpleString()
     runs, gone = Runs(spark, fanout), []
-    for i in range(len(bounds) + 1):
-        own = spark.read.schema(f"doc_id {kind}, pos int, h1 long, h2 long, batch int").parquet(staged).where(F.col("batch") == i).drop("batch")
-        path = runs.add(runs.unseen(own.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"))))
-        new = spark.read.schema(f"h1 long, h2 long, first {kind}").parquet(path)
-        gone.append(own.join(new, ["h1", "h2"], "left").where(F.col("first").isNull() | (F.col("doc_id") > F.col("first"))).select("doc_id", "pos"))
-    runs.forget()
+    before = spark.conf.get(RUN_ORDER, None)
+    spark.conf.set(RUN_ORDER, "true")  # for the jobs below, which all end in here
+    try:
+        for i in range(len(bounds) + 1):
+            own = spark.read.schema(f"doc_id {kind}, text_key long, pos int, h1 long, h2 long, batch int").parquet(staged).where(F.col("batch") == i).drop("batch")
+            path = runs.add(runs.unseen(own.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"))))
+            new = spark.read.schema(f"h1 long, h2 long, first {kind}").parquet(path)
+            late = F.col("first").isNull() | (F.col("doc_id") > F.col("first"))
+            gone.append(own.join(new, ["h1", "h2"], "left").where(late).select("doc_id", "text_key", "pos"))
+    finally:
+        runs.forget()
+        spark.conf.unset(RUN_ORDER) if before is None else spark.conf.set(RUN_ORDER, before)
     return reduce(DataFrame.unionAll, gone)
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4, fanout: int = 3) -> DataFrame:
     """docs with n_lines, n_dropped and kept: the text without the lines that an earlier document holds."""
-    docs = docs.drop(*OUT)
-    gone = dropped_lines(docs, min_chars, batches, fanout).groupBy(F.col("doc_id").alias("gone_id")).agg(F.collect_list("pos").alias("gone_pos"))
-    joined = docs.join(gone.hint("shuffle_hash"), F.col("doc_id") == F.col("gone_id"), "left")
-    lines = lines_of(text_or_empty())
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone_pos"))
-    kept = F.when(F.col("gone_pos").isNull(), text_or_empty()).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
-    return joined.select(*docs.columns, F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.size("gone_pos"), F.lit(0)).cast("long").alias("n_dropped"), kept.alias("kept"))
+    docs = docs.drop(*OUT, *WORK)
+    gone = dropped_lines(docs, min_chars, batches, fanout)
+    gone = gone.groupBy(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).agg(F.collect_set("pos").alias("gone_pos"))
+    same = (F.col("doc_id") == F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_key"))
+    joined = docs.join(gone.hint("shuffle_hash"), same, "left")
+    # Lines in a step of their own: inside the function below they would be split anew for each line.
+    split = joined.select(*docs.columns, "gone_pos", lines_of(text_or_empty()).alias("lines"), text_or_empty().alias("whole"))
+    n = F.size("lines")
+    stay = F.array_except(F.sequence(F.lit(0), n - 1), F.col("gone_pos"))
+    left = F.array_join(F.transform(stay, lambda i: F.get(F.col("lines"), i)), "\n")
+    kept = F.when(F.col("gone_pos").isNull(), F.col("whole")).otherwise(left)
+    return split.select(*docs.columns, n.cast("long").alias("n_lines"), F.coalesce(F.size("gone_pos"), F.lit(0)).cast("long").alias("n_dropped"), kept.alias("kept"))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -229,6 +229,25 @@ def test_line_dedup(spark, batches, fanout):
     assert linededup.dedup_lines(empty_docs(spark)).count() == 0
 
 
+def test_line_dedup_uses_the_order_of_runs(spark):
+    """A batch is sorted once to be merged with any number of runs; a very long text, repeated rows and a common line."""
+    key = linededup.RUN_ORDER
+    runs = linededup.Runs(spark, 9)
+    keys = lambda low, high: spark.range(low, high).selectExpr("id as h1", "id * 7 as h2", "id as first")
+    for low in (0, 100, 200):
+        runs.add(keys(low, low + 60))
+    spark.conf.set(key, "true")
+    fresh = runs.unseen(keys(0, 300).repartition(3).groupBy("h1", "h2").agg({"first": "min"}))
+    plan = fresh._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 3 and plan.count("Sort [") == 1 and fresh.count() == 120
+    spark.conf.unset(key)
+    runs.forget()
+    rows = [(i, "one very common line\nown line number %d" % i) for i in range(50)] + [(60, "a line of a long text\n" * 50_000 + "one very common line")]
+    rows += [(3, "one very common line\nown line number 3"), (3, "another text of number 3\none very common line")]
+    got = sorted((r["doc_id"], r["n_lines"], r["n_dropped"]) for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted([(i, 2, int(i > 0)) for i in range(50)] + [(60, 50_001, 1), (3, 2, 1), (3, 2, 1)]) and spark.conf.get(key, None) in (None, "false")
+
+
 def test_line_dedup_null_ids(spark):
     df = spark.createDataFrame([(None, "the very same line"), (1, "the very same line"), (2, "the very same line")], "doc_id long, text string")
     assert sorted((r["doc_id"] or 0, r["kept"]) for r in linededup.dedup_lines(df).collect()) == [(0, "the very same line"), (1, "the very same line"), (2, "")]
