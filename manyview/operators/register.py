@@ -80,11 +80,15 @@ def incremental(matches: DataFrame, kps: DataFrame, track_obs: DataFrame, camera
     made = cut(seeds(matches, kps, track_obs, cameras, *order, most_error).withColumn("step", F.lit(0)))
     counts = [made.count()]
     images = cameras.count() if most_images is None else most_images
+    showing = {r["img_id"] for r in pixels.select("img_id").distinct().collect()}  # a row for each image
     while len(order) < images:
         chosen = next_image(scores(pixels, made, cameras, order)).first()
         if chosen is None:
             break
         order.append(chosen["img_id"])
+        if order[-1] not in showing:
+            counts.append(0)
+            continue
         seen = pixels.join(images_table(spark, order[-1:]), "img_id", "left_semi").select("track_id").join(made, "track_id", "left_anti")
         wanted = cut(pixels.join(seen, "track_id", "left_semi"))
         usable = triangulate_checked(wanted.join(images_table(spark, order), "img_id", "left_semi"), cameras, most_error, least_views)
