@@ -65,6 +65,8 @@ def test_bpe_rows(spark):
     for r in out:
         assert bytes(r["decoded"]).decode() == texts[r["doc_id"]]
         assert r["n_tokens"] == len(REFERENCE.encode_ordinary(texts[r["doc_id"]]))
+    odd = bpe.encode_decode(spark.createDataFrame([(None, "no id"), (None, None)], "doc_id long, text string"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    assert sorted((r["doc_id"], bytes(r["decoded"])) for r in odd.collect()) == [(None, b""), (None, b"no id")]
     assert bpe.encode_decode(empty_docs(spark), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN).count() == 0
 
 
@@ -417,6 +419,16 @@ def test_packs_share_deep_turns(spark):
     assert len(nodes) <= (64 + 512) + 2 * packs + borders  # distinct turns below the first, <s> and the first for each pack
 
 
+def test_odd_turns(spark):
+    """Null turns come first, repeated rows are repeated turns, equal turns go by role and text; a very long text is whole."""
+    rows = [(1, 1, "user", "b"), (1, None, "system", "a"), (1, 1, "assistant", None), (2, 0, "user", "x"), (2, 0, "user", "x"), (3, 0, "assistant", "</s>\\[" * 100_000)]
+    nodes = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    back = {r["conv_id"]: r for r in chat.read_packs(nodes).collect()}
+    assert [(t["role"], t["text"]) for t in back[1]["turns"]] == [("system", "a"), ("assistant", ""), ("user", "b")]
+    assert [(t["role"], t["text"]) for t in back[2]["turns"]] == [("user", "x")] * 2
+    assert back[3]["loss"] == "</s>\\[" * 100_000 and len(back[3]["formatted"]) == 3 + 4 + 9 * 100_000
+
+
 def test_packs_of_equal_conversations(spark):
     rows = [(c, 0, "user", "same") for c in range(300)]
     nodes = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), pack=8).collect()
