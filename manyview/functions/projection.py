@@ -49,6 +49,14 @@ def angle(point: Vector, a: Vector, b: Vector, epsilon: float = 1e-12) -> Column
     return F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine))))
 
 
+def angle_plain(point: Vector, a: Vector, b: Vector, least: float = 1e-12) -> Column:
+    """As `angle`, but 0 where the point lies on a centre, and with nothing added to the divisor."""
+    p, q = sub(point, a), sub(point, b)
+    cosine = F.try_divide(dot(p, q), norm(p) * norm(q))
+    there = (norm(p) < least) | (norm(q) < least)
+    return F.when(there, 0.0).otherwise(F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine)))))
+
+
 def quaternion(camera: str = "") -> list[Column]:
     """(w, x, y, z) of the rotation, w >= 0; by its largest component, so no divisor is small."""
     m = rotation(camera)

@@ -11,6 +11,25 @@ from manyview.plans.config import PRESETS, Config
 from manyview.session import cut
 
 
+def match_rig(desc: DataFrame, kps: DataFrame, cameras: DataFrame, config: Config | None = None, least: int = 4) -> DataFrame:
+    """(i, j, a, b) for all pairs of images with known cameras: descriptors matched once, pairs with `least` raw matches, those of them
+    near their epipolar lines, and again pairs with `least`."""
+    m = (config or PRESETS["multicam"]).matching
+    raw = matching.match_descriptors(desc, matching.image_pairs(desc.select("img_id").distinct()), m.ratio or 0.8, m.mutual)
+    raw = cut(matching.enough(raw.select("i", "j", "a", "b"), least))
+    fine = matching.epipolar_filter(raw, kps, cameras, m.most_epipolar).select("i", "j", "a", "b")
+    return matching.enough(cut(fine), least)
+
+
+def match_window(desc: DataFrame, kps: DataFrame, k: tuple[float, float, float, float], config: Config | None = None) -> DataFrame:
+    """(i, j, a, b) for the pairs of a window over images of one camera: inliers of each pair's essential matrix."""
+    images = desc.select("img_id").distinct()
+    m = (config or PRESETS["singlecam"]).adapted(images.count(), int(2 * k[2]), int(2 * k[3])).matching
+    raw = matching.match_descriptors(desc, matching.window_pairs(images, m.pair_window), m.ratio, m.mutual)
+    pixels = matching.with_pixels(raw.select("i", "j", "a", "b"), kps).select("i", "j", "a", "b", "xi", "yi", "xj", "yj")
+    return twoview.verify_pairs(pixels, k, m.ransac_px, m.least_inliers)
+
+
 def known_cameras(cameras: DataFrame, kps: DataFrame, matches: DataFrame, config: Config | None = None, images: int | None = None) -> dict[str, DataFrame]:
     """{"track_obs", "points" (pid, track_id, x, y, z), "judged", "meta", "order"} from keypoints and raw matches."""
     config = config or PRESETS["multicam"]

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from manyview.functions import text
-from manyview.functions.projection import projection_matrix, quaternion, rotation_of
+from manyview.functions.projection import angle_plain, projection_matrix, quaternion, rotation_of
 from manyview.operators import adjust, diagnostics, errors, register, tracks, triangulate, twoview
 from manyview.plans import queries, reconstruct, scene
-from manyview.plans.queries import ALL, RUNS, K, R, Scene, query, rounded
+from manyview.plans.config import PRESETS
+from manyview.plans.queries import ALL, FUND, KNN, RUNS, K, R, Scene, query, rounded
 from manyview.plans.scene import HEIGHT, SQL, WIDTH
 from manyview.session import cut
 from manyview.sources import calibration
@@ -128,6 +129,41 @@ def updated_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(adjust.updated(s.points, some))
 
 
+@query(
+    f"""{SQL}, pa AS (SELECT track_id, img_id, x, y, z, cx_w, cy_w, cz_w FROM obs JOIN cameras USING (img_id)),
+    two AS (SELECT p.track_id, p.img_id AS i, q.img_id AS j, p.x, p.y, p.z, p.cx_w AS ix, p.cy_w AS iy, p.cz_w AS iz, q.cx_w AS jx, q.cy_w AS jy, q.cz_w AS jz
+      FROM pa p JOIN pa q ON p.track_id = q.track_id AND p.img_id + 1 = q.img_id)
+    SELECT track_id, i, j, round(CASE WHEN i = 4 THEN 0 ELSE degrees(acos(((x-ix)*(x-jx)+(y-iy)*(y-jy)+(z-iz)*(z-jz))
+      / (sqrt((x-ix)*(x-ix)+(y-iy)*(y-iy)+(z-iz)*(z-iz)) * sqrt((x-jx)*(x-jx)+(y-jy)*(y-jy)+(z-jz)*(z-jz))))) END, 6) + 0.0 AS angle FROM two"""
+)
+def angles_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Angles of neighbouring views; for image 4, of a point that lies on its centre."""
+    s = Scene(spark, sf_dir)
+    seen = s.obs.select("track_id", "img_id").join(s.points, "track_id").join(s.cameras.select("img_id", "cx_w", "cy_w", "cz_w"), "img_id")
+    one = seen.select("track_id", F.col("img_id").alias("i"), "x", "y", "z", *[F.col(f"c{c}_w").alias(f"i{c}") for c in "xyz"])
+    other = seen.select("track_id", F.col("img_id").alias("j"), *[F.col(f"c{c}_w").alias(f"j{c}") for c in "xyz"])
+    both = one.join(other, "track_id").where("i + 1 = j")
+    point = tuple(F.when(F.col("i") == 4, F.col(f"i{c}")).otherwise(F.col(c)) for c in "xyz")
+    made = angle_plain(point, tuple(F.col(f"i{c}") for c in "xyz"), tuple(F.col(f"j{c}") for c in "xyz"))
+    return rounded(both.select("track_id", "i", "j", made.alias("angle")))
+
+
+@query(
+    f"""{SQL}, {KNN.strip()[5:]}, {FUND}, raw AS (SELECT f.i, f.j, f.a, f.b FROM uniq f JOIN uniq r ON f.i = r.j AND f.j = r.i AND f.a = r.b AND f.b = r.a WHERE f.i < f.j),
+    gate AS (SELECT * FROM raw QUALIFY count(*) OVER (PARTITION BY i, j) >= 4),
+    pix AS (SELECT *, (a * 7919 % 1024)::DOUBLE AS xi, (a * 10473 % 768)::DOUBLE AS yi, (b * 7919 % 1024)::DOUBLE AS xj, (b * 10473 % 768)::DOUBLE AS yj FROM gate),
+    lns AS (SELECT pix.*, f00*xi+f01*yi+f02 AS a0, f10*xi+f11*yi+f12 AS a1, f20*xi+f21*yi+f22 AS a2, f00*xj+f10*yj+f20 AS b0, f01*xj+f11*yj+f21 AS b1, f02*xj+f12*yj+f22 AS b2 FROM pix JOIN fm USING (i, j)),
+    fine AS (SELECT i, j, a, b FROM lns WHERE (abs(a0*xj+a1*yj+a2)/(sqrt(a0*a0+a1*a1)+1e-12) + abs(b0*xi+b1*yi+b2)/(sqrt(b0*b0+b1*b1)+1e-12)) / 2 < 250)
+    SELECT * FROM fine QUALIFY count(*) OVER (PARTITION BY i, j) >= 4"""
+)
+def rig_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Descriptors to matches for a rig, with keypoints at places that their ids give and a wide epipolar band."""
+    s = Scene(spark, sf_dir)
+    at = [(F.col("kp_id") * k % n).cast("double").alias(c) for k, n, c in ((7919, WIDTH, "x"), (10473, HEIGHT, "y"))]
+    config = PRESETS["multicam"].with_values(ratio=0.95, most_epipolar=250.0)
+    return reconstruct.match_rig(s.desc, s.desc.select("img_id", "kp_id", *at), s.cameras, config)
+
+
 # --- reconstructions against the scene ----------------------------------------------------------------------------------
 
 

@@ -335,8 +335,31 @@ def test_exports(spark, rig, tmp_path):
     import json
     import struct
 
-    assert struct.unpack("<Q", (tmp_path / "colmap/points3D.bin").read_bytes()[:8])[0] == 20
-    assert struct.unpack("<Q", (tmp_path / "colmap/cameras.bin").read_bytes()[:8])[0] == 25
+    raw, at = (tmp_path / "colmap/cameras.bin").read_bytes(), 8
+    assert struct.unpack("<Q", raw[:8])[0] == 25 and len(raw) == 8 + 25 * 56
+    for r in exports.cameras_table(sized).orderBy("camera_id").collect():
+        assert struct.unpack_from("<iiQQ4d", raw, at) == (r["camera_id"], 1, 1024, 768, r["fx"], r["fy"], r["cx"], r["cy"])
+        at += 56
+    raw, at = (tmp_path / "colmap/images.bin").read_bytes(), 8
+    assert struct.unpack("<Q", raw[:8])[0] == 25
+    spots = exports.points2d(bundle["keypoints"], bundle["track_obs"], bundle["points"]).collect()
+    for r in exports.poses_table(sized).orderBy("image_id").collect():
+        assert struct.unpack_from("<i7di", raw, at) == (r["image_id"], *[r[k] for k in ("qw", "qx", "qy", "qz", "tx", "ty", "tz")], r["camera_id"])
+        end = raw.index(b"\0", at + 64)
+        assert raw[at + 64 : end].decode() == r["name"]
+        own = sorted((s["kp_id"], s["x"], s["y"], s["point_id"]) for s in spots if s["image_id"] == r["image_id"])
+        assert struct.unpack_from("<Q", raw, end + 1)[0] == len(own)
+        assert [struct.unpack_from("<ddq", raw, end + 9 + 24 * k) for k in range(len(own))] == [s[1:] for s in own]
+        at = end + 9 + 24 * len(own)
+    assert at == len(raw)
+    raw, at = (tmp_path / "colmap/points3D.bin").read_bytes(), 8
+    assert struct.unpack("<Q", raw[:8])[0] == 20
+    for r in exports.points3d(bundle["points"], bundle["track_obs"], bundle["errors"]).orderBy("point_id").collect():
+        assert struct.unpack_from("<Q3d3Bd", raw, at) == (r["point_id"], r["x"], r["y"], r["z"], exports.GREY, exports.GREY, exports.GREY, r["error"])
+        own = [(t["image_id"], t["kp_id"]) for t in r["track"] or []]
+        assert struct.unpack_from("<Q", raw, at + 43)[0] == len(own) and [struct.unpack_from("<ii", raw, at + 51 + 8 * k) for k in range(len(own))] == own
+        at += 51 + 8 * len(own)
+    assert at == len(raw)
     lines = [line for part in sorted((tmp_path / "colmap_text/images").glob("part*")) for line in part.read_text().splitlines()]
     assert len(lines) == 50
     assert len(json.loads((tmp_path / "NeRFStudio/transforms.json").read_text())["frames"]) == 25
@@ -461,3 +484,20 @@ def test_report_is_written_and_read(spark, tmp_path):
     diagnostics.export(str(tmp_path), tables)
     for name, table in tables.items():
         assert spark.read.parquet(str(tmp_path / name)).count() == table.count() > 0
+
+
+def test_window_matches_of_one_camera(spark, rig):
+    """Descriptors that tell tracks apart, and one in eight that lies."""
+    cameras, points, obs, kps = rig
+    some = sorted(r["img_id"] for r in kps.groupBy("img_id").count().orderBy(F.desc("count")).limit(4).collect())
+    rng = np.random.default_rng(5)
+    rows = []
+    for r in kps.where(F.col("img_id").isin(some)).collect():
+        track = r["track_id"] if rng.random() > 0.12 else int(rng.integers(10**6))
+        rows.append((r["img_id"], r["kp_id"], np.random.default_rng(track).normal(size=16).tolist()))
+    desc = spark.createDataFrame(rows, "img_id int, kp_id int, desc array<double>")
+    config = PRESETS["singlecam"].with_values(least_inliers=8, ratio=0.8, ransac_px=3.0)
+    found = reconstruct.match_window(desc, kps, (800.0, 800.0, 512.0, 384.0), config)
+    named = [kps.select(F.col("img_id").alias(s), F.col("kp_id").alias(c), F.col("track_id").alias(f"t{s}")) for s, c in (("i", "a"), ("j", "b"))]
+    both = found.join(named[0], ["i", "a"]).join(named[1], ["j", "b"])
+    assert both.count() >= 8 and both.where("ti <> tj").count() == 0
