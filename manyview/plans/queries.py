@@ -710,7 +710,7 @@ def single_camera_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points of a reconstruction without known poses."""
     s = Scene(spark, sf_dir)
     kps = cut(s.kps)
-    return rounded(reconstruct.single_camera(kps, cut(scene.matches(kps)), K)["points"], 3)
+    return rounded(reconstruct.single_camera(kps, cut(scene.matches(kps)), K)["points"].select("track_id", "x", "y", "z"), 3)
 
 
 @query()

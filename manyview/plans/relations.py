@@ -235,11 +235,3 @@ def full_adjustment_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     pushed = triangulate.triangulate(seen, s.cameras, 3).withColumn("x", F.col("x") + 0.02)
     points, _, costs = adjust.full(pushed, seen, s.cameras, rounds=4, fixed=2)
     return _near(points, s, 0.05).select(F.lit(costs[-1] < 0.5 * costs[0]).alias("lower"), "near")
-
-
-@query()
-def adjusted_reconstruction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A single-camera reconstruction with local and global adjustment and cleanup, as its preset asks for."""
-    s = Scene(spark, sf_dir)
-    kps = cut(s.kps)
-    return rounded(reconstruct.run(cut(scene.matches(kps)), kps, k=K)["points"].select("track_id", "x", "y", "z"), 3)
