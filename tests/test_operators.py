@@ -501,3 +501,12 @@ def test_window_matches_of_one_camera(spark, rig):
     named = [kps.select(F.col("img_id").alias(s), F.col("kp_id").alias(c), F.col("track_id").alias(f"t{s}")) for s, c in (("i", "a"), ("j", "b"))]
     both = found.join(named[0], ["i", "a"]).join(named[1], ["j", "b"])
     assert both.count() >= 8 and both.where("ti <> tj").count() == 0
+
+
+def test_run_takes_the_way_that_the_cameras_allow(monkeypatch):
+    monkeypatch.setattr(reconstruct, "known_cameras", lambda *a: ("known", a))
+    monkeypatch.setattr(reconstruct, "single_camera", lambda *a: ("single", a))
+    assert reconstruct.run("m", "kps", cameras="c", k=(1, 1, 0, 0)) == ("known", ("c", "kps", "m", None))
+    assert reconstruct.run("m", "kps", k=(1, 1, 0, 0)) == ("single", ("kps", "m", (1, 1, 0, 0), None))
+    with pytest.raises(ValueError):
+        reconstruct.run("m", "kps")
