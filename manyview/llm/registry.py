@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from manyview.llm import bpe, chat, fingerprint, langid, license, linededup, minhash, mixing, pii, topk
+from manyview.llm import bpe, chat, fingerprint, langid, license, linededup, minhash, mixing, pii, spelling, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": bpe.op1_bpe,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat": chat.op8_chat,
     "op9_pii": pii.op9_pii,
     "op10_mixing": mixing.op10_mixing,
+    "op11_spelling": spelling.op11_spelling,
 }
 
 SQL: dict[str, str] = {
@@ -28,4 +29,5 @@ SQL: dict[str, str] = {
     "op5_license": license.OP5_SQL,
     "op6_fingerprint": fingerprint.OP6_SQL,
     "op8_chat": chat.OP8_SQL,
+    "op11_spelling": spelling.OP11_SQL,
 }
