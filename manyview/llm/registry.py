@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from manyview.llm import bpe, chat, fingerprint, langid, license, linededup, minhash, mixing, pii, spelling, topk
+from manyview.llm import aligntok, bpe, chat, fingerprint, langid, license, linededup, minhash, mixing, pii, spelling, topk, wordbpe
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": bpe.op1_bpe,
@@ -20,6 +20,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pii": pii.op9_pii,
     "op10_mixing": mixing.op10_mixing,
     "op11_spelling": spelling.op11_spelling,
+    "op12_word_bpe": wordbpe.op12_word_bpe,
+    "op13_align": aligntok.op13_align,
 }
 
 SQL: dict[str, str] = {
