@@ -91,7 +91,7 @@ class Model:
         n, size = points.shape
         ids = self.ids(points)
         alpha = [np.ones((n, len(self.languages)))]
-        scale = np.zeros((n, 1))
+        scale = np.zeros((n, len(self.languages)))
         for end in range(1, size + 1):
             total = 0.0
             for length in range(1, min(self.longest, end) + 1):
@@ -100,10 +100,9 @@ class Model:
                     chance = np.maximum(chance, FLOOR)
                 total = total + alpha[-length] * chance
             alpha.append(total)
-            if end % 12 == 0:
-                most = total.max(axis=1, keepdims=True)
-                alpha = [a / most for a in alpha[-self.longest :]]
-                scale += np.log(most)
+            if end % 12 == 0:  # each language by itself: what one gives to a very long word may be far below all others
+                alpha = [a / total for a in alpha[-self.longest :]]
+                scale += np.log(total)
         return np.log(alpha[-1]) + scale
 
 

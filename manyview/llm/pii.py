@@ -241,14 +241,20 @@ def rendered(kind: Column, mention: Column, replacement: Column) -> Column:
 
 
 def surrogates(entities: DataFrame, key: str) -> DataFrame:
-    """(kind, canon, replacement) of distinct entities (kind, canon); within a kind no two replacements are the same, none an entity."""
+    """(kind, canon, replacement) of distinct entities (kind, canon); within a kind no two replacements are the same, none an entity.
+
+    Persons are compared by their names alone, in lower case: the gender that stands before a name is not seen in a text."""
     now = cut(entities.withColumn("attempt", F.lit(0)).withColumn("replacement", surrogate(F.col("kind"), F.col("canon"), F.col("attempt"), key)))
-    own = now.select(F.col("kind").alias("own_kind"), F.col("canon").alias("own_canon"))
+
+    def shown(column: str) -> Column:
+        return F.when(F.col("kind") == "person", F.lower(F.substring(column, 3, 1_000_000))).otherwise(F.col(column))
+
+    own = now.select("kind", shown("canon").alias("shown"))
     while True:
-        same = (F.col("kind") == F.col("own_kind")) & (F.when(F.col("kind") == "person", F.lower("replacement")).otherwise(F.col("replacement")) == F.col("own_canon"))
-        real = now.join(own, same, "left_semi").select("kind", "canon")
-        nth = F.row_number().over(Window.partitionBy("kind", "replacement").orderBy("attempt", "canon"))
-        clash = now.withColumn("nth", nth).where("nth > 1").select("kind", "canon").unionAll(real).distinct()
+        seen = now.withColumn("shown", shown("replacement"))
+        real = seen.join(own, ["kind", "shown"], "left_semi").select("kind", "canon")
+        nth = F.row_number().over(Window.partitionBy("kind", "shown").orderBy("attempt", "canon"))
+        clash = seen.withColumn("nth", nth).where("nth > 1").select("kind", "canon").unionAll(real).distinct()
         clash = cut(clash.withColumn("clash", F.lit(1)))
         if clash.isEmpty():
             return now.select("kind", "canon", "replacement")
