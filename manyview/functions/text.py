@@ -42,7 +42,7 @@ def intrinsics(body: Column) -> Column:
 def distortion(body: Column) -> Column:
     """The numbers after the ninth, or those at `dist`; NULL if there are none."""
     plain = floats(body)
-    return F.when(F.ltrim(body).startswith("{"), F.coalesce(_json_numbers(body, "$.dist"), _json_numbers(body, "$.camera.dist"))).when(F.size(plain) > 9, F.slice(plain, 10, 100))
+    return F.when(F.ltrim(body).startswith("{"), F.coalesce(_json_numbers(body, "$.dist"), _json_numbers(body, "$.camera.dist"))).when(F.size(plain) > 9, F.slice(plain, F.lit(10), F.size(plain)))
 
 
 def projection(body: Column) -> Column:

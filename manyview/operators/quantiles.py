@@ -18,12 +18,14 @@ CELLS = 4096
 
 
 def _ranked(df: DataFrame, column: str, rank: int, low: float, high: float, few: int) -> float:
-    """The value with `rank` others before it, which lies between low and high."""
+    """The value with `rank` others before it, of finite values, which lies between low and high."""
     value = F.col(column)
     before = 0
     while low < high:
-        width = (high - low) / CELLS
-        cell = F.least(F.floor((value - low) / width), F.lit(CELLS - 1)) if width > 0 else F.lit(0)
+        scale = 1.0 if math.isfinite(high - low) else 0.5
+        width = (high * scale - low * scale) / CELLS
+        # Where a cell would be narrower than doubles can tell, fewer than CELLS doubles are left, and each is a cell.
+        cell = F.least(F.floor((value * scale - F.lit(low * scale)) / width), F.lit(CELLS - 1)) if width > 0 else value
         inside = df.where((value >= low) & (value <= high)).groupBy(cell.alias("cell"))
         cells = inside.agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("low"), F.max(value).alias("high")).orderBy("low").collect()
         for r in cells:  # CELLS rows at most
@@ -39,20 +41,35 @@ def _ranked(df: DataFrame, column: str, rank: int, low: float, high: float, few:
 
 def exact_percentiles(df: DataFrame, wanted: dict[str, tuple[str, float]], few: int = FEW) -> dict[str, float | None]:
     """{name: percentile} for wanted {name: (column of doubles, share)}, nulls left out, with linear interpolation; and "n", the
-    number of rows. None where a column has no value. df is read several times, so it should be cut first."""
+    number of rows. None where a column has no value. Infinities are the least and the largest numbers, NaN comes after all of
+    them, as in F.percentile. df is read several times, so it should be cut first."""
     columns = sorted({c for c, _ in wanted.values()})
-    found = df.agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{n}_{c}") for c in columns for n, f in (("count", F.count), ("min", F.min), ("max", F.max))]).first()
+    tallies = []
+    for c in columns:
+        x, infinity = F.col(c), F.lit(math.inf)
+        finite = F.when((x < infinity) & (x > -infinity), x)
+        tallies += [F.count(x).alias(f"count_{c}"), F.count_if(x == -infinity).alias(f"below_{c}"), F.count(finite).alias(f"finite_{c}"), F.count_if(x == infinity).alias(f"above_{c}"), F.min(finite).alias(f"min_{c}"), F.max(finite).alias(f"max_{c}")]
+    found = df.agg(F.count(F.lit(1)).alias("n"), *tallies).first()
     if found["n"] <= few:
         row = df.agg(F.lit(1).alias("one"), *[F.percentile(c, F.lit(p)).alias(name) for name, (c, p) in wanted.items()]).first()
         return {"n": found["n"], **{name: row[name] for name in wanted}}
+
+    def at(c: str, rank: int) -> float:
+        below, finite, above = (found[f"{part}_{c}"] for part in ("below", "finite", "above"))
+        if rank < below:
+            return -math.inf
+        if rank < below + finite:
+            return _ranked(df, c, rank - below, found[f"min_{c}"], found[f"max_{c}"], few)
+        return math.inf if rank < below + finite + above else math.nan
+
     out: dict[str, float | None] = {"n": found["n"]}
     for name, (c, p) in wanted.items():
         if not found[f"count_{c}"]:
             out[name] = None
             continue
         place = p * (found[f"count_{c}"] - 1)
-        at = [_ranked(df.where(F.col(c).isNotNull()), c, k, found[f"min_{c}"], found[f"max_{c}"], few) for k in sorted({math.floor(place), math.ceil(place)})]
-        out[name] = at[0] if len(at) == 1 else at[0] * (math.ceil(place) - place) + at[1] * (place - math.floor(place))
+        low, high = (at(c, k) for k in (math.floor(place), math.ceil(place))) if place % 1 else [at(c, int(place))] * 2
+        out[name] = low if low == high else low * (math.ceil(place) - place) + high * (place - math.floor(place)) if place % 1 else low
     return out
 
 

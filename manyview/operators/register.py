@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -103,11 +104,11 @@ def incremental(matches: DataFrame, kps: DataFrame, track_obs: DataFrame, camera
     return Reconstruction(made, order, counts)
 
 
-def fixpoint(obs: DataFrame, cameras: DataFrame, first: tuple[int, int], most_error: float = 1.5, least_views: int = 2, least_visible: int = 3, most_rounds: int = 20) -> Reconstruction:
+def fixpoint(obs: DataFrame, cameras: DataFrame, first: tuple[int, int], most_error: float = 1.5, least_views: int = 2, least_visible: int = 3) -> Reconstruction:
     """Rounds that don't depend on an order: triangulate all open tracks by the registered images, then register every image
-    that sees enough of the points; until no image comes in."""
+    that sees enough of the points; until no image comes in, which is after as many rounds as there are images at most."""
     order, made, counts = list(first), None, []
-    for step in range(most_rounds):
+    for step in itertools.count():
         known = obs.join(images_table(obs.sparkSession, order), "img_id", "left_semi")
         open_ = known if made is None else known.join(made, "track_id", "left_anti")
         new = triangulate_checked(open_, cameras, most_error, least_views, 1.0).withColumn("step", F.lit(step))
