@@ -60,14 +60,14 @@ def rarest_bigrams(words: DataFrame) -> DataFrame:
 
 
 def _keys(words: DataFrame, places: DataFrame) -> DataFrame:
-    """(key, role, id, word): what a word shares with a near one, for each rare bigram and in each role.
+    """(key, role, word): what a word shares with a near one, for each rare bigram and in each role.
 
     Roles: one of two words of equal length (0), the shorter (1) or the longer (2) of two that differ by one code point. The edit
     lies behind the bigram (sides 0 and 1) or before it (2 and 3). What is left there is cut into halves, at the same place in
     both words as the shorter one's length decides it; one of the halves is the same in both, counted from its outer end.
     """
     roles = F.array(*[F.struct(F.lit(role).alias("role"), F.lit(more).alias("more"), F.lit(grown).alias("grown")) for role, more, grown in ((0, 0, 0), (1, 1, 1), (2, 1, 0))])
-    each = words.join(places, "id").withColumn("r", F.explode(roles)).select("id", "word", "pos", "r.role", "r.more", (F.length("word") + F.col("r.grown")).alias("length"), F.length("word").alias("size"))
+    each = words.join(places, "id").withColumn("r", F.explode(roles)).select("word", "pos", "r.role", "r.more", (F.length("word") + F.col("r.grown")).alias("length"), F.length("word").alias("size"))
     least = F.col("length") - F.col("more")  # the shorter word's
     parted = each.withColumn("behind", least - F.col("pos") - 2).withColumn("before", least - F.col("size") + F.col("pos"))
     start, end = F.expr("substring(word, 1, pos + 2)"), F.expr("substring(word, pos + 1)")
@@ -81,19 +81,20 @@ def _keys(words: DataFrame, places: DataFrame) -> DataFrame:
         key(2, "before", end, F.expr("substring(word, cast(pos + 1 - before div 2 as int), before div 2)")),
         key(3, "before", end, F.expr("substring(word, 1, cast(before - before div 2 as int))")),
     )
-    return parted.select("id", "word", "role", F.explode(keys).alias("key")).where(F.col("key").isNotNull())
+    return parted.select("word", "role", F.explode(keys).alias("key")).where(F.col("key").isNotNull())
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
-    """(a, b): the ids of all pairs of near words, once, in one of the two orders. words: (id, word), distinct and cut.
+    """(a, b): all pairs of near words, once, in one of the two orders. words: (id, word), distinct and cut.
 
-    Words that share a key agree in all but a part of a half; where still many do, Spark splits the skewed join.
+    Words that share a key agree in all but a part of a half; where still many do, Spark splits the skewed join. Only
+    key and word travel: the key tells words of one length (which meet themselves) from those of neighbouring lengths.
     """
     keys = _keys(words, rarest_bigrams(words))
-    left, right = (keys.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("role", "id", "word")]) for x in "ab")
-    roles = (F.col("role_a") == 0) & (F.col("role_b") == 0) & (F.col("id_a") < F.col("id_b")) | (F.col("role_a") == 1) & (F.col("role_b") == 2)
-    met = left.where("role_a < 2").join(right.where("role_b <> 1"), "key").where(roles & (F.levenshtein("word_a", "word_b", 1) == 1))
-    return met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+    left = keys.where("role < 2").select("key", F.col("word").alias("a"))
+    right = keys.where("role <> 1").select("key", F.col("word").alias("b"))
+    once = (F.length("a") < F.length("b")) | (F.col("a") < F.col("b"))
+    return left.join(right, "key").where(once & (F.levenshtein("a", "b", 1) == 1)).select("a", "b").distinct()
 
 
 def variants(words: DataFrame) -> DataFrame:
@@ -101,9 +102,9 @@ def variants(words: DataFrame) -> DataFrame:
     known = cut(words.withColumn("id", F.monotonically_increasing_id()))
     pairs = near_pairs(known.select("id", "word"))
     both = pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    other = known.select(F.col("id").alias("b"), F.col("word").alias("near"), F.col("n").alias("near_n"))
-    best = both.join(other, "b").groupBy("a").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("minus"), "near")).alias("best"))
-    joined = known.join(best.withColumnRenamed("a", "id"), "id", "left")
+    other = known.select(F.col("word").alias("b"), F.col("n").alias("near_n"))
+    best = both.join(other, "b").groupBy("a").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("minus"), F.col("b").alias("near"))).alias("best"))
+    joined = known.join(best.withColumnRenamed("a", "word"), "word", "left")
     chosen = -F.col("best.minus") >= RATIO * F.col("n")
     formed = cut(joined.select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(chosen, F.col("best.near")).alias("form"), F.when(chosen, -F.col("best.minus")).alias("form_n")))
     return formed.join(_roots(formed), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
