@@ -7,9 +7,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from manyview.operators.adjust import linearised, rodrigues
+from manyview.operators.adjust import linearised, rodrigues, skew
+from manyview.operators.minimal import five_points, three_points
 
-ROUNDS, POSE_ROUNDS = 300, 100
+ROUNDS, POSE_ROUNDS = 200, 100
 #: Hypotheses times correspondences that are judged at once.
 CELLS = 1_000_000
 
@@ -31,11 +32,15 @@ def eight_points(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return u @ np.diag([1.0, 1.0, 0.0]) @ v
 
 
-def sampson(e: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """(..., n): distances of n correspondences to each of the matrices."""
+def epipolar(e: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """(..., n): signed distances (Sampson's) of n correspondences to each of the matrices."""
     x, y = np.column_stack([a, np.ones(len(a))]), np.column_stack([b, np.ones(len(b))])
     ex, ey = x @ np.swapaxes(e, -1, -2), y @ e
-    return np.abs((y * ex).sum(axis=-1)) / np.sqrt(ex[..., 0] ** 2 + ex[..., 1] ** 2 + ey[..., 0] ** 2 + ey[..., 1] ** 2 + 1e-18)
+    return (y * ex).sum(axis=-1) / np.sqrt(ex[..., 0] ** 2 + ex[..., 1] ** 2 + ey[..., 0] ** 2 + ey[..., 1] ** 2 + 1e-18)
+
+
+def sampson(e: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.abs(epipolar(e, a, b))
 
 
 def samples(rng: np.random.Generator, n: int, size: int, rounds: int) -> np.ndarray:
@@ -48,36 +53,46 @@ def samples(rng: np.random.Generator, n: int, size: int, rounds: int) -> np.ndar
     return out
 
 
-def most_inliers(tried: int, n: int, inside) -> np.ndarray:
-    """The largest set of inliers, of the earliest hypothesis that has it; inside(slice) gives a row for each hypothesis."""
-    best, step = np.zeros(n, bool), max(1, CELLS // max(1, n))
-    for low in range(0, tried, step):
-        found = inside(slice(low, low + step))
-        at = int(found.sum(axis=1).argmax())
-        if found[at].sum() > best.sum():
-            best = found[at]
-    return best
+def inliers(tried: int, n: int, inside) -> np.ndarray:
+    """How many inliers each hypothesis has; inside(slice) gives a row for each hypothesis."""
+    step = max(1, CELLS // max(1, n))
+    return np.concatenate([inside(slice(low, low + step)).sum(axis=1) for low in range(0, tried, step)]) if tried else np.zeros(0, int)
 
 
-def essential(a: np.ndarray, b: np.ndarray, threshold: float, seed: int, rounds: int = ROUNDS) -> tuple[np.ndarray | None, np.ndarray]:
-    """The matrix with the most inliers, refitted to them, and which these are."""
-    none = np.zeros(len(a), bool)
-    if len(a) < 8:
-        return None, none
-    pick = samples(np.random.default_rng(seed), len(a), 8, rounds)
-    tried = eight_points(a[pick], b[pick])
-    best = most_inliers(rounds, len(a), lambda some: sampson(tried[some], a, b) < threshold)
-    if best.sum() < 8:
-        return None, none
-    e = eight_points(a[best], b[best])
-    refined = sampson(e, a, b) < threshold
-    return (e, refined) if refined.sum() >= best.sum() else (e, best)
+def polished(r: np.ndarray, t: np.ndarray, a: np.ndarray, b: np.ndarray, steps: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """A rotation and a direction after damped Gauss-Newton steps on the epipolar distances, in the five unknowns that they have."""
+    size, damping = 1e-7, 1e-6
+    now = epipolar(skew(t) @ r, a, b)
 
+    def moved(d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        new = t + d[3] * side[1] + d[4] * side[2]
+        return rodrigues(d[:3]) @ r, new / np.linalg.norm(new)
 
-def linear_points(p: np.ndarray, q: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """A point of each row of a and b under the projections p and q."""
-    x = least_vectors(np.stack([a[:, :1] * p[2] - p[0], a[:, 1:] * p[2] - p[1], b[:, :1] * q[2] - q[0], b[:, 1:] * q[2] - q[1]], axis=1))
-    return x[:, :3] / np.where(np.abs(x[:, 3:]) > 1e-12, x[:, 3:], 1e-12)
+    for _ in range(steps):
+        side = np.linalg.svd(t[None])[2]
+        both = epipolar(np.stack([skew(y) @ x for x, y in map(moved, size * np.vstack([np.eye(5), -np.eye(5)]))]), a, b)
+        jacobian = ((both[:5] - both[5:]) / (2 * size)).T
+        normal, pull = jacobian.T @ jacobian, jacobian.T @ now
+        for _ in range(4):
+            tried = moved(-np.linalg.solve(normal + damping * np.diag(np.diag(normal) + 1e-12), pull))
+            new = epipolar(skew(tried[1]) @ tried[0], a, b)
+            if new @ new < now @ now:
+                break
+            damping *= 30
+        else:
+            break
+        gain = 1 - (new @ new) / max(now @ now, 1e-300)
+        (r, t), now, damping = tried, new, damping / 10
+        if gain < 1e-9:
+            break
+    return r, t
+
+
+def before_both(r: np.ndarray, t: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which correspondences meet before both cameras: where their rays come nearest to each other."""
+    p, q = np.column_stack([a, np.ones(len(a))]) @ r.T, np.column_stack([b, np.ones(len(b))])
+    pp, qq, pq, pt, qt = (p * p).sum(1), (q * q).sum(1), (p * q).sum(1), p @ t, q @ t
+    return (pq * qt - qq * pt > 0) & (pp * qt - pq * pt > 0)
 
 
 def pose_of(e: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -85,13 +100,56 @@ def pose_of(e: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np
     u, _, v = np.linalg.svd(e)
     u, v = u * np.sign(np.linalg.det(u)), v * np.sign(np.linalg.det(v))
     w = np.array([[0.0, -1, 0], [1, 0, 0], [0, 0, 1]])
-    first = np.hstack([np.eye(3), np.zeros((3, 1))])
+    return max(((r, t) for r in (u @ w @ v, u @ w.T @ v) for t in (u[:, 2], -u[:, 2])), key=lambda x: int(before_both(*x, a, b).sum()))
 
-    def before(r: np.ndarray, t: np.ndarray) -> int:
-        spots = linear_points(first, np.hstack([r, t[:, None]]), a, b)
-        return int(((spots[:, 2] > 0) & ((spots @ r.T + t)[:, 2] > 0)).sum())
 
-    return max(((r, t) for r in (u @ w @ v, u @ w.T @ v) for t in (u[:, 2], -u[:, 2])), key=lambda x: before(*x))
+#: Different hypotheses whose points are looked at, as those of a plane's other solution have as many inliers; how many of them
+#: are polished; and the product of two unit matrices from which on they count as one.
+FINALISTS, POLISHED, ALIKE = 24, 4, 0.995
+
+
+def relative_pose(a: np.ndarray, b: np.ndarray, threshold: float, seed: int, rounds: int = ROUNDS) -> tuple[np.ndarray | None, np.ndarray | None, np.ndarray]:
+    """R, t (of length one) and the inliers of correspondences in normalised coordinates; None where fewer than eight agree.
+
+    Hypotheses of five points each; the best of them are polished over their inliers, and the one with the most inliers that
+    lie before both cameras is taken. Points of a plane fit two matrices, of which the places of the points choose one.
+    """
+    none = np.zeros(len(a), bool)
+    if len(a) < 8:
+        return None, None, none
+    pick = samples(np.random.default_rng(seed), len(a), 5, rounds)
+    tried = five_points(a[pick], b[pick]).reshape(-1, 3, 3)
+    tried = tried[np.isfinite(tried).all((1, 2))]
+    counts = inliers(len(tried), len(a), lambda some: sampson(tried[some], a, b) < threshold)
+    finalists, seen = [], np.zeros((0, 9))
+    for at in np.argsort(-counts, kind="stable"):
+        if len(finalists) == FINALISTS or counts[at] < max(8, counts.max() / 2):
+            break
+        if not (np.abs(seen @ tried[at].ravel()) > ALIKE).any():
+            seen = np.vstack([seen, tried[at].ravel()])
+            inside = sampson(tried[at], a, b) < threshold
+            pose = pose_of(tried[at], a[inside], b[inside])
+            finalists.append((int(before_both(*pose, a[inside], b[inside]).sum()), -len(finalists), pose, inside))
+    best: tuple = (-1, 0.0, None)
+    for *_, pose, inside in sorted(finalists, key=lambda x: x[:2], reverse=True)[:POLISHED]:
+        for _ in range(2):
+            pose = polished(*pose, a[inside], b[inside])
+            far = sampson(skew(pose[1]) @ pose[0], a, b)
+            if (far < threshold).sum() < 8:
+                break
+            inside = far < threshold
+        pose = pose_of(skew(pose[1]) @ pose[0], a[inside], b[inside])
+        ahead = int(before_both(*pose, a[inside], b[inside]).sum())
+        score = (ahead, -float(np.square(far[inside]).sum()), (*pose, inside))
+        if score[:2] > best[:2]:
+            best = score
+    return best[2] if best[2] is not None else (None, None, none)
+
+
+def essential(a: np.ndarray, b: np.ndarray, threshold: float, seed: int, rounds: int = ROUNDS) -> tuple[np.ndarray | None, np.ndarray]:
+    """The essential matrix of relative_pose, and which correspondences are its inliers."""
+    r, t, inside = relative_pose(a, b, threshold, seed, rounds)
+    return (None if r is None else skew(t) @ r), inside
 
 
 def verify_pairs(pixels: DataFrame, k: tuple[float, float, float, float], threshold: float = 1.0, least: int = 8) -> DataFrame:
@@ -117,28 +175,14 @@ def two_view_poses(pixels: DataFrame, k: tuple[float, float, float, float], thre
         group = group.sort_values(["a", "b"])
         i, j = int(group["i"].iloc[0]), int(group["j"].iloc[0])
         x, y = (normalised(group[list(c)].to_numpy(), kk) for c in (("xi", "yi"), ("xj", "yj")))
-        e, inside = essential(x, y, threshold / float(kk[:2].mean()), i * 100_003 + j)
-        if e is None:
+        r, t, inside = relative_pose(x, y, threshold / float(kk[:2].mean()), i * 100_003 + j)
+        if r is None:
             return pd.DataFrame(columns=["i", "j", "r", "t", "n_inliers"])
-        r, t = pose_of(e, x[inside], y[inside])
         return pd.DataFrame({"i": [i], "j": [j], "r": [r.ravel().tolist()], "t": [t.tolist()], "n_inliers": [int(inside.sum())]})
 
     return pixels.groupBy("i", "j").applyInPandas(run, "i int, j int, r array<double>, t array<double>, n_inliers long")
 
 
-def linear_pose(x: np.ndarray, uv: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """R (..., 3, 3) and t (..., 3) of (..., n, 3) points, six at least, and their normalised pixels."""
-    h = np.concatenate([x, np.ones_like(x[..., :1])], -1)
-    zero = np.zeros_like(h)
-    rows = np.concatenate([np.concatenate([h, zero, -uv[..., :1] * h], -1), np.concatenate([zero, h, -uv[..., 1:] * h], -1)], -2)
-    p = least_vectors(rows)
-    p = p.reshape(*p.shape[:-1], 3, 4)
-    u, s, v = np.linalg.svd(p[..., :3])
-    r = u @ v
-    sign = np.where(np.linalg.det(r) < 0, -1.0, 1.0)
-    return r * sign[..., None, None], p[..., 3] * (sign / np.maximum(s.mean(axis=-1), 1e-300))[..., None]
-
-
 def reprojected(r: np.ndarray, t: np.ndarray, x: np.ndarray, uv: np.ndarray) -> np.ndarray:
     """(..., n): how far n points fall from their pixels in each pose; infinitely where they lie behind it."""
     p = x @ np.swapaxes(r, -1, -2) + t[..., None, :]
@@ -169,8 +213,35 @@ def refined_pose(r: np.ndarray, t: np.ndarray, x: np.ndarray, uv: np.ndarray, st
     return r.reshape(*shape, 3, 3), t.reshape(*shape, 3)
 
 
+def absolute_pose(x: np.ndarray, uv: np.ndarray, limit: float, seed: int, rounds: int = POSE_ROUNDS) -> tuple[np.ndarray | None, np.ndarray | None, np.ndarray]:
+    """R, t and the inliers of points and their normalised pixels; no inliers where no pose has six."""
+    none = np.zeros(len(x), bool)
+    if len(x) < 6:
+        return None, None, none
+    pick = samples(np.random.default_rng(seed), len(x), 4, rounds)
+    r, t = three_points(x[pick[:, :3]], uv[pick[:, :3]])
+    miss = np.nan_to_num(reprojected(r, t, x[pick[:, None, 3:]], uv[pick[:, None, 3:]])[..., 0], nan=np.inf)
+    chosen = np.arange(rounds), miss.argmin(axis=1)
+    some = np.isfinite(miss[chosen])
+    r, t = r[chosen][some], t[chosen][some]
+    counts = inliers(len(r), len(x), lambda part: reprojected(r[part], t[part], x, uv) < limit)
+    out = None, None, none
+    for at in np.argsort(-counts, kind="stable")[:3]:
+        pose, best = (r[at], t[at]), reprojected(r[at], t[at], x, uv) < limit
+        for _ in range(4):  # the inliers of the refined pose are fitted again
+            if best.sum() < 6:
+                break
+            pose = refined_pose(*pose, x[best], uv[best])
+            best = reprojected(*pose, x, uv) < limit
+        if best.sum() >= max(6, out[2].sum() + 1):
+            out = *pose, best
+    return out
+
+
 def pnp(links: DataFrame, k: tuple[float, float, float, float], threshold: float = 3.0, least: int = 6) -> DataFrame:
-    """(img_id, r, t, n_inliers) of each image with `least` inliers. links: (img_id, track_id, u, v, x, y, z)."""
+    """(img_id, r, t, n_inliers) of each image with `least` inliers. links: (img_id, track_id, u, v, x, y, z).
+
+    Hypotheses of three points each, of whose four poses a fourth point chooses one; the best is fitted to its inliers."""
     kk = np.array(k)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
@@ -180,16 +251,10 @@ def pnp(links: DataFrame, k: tuple[float, float, float, float], threshold: float
         none = pd.DataFrame(columns=["img_id", "r", "t", "n_inliers"])
         if len(x) < least:
             return none
-        pick = samples(np.random.default_rng(int(group["img_id"].iloc[0])), len(x), 6, POSE_ROUNDS)
-        r, t = refined_pose(*linear_pose(x[pick], uv[pick]), x[pick], uv[pick], 3)  # six noisy points alone give a poor pose
-        best = most_inliers(POSE_ROUNDS, len(x), lambda some: reprojected(r[some], t[some], x, uv) < limit)
+        r, t, best = absolute_pose(x, uv, limit, int(group["img_id"].iloc[0]))
         if best.sum() < least:
             return none
-        for _ in range(3):  # the inliers of the refined pose are fitted again
-            pose = refined_pose(*linear_pose(x[best], uv[best]), x[best], uv[best])
-            best = reprojected(*pose, x, uv) < limit
-            if best.sum() < least:
-                return none
+        pose = r, t
         return pd.DataFrame({"img_id": [int(group["img_id"].iloc[0])], "r": [pose[0].ravel().tolist()], "t": [pose[1].tolist()], "n_inliers": [int(best.sum())]})
 
     return links.groupBy("img_id").applyInPandas(run, "img_id int, r array<double>, t array<double>, n_inliers long")

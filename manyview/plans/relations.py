@@ -235,3 +235,59 @@ def full_adjustment_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     pushed = triangulate.triangulate(seen, s.cameras, 3).withColumn("x", F.col("x") + 0.02)
     points, _, costs = adjust.full(pushed, seen, s.cameras, rounds=4, fixed=2)
     return _near(points, s, 0.05).select(F.lit(costs[-1] < 0.5 * costs[0]).alias("lower"), "near")
+
+
+# --- poses against the scene's cameras ----------------------------------------------------------------------------------
+
+
+def _common(seen: DataFrame) -> DataFrame:
+    """(i, j, a, b, xi, yi, xj, yj) of all tracks that two images see; the track is the keypoint."""
+    one, other = (seen.select("track_id", F.col("img_id").alias(i), F.col("track_id").alias(a), F.col("u").alias(f"x{i}"), F.col("v").alias(f"y{i}")) for i, a in (("i", "a"), ("j", "b")))
+    return one.join(other, "track_id").where("i < j").select("i", "j", "a", "b", "xi", "yi", "xj", "yj")
+
+
+def _relative_near(pixels: DataFrame, cameras: DataFrame, reach: float) -> DataFrame:
+    """(i, j, n, near) of each pair with thirty common tracks: whether rotation and direction lie within `reach` of the cameras'."""
+    r = F.array(*[F.col(f"r{a}{b}") for a in range(3) for b in range(3)])
+    t = F.array("tx", "ty", "tz")
+    one, other = (cut(cameras).select(F.col("img_id").alias(i), r.alias(f"r_{i}"), t.alias(f"t_{i}")) for i in "ij")
+    turn = [sum((F.col("r_j")[3 * a + k] * F.col("r_i")[3 * b + k] for k in (1, 2)), F.col("r_j")[3 * a] * F.col("r_i")[3 * b]) for a in range(3) for b in range(3)]
+    move = [F.col("t_j")[a] - sum((turn[3 * a + k] * F.col("t_i")[k] for k in (1, 2)), turn[3 * a] * F.col("t_i")[0]) for a in range(3)]
+    length = F.sqrt(move[0] * move[0] + move[1] * move[1] + move[2] * move[2])
+    gaps = [F.abs(F.col("r")[k] - turn[k]) for k in range(9)] + [F.abs(F.col("t")[k] - move[k] / length) for k in range(3)]
+    counts = pixels.groupBy("i", "j").agg(F.count(F.lit(1)).alias("n")).where("n >= 30")
+    judged = counts.join(twoview.two_view_poses(pixels, K), ["i", "j"], "left").join(one, "i").join(other, "j")
+    return judged.select("i", "j", "n", F.coalesce(F.greatest(*gaps) < reach, F.lit(False)).alias("near"))
+
+
+PAIRS = f"{SQL} SELECT p.img_id AS i, q.img_id AS j, count(*) AS n, true AS near FROM obs p JOIN obs q ON p.track_id = q.track_id AND p.img_id < q.img_id GROUP BY ALL HAVING count(*) >= 30"
+
+
+@query(PAIRS)
+def two_view_poses_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relative poses of all pairs with thirty common tracks, against the scene's cameras."""
+    s = Scene(spark, sf_dir)
+    return _relative_near(_common(s.obs), s.cameras, 0.1)
+
+
+@query(PAIRS)
+def wall_poses_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same where all points lie on a plane, which leaves linear fits of eight points undetermined."""
+    _, seen = scene.wall(spark, sf_dir)
+    return _relative_near(_common(cut(seen)), Scene(spark, sf_dir).cameras, 0.1)
+
+
+def _absolute_near(poses: DataFrame, seen: DataFrame, cameras: DataFrame) -> DataFrame:
+    counts = seen.groupBy("img_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 30")
+    both = counts.join(poses, "img_id", "left").join(cameras, "img_id")
+    centre = [-(F.col("r")[c] * F.col("t")[0] + F.col("r")[3 + c] * F.col("t")[1] + F.col("r")[6 + c] * F.col("t")[2]) for c in range(3)]
+    far = F.sqrt(sum(((x - F.col(f"c{c}_w")) * (x - F.col(f"c{c}_w")) for x, c in zip(centre[1:], "yz")), (centre[0] - F.col("cx_w")) * (centre[0] - F.col("cx_w"))))
+    return both.select("img_id", F.coalesce(far < 0.05, F.lit(False)).alias("near"), F.coalesce(F.col("n_inliers") >= 0.9 * F.col("n"), F.lit(False)).alias("enough"))
+
+
+@query(f"{SQL} SELECT img_id, true AS near, count(*) >= 30 AS enough FROM obs GROUP BY 1 HAVING count(*) >= 30")
+def wall_cameras_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Camera poses from points of a plane, which leave linear fits of six points undetermined."""
+    flat, seen = scene.wall(spark, sf_dir)
+    links = seen.join(flat, "track_id").select("img_id", "track_id", "u", "v", "x", "y", "z")
+    return _absolute_near(twoview.pnp(links, K), seen, Scene(spark, sf_dir).cameras)

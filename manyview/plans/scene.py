@@ -52,6 +52,16 @@ def obs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("track_id", "img_id", "h", (u + du).alias("u"), (v + dv).alias("v"))
 
 
+def wall(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Points and observations as above, but with all points on a plane and a hundredth of the noise; wrong places are as wrong, but
+    downwards, as a shift along an epipolar line can't be told from depth."""
+    flat = points(spark, sf_dir).withColumn("z", 0.05 * F.col("x") - 0.5)
+    placed = obs(spark, sf_dir).select("track_id", "img_id", "h").join(flat, "track_id").join(cameras(spark, sf_dir), "img_id")
+    u, v, _ = pixel((F.col("x"), F.col("y"), F.col("z")))
+    dv = (F.col("h") * 13 % 2001 - 1000) / 100_000 + F.when(F.col("h") % 53 == 0, 9.0).otherwise(0.0)
+    return flat, placed.select("track_id", "img_id", "h", (u + (F.col("h") * 7 % 2001 - 1000) / 100_000).alias("u"), (v + dv).alias("v"))
+
+
 def keypoints(seen: DataFrame) -> DataFrame:
     """(img_id, kp_id, x, y, track_id): the observations, numbered in each image."""
     number = F.row_number().over(Window.partitionBy("img_id").orderBy("track_id")) - 1
