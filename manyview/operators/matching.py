@@ -7,6 +7,7 @@ keypoints a of i and b of j. Every place where order decides has a total order.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from manyview.functions.linalg import cross, dot, norm, once, rotation, times, transposed, vector
 from manyview.operators.triangulate import near_both
+from manyview.session import cut
 
 
 def image_pairs(images: DataFrame) -> DataFrame:
@@ -54,8 +56,8 @@ def _nearest(left: np.ndarray, right: np.ndarray, ids: np.ndarray) -> Iterator[t
             yield low + int(rows[k]), int(place[k]), int(ids[columns[k]]), float(exact[k])
 
 
-def two_nearest(desc: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(i, j, a, b, place, dist): for each keypoint a of i its two nearest of j.
+def two_nearest(desc: DataFrame, pairs: DataFrame, queries: DataFrame | None = None) -> DataFrame:
+    """(i, j, a, b, place, dist): for each keypoint a of i its two nearest of j. queries: (i, j, a), if not all are asked for.
 
     An image's descriptors travel in blocks of about DESCRIPTORS, so a pair of images is a few rows with two blocks each, and
     not a row for each pair of keypoints; the nearest of all blocks of j are the nearest.
@@ -76,6 +78,11 @@ def two_nearest(desc: DataFrame, pairs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["i", "j", "a", "b", "dist"])
 
     met = pairs.join(sides[0], "i").join(sides[1], "j").select("i", "j", "i_ids", "i_rows", "j_ids", "j_rows")
+    if queries is not None:  # these take the place of the whole image
+        asked = queries.join(dealt.select(F.col("img_id").alias("i"), F.col("kp_id").alias("a"), "v"), ["i", "a"])
+        deal = F.floor(F.pmod(F.xxhash64("a"), F.lit(1 << 20)) / F.lit(1 << 20) * F.ceil(F.count(F.lit(1)).over(Window.partitionBy("i", "j")) / DESCRIPTORS))
+        own = asked.withColumn("deal", deal).groupBy("i", "j", "deal").agg(F.sort_array(F.collect_list(F.struct("a", "v"))).alias("rows"))
+        met = own.select("i", "j", F.col("rows.a").alias("i_ids"), F.flatten("rows.v").alias("i_rows")).join(sides[1], "j").select("i", "j", "i_ids", "i_rows", "j_ids", "j_rows")
     found = met.mapInArrow(run, "i int, j int, a int, b int, dist double")
     two = found.groupBy("i", "j", "a").agg(F.slice(F.sort_array(F.collect_list(F.struct("dist", "b"))), 1, 2).alias("two"))  # two of each block
     return two.select("i", "j", "a", F.posexplode("two").alias("nth", "hit")).select("i", "j", "a", "hit.b", (F.col("nth") + 1).alias("place"), "hit.dist")
@@ -124,6 +131,32 @@ def unique_in_order(matches: DataFrame) -> DataFrame:
     return matches.groupBy("i", "j").applyInPandas(run, matches.schema)
 
 
+#: Edges that are left to one sequential pass for each pair of images; rounds take care of all others.
+FEW_EDGES = 200_000
+
+
+def unique_greedy(matches: DataFrame, few: int = FEW_EDGES) -> DataFrame:
+    """Of matches (i, j, a, b, dist), several for an a or b, those that a pass by (dist, a, b) keeps if it takes what is free at both
+    ends.
+
+    In each round an edge that is first at both of its ends is kept, as nothing before it can take an end away, and the edges
+    at its ends go; the pass would do the same. Random orders need about the logarithm of the edges in rounds. A long chain of
+    ever later edges needs as many as it has edges; when `few` edges are left, the pass itself ends it.
+    """
+    order = F.struct("dist", "a", "b")
+    at_a, at_b = ["i", "j", "a"], ["i", "j", "b"]
+    open_, kept = cut(matches.select("i", "j", "a", "b", "dist").distinct()), []
+    while (n := open_.count()) > few:
+        first = open_.withColumn("at_a", F.min(order).over(Window.partitionBy(*at_a))).withColumn("at_b", F.min(order).over(Window.partitionBy(*at_b)))
+        won = cut(first.where((F.col("at_a") == order) & (F.col("at_b") == order)).select("i", "j", "a", "b", "dist"))
+        kept.append(won)
+        open_ = cut(open_.join(won.select(*at_a), at_a, "left_anti").join(won.select(*at_b), at_b, "left_anti"))
+    if n:
+        nth = F.row_number().over(Window.partitionBy("i", "j").orderBy("dist", "a", "b"))
+        kept.append(unique_in_order(open_.withColumn("nth", nth)).select("i", "j", "a", "b", "dist"))
+    return reduce(DataFrame.unionByName, kept) if kept else open_
+
+
 def match_contours(contours: DataFrame, cameras: DataFrame, pairs: DataFrame, most: float = 5.0, least: int = 8, slack: int = 5, most_error: float = 3.0) -> DataFrame:
     """(i, j, a, b) of contour matches both ways, in order along the contour, near their two-view points, of pairs with `least`."""
     turned = pairs.select(F.col("j").alias("i"), F.col("i").alias("j"))

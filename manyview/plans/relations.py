@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from manyview.functions import text
 from manyview.functions.projection import angle_plain, projection_matrix, quaternion, rotation_of
-from manyview.operators import adjust, diagnostics, errors, register, tracks, triangulate, twoview
+from manyview.operators import adjust, binary, descindex, diagnostics, errors, matching, register, tracks, triangulate, twoview
 from manyview.plans import queries, reconstruct, scene
 from manyview.plans.config import PRESETS
 from manyview.plans.queries import ALL, FUND, KNN, RUNS, K, R, Scene, query, rounded
@@ -291,3 +293,52 @@ def wall_cameras_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     flat, seen = scene.wall(spark, sf_dir)
     links = seen.join(flat, "track_id").select("img_id", "track_id", "u", "v", "x", "y", "z")
     return _absolute_near(twoview.pnp(links, K), seen, Scene(spark, sf_dir).cameras)
+
+
+# --- neighbours by indexes, and one-to-one matches ----------------------------------------------------------------------
+
+NEAR = f"{KNN.strip()[5:]}"
+
+
+@query(f"WITH {NEAR} SELECT i, count(*) FILTER (WHERE place = 1) AS n, true AS enough FROM near WHERE i < j GROUP BY i")
+def indexed_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many nearest neighbours in later images an image's descriptors have, and whether the index shows nine of ten."""
+    desc = cut(Scene(spark, sf_dir).desc)
+    pairs = matching.image_pairs(desc.select("img_id").distinct())
+    best = matching.two_nearest(desc, pairs).where("place = 1").select("i", "j", "a", "b")
+    made = descindex.two_nearest_indexed(desc, pairs, leaf=64).select("i", "j", "a", "b", F.lit(1).alias("shown")).distinct()
+    joined = best.join(made, ["i", "j", "a", "b"], "left").groupBy("i").agg(F.count(F.lit(1)).alias("n"), F.sum("shown").alias("shown"))
+    return joined.select("i", "n", (F.coalesce("shown", F.lit(0)) >= 0.9 * F.col("n")).alias("enough"))
+
+
+def _signs(desc: DataFrame) -> DataFrame:
+    """(img_id, kp_id, bits): a bit for each component over zero."""
+    bits = [F.when(F.get("desc", F.lit(k)) > 0, F.lit((1 << k) - (1 << 64 if k == 63 else 0)).cast("long")).otherwise(F.lit(0).cast("long")) for k in range(64)]
+    return desc.select("img_id", "kp_id", F.array(reduce(lambda x, y: x.bitwiseOR(y), bits)).alias("bits"))
+
+
+@query(
+    """WITH d AS (SELECT CAST(label AS INTEGER) AS img_id, CAST(vec_id AS INTEGER) AS kp_id, list_sum(list_transform(range(64), lambda k: CASE WHEN embedding[k + 1] > 0 THEN 1::HUGEINT << k::INTEGER ELSE 0::HUGEINT END))::HUGEINT AS bits FROM embeddings WHERE embedding IS NOT NULL),
+    met AS (SELECT l.img_id AS i, r.img_id AS j, l.kp_id AS a, r.kp_id AS b, CAST(bit_count(xor(l.bits, r.bits)) AS INTEGER) AS dist FROM d l JOIN d r ON l.img_id < r.img_id)
+    SELECT i, j, a, b, CAST(row_number() OVER (PARTITION BY i, j, a ORDER BY dist, b) AS INTEGER) AS place, dist FROM met QUALIFY place <= 2"""
+)
+def hamming_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two nearest of each later image, by the signs of descriptors."""
+    desc = cut(_signs(Scene(spark, sf_dir).desc))
+    return binary.two_nearest_binary(desc, matching.image_pairs(desc.select("img_id").distinct()), 1)
+
+
+@query(
+    f"""WITH RECURSIVE {NEAR}, e AS (SELECT i, j, a, b, dist, row_number() OVER (PARTITION BY i, j ORDER BY dist, a, b) AS k FROM near WHERE i < j),
+    g(i, j, k, ua, ub, kept) AS (
+      SELECT DISTINCT i, j, 0::BIGINT, []::INTEGER[], []::INTEGER[], false FROM e
+      UNION ALL SELECT g.i, g.j, e.k, CASE WHEN list_contains(ua, e.a) OR list_contains(ub, e.b) THEN ua ELSE list_append(ua, e.a) END,
+        CASE WHEN list_contains(ua, e.a) OR list_contains(ub, e.b) THEN ub ELSE list_append(ub, e.b) END, NOT (list_contains(ua, e.a) OR list_contains(ub, e.b))
+      FROM g JOIN e ON e.i = g.i AND e.j = g.j AND e.k = g.k + 1)
+    SELECT e.i, e.j, e.a, e.b, {R('e.dist', 'dist')} FROM g JOIN e USING (i, j, k) WHERE g.kept"""
+)
+def greedy_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One-to-one matches out of both neighbours of each descriptor, the nearest first."""
+    desc = Scene(spark, sf_dir).desc
+    near = matching.two_nearest(desc, matching.image_pairs(desc.select("img_id").distinct()))
+    return rounded(matching.unique_greedy(near.select("i", "j", "a", "b", "dist"), few=1_000))
