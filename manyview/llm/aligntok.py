@@ -4,12 +4,14 @@ Tokens are exploded with their place, a window sums their lengths to byte offset
 where tokens of both vocabularies end, running counts of these cuts number the groups, and the tokens of a group are linked by a
 join on piece and group.
 
-This is done for pieces of texts, each different piece once. A piece begins with a space that follows a character other than
-white space. Both vocabularies cut there whatever stands around: the splitting pattern of the byte-level one never takes such a
-space with what is before it, and no piece of the other has a space behind another character. So a document's
-tokens, groups and links are those of its pieces in order. What is exploded and joined grows with the different pieces,
-not with all tokens. Tasks number the pieces of up to BLOCK_CHARS characters of texts as a block; a block's documents travel as
-numbers and meet the aligned pieces of their block.
+This is done for pieces of texts, each different piece of a block once. A piece begins with a space that follows a character other
+than white space. Both vocabularies cut there whatever stands around: the splitting pattern of the byte-level one never takes such
+a space with what is before it, and no piece of the other has a space behind another character. So a document's tokens, groups and
+links are those of its pieces in order. Tasks number the pieces of up to BLOCK_CHARS characters of texts as a block and write
+them, with their tokens, into tables that are bucketed by block. All windows, joins and groups of a block's pieces, and the
+meeting of pieces and documents, stay in the bucket; only the counts of id pairs are shuffled. The table of these counts is sent to
+all tasks if it has MOST_SENT rows at most, else it is joined by shuffling. Each step is written, so that lost executors cost a
+step's tasks, and the result is read from a table.
 
 Defined results: null and empty texts, and those with a character that the second vocabulary can't give back (its own sign for
 a space), have no tokens; each row is a document of its own, also where rows share a doc_id or repeat; an empty table gives no
@@ -20,8 +22,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +32,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from manyview.llm.common import in_modest_batches, scratch, table
 
 BLOCK_CHARS = 32_000_000
+PIECES_AT_ONCE = 20_000
+#: Rows of counts that are broadcast, of 24 bytes each.
+MOST_SENT = 3_000_000
+KEY = ["block", "number"]
 SPACE = "▁"
 CO_PARTITION = "spark.sql.requireAllClusterKeysForCoPartition"
 _UNEVEN = re.compile(r"\s |\A | \Z")
@@ -53,18 +60,53 @@ def pieces_of(text: str) -> list[str]:
     return out
 
 
-def numbered(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """Rows of two kinds. Documents: (block, doc_id, row, numbers), packed 32-bit numbers of their pieces in order. Pieces: (block,
-    number, piece)."""
+def tokenizer_first(content: str) -> Callable[[list[str]], tuple[list[list[int]], np.ndarray]]:
+    """Of pieces, the ids of " " + piece by a byte-level vocabulary file's text; and the number of bytes of each id."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are parallel
+    from tokenizers import Tokenizer
+
+    library, vocabulary = Tokenizer.from_str(content), json.loads(content)["model"]["vocab"]
+    library.encode_special_tokens = True
+    sizes = np.zeros(1 + max(vocabulary.values()), np.int32)
+    sizes[list(vocabulary.values())] = [len(token) for token in vocabulary]  # a character for each byte
+    return lambda pieces: ([e.ids for e in library.encode_batch_fast([" " + p for p in pieces], add_special_tokens=False)], sizes)
+
+
+def tokenizer_second(path: str) -> Callable[[list[str]], tuple[list[list[int]], np.ndarray]]:
+    """The same for a piece model, without tokens where they would not give back the text."""
+    from sentencepiece import SentencePieceProcessor
+
+    model = SentencePieceProcessor(model_file=path)
+    names = [model.id_to_piece(i) for i in range(model.get_piece_size())]
+    sizes = np.array([1 if model.is_byte(i) else len(x.replace(SPACE, " ").encode()) for i, x in enumerate(names)], np.int32)
+    return lambda pieces: ([[] if SPACE in p else x for p, x in zip(pieces, model.encode(pieces, num_threads=1))], sizes)
+
+
+_OF_WORKER: dict[tuple[int, str], tuple] = {}
+
+
+def numbered(docs: DataFrame, first: str, second: str, id_column: str, text_column: str) -> DataFrame:
+    """Rows of two kinds. Documents: (block, doc_id, numbers), packed 32-bit numbers of their pieces in order. Pieces: (block, number,
+    a, b), structs of arrays of token ids and their sizes in bytes."""
+    sent = docs.sparkSession.sparkContext.broadcast(first)
 
     def rows(n: int, block: int, **columns: pa.Array) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), *(columns.get(f.name, pa.nulls(n, f.type)) for f in shape)], ["block", *shape.names])
 
+    def tokens(coded: list[list[int]], sizes: np.ndarray) -> pa.Array:
+        ends = pa.array(np.cumsum([0, *map(len, coded)]), pa.int32())
+        ids = np.fromiter((i for x in coded for i in x), np.int32, ends[-1].as_py())
+        return pa.StructArray.from_arrays([pa.ListArray.from_arrays(ends, pa.array(ids)), pa.ListArray.from_arrays(ends, pa.array(sizes[ids]))], ["id", "size"])
+
     def listed(known: dict[str, int], block: int) -> Iterator[pa.RecordBatch]:
+        key = hash(sent.value), second
+        if key not in _OF_WORKER:
+            _OF_WORKER[key] = tokenizer_first(sent.value), tokenizer_second(second)
         names = list(known)
-        for low in range(0, len(names), 100_000):
-            part = names[low : low + 100_000]
-            yield rows(len(part), block, number=pa.array(range(low, low + len(part)), pa.int32()), piece=pa.array(part, pa.string()))
+        for low in range(0, len(names), PIECES_AT_ONCE):
+            part = names[low : low + PIECES_AT_ONCE]
+            a, b = (tokens(*f(part)) for f in _OF_WORKER[key])
+            yield rows(len(part), block, number=pa.array(range(low, low + len(part)), pa.int32()), a=a, b=b)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, chars, known = TaskContext.get().partitionId() << 16, 0, {}
@@ -80,79 +122,38 @@ def numbered(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
                 block, chars, known = block + 1, 0, {}
         yield from listed(known, block)
 
-    kind = docs.schema[id_column].dataType.simpleString()
-    shape = pa.schema([pa.field("doc_id", to_arrow_schema(StructType([docs.schema[id_column]]))[0].type), ("numbers", pa.binary()), ("number", pa.int32()), ("piece", pa.string())])
+    kind = docs.schema[id_column].dataType
+    pair = pa.struct([("id", pa.list_(pa.int32())), ("size", pa.list_(pa.int32()))])
+    shape = pa.schema([("doc_id", to_arrow_schema(StructType([StructField("x", kind)]))[0].type), ("numbers", pa.binary()), ("number", pa.int32()), ("a", pair), ("b", pair)])
     source = in_modest_batches(docs).select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-    return source.mapInArrow(run, f"block long, doc_id {kind}, numbers binary, number int, piece string")
-
-
-def _tokens_first(content: str):
-    """Ids and byte lengths of " " + piece by a byte-level vocabulary file's text."""
-    vocabulary = json.loads(content)["model"]["vocab"]
-    lengths = np.zeros(1 + max(vocabulary.values()), np.int32)
-    lengths[list(vocabulary.values())] = [len(token) for token in vocabulary]  # a character for each byte
-    held = {}
+    pair_of = "struct<id: array<int>, size: array<int>>"
+    return source.mapInArrow(run, f"block long, doc_id {kind.simpleString()}, numbers binary, number int, a {pair_of}, b {pair_of}")
 
-    @F.arrow_udf("struct<id: array<int>, size: array<int>>")
-    def tokens(piece: pa.Array) -> pa.Array:
-        if "t" not in held:
-            from tokenizers import Tokenizer
 
-            held["t"] = Tokenizer.from_str(content)
-            held["t"].encode_special_tokens = True
-        return _listed([held["t"].encode(" " + p, add_special_tokens=False).ids for p in piece.to_pylist()], lengths)
-
-    return tokens
-
-
-def _tokens_second(path: str):
-    """Ids and byte lengths by a piece vocabulary, none where they don't give back the text."""
-    held = {}
-
-    @F.arrow_udf("struct<id: array<int>, size: array<int>>")
-    def tokens(piece: pa.Array) -> pa.Array:
-        if "t" not in held:
-            from sentencepiece import SentencePieceProcessor
-
-            held["t"] = processor = SentencePieceProcessor(model_file=path)
-            names = [processor.id_to_piece(i) for i in range(processor.get_piece_size())]
-            held["size"] = np.array([1 if processor.is_byte(i) else len(x.replace(SPACE, " ").encode()) for i, x in enumerate(names)], np.int32)
-        texts = piece.to_pylist()
-        return _listed([[] if SPACE in t else x for t, x in zip(texts, held["t"].encode(texts, num_threads=1))], held["size"])
-
-    return tokens
-
-
-def _listed(coded: list[list[int]], lengths: np.ndarray) -> pa.Array:
-    ends = pa.array(np.cumsum([0, *map(len, coded)]), pa.int32())
-    ids = np.fromiter((i for x in coded for i in x), np.int32, ends[-1].as_py())
-    return pa.StructArray.from_arrays([pa.ListArray.from_arrays(ends, pa.array(ids)), pa.ListArray.from_arrays(ends, pa.array(lengths[ids]))], ["id", "size"])
-
-
-def ends_of(tokens: DataFrame) -> DataFrame:
-    """(piece, pos, id, end) of (piece, t: arrays of ids and sizes): where each token ends."""
-    each = tokens.select("piece", F.posexplode(F.arrays_zip("t.id", "t.size")).alias("pos", "t")).select("piece", "pos", "t.id", "t.size")
-    return each.withColumn("end", F.sum("size").over(Window.partitionBy("piece").orderBy("pos"))).drop("size")
+def ends_of(pieces: DataFrame, side: str) -> DataFrame:
+    """(block, number, pos, id, end): where each token of a side ends."""
+    each = pieces.select(*KEY, F.posexplode(F.arrays_zip(f"{side}.id", f"{side}.size")).alias("pos", "t")).select(*KEY, "pos", "t.id", "t.size")
+    return each.withColumn("end", F.sum("size").over(Window.partitionBy(*KEY).orderBy("pos"))).drop("size")
 
 
 def grouped(tokens: DataFrame, other: DataFrame) -> DataFrame:
-    """(piece, pos, id, grp): the number of cuts before each token; a cut is an end that both sides have."""
-    cuts = other.select("piece", "end", F.lit(1).alias("cut"))
-    before = Window.partitionBy("piece").orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
-    return tokens.join(cuts, ["piece", "end"], "left").select("piece", "pos", "id", F.coalesce(F.sum("cut").over(before), F.lit(0)).alias("grp"))
+    """(block, number, pos, id, grp): the number of cuts before each token; a cut is an end that both sides have."""
+    cuts = other.select(*KEY, "end", F.lit(1).alias("cut"))
+    before = Window.partitionBy(*KEY).orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
+    return tokens.join(cuts, [*KEY, "end"], "left").select(*KEY, "pos", "id", F.coalesce(F.sum("cut").over(before), F.lit(0)).alias("grp"))
 
 
 def _in_order(name: str) -> Column:
     return F.transform(F.sort_array(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"]).alias(name)
 
 
-def aligned(first: DataFrame, second: DataFrame) -> DataFrame:
-    """(piece, n_a, n_b, n_groups, n_links, groups, links) of pieces with tokens on both sides; links: (a, b, n) for each pair of ids."""
-    a, b = ends_of(first), ends_of(second)
-    groups = grouped(a, b).groupBy("piece", "grp").agg(_in_order("a")).join(grouped(b, a).groupBy("piece", "grp").agg(_in_order("b")), ["piece", "grp"])
+def aligned(pieces: DataFrame) -> DataFrame:
+    """(block, number, n_a, n_b, n_groups, n_links, groups, pairs) of pieces with tokens on both sides; pairs: (a, b) of each link."""
+    a, b = ends_of(pieces, "a"), ends_of(pieces, "b")
+    groups = grouped(a, b).groupBy(*KEY, "grp").agg(_in_order("a")).join(grouped(b, a).groupBy(*KEY, "grp").agg(_in_order("b")), [*KEY, "grp"])
     text = F.concat(F.array_join(F.col("a").cast("array<string>"), ","), F.lit("|"), F.array_join(F.col("b").cast("array<string>"), ","))
     pairs = F.flatten(F.transform("a", lambda x: F.transform("b", lambda y: F.struct(x.alias("a"), y.alias("b")))))
-    whole = groups.groupBy("piece").agg(
+    return groups.groupBy(*KEY).agg(
         F.sum(F.size("a")).alias("n_a"),
         F.sum(F.size("b")).alias("n_b"),
         F.count(F.lit(1)).alias("n_groups"),
@@ -160,7 +161,6 @@ def aligned(first: DataFrame, second: DataFrame) -> DataFrame:
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("grp", text.alias("text")))), lambda g: g["text"]), ";").alias("groups"),
         F.flatten(F.collect_list(pairs)).alias("pairs"),
     )
-    return whole
 
 
 def _by_number(pieces: pa.Table) -> pa.Table:
@@ -222,34 +222,37 @@ def align(docs: DataFrame, first: str, second: str, id_column: str = "doc_id", t
     first: the text of a byte-level vocabulary file; second: the path of a piece model that every executor has.
     """
     spark = docs.sparkSession
-    path = scratch(spark, "align")
-    numbered(docs, id_column, text_column).write.parquet(f"{path}-numbered")
-    both = spark.read.parquet(f"{path}-numbered")
-    texts, pieces = both.where(F.col("number").isNull()).select("block", "doc_id", "numbers"), both.where(F.col("number").isNotNull()).select("block", "number", "piece")
+    path, names = scratch(spark, "align"), []
+
+    def kept(df: DataFrame, what: str, bucketed: bool = True) -> DataFrame:
+        if not bucketed:
+            df.write.parquet(f"{path}-{what}")
+            return spark.read.parquet(f"{path}-{what}")
+        names.append(f"align_{path[-32:]}_{what}")
+        df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "block").option("path", f"{path}-{what}").format("parquet").saveAsTable(names[-1])
+        return spark.table(names[-1])
 
-    distinct = pieces.groupBy("piece").agg(F.min(F.struct("block", "number")).alias("f"))
-    found = aligned(distinct.select("piece", _tokens_first(first)("piece").alias("t")), distinct.select("piece", _tokens_second(second)("piece").alias("t")))
     before = spark.conf.get(CO_PARTITION, "true")
-    spark.conf.set(CO_PARTITION, "false")  # all of it is dealt by piece, once
+    spark.conf.set(CO_PARTITION, "false")  # joins on more columns than the block stay in its bucket
     try:
-        kept = pieces.join(distinct, "piece").join(found, "piece")
-        kept.select("block", "number", F.col("f.block").alias("of_block"), F.col("f.number").alias("of_number"), *SUMS[:4], "groups", "pairs").write.parquet(f"{path}-aligned")
+        both = kept(numbered(docs, first, second, id_column, text_column), "numbered")
+        texts, pieces = both.where("number is null").select("block", "doc_id", "numbers"), both.where("number is not null").select(*KEY, "a", "b")
+        known = kept(aligned(pieces), "aligned")
+        by_block = texts.groupBy("block").cogroup(known.select(*KEY, "pairs").groupBy("block")).applyInArrow(_linked_documents, "a int, b int, docs long")
+        counts = kept(by_block.groupBy("a", "b").agg(F.sum("docs").alias("docs")), "counts", False)
+        best = counts.groupBy("a").agg(F.max("docs").alias("most"))
+        code = (F.shiftleft(F.col("a").cast("long"), 32) + F.col("b")).alias("code")
+        judged = counts.join(best, "a").select(code, "docs", (F.col("docs") == F.col("most")).cast("long").alias("best"))
+        judged = F.broadcast(judged) if counts.count() <= MOST_SENT else judged
+        links = known.select(*KEY, F.explode("pairs").alias("p")).select(*KEY, F.shiftleft(F.col("p.a").cast("long"), 32).alias("high"), "p.b").select(*KEY, (F.col("high") + F.col("b")).alias("code"))
+        scores = links.join(judged, "code").groupBy(*KEY).agg(F.sum("best").alias("n_best"), F.sum("docs").alias("count_sum"))
+        scored = known.drop("pairs").join(scores, KEY)
+        shape = ", ".join([f"doc_id {docs.schema[id_column].dataType.simpleString()}", *(f"{c} long" for c in SUMS), "groups_sha256 string"])
+        return kept(texts.groupBy("block").cogroup(scored.groupBy("block")).applyInArrow(_documents, shape), "result", False).withColumnRenamed("doc_id", id_column)
     finally:
         spark.conf.set(CO_PARTITION, before)
-    known = spark.read.parquet(f"{path}-aligned")
-
-    counted = texts.groupBy("block").cogroup(known.select("block", "number", "pairs").groupBy("block")).applyInArrow(_linked_documents, "a int, b int, docs long")
-    counted.groupBy("a", "b").agg(F.sum("docs").alias("docs")).write.parquet(f"{path}-counts")
-    counts = spark.read.parquet(f"{path}-counts")
-    best = counts.groupBy("a").agg(F.max("docs").alias("most"))
-    judged = counts.join(best, "a").select("a", "b", "docs", (F.col("docs") == F.col("most")).cast("long").alias("best"))
-    same = ["of_block", "of_number"]
-    links = known.where("of_block = block and of_number = number").select(*same, F.explode("pairs").alias("p")).select(*same, "p.a", "p.b")
-    scores = links.join(judged, ["a", "b"]).groupBy(*same).agg(F.sum("best").alias("n_best"), F.sum("docs").alias("count_sum"))
-    scored = known.select("block", "number", *same, *SUMS[:4], "groups").join(scores, same).drop(*same)
-    kind = docs.schema[id_column].dataType.simpleString()
-    shape = ", ".join([f"doc_id {kind}", *(f"{c} long" for c in SUMS), "groups_sha256 string"])
-    return texts.groupBy("block").cogroup(scored.groupBy("block")).applyInArrow(_documents, shape).withColumnRenamed("doc_id", id_column)
+        for name in names:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
 def op13_align(spark: SparkSession, sf_dir: str) -> DataFrame:
