@@ -2,15 +2,17 @@
 
 Points only (cameras fixed) is separable: each point is a row with the list of its observations, and Arrow batches of
 points take Gauss-Newton steps together. The full problem alternates with Spark jobs: tasks eliminate their points' 3x3
-blocks and give sums for the reduced camera system, which has six unknowns for each image and is solved on the driver.
+blocks and give sums for the reduced camera system, a table of 6x6 blocks that conjugate gradients multiply with vectors.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -167,102 +169,232 @@ def points_only(points: DataFrame, obs: DataFrame, cameras: DataFrame, rounds: i
     return listed(points, obs).mapInPandas(run, "track_id long, x double, y double, z double, before double, after double")
 
 
+@dataclass(frozen=True)
+class Bounds:
+    """How far rotations (as vectors), translations and points may get from where they start; None: as far as they like."""
+
+    rotation: float | None = None
+    translation: float | None = None
+    point: float | None = None
+
+    def camera(self) -> np.ndarray:
+        return np.repeat([np.inf if v is None else v for v in (self.rotation, self.translation)], 3)
+
+
+def blocked(way: np.ndarray, gone: np.ndarray, reach: np.ndarray | float) -> np.ndarray:
+    """Which unknowns stand at their bound and would go beyond it. gone: how far each is from its start; way: where it wants to go."""
+    return (np.abs(gone) >= np.asarray(reach) * (1 - 1e-9)) & (way * gone > 0)
+
+
 class Reduced:
-    """A batch's points eliminated: their damped inverse blocks, gradients, and coupling to the free cameras."""
+    """A batch's points eliminated: their damped inverse blocks, gradients, and coupling to the free cameras.
+
+    place: by camera, its number among the free ones, or -1. peak: the largest diagonals of each point's block so far, by which the
+    damping scales its columns; start: where the points started.
+    """
 
-    def __init__(self, x: np.ndarray, seen: list, cameras: Cameras, fixed: int, damping: float, scale: float, loss: str):
+    def __init__(self, x: np.ndarray, seen: list, cameras: Cameras, place: np.ndarray, damping: float, scale: float, loss: str, peak: np.ndarray, start: np.ndarray, bounds: Bounds):
         self.batch = batch = Batch(seen, cameras)
         r, jc, jp = batch.linearised(x, cameras)
         costs, w = _costs(r, scale, loss)
         w = w[:, None, None]
         self.cost = float(costs.sum())
-        self.inverse = np.linalg.inv(_damped(batch.summed(w * jp.transpose(0, 2, 1) @ jp), damping, 1e-9))
+        v = batch.summed(w * jp.transpose(0, 2, 1) @ jp)
+        self.peak = np.maximum(peak, np.einsum("nii->ni", v))
         self.g = -batch.summed((w * jp.transpose(0, 2, 1) @ r[:, :, None])[..., 0])
-        self.use = np.flatnonzero(batch.camera >= fixed)  # cameras are in the order of their ids, the first are fixed
-        self.at, self.owner = batch.camera[self.use] - fixed, batch.owner[self.use]
+        self.start, self.reach = start, np.inf if bounds.point is None else bounds.point
+        open_ = ~blocked(self.g, x - start, self.reach)
+        v = v * open_[:, :, None] * open_[:, None, :] + (damping * (self.peak + 1e-9) + ~open_)[:, :, None] * np.eye(3)
+        self.g = self.g * open_
+        self.inverse = np.linalg.inv(v)
+        free = place[batch.camera]
+        self.use = np.flatnonzero(free >= 0)
+        self.at, self.owner = free[self.use], batch.owner[self.use]
         jc, jp, w, r = jc[self.use], jp[self.use], w[self.use], r[self.use]
         self.u, self.gc = w * jc.transpose(0, 2, 1) @ jc, -(w * jc.transpose(0, 2, 1) @ r[:, :, None])[..., 0]
-        self.w = w * jc.transpose(0, 2, 1) @ jp
+        self.w = (w * jc.transpose(0, 2, 1) @ jp) * open_[self.owner][:, None, :]
 
-    def add_to(self, s: np.ndarray, b: np.ndarray, damping: float) -> None:
-        """s: (cameras, cameras, 6, 6); b: (cameras, 6)."""
+    def blocks(self, n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(i, j, values of 36): this batch's share of the reduced system, only for pairs of cameras that share points; with j = -1
+        of its right side, with j = -2 of the diagonals before the elimination."""
+        if not n:
+            return
         y = self.w @ self.inverse[self.owner]
-        np.add.at(s, (self.at, self.at), _damped(self.u, damping, 0.0))
-        np.add.at(b, self.at, self.gc - (y @ self.g[self.owner][..., None])[..., 0])
         sizes = np.bincount(self.owner, minlength=len(self.g))
         starts = np.cumsum(sizes) - sizes
         times = sizes[self.owner]  # each observation meets all of its point
         one = np.repeat(np.arange(len(self.owner)), times)
         other = np.arange(len(one)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(starts[self.owner], times)
+
+        def summed(codes: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            found, to = np.unique(codes, return_inverse=True)
+            out = np.zeros((len(found), values.shape[1]))
+            np.add.at(out, to, values)
+            return found, out
+
         for low in range(0, len(one), PAIRS):
             i, j = one[low : low + PAIRS], other[low : low + PAIRS]
-            np.add.at(s, (self.at[i], self.at[j]), -y[i] @ self.w[j].transpose(0, 2, 1))
+            codes, values = summed(self.at[i] * n + self.at[j], (-y[i] @ self.w[j].transpose(0, 2, 1)).reshape(-1, 36))
+            yield codes // n, codes % n, values
+        at, values = summed(self.at, np.concatenate([self.u.reshape(-1, 36), self.gc - (y @ self.g[self.owner][..., None])[..., 0], np.einsum("nii->ni", self.u)], 1))
+        yield at, at, values[:, :36]
+        for k, part in ((-1, values[:, 36:42]), (-2, values[:, 42:])):
+            yield at, np.full(len(at), k), np.pad(part, ((0, 0), (0, 30)))
 
     def moved(self, x: np.ndarray, delta: np.ndarray) -> np.ndarray:
-        """delta: (cameras, 6)."""
+        """The points after the cameras' step delta (cameras, 6), inside their bounds."""
         back = np.zeros_like(self.g)
         np.add.at(back, self.owner, (self.w.transpose(0, 2, 1) @ delta[self.at][..., None])[..., 0])
-        return x + (self.inverse @ (self.g - back)[..., None])[..., 0]
+        new = x + (self.inverse @ (self.g - back)[..., None])[..., 0]
+        return np.clip(new, self.start - self.reach, self.start + self.reach)
+
+
+#: Blocks (of 36 doubles, 12 MB in all) that the driver multiplies itself; more stay a table, and each product is a job.
+FEW_BLOCKS = 40_000
+
+
+def solved(product: Callable[[np.ndarray], np.ndarray], diagonal: np.ndarray, b: np.ndarray, precision: float = 1e-10, most: int = 500) -> np.ndarray:
+    """x (n, 6) of a positive definite system, of which `product` gives products and `diagonal` (n, 6, 6) the blocks: conjugate
+    gradients, preconditioned by the inverse blocks. Stops at `precision` or after `most` products; a step that is cut short
+    is a descent as well, and the outer loop takes it only if the cost falls."""
+    inverse = np.linalg.pinv(diagonal, hermitian=True)
+    x, r = np.zeros_like(b), b.copy()
+    z = (inverse @ r[..., None])[..., 0]
+    p, rz = z, float((r * z).sum())
+    first = rz
+    for _ in range(most):
+        if rz <= precision**2 * first or rz <= 0:
+            break
+        q = product(p)
+        step = rz / max(float((p * q).sum()), 1e-300)
+        x, r = x + step * p, r - step * q
+        z = (inverse @ r[..., None])[..., 0]
+        rz, before = float((r * z).sum()), rz
+        p = z + rz / before * p
+    return x
+
+
+def block_product(blocks: DataFrame, n: int) -> Callable[[np.ndarray], np.ndarray]:
+    """Products of a table of blocks (i, j, v) with vectors (n, 6): the vector, a row for each image, goes to all tasks, each task sums
+    its rows of the result, and one aggregation adds them up."""
+    spark = blocks.sparkSession
+
+    def product(p: np.ndarray) -> np.ndarray:
+        shared = spark.sparkContext.broadcast(p)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = np.zeros((n, 6))
+            for batch in batches:
+                i, j, v = (batch.column(k) for k in range(3))
+                if batch.num_rows:
+                    values = v.flatten().to_numpy().reshape(-1, 6, 6)
+                    np.add.at(out, i.to_numpy(), (values @ shared.value[j.to_numpy()][..., None])[..., 0])
+            some = np.flatnonzero(out.any(axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *(pa.array(out[some, k]) for k in range(6))], ["i", *(f"v{k}" for k in range(6))])
+
+        parts = blocks.mapInArrow(run, "i int, " + ", ".join(f"v{k} double" for k in range(6)))
+        rows = parts.groupBy("i").agg(*[F.sum(f"v{k}").alias(f"v{k}") for k in range(6)]).toPandas()  # a row for each image
+        shared.unpersist()
+        out = np.zeros((n, 6))
+        out[rows["i"].to_numpy(int)] = rows[[f"v{k}" for k in range(6)]].to_numpy()
+        return out
+
+    return product
+
+
+def local_product(blocks: DataFrame, n: int) -> Callable[[np.ndarray], np.ndarray]:
+    rows = blocks.toPandas()
+    i, j, values = rows["i"].to_numpy(int), rows["j"].to_numpy(int), np.array(rows["v"].tolist()).reshape(-1, 6, 6)
+
+    def product(p: np.ndarray) -> np.ndarray:
+        out = np.zeros((n, 6))
+        np.add.at(out, i, (values @ p[j][..., None])[..., 0])
+        return out
+
+    return product
 
 
 def full(
-    points: DataFrame, obs: DataFrame, cameras: DataFrame, rounds: int = 5, scale: float = 2.0, fixed: int = 1, loss: str = "cauchy"
-) -> tuple[DataFrame, DataFrame, list[float]]:
-    """(points, cameras, costs): all points and all but the first `fixed` cameras are free. Each round: one job that sums the
-    reduced camera system, one that moves the points; a round that does not lower the cost raises the damping."""
+    points: DataFrame, obs: DataFrame, cameras: DataFrame, rounds: int = 5, scale: float = 2.0, fixed: int | list[int] = 1, loss: str = "cauchy", bounds: Bounds = Bounds(),
+    few: int = FEW_BLOCKS,
+) -> tuple[DataFrame, DataFrame, list[float]]:
+    """(points, cameras, costs): all points and all cameras are free, but for the `fixed` ones (image ids, or how many of the smallest).
+
+    Each round: one job that gives the reduced camera system as blocks of pairs of cameras that share points, conjugate
+    gradients over them, one job that moves the points. The damping scales each unknown by the largest derivatives it has had; a
+    round that does not lower the cost raises it. What is as long as there are images (six numbers each) is on the
+    driver; blocks are, only if they are few. Unknowns at a bound stay there while they push outwards.
+    """
     spark = points.sparkSession
-    rows = cut(listed(points, obs))
+    start = F.array("x", "y", "z")
+    rows = cut(listed(points, obs).withColumn("start", start).withColumn("peak", F.array(*[F.lit(0.0)] * 3)))
     table = _camera_table(cameras)
-    free = sorted(table)[fixed:]
+    held = sorted(table)[:fixed] if isinstance(fixed, int) else fixed
+    free = [i for i in sorted(table) if i not in set(held)]
+    place = np.array([free.index(i) if i in free else -1 for i in sorted(table)])
     n, damping, costs = len(free), 1e-3, []
-    size = 6 * n
+    peak, gone = np.zeros((n, 6)), np.zeros((n, 6))
 
     def parts(batches: Iterator[pd.DataFrame], cams: Cameras, lam: float) -> Iterator[tuple[pd.DataFrame, np.ndarray, Reduced]]:
         for batch in batches:
             for low in range(0, len(batch), POINTS):
                 part = batch.iloc[low : low + POINTS]
                 x = part[["x", "y", "z"]].to_numpy()
-                yield part, x, Reduced(x, part["seen"].tolist(), cams, fixed, lam, scale, loss)
-
-    def reduce(batches: Iterator[pd.DataFrame], table_: dict, lam: float) -> Iterator[pd.DataFrame]:
-        s, b, cost = np.zeros((n, n, 6, 6)), np.zeros((n, 6)), 0.0
-        for _, _, made in parts(batches, Cameras(table_), lam):
-            made.add_to(s, b, lam)
-            cost += made.cost
-        flat = np.concatenate([s.transpose(0, 2, 1, 3).ravel(), b.ravel(), [cost]])
-        at = np.flatnonzero(flat)  # only pairs of cameras that share points
-        yield pd.DataFrame({"at": at, "value": flat[at]})
+                yield part, x, Reduced(x, part["seen"].tolist(), cams, place, lam, scale, loss, np.stack(part["peak"]), np.stack(part["start"]), bounds)
 
     def moved(batches: Iterator[pd.DataFrame], table_: dict, lam: float, delta: np.ndarray) -> Iterator[pd.DataFrame]:
         for part, x, made in parts(batches, Cameras(table_), lam):
             part = part.copy()
             part[["x", "y", "z"]] = made.moved(x, delta)
+            part["peak"] = list(made.peak)
             yield part
 
-    def sums(df: DataFrame, cams: dict, lam: float) -> tuple[np.ndarray, np.ndarray, float]:
+    def reduced(df: DataFrame, cams: dict, lam: float) -> tuple[DataFrame, np.ndarray, np.ndarray, float]:
+        """Blocks, right side, diagonals and cost."""
         shared = spark.sparkContext.broadcast(cams)
-        out = df.mapInPandas(lambda it: reduce(it, shared.value, lam), "at long, value double").groupBy("at").agg(F.sum("value").alias("value")).collect()
-        flat = np.zeros(size * size + size + 1)  # (6 cameras)^2 numbers, whatever the number of points
-        for r in out:
-            flat[r["at"]] = r["value"]
-        return flat[: size * size].reshape(size, size), flat[size * size : -1], float(flat[-1])
 
-    s, b, cost = sums(rows, table, damping)
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            cost = 0.0
+            for _, _, made in parts(batches, Cameras(shared.value), lam):
+                cost += made.cost
+                for i, j, v in made.blocks(n):
+                    yield pd.DataFrame({"i": i, "j": j, "v": list(v)})
+            yield pd.DataFrame({"i": [-1], "j": [-1], "v": [[cost] + [0.0] * 35]})
+
+        sums = df.mapInPandas(run, "i int, j int, v array<double>").groupBy("i", "j").agg(*[F.sum(F.get("v", F.lit(k))).alias(f"v{k}") for k in range(36)])
+        out = cut(sums.select("i", "j", F.array(*[f"v{k}" for k in range(36)]).alias("v")))
+        b, diagonals, cost = np.zeros((n, 6)), np.zeros((n, 6)), 0.0
+        for r in out.where("j < 0").collect():  # two rows for each image
+            if r["i"] < 0:
+                cost = r["v"][0]
+            else:
+                (b if r["j"] == -1 else diagonals)[r["i"]] = r["v"][:6]
+        return out.where("j >= 0"), b, diagonals, cost
+
+    blocks, b, diagonals, cost = reduced(rows, table, damping)
     costs.append(cost)
-    for _ in range(rounds):
-        delta = np.linalg.lstsq(s + 1e-9 * np.eye(size), b, rcond=None)[0].reshape(n, 6)
+    for _ in range(rounds if n else 0):
+        peak = np.maximum(peak, diagonals)
+        open_ = ~blocked(b, gone, bounds.camera())
+        more = damping * (peak + 1e-9)
+        of_blocks = (local_product if blocks.count() <= few else block_product)(blocks, n)
+        diagonal = np.zeros((n, 6, 6))
+        for r in blocks.where("i = j").collect():  # a row for each image
+            diagonal[r["i"]] = np.array(r["v"]).reshape(6, 6)
+        diagonal = diagonal * open_[:, :, None] * open_[:, None, :] + (more + ~open_)[:, :, None] * np.eye(6)
+        delta = solved(lambda p: np.where(open_, of_blocks(p) + more * p, p), diagonal, b * open_)  # noqa: B023
+        delta = np.clip(gone + delta, -bounds.camera(), bounds.camera()) - gone
         shared, lam = spark.sparkContext.broadcast(table), damping
         tried = cut(rows.mapInPandas(lambda it, c=shared, m=lam, d=delta: moved(it, c.value, m, d), rows.schema))
         trial = dict(table)
         for img, d in zip(free, delta):
             trial[img] = {"k": table[img]["k"], "r": rodrigues(d[:3]) @ table[img]["r"], "t": table[img]["t"] + d[3:]}
-        damping_next = damping / 5
-        new = sums(tried, trial, damping_next)
-        if new[2] < cost:
-            rows, table, (s, b, cost), damping = tried, trial, new, damping_next
+        new = reduced(tried, trial, damping / 5)
+        if new[3] < cost:
+            rows, table, (blocks, b, diagonals, cost), damping, gone = tried, trial, new, damping / 5, gone + delta
         else:
             damping *= 10
-            s, b, _ = sums(rows, table, damping)
+            blocks, b, diagonals, _ = reduced(rows, table, damping)
         costs.append(cost)
     flat = [(img, *map(float, c["k"]), *map(float, c["r"].ravel()), *map(float, c["t"]), *map(float, -c["r"].T @ c["t"])) for img, c in sorted(table.items())]
     names = ["fx", "fy", "cx", "cy", *[f"r{i}{j}" for i in range(3) for j in range(3)], "tx", "ty", "tz", "cx_w", "cy_w", "cz_w"]
@@ -280,13 +412,13 @@ def run(
     scale: float = 2.0, loss: str = "cauchy", rounds: int = 5,
 ) -> tuple[DataFrame, DataFrame]:
     """(points, cameras) after an adjustment of the chosen images and of the points with the most views in them; both as they were
-    if there is too little to adjust. The first chosen image stays in place."""
+    if there is too little to adjust. The first two chosen images stay in place, which also fixes the scale."""
     chosen = cut(problem(obs.join(points.select("track_id"), "track_id", "left_semi"), images, points_cap))
     size = chosen.agg(F.countDistinct("track_id").alias("points"), F.count(F.lit(1)).alias("obs")).first()
     if len(images) < 2 or size["points"] < least_points or size["obs"] < least_obs:
         return points, cameras
     seen = obs.join(chosen.select("track_id", "img_id"), ["track_id", "img_id"], "left_semi")
     some = points.join(chosen.select("track_id").distinct(), "track_id", "left_semi")
-    moved, placed, _ = full(some, seen, cameras.where(F.col("img_id").isin(images)), rounds, scale, loss=loss)
+    moved, placed, _ = full(some, seen, cameras.where(F.col("img_id").isin(images)), rounds, scale, fixed=images[:2], loss=loss)
     others = cameras.where(~F.col("img_id").isin(images)).select(placed.columns)
     return updated(points, moved), placed.unionByName(others)
