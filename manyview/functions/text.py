@@ -26,12 +26,12 @@ def _json_numbers(body: Column, path: str) -> Column:
 
 
 def intrinsics(body: Column) -> Column:
-    """The nine numbers of K, row by row, of a text with nine numbers or more or of JSON: `K`, `intrinsics.K`, `fx, fy, cx, cy`,
+    """The nine numbers of K, row by row, of a text with nine numbers or more or of JSON: `K`, `intrinsic`, `intrinsics.K`, `fx, fy, cx, cy`,
     or any of these under `camera`. NULL if there are none."""
     is_json = F.ltrim(body).startswith("{")
     cases = []
     for root in ("$", "$.camera"):
-        cases += [_json_numbers(body, f"{root}.K"), _json_numbers(body, f"{root}.intrinsics.K")]
+        cases += [_json_numbers(body, f"{root}.K"), _json_numbers(body, f"{root}.intrinsic"), _json_numbers(body, f"{root}.intrinsics.K")]
         four = [F.get_json_object(body, f"{root}.{k}").cast("double") for k in ("fx", "fy", "cx", "cy")]
         whole = F.array(four[0], F.lit(0.0), four[2], F.lit(0.0), four[1], four[3], F.lit(0.0), F.lit(0.0), F.lit(1.0))
         cases.append(F.when(four[0].isNotNull() & four[1].isNotNull() & four[2].isNotNull() & four[3].isNotNull(), whole))

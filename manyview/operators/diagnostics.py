@@ -91,6 +91,12 @@ def residuals(star: DataFrame, least: float = 0.0) -> DataFrame:
     return star.where(F.col("err") >= least).select("img_id", "track_id", "u", "v", "pu", "pv", "err")
 
 
+def residual_summary(star: DataFrame) -> DataFrame:
+    """(img_id, n, mean, median, p95, worst) of the errors of each image's observations."""
+    parts = [F.count("err").alias("n"), F.avg("err").alias("mean"), F.percentile("err", F.lit(0.5)).alias("median"), F.percentile("err", F.lit(0.95)).alias("p95"), F.max("err").alias("worst")]
+    return star.where(F.col("err").isNotNull()).groupBy("img_id").agg(*parts)
+
+
 def foreground(runs: DataFrame, width: int, height: int) -> DataFrame:
     """(img_id, ratio): the share of an image's pixels that its mask covers."""
     return runs.groupBy("img_id").agg((F.sum(F.col("u1") - F.col("u0") + 1) / F.lit(width * height)).alias("ratio"))

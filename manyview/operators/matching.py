@@ -235,9 +235,13 @@ def enough(matches: DataFrame, least: int) -> DataFrame:
     return matches.join(pair_scores(matches).where(F.col("score") >= least).select("i", "j"), ["i", "j"], "left_semi")
 
 
-def initial_pair(scores: DataFrame, least: int = 8) -> DataFrame:
-    """The pair with the highest score, the first of equals; no row if none has `least`."""
-    return scores.where(F.col("score") >= least).orderBy(F.desc("score"), "i", "j").limit(1)
+def initial_pair(scores: DataFrame, least: int = 8, contour_only: DataFrame | None = None) -> DataFrame:
+    """The pair with the highest score, the first of equals; no row if none has `least`. Of equals, pairs of contour_only (i, j), which
+    have matches of contours alone, come after all others."""
+    if contour_only is not None:
+        scores = scores.join(contour_only.select("i", "j", F.lit(1).alias("late")).distinct(), ["i", "j"], "left")
+    late = [] if contour_only is None else [F.coalesce("late", F.lit(0))]
+    return scores.where(F.col("score") >= least).orderBy(F.desc("score"), *late, "i", "j").limit(1).drop("late")
 
 
 def monotonic(matches: DataFrame, slack: int = 5) -> DataFrame:

@@ -64,7 +64,7 @@ def single_camera(kps: DataFrame, matches: DataFrame, k: tuple[float, float, flo
     configuration says; known poses, as in known_cameras, are never adjusted. Then the adaptive cleanup judges the points.
     """
     spark = kps.sparkSession
-    config = (config or PRESETS["singlecam"]).adapted(25, int(2 * k[2]), int(2 * k[3]))
+    config = (config or PRESETS["singlecam"]).adapted(kps.select("img_id").distinct().count(), int(2 * k[2]), int(2 * k[3]))
     t = config.triangulation
     pixels = cut(matching.with_pixels(matches, kps).select("i", "j", "a", "b", "xi", "yi", "xj", "yj"))
     fine = cut(twoview.verify_pairs(pixels, k, config.matching.ransac_px, config.matching.least_inliers))

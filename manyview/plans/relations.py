@@ -14,8 +14,9 @@ from manyview.plans import queries, reconstruct, scene
 from manyview.plans.config import PRESETS
 from manyview.plans.queries import ALL, FUND, KNN, RUNS, K, R, Scene, query, rounded
 from manyview.plans.scene import HEIGHT, SQL, WIDTH
-from manyview.session import cut
+from manyview.session import cut, scratch
 from manyview.sources import calibration
+from manyview.streaming.tracks import TrackState, keep_tracks
 
 QUERIES, ORACLES = queries.QUERIES, queries.ORACLES
 
@@ -229,6 +230,28 @@ def full_adjustment_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _near(points, s, 0.1).withColumn("lower", F.lit(costs[-1] < 0.1 * costs[0])).withColumn("n_cameras", F.lit(cameras.count()))
 
 
+@query(f"{SQL}, {queries.BY_DEGREE} SELECT * FROM tr")
+def streamed_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scene's tracks out of a stream of its matches that comes in several batches."""
+    folder = scratch(spark, "stream")
+    cut(Scene(spark, sf_dir).matches).repartition(3, "i").write.parquet(f"{folder}/matches")
+    keep_tracks(spark, f"{folder}/matches", f"{folder}/state", f"{folder}/log", 1).awaitTermination()
+    return TrackState(spark, f"{folder}/state").tracks()
+
+
+@query(f"{SQL} SELECT img_id, count(*) AS n, {R('avg(err)', 'mean')}, {R('median(err)', 'median')}, {R('quantile_cont(err, 0.95)', 'p95')}, {R('max(err)', 'worst')} FROM errs WHERE err IS NOT NULL GROUP BY img_id")
+def overlay_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors of each image's observations, as an overlay of them is titled."""
+    return rounded(diagnostics.residual_summary(Scene(spark, sf_dir).star))
+
+
+@query(f"{SQL}, sc AS (SELECT i, j, least(count(*), 40) AS score FROM matches GROUP BY 1, 2) SELECT i, j, score FROM sc WHERE score >= 8 ORDER BY score DESC, (i % 2 = 0)::INTEGER, i, j LIMIT 1")
+def init_pair_contours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first pair where scores tie and pairs of even images have matches of contours alone."""
+    scores = matching.pair_scores(Scene(spark, sf_dir).matches).withColumn("score", F.least("score", F.lit(40)))
+    return matching.initial_pair(scores, contour_only=scores.where("i % 2 = 0"))
+
+
 # --- poses against the scene's cameras ----------------------------------------------------------------------------------
 
 

@@ -61,13 +61,18 @@ def stem_index(paths: DataFrame) -> DataFrame:
 
 
 def read_npy(spark: SparkSession, folder: str, pattern: str = "*.npy") -> DataFrame:
-    """(stem, k, valid): 3 x 3 or 3 x 4 matrices of .npy files, the left three columns row by row; NULL for other shapes."""
+    """(stem, k, valid): 3 x 3 or 3 x 4 matrices of .npy files, the left three columns row by row, or arrays of nine numbers as they
+    are; NULL for other shapes."""
+
+    def nine(a: np.ndarray) -> list[float] | None:
+        if a.size == 9:
+            return a.astype(float).ravel().tolist()
+        return a[:, :3].astype(float).ravel().tolist() if a.ndim == 2 and a.shape[0] == 3 and a.shape[1] >= 3 else None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             arrays = [np.load(io.BytesIO(x), allow_pickle=False) for x in batch["content"]]
-            k = [a[:, :3].astype(float).ravel().tolist() if a.ndim == 2 and a.shape[0] == 3 and a.shape[1] >= 3 else None for a in arrays]
-            yield pd.DataFrame({"stem": batch["stem"], "k": pd.Series(k, dtype=object)})
+            yield pd.DataFrame({"stem": batch["stem"], "k": pd.Series([nine(a) for a in arrays], dtype=object)})
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select(stem(F.col("path")).alias("stem"), "content")
     return files.mapInPandas(run, "stem string, k array<double>").withColumn("valid", valid_intrinsics(F.col("k")))
