@@ -8,7 +8,7 @@ This is done for pieces of texts, each different piece of a block once. A piece
 than white space. Both vocabularies cut there whatever stands around: the splitting pattern of the byte-level one never takes such
 a space with what is before it, and no piece of the other has a space behind another character. So a document's tokens, groups and
 links are those of its pieces in order. Tasks number the pieces of up to BLOCK_CHARS characters of texts as a block and write
-them, with their tokens, into tables that are bucketed by block. All windows, joins and groups of a block's pieces, and the
+them, with their tokens, into tables that are bucketed by block; no row is dealt anew for that, as a task has few blocks. All windows, joins and groups of a block's pieces, and the
 meeting of pieces and documents, stay in the bucket; only the counts of id pairs are shuffled. The table of these counts is sent to
 all tasks if it has MOST_SENT rows at most, else it is joined by shuffling. Each step is written, so that lost executors cost a
 step's tasks, and the result is read from a table.
@@ -36,8 +36,8 @@ from pyspark.sql.types import StructField, StructType
 
 from manyview.llm.common import in_modest_batches, scratch, table
 
-BLOCK_CHARS = 32_000_000
-PIECES_AT_ONCE = 20_000
+#: Of texts in a block: its tokens are sorted in one task. Pieces that a Python worker keeps with their tokens.
+BLOCK_CHARS, PIECES_AT_ONCE, CACHED_PIECES = 8_000_000, 20_000, 300_000
 #: Rows of counts that are broadcast, of 24 bytes each.
 MOST_SENT = 3_000_000
 KEY = ["block", "number"]
@@ -93,19 +93,25 @@ def numbered(docs: DataFrame, first: str, second: str, id_column: str, text_colu
     def rows(n: int, block: int, **columns: pa.Array) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), *(columns.get(f.name, pa.nulls(n, f.type)) for f in shape)], ["block", *shape.names])
 
-    def tokens(coded: list[list[int]], sizes: np.ndarray) -> pa.Array:
-        ends = pa.array(np.cumsum([0, *map(len, coded)]), pa.int32())
-        ids = np.fromiter((i for x in coded for i in x), np.int32, ends[-1].as_py())
+    def tokens(coded: list[bytes], sizes: np.ndarray) -> pa.Array:
+        ends, ids = pa.array(np.cumsum([0, *(len(x) // 4 for x in coded)]), pa.int32()), np.frombuffer(b"".join(coded), np.int32)
         return pa.StructArray.from_arrays([pa.ListArray.from_arrays(ends, pa.array(ids)), pa.ListArray.from_arrays(ends, pa.array(sizes[ids]))], ["id", "size"])
 
     def listed(known: dict[str, int], block: int) -> Iterator[pa.RecordBatch]:
         key = hash(sent.value), second
         if key not in _OF_WORKER:
-            _OF_WORKER[key] = tokenizer_first(sent.value), tokenizer_second(second)
+            _OF_WORKER[key] = tokenizer_first(sent.value), tokenizer_second(second), {}
+        *tokenizers, held = _OF_WORKER[key]
         names = list(known)
         for low in range(0, len(names), PIECES_AT_ONCE):
             part = names[low : low + PIECES_AT_ONCE]
-            a, b = (tokens(*f(part)) for f in _OF_WORKER[key])
+            if len(held) > CACHED_PIECES:
+                held.clear()
+            fresh = [p for p in part if p not in held]
+            (a, a_sizes), (b, b_sizes) = (f(fresh) for f in tokenizers)
+            held.update(zip(fresh, zip(*([np.array(x, np.int32).tobytes() for x in ids] for ids in (a, b)))))
+            both = [held[p] for p in part]
+            a, b = tokens([x[0] for x in both], a_sizes), tokens([x[1] for x in both], b_sizes)
             yield rows(len(part), block, number=pa.array(range(low, low + len(part)), pa.int32()), a=a, b=b)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,13 +229,15 @@ def align(docs: DataFrame, first: str, second: str, id_column: str = "doc_id", t
     """
     spark = docs.sparkSession
     path, names = scratch(spark, "align"), []
+    chars = docs.agg(F.sum(F.length(text_column))).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-2 * chars // BLOCK_CHARS))  # seldom two blocks in one
 
     def kept(df: DataFrame, what: str, bucketed: bool = True) -> DataFrame:
         if not bucketed:
             df.write.parquet(f"{path}-{what}")
             return spark.read.parquet(f"{path}-{what}")
         names.append(f"align_{path[-32:]}_{what}")
-        df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "block").option("path", f"{path}-{what}").format("parquet").saveAsTable(names[-1])
+        df.write.bucketBy(buckets, "block").option("path", f"{path}-{what}").format("parquet").saveAsTable(names[-1])
         return spark.table(names[-1])
 
     before = spark.conf.get(CO_PARTITION, "true")

@@ -3,8 +3,8 @@
 All byte triplets of a text's UTF-8 bytes are hashed into 256 buckets and counted. The digest holds the length on a
 logarithmic scale, two ratios of the counts' quartiles, and for each bucket the quartile that its count falls in, two bits
 each. Digests are compared by a score that adds the distance in length, the distances of the ratios, and for each bucket
-how many quartiles it is apart, with three for opposite ends counting six; the sum is bounded, and likeness is one less
-its share of the bound.
+how many quartiles it is apart, with three for opposite ends counting six. Likeness is one less the sum's share of FAR, which
+texts without anything in common reach, and 0 beyond.
 
 Neighbours. The query also compares each document with the next by descending doc_id (the last with the first). The
 documents are dealt once into ranges of doc_id and sorted; each range streams past a function that holds one row, and gives
