@@ -54,3 +54,23 @@ def _scorer(spark):
         labelled = spark.createDataFrame([(i, text, lang) for i, (lang, text) in enumerate(texts.items())], "doc_id long, text string, lang string")
         _MODEL["m"] = langid.train(labelled, langid.vocabulary(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")))
     return langid.Scorer(_MODEL["m"])
+
+
+def test_columns_that_clash_and_long_texts(spark):
+    """Columns named as an operator's own, and very long texts, where earlier tests have none."""
+    import public_tokenizers
+
+    from manyview.llm import bpe, minhash, mixing
+
+    long = "many different words " + " ".join(f"w{i}" for i in range(120_000))
+    rows = [(1, "Mail bob@example.org or 10.1.2.3"), (2, long), (3, long + " end"), (4, None), (5, "")]
+    docs = spark.createDataFrame([(*r, "en", "a", 1, 7, "c", "k", 9) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, n_tokens int, canon string, kind string, size int")
+    coded = bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    assert coded.columns == ["doc_id", "n_tokens", "token_ids", "decoded"]
+    assert {r["doc_id"]: bytes(r["decoded"]).decode() for r in coded.collect()} == {i: t or "" for i, t in rows}
+    hidden = {r["doc_id"]: r for r in pii.pseudonymise(docs).collect()}
+    assert hidden[1]["n_entities"] == 2 and "bob@" not in hidden[1]["text"] and hidden[2]["text"] == long and hidden[4]["text"] is None
+    classes = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(docs).collect()}
+    assert classes[2] == classes[3] == 2 and classes[1] == 1
+    mixed = {r["doc_id"]: r for r in mixing.mix(docs).collect()}
+    assert mixed[2]["size"] == 120_003 and set(mixed) == {1, 2, 3, 4, 5} and all(r["taken"] <= 3 * r["size"] for r in mixed.values())
