@@ -30,7 +30,11 @@ def test_forest_finds_what_all_pairs_show(spark):
     distances = {x[:4]: x[4] for x in exact}
     assert all(x[4] >= distances[x[:4]] - 1e-6 for x in made)  # never nearer than the nearest
     forest = descindex.grown(desc, leaf=32)
-    assert forest.directions.shape[1] == 5 and forest.probes < 32  # more than one leaf, and not all of them
+    assert forest.directions.shape[1] == 5 and 8 * forest.probes <= 32  # more than one leaf, and not all of them
+    loose = spark.createDataFrame([(k % 3, k, v.tolist()) for k, v in enumerate(np.random.default_rng(8).normal(size=(600, 48)))], "img_id int, kp_id int, desc array<double>")
+    assert 8 * descindex.grown(loose, leaf=16).probes > 64  # no structure, so blocks are compared
+    pairs = matching.image_pairs(loose.select("img_id").distinct())
+    assert found(descindex.two_nearest_indexed(loose, pairs, leaf=16)) == found(matching.two_nearest(loose, pairs))
 
 
 def test_forest_of_few_rows_is_exact(spark):
