@@ -6,8 +6,9 @@ to. What meets in a leaf is compared exactly, and the two nearest of all leaves
 there are trees and visits, however many pairs of images there are.
 
 Directions and medians come from a bounded sample (SAMPLE rows); how many leaves a query visits is the least power of two for which
-the sample finds its own nearest neighbours often enough. All rows are indexed. Where that takes as many visits as a tree has leaves,
-as for rows without any structure, an index compares no less than all pairs do, and those are compared in blocks. Leaves that hold more than a few blocks, such as
+the sample finds its own nearest neighbours often enough. All rows are indexed. Where that takes more than MOST_VISITS visits, or as many as a
+tree has leaves, as for rows without any structure, an index moves or compares no less than all pairs do, and those are compared in
+blocks. Leaves that hold more than a few blocks, such as
 those of many equal descriptors, are dealt in parts, and so are their queries.
 """
 
@@ -25,6 +26,8 @@ from manyview.operators.matching import two_nearest
 
 SAMPLE, TRIED = 8_192, 256
 LEAF, TREES, RECALL = 1_024, 8, 0.97
+#: Leaves that a query visits in all trees; where more are needed, blocks are compared.
+MOST_VISITS = 64
 #: Leaves' worth of rows that one task compares with as many queries.
 BLOCKS = 4
 
@@ -126,7 +129,7 @@ def _compared(base: pa.Table, queries: pa.Table) -> pa.Table:
 def two_nearest_indexed(desc: DataFrame, pairs: DataFrame, trees: int = TREES, leaf: int = LEAF, wanted: float = RECALL) -> DataFrame:
     """(i, j, a, b, place, dist) as matching.two_nearest has them, for pairs (i, j), but for the neighbours that no leaf shows."""
     forest = grown(desc, trees, leaf, wanted)
-    if trees * forest.probes > 1 << forest.medians.shape[1]:
+    if trees * forest.probes > min(MOST_VISITS, 1 << forest.medians.shape[1]):
         return two_nearest(desc, pairs)
     base, queries = _dealt(desc, forest, 1), _dealt(desc, forest, forest.probes)
     most, key = BLOCKS * leaf, ["tree", "leaf"]
