@@ -42,14 +42,15 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def obs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(track_id, img_id, h, u, v)."""
+    """(track_id, img_id, h, u, v). The sums of u go in the order of the SQL's, as errors that differ by their last bits alone tell the
+    worst from the next."""
     h = F.min(F.col("l_orderkey") * 31 + F.col("l_linenumber") * 17)
     seen = read(spark, sf_dir, "lineitem").where("l_linenumber <= 2").groupBy(F.col("l_partkey").alias("track_id"), (F.col("l_suppkey") % 25).cast("int").alias("img_id")).agg(h.alias("h"))
     placed = seen.join(points(spark, sf_dir), "track_id").join(cameras(spark, sf_dir), "img_id")
     u, v, _ = pixel((F.col("x"), F.col("y"), F.col("z")))
-    du = (F.col("h") * 7 % 2001 - 1000) / 1000 + F.when(F.col("h") % 53 == 0, 9.0).otherwise(0.0)
-    dv = (F.col("h") * 13 % 2001 - 1000) / 1000
-    return placed.select("track_id", "img_id", "h", (u + du).alias("u"), (v + dv).alias("v"))
+    du, dv = ((F.col("h") * k % 2001 - 1000) / 1000 for k in (7, 13))
+    off = F.when(F.col("h") % 53 == 0, 9.0).otherwise(0.0)
+    return placed.select("track_id", "img_id", "h", (u + du + off).alias("u"), (v + dv).alias("v"))
 
 
 def wall(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
