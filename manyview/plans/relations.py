@@ -282,7 +282,7 @@ PAIRS = f"{SQL} SELECT p.img_id AS i, q.img_id AS j, count(*) AS n, true AS near
 def two_view_poses_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relative poses of all pairs with thirty common tracks, against the scene's cameras."""
     s = Scene(spark, sf_dir)
-    return _relative_near(_common(s.obs), s.cameras, 0.1)
+    return _relative_near(_common(cut(s.obs.select("track_id", "img_id", "u", "v"))), s.cameras, 0.1)
 
 
 @query(PAIRS.replace("p.img_id < q.img_id", "p.img_id < q.img_id AND q.img_id - p.img_id BETWEEN 2 AND 23"))
@@ -305,6 +305,7 @@ def _absolute_near(poses: DataFrame, seen: DataFrame, cameras: DataFrame) -> Dat
 def wall_cameras_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Camera poses from points of a plane, which leave linear fits of six points undetermined."""
     flat, seen = scene.wall(spark, sf_dir)
+    seen = cut(seen)
     links = seen.join(flat, "track_id").select("img_id", "track_id", "u", "v", "x", "y", "z")
     return _absolute_near(twoview.pnp(links, K), seen, Scene(spark, sf_dir).cameras)
 

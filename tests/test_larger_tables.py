@@ -1,8 +1,12 @@
 """Mends for larger tables."""
 
+import tracemalloc
+
 import duckdb
+import numpy as np
 
-from manyview.plans import scene
+from manyview.operators import twoview
+from manyview.plans import queries, scene
 
 
 def test_pixels_have_the_bits_of_sql(spark):
@@ -13,3 +17,32 @@ def test_pixels_have_the_bits_of_sql(spark):
     expected = con.execute(f"{scene.SQL} SELECT track_id, img_id, u, v FROM obs").fetchall()
     got = scene.obs(spark, sf).select("track_id", "img_id", "u", "v").collect()
     assert sorted(map(tuple, got)) == sorted(expected)
+
+
+def test_poses_hold_few_numbers_a_point():
+    n, rng = 300_000, np.random.default_rng(1)
+    x = rng.uniform(-1, 1, (n, 3))
+    uv = x[:, :2] / (x[:, 2:] + 6)
+    twoview.absolute_pose(x[:100], uv[:100], 1e-3, 0)
+    tracemalloc.start()
+    r, t, inside = twoview.absolute_pose(x, uv, 1e-3, 0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert inside.all() and np.allclose(r, np.eye(3), atol=1e-6) and np.allclose(t, [0, 0, 6], atol=1e-6)
+    assert peak < 16 * 8 * n, peak / n
+
+
+def test_hypotheses_are_judged_by_blocks_of_points():
+    sizes = []
+
+    def inside(part: slice) -> np.ndarray:
+        sizes.append((part.stop - part.start) * 2_000)
+        return np.ones((2_000, len(range(*part.indices(300_000)))), bool)
+
+    assert (twoview.inliers(2_000, 300_000, inside) == 300_000).all()
+    assert max(sizes) <= twoview.CELLS
+
+
+def test_matches_read_the_tables_once(spark):
+    plan = queries.Scene(spark, "/root/testdata/sf0.001").matches._jdf.queryExecution().toString()
+    assert "lineitem" not in plan and "l_partkey" not in plan
