@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from manyview.functions.linalg import once
 from manyview.functions.projection import DEPTH_MEDIAN, DEPTH_PROJECT, distance, pixel
 from manyview.operators.quantiles import exact_percentiles
 from manyview.session import cut
@@ -26,7 +27,7 @@ def observed(points: DataFrame, obs: DataFrame, cameras: DataFrame, least_depth:
     """Each observation with the projection of its point: (track_id, img_id, u, v, pu, pv, depth, err); err is NULL if invalid."""
     u, v, z = pixel(_point(), least_depth=least_depth)
     star = obs.select("track_id", "img_id", "u", "v").join(points.select("track_id", *XYZ), "track_id").join(cameras, "img_id")
-    put = star.select("track_id", "img_id", "u", "v", *XYZ, u.alias("pu"), v.alias("pv"), z.alias("depth"))
+    put = once(star, ["track_id", "img_id", "u", "v", *XYZ], {"pu": u, "pv": v, "depth": z})  # filters on err don't get the whole projection
     return put.withColumn("err", distance(F.col("pu"), F.col("pv"), F.col("u"), F.col("v")))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,9 +49,14 @@ class Scene:
     def kps(self) -> DataFrame:
         return scene.keypoints(self.obs)
 
+    @cached_property
+    def kept_kps(self) -> DataFrame:
+        """The keypoints for what reads them several times."""
+        return cut(self.kps)
+
     @property
     def matches(self) -> DataFrame:
-        return scene.matches(self.kps)
+        return scene.matches(self.kept_kps)
 
     @property
     def star(self) -> DataFrame:
@@ -70,7 +76,7 @@ class Scene:
 
     @property
     def pixels(self) -> DataFrame:
-        return matching.with_pixels(self.matches, self.kps)
+        return matching.with_pixels(self.matches, self.kept_kps)
 
 
 R = lambda e, n: f"round({e}, 6) + 0.0 AS {n}"
@@ -467,7 +473,7 @@ BY_DEGREE, FIRST = TRACKS.format(order="degree DESC, kp_id"), TRACKS.format(orde
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cut(tracks.labelled(Scene(spark, sf_dir).matches))
+    return cut(tracks.labelled(cut(Scene(spark, sf_dir).matches)))
 
 
 @query(f"{SQL}, {BY_DEGREE} SELECT img_id, kp_id, degree FROM deg")
