@@ -402,9 +402,9 @@ def full(
 
 
 def updated(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(track_id, x, y, z): the new place where there is one, else the old."""
+    """old with the new place where there is one."""
     fresh = new.select("track_id", *[F.col(c).alias(f"new_{c}") for c in "xyz"])
-    return old.join(fresh, "track_id", "left").select("track_id", *[F.coalesce(f"new_{c}", c).alias(c) for c in "xyz"])
+    return old.join(fresh, "track_id", "left").select(*[F.coalesce(f"new_{c}", c).alias(c) if c in "xyz" else c for c in old.columns])
 
 
 def run(
@@ -421,4 +421,4 @@ def run(
     some = points.join(chosen.select("track_id").distinct(), "track_id", "left_semi")
     moved, placed, _ = full(some, seen, cameras.where(F.col("img_id").isin(images)), rounds, scale, fixed=images[:2], loss=loss)
     others = cameras.where(~F.col("img_id").isin(images)).select(placed.columns)
-    return updated(points, moved), placed.unionByName(others)
+    return updated(points, F.broadcast(moved)), placed.unionByName(others)  # points_cap rows at most

@@ -4,21 +4,21 @@ from __future__ import annotations
 
 import itertools
 from dataclasses import dataclass, field
+from decimal import ROUND_HALF_UP, Decimal
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from manyview.functions.projection import DEPTH_MULTIVIEW
+from manyview.operators import growing
 from manyview.operators.errors import observed
 from manyview.operators.matching import initial_pair, pair_scores, with_pixels
 from manyview.operators.tracks import correspondences
-from manyview.operators.triangulate import triangulate_checked, two_view_reasons, validate
+from manyview.operators.triangulate import triangulate_checked, two_view_reasons
 from manyview.session import cut
 
-#: Rounds after which the points of all rounds so far are written together.
-COMPACT = 6
-
 
 def visible(points: DataFrame, obs: DataFrame, cameras: DataFrame, most_error: float = 1.5, least: int = 3) -> DataFrame:
     """(img_id, n_visible): images in which at least `least` points lie before the camera and near their observation."""
@@ -60,6 +60,11 @@ def seeds(matches: DataFrame, kps: DataFrame, track_obs: DataFrame, cameras: Dat
     return fine.join(at_i, ["i", "a"]).join(at_j, ["j", "b", "track_id"]).select("track_id", "x", "y", "z")
 
 
+def _score(n: int, baseline: float) -> Decimal:
+    """The score of `scores`, as Spark rounds it."""
+    return Decimal(repr(n + 0.1 * baseline)).quantize(Decimal("1e-9"), ROUND_HALF_UP)
+
+
 @dataclass
 class Reconstruction:
     """points: (track_id, x, y, z, step); order: the images as they were registered."""
@@ -71,36 +76,43 @@ class Reconstruction:
 
 def incremental(matches: DataFrame, kps: DataFrame, track_obs: DataFrame, cameras: DataFrame, most_error: float = 1.5, least_views: int = 3, most_images: int | None = None) -> Reconstruction:
     """Images one by one with known poses. A point is made in the first step in which it passes, from the views registered then,
-    and stays as it is. The loop has as many rounds as images; each is a set operation over all tracks, cut from its past."""
+    and stays as it is. The loop has as many rounds as images; each is a map over the tracks that are still open, without a
+    shuffle, and counts of views by image, which tell the next image."""
     spark = matches.sparkSession
     first = initial_pair(pair_scores(matches)).first()
     if first is None:
         raise ValueError("no pair of images has enough matches")
-    pixels = cut(track_obs.join(kps.select("img_id", "kp_id", F.col("x").alias("u"), F.col("y").alias("v")), ["img_id", "kp_id"]).select("track_id", "img_id", "u", "v"))
     order = [first["i"], first["j"]]
+    all_tracks = cut(growing.listed(track_obs.join(kps.select("img_id", "kp_id", F.col("x").alias("u"), F.col("y").alias("v")), ["img_id", "kp_id"]).select("track_id", "img_id", "u", "v")))
     made = cut(seeds(matches, kps, track_obs, cameras, *order, most_error).withColumn("step", F.lit(0)))
+    rig, showing = growing.rig_of(cameras), growing.views_by_image(all_tracks)
     counts = [made.count()]
-    images = cameras.count() if most_images is None else most_images
-    showing = {r["img_id"] for r in pixels.select("img_id").distinct().collect()}  # a row for each image
+    found = growing.views_by_image(all_tracks.join(made.select("track_id"), "track_id", "left_semi"))
+    open_ = cut(all_tracks.join(made.select("track_id"), "track_id", "left_anti"))
+    images = len(rig.images) if most_images is None else most_images
+    baseline = np.full(len(rig.images), -np.inf)
+    for img in order:
+        baseline = np.maximum(baseline, rig.distances(img))
     while len(order) < images:
-        chosen = next_image(scores(pixels, made, cameras, order)).first()
-        if chosen is None:
+        left = [k for k, img in enumerate(rig.images.tolist()) if img not in set(order)]
+        if not left:
             break
-        order.append(chosen["img_id"])
-        if order[-1] not in showing:
+        chosen = int(rig.images[min(left, key=lambda k: (-_score(found.get(int(rig.images[k]), 0), float(baseline[k])), rig.images[k]))])
+        order.append(chosen)
+        baseline = np.maximum(baseline, rig.distances(chosen))
+        if chosen not in showing:
             counts.append(0)
             continue
-        seen = pixels.join(images_table(spark, order[-1:]), "img_id", "left_semi").select("track_id").join(made, "track_id", "left_anti")
-        wanted = cut(pixels.join(seen, "track_id", "left_semi"))
-        usable = triangulate_checked(wanted.join(images_table(spark, order), "img_id", "left_semi"), cameras, most_error, least_views)
-        usable = cut(usable)
-        good = validate(usable, wanted, cameras, most_error, least_views).where("valid").select("track_id")
-        step = small(spark, step=pa.array([len(order) - 2], pa.int32()))
-        new = cut(usable.join(good, "track_id", "left_semi").crossJoin(F.broadcast(step)))
-        counts.append(new.count())
-        made = made.unionByName(new)
-        if len(order) % COMPACT == 0:
-            made = cut(made.coalesce(int(spark.conf.get("spark.sql.shuffle.partitions"))))
+        known = rig.known(order)
+
+        def passing(views: growing.Views, known: np.ndarray = known) -> np.ndarray:
+            x = growing.checked(views.only(known[views.camera]), rig, most_error, least_views)
+            return np.where(growing.valid(x, views, rig, most_error, least_views)[:, None], x, np.nan)
+
+        new, open_, n, seen = growing.tried(open_, rig, chosen, passing)
+        counts.append(n)
+        found = {img: found.get(img, 0) + seen.get(img, 0) for img in {*found, *seen}}
+        made = made.unionByName(new.select("track_id", "x", "y", "z", F.lit(len(order) - 2).alias("step")))
     return Reconstruction(made, order, counts)
 
 

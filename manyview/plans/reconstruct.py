@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from manyview.operators import adjust, cleanup, errors, matching, register, tracks, triangulate, twoview
+from manyview.operators import adjust, cleanup, errors, growing, matching, register, tracks, triangulate, twoview
 from manyview.plans.config import PRESETS, Config
 from manyview.session import cut
 
@@ -47,7 +47,7 @@ def known_cameras(cameras: DataFrame, kps: DataFrame, matches: DataFrame, config
     return {"track_obs": track_obs, "points": points, "judged": judged, "meta": triangulate.point_meta(points, pixels, cameras), "errors": errors.point_summary(star), "order": order}
 
 
-_NAMES = ["fx", "fy", "cx", "cy", *[f"r{i}{j}" for i in range(3) for j in range(3)], "tx", "ty", "tz", "cx_w", "cy_w", "cz_w"]
+_NAMES = growing.NAMES
 
 
 def _camera(k: tuple[float, ...], r: list[float], t: list[float]) -> tuple[float, ...]:
@@ -86,7 +86,12 @@ def single_camera(kps: DataFrame, matches: DataFrame, k: tuple[float, float, flo
 
     ends = [track_obs.select("track_id", F.col("img_id").alias(s), F.col("kp_id").alias(c)) for s, c in (("i", "a"), ("j", "b"))]
     seeds = judged.where((F.col("reason") == 0) & (F.col("i") == first["i"]) & (F.col("j") == first["j"]))
-    made = cut(seeds.join(ends[0], ["i", "a"]).join(ends[1], ["j", "b", "track_id"]).select("track_id", "x", "y", "z"))
+    seeds = cut(seeds.join(ends[0], ["i", "a"]).join(ends[1], ["j", "b", "track_id"]).select("track_id", "x", "y", "z"))
+    all_tracks = cut(growing.listed(spots))
+    made = cut(all_tracks.join(seeds, "track_id"))
+    open_ = cut(all_tracks.join(seeds.select("track_id"), "track_id", "left_anti"))
+    found = growing.views_by_image(made)
+    n_made = found.pop(None, 0)
     a = config.adjustment
 
     def adjusted(images: list[int], cap: int, least_points: int, least_obs: int) -> None:
@@ -99,31 +104,30 @@ def single_camera(kps: DataFrame, matches: DataFrame, k: tuple[float, float, flo
 
     everyone = kps.select("img_id").distinct().count() if images is None else images
     while len(known) < everyone:
-        left = tracks.correspondences(spots.where(~F.col("img_id").isin(list(known))), made)
-        best = left.orderBy(F.desc("n"), "img_id").first()
-        if best is None or best["n"] < max(4, made.count() // 100):
+        most, image = max(((n, -img) for img, n in found.items() if img not in known), default=(0, 0))
+        image = -image
+        if most < max(4, n_made // 100):
             break
-        links = spots.where(F.col("img_id") == best["img_id"]).join(made, "track_id").select("img_id", "track_id", "u", "v", "x", "y", "z")
-        placed = twoview.pnp(links, k, config.matching.ransac_px).first()
+        placed = twoview.pnp(growing.shown(made, image), k, config.matching.ransac_px).first()
         if placed is None:
             break
-        known[best["img_id"]] = _camera(k, placed["r"], placed["t"])
-        cameras, others = table(), [img for img in known if img != best["img_id"]]
-        open_ = spots.join(made, "track_id", "left_anti")
-        partner = triangulate.best_baseline(open_, cameras, best["img_id"], others)
-        mine = open_.where(F.col("img_id") == best["img_id"]).select("track_id", F.col("img_id").alias("j"), F.col("u").alias("xj"), F.col("v").alias("yj"))
-        other = open_.select("track_id", F.col("img_id").alias("i"), F.col("u").alias("xi"), F.col("v").alias("yi"))
-        pairs = partner.select("track_id", F.col("partner").alias("i")).join(other, ["track_id", "i"]).join(mine, "track_id")
-        least_angle = max(1.0, 3.0 - 0.3 * len(known))
-        new = cut(triangulate.two_view_reasons(pairs.select("track_id", "i", "j", "xi", "yi", "xj", "yj"), cameras, t.most_error, least_angle).where("reason = 0").select("track_id", "x", "y", "z"))
-        good = triangulate.validate(new, spots, cameras, 1.5 * t.most_error, 2 if len(known) < 5 else 3).where("valid").select("track_id")
-        made = cut(made.unionByName(new.join(good, "track_id", "left_semi")))
+        known[image] = _camera(k, placed["r"], placed["t"])
+        rig, least_views, least_angle = growing.Rig(known), 2 if len(known) < 5 else 3, max(1.0, 3.0 - 0.3 * len(known))
+
+        def passing(views: growing.Views, rig: growing.Rig = rig, image: int = image, least_views: int = least_views, least_angle: float = least_angle) -> np.ndarray:
+            x = growing.of_two_views(views, rig, image, rig.known(rig.images), t.most_error, least_angle)
+            return np.where(growing.valid(x, views, rig, 1.5 * t.most_error, least_views)[:, None], x, np.nan)
+
+        new, open_, n, seen = growing.tried(open_, rig, image, passing)
+        n_made += n
+        found = {img: found.get(img, 0) + seen.get(img, 0) for img in {*found, *seen}}
+        made = made.unionByName(new)
         if a.has("local") and len(known) >= 3 and len(known) % a.local_every == 0:
             adjusted(list(known)[-a.local_window :], a.local_cap, 50, 200)
     if a.has("global_end") and len(known) >= 3:
         adjusted(list(known), a.global_cap, a.global_points, a.global_obs)
     judged = cut(cleanup.adaptive(made, spots, table()))
-    points = made.join(judged.where("keep").select("track_id"), "track_id", "left_semi")
+    points = made.select("track_id", "x", "y", "z").join(judged.where("keep").select("track_id"), "track_id", "left_semi")
     return {"track_obs": track_obs, "points": points, "judged": judged, "cameras": table()}
 
 
