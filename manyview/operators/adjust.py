@@ -11,7 +11,6 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,6 +20,8 @@ from manyview.session import cut
 INVALID = 1e6
 #: Points that one step of numpy takes, and pairs of observations.
 POINTS, PAIRS = 2_000, 100_000
+#: Blocks that a task adds up, 288 bytes each.
+HELD = 40_000
 
 
 def problem(obs: DataFrame, images: list[int], points_cap: int, least_views: int = 2) -> DataFrame:
@@ -86,9 +87,9 @@ LOSSES = {
 
 
 def listed(points: DataFrame, obs: DataFrame) -> DataFrame:
-    """(track_id, x, y, z, seen): each point with its observations, at most one for each image."""
+    """(track_id, x, y, z, img, u, v): each point with its observations as arrays, at most one for each image."""
     seen = obs.groupBy("track_id").agg(F.sort_array(F.collect_list(F.struct("img_id", "u", "v"))).alias("seen"))
-    return points.select("track_id", "x", "y", "z").join(seen, "track_id")
+    return points.select("track_id", "x", "y", "z").join(seen.select("track_id", F.col("seen.img_id").alias("img"), "seen.u", "seen.v"), "track_id")
 
 
 class Cameras:
@@ -99,16 +100,32 @@ class Cameras:
         self.k, self.r, self.t = (np.array([table[i][n] for i in self.images.tolist()]) for n in ("k", "r", "t"))
 
 
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Rows as `listed` gives them, POINTS at once, and their points (n, 3)."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, POINTS):
+            part = batch.slice(low, POINTS)
+            yield part, np.stack([part.column(k).to_numpy(zero_copy_only=False) for k in (1, 2, 3)], 1)
+
+
+def _triples(values: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, values.size + 1, values.shape[1]), pa.int32()), pa.array(values.ravel()))
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
 class Batch:
     """The observations of some points, one after another; sums over those of each point."""
 
-    def __init__(self, seen: list, cameras: Cameras):
-        self.sizes = np.array([len(s) for s in seen])
-        self.owner = np.repeat(np.arange(len(seen)), self.sizes)
+    def __init__(self, rows: pa.RecordBatch, cameras: Cameras):
+        img, *uv = (rows.column(k) for k in (4, 5, 6))
+        self.sizes = img.value_lengths().to_numpy(zero_copy_only=False)
+        self.owner = np.repeat(np.arange(len(img)), self.sizes)
         self.starts = np.cumsum(self.sizes) - self.sizes
-        flat = [(o["img_id"], o["u"], o["v"]) for s in seen for o in s]
-        self.camera = np.searchsorted(cameras.images, [o[0] for o in flat])
-        self.uv = np.array([o[1:] for o in flat]).reshape(-1, 2)
+        self.camera = np.searchsorted(cameras.images, img.flatten().to_numpy(zero_copy_only=False))
+        self.uv = np.stack([c.flatten().to_numpy(zero_copy_only=False) for c in uv], 1).astype(float)
 
     def summed(self, values: np.ndarray) -> np.ndarray:
         return np.add.reduceat(values, self.starts, axis=0)
@@ -158,15 +175,13 @@ def points_only(points: DataFrame, obs: DataFrame, cameras: DataFrame, rounds: i
     """(track_id, x, y, z, before, after): points moved to the least robust error under fixed cameras; costs before and after."""
     table = points.sparkSession.sparkContext.broadcast(_camera_table(cameras))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cams = Cameras(table.value)
-        for rows in batches:
-            for low in range(0, len(rows), POINTS):
-                part = rows.iloc[low : low + POINTS]
-                x, before, after = moved_points(part[["x", "y", "z"]].to_numpy(), Batch(part["seen"].tolist(), cams), cams, rounds, scale, loss)
-                yield pd.DataFrame({"track_id": part["track_id"], **dict(zip("xyz", x.T)), "before": before, "after": after})
+        for part, x in _sliced(batches):
+            x, before, after = moved_points(x, Batch(part, cams), cams, rounds, scale, loss)
+            yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, (*x.T, before, after))], ["track_id", *"xyz", "before", "after"])
 
-    return listed(points, obs).mapInPandas(run, "track_id long, x double, y double, z double, before double, after double")
+    return listed(points, obs).mapInArrow(run, "track_id long, x double, y double, z double, before double, after double")
 
 
 @dataclass(frozen=True)
@@ -186,6 +201,14 @@ def blocked(way: np.ndarray, gone: np.ndarray, reach: np.ndarray | float) -> np.
     return (np.abs(gone) >= np.asarray(reach) * (1 - 1e-9)) & (way * gone > 0)
 
 
+def _summed(codes: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different codes, and the sums of their rows."""
+    order = np.argsort(codes, kind="stable")
+    codes = codes[order]
+    starts = np.flatnonzero(np.diff(codes, prepend=codes[:1] - 1))
+    return codes[starts], np.add.reduceat(values[order], starts, axis=0) if len(starts) else values[:0]
+
+
 class Reduced:
     """A batch's points eliminated: their damped inverse blocks, gradients, and coupling to the free cameras.
 
@@ -193,8 +216,8 @@ class Reduced:
     damping scales its columns; start: where the points started.
     """
 
-    def __init__(self, x: np.ndarray, seen: list, cameras: Cameras, place: np.ndarray, damping: float, scale: float, loss: str, peak: np.ndarray, start: np.ndarray, bounds: Bounds):
-        self.batch = batch = Batch(seen, cameras)
+    def __init__(self, x: np.ndarray, rows: pa.RecordBatch, cameras: Cameras, place: np.ndarray, damping: float, scale: float, loss: str, peak: np.ndarray, start: np.ndarray, bounds: Bounds):
+        self.batch = batch = Batch(rows, cameras)
         r, jc, jp = batch.linearised(x, cameras)
         costs, w = _costs(r, scale, loss)
         w = w[:, None, None]
@@ -226,25 +249,28 @@ class Reduced:
         one = np.repeat(np.arange(len(self.owner)), times)
         other = np.arange(len(one)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(starts[self.owner], times)
 
-        def summed(codes: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            found, to = np.unique(codes, return_inverse=True)
-            out = np.zeros((len(found), values.shape[1]))
-            np.add.at(out, to, values)
-            return found, out
-
+        left, right = (np.ascontiguousarray(m.transpose(1, 0, 2)) for m in (-y, self.w))
         for low in range(0, len(one), PAIRS):
             i, j = one[low : low + PAIRS], other[low : low + PAIRS]
-            codes, values = summed(self.at[i] * n + self.at[j], (-y[i] @ self.w[j].transpose(0, 2, 1)).reshape(-1, 36))
-            yield codes // n, codes % n, values
-        at, values = summed(self.at, np.concatenate([self.u.reshape(-1, 36), self.gc - (y @ self.g[self.owner][..., None])[..., 0], np.einsum("nii->ni", self.u)], 1))
+            codes = self.at[i] * n + self.at[j]
+            order = np.argsort(codes, kind="stable")
+            i, j, codes = i[order], j[order], codes[order]
+            starts = np.flatnonzero(np.diff(codes, prepend=-1))
+            if 8 * len(starts) < len(codes):  # one product for each pair of cameras
+                a, b = left[:, i], right[:, j]
+                values = np.array([(a[:, s:e].reshape(6, -1) @ b[:, s:e].reshape(6, -1).T).ravel() for s, e in zip(starts, [*starts[1:], len(codes)])])
+            else:
+                values = np.add.reduceat((-y[i] @ self.w[j].transpose(0, 2, 1)).reshape(-1, 36), starts, axis=0)
+            yield codes[starts] // n, codes[starts] % n, values
+        at, values = _summed(self.at, np.concatenate([self.u.reshape(-1, 36), self.gc - (y @ self.g[self.owner][..., None])[..., 0], np.einsum("nii->ni", self.u)], 1))
         yield at, at, values[:, :36]
         for k, part in ((-1, values[:, 36:42]), (-2, values[:, 42:])):
             yield at, np.full(len(at), k), np.pad(part, ((0, 0), (0, 30)))
 
     def moved(self, x: np.ndarray, delta: np.ndarray) -> np.ndarray:
         """The points after the cameras' step delta (cameras, 6), inside their bounds."""
-        back = np.zeros_like(self.g)
-        np.add.at(back, self.owner, (self.w.transpose(0, 2, 1) @ delta[self.at][..., None])[..., 0])
+        pull = (self.w.transpose(0, 2, 1) @ delta[self.at][..., None])[..., 0]
+        back = np.stack([np.bincount(self.owner, pull[:, k], len(self.g)) for k in range(3)], 1)
         new = x + (self.inverse @ (self.g - back)[..., None])[..., 0]
         return np.clip(new, self.start - self.reach, self.start + self.reach)
 
@@ -328,40 +354,52 @@ def full(
     spark = points.sparkSession
     start = F.array("x", "y", "z")
     rows = cut(listed(points, obs).withColumn("start", start).withColumn("peak", F.array(*[F.lit(0.0)] * 3)))
-    table = _camera_table(cameras)
+    names_, table = rows.columns, _camera_table(cameras)
     held = sorted(table)[:fixed] if isinstance(fixed, int) else fixed
     free = [i for i in sorted(table) if i not in set(held)]
     place = np.array([free.index(i) if i in free else -1 for i in sorted(table)])
     n, damping, costs = len(free), 1e-3, []
     peak, gone = np.zeros((n, 6)), np.zeros((n, 6))
 
-    def parts(batches: Iterator[pd.DataFrame], cams: Cameras, lam: float) -> Iterator[tuple[pd.DataFrame, np.ndarray, Reduced]]:
-        for batch in batches:
-            for low in range(0, len(batch), POINTS):
-                part = batch.iloc[low : low + POINTS]
-                x = part[["x", "y", "z"]].to_numpy()
-                yield part, x, Reduced(x, part["seen"].tolist(), cams, place, lam, scale, loss, np.stack(part["peak"]), np.stack(part["start"]), bounds)
+    def parts(batches: Iterator[pa.RecordBatch], cams: Cameras, lam: float) -> Iterator[tuple[pa.RecordBatch, np.ndarray, Reduced]]:
+        for part, x in _sliced(batches):
+            yield part, x, Reduced(x, part, cams, place, lam, scale, loss, _matrix(part.column(8)), _matrix(part.column(7)), bounds)
 
-    def moved(batches: Iterator[pd.DataFrame], table_: dict, lam: float, delta: np.ndarray) -> Iterator[pd.DataFrame]:
+    def moved(batches: Iterator[pa.RecordBatch], table_: dict, lam: float, delta: np.ndarray) -> Iterator[pa.RecordBatch]:
         for part, x, made in parts(batches, Cameras(table_), lam):
-            part = part.copy()
-            part[["x", "y", "z"]] = made.moved(x, delta)
-            part["peak"] = list(made.peak)
-            yield part
+            points_ = [pa.array(c) for c in made.moved(x, delta).T]
+            yield pa.RecordBatch.from_arrays([part.column(0), *points_, *(part.column(k) for k in (4, 5, 6, 7)), _triples(made.peak)], names_)
 
     def reduced(df: DataFrame, cams: dict, lam: float) -> tuple[DataFrame, np.ndarray, np.ndarray, float]:
         """Blocks, right side, diagonals and cost."""
         shared = spark.sparkContext.broadcast(cams)
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            cost = 0.0
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            cost, held, size = 0.0, [], 0
+
+            def given(i: np.ndarray, j: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), _triples(v)], ["i", "j", "v"])
+
+            def together() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+                codes, v = _summed(np.concatenate([i * (n + 2) + j + 2 for i, j, _ in held]), np.concatenate([v for *_, v in held]))
+                return codes // (n + 2), codes % (n + 2) - 2, v
+
             for _, _, made in parts(batches, Cameras(shared.value), lam):
                 cost += made.cost
-                for i, j, v in made.blocks(n):
-                    yield pd.DataFrame({"i": i, "j": j, "v": list(v)})
-            yield pd.DataFrame({"i": [-1], "j": [-1], "v": [[cost] + [0.0] * 35]})
-
-        sums = df.mapInPandas(run, "i int, j int, v array<double>").groupBy("i", "j").agg(*[F.sum(F.get("v", F.lit(k))).alias(f"v{k}") for k in range(36)])
+                for block in made.blocks(n):
+                    held.append(block)
+                    size += len(block[0])
+                if size > HELD:  # a task's blocks are added up, and given away where they are too many
+                    held = [together()]
+                    size = len(held[0][0])
+                    if size > HELD // 2:
+                        yield given(*held.pop())
+                        size = 0
+            if held:
+                yield given(*together())
+            yield given(np.array([-1]), np.array([-1]), np.array([[cost] + [0.0] * 35]))
+
+        sums = df.mapInArrow(run, "i int, j int, v array<double>").groupBy("i", "j").agg(*[F.sum(F.get("v", F.lit(k))).alias(f"v{k}") for k in range(36)])
         out = cut(sums.select("i", "j", F.array(*[f"v{k}" for k in range(36)]).alias("v")))
         b, diagonals, cost = np.zeros((n, 6)), np.zeros((n, 6)), 0.0
         for r in out.where("j < 0").collect():  # two rows for each image
@@ -385,7 +423,7 @@ def full(
         delta = solved(lambda p: np.where(open_, of_blocks(p) + more * p, p), diagonal, b * open_)  # noqa: B023
         delta = np.clip(gone + delta, -bounds.camera(), bounds.camera()) - gone
         shared, lam = spark.sparkContext.broadcast(table), damping
-        tried = cut(rows.mapInPandas(lambda it, c=shared, m=lam, d=delta: moved(it, c.value, m, d), rows.schema))
+        tried = cut(rows.mapInArrow(lambda it, c=shared, m=lam, d=delta: moved(it, c.value, m, d), rows.schema))
         trial = dict(table)
         for img, d in zip(free, delta):
             trial[img] = {"k": table[img]["k"], "r": rodrigues(d[:3]) @ table[img]["r"], "t": table[img]["t"] + d[3:]}

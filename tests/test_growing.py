@@ -59,3 +59,32 @@ def test_tracks_without_known_views_stay_open(spark):
     for made in (lambda v: growing.checked(v, rig, 1.5, 2), lambda v: growing.of_two_views(v, rig, 7, rig.known([0]), 2.0, 2.0)):
         new, open_, n, _ = growing.tried(tracks, rig, 7, made)
         assert n == new.count() == 0 and open_.count() == 4
+
+
+def test_observations_of_a_batch_stay_arrays():
+    """Without an object for each observation; and the sums of pairs are the same by one product for each pair of cameras as one by one."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from manyview.operators import adjust
+
+    rng, n, k = np.random.default_rng(1), 4_000, 5
+    cams = adjust.Cameras({i: {"k": np.array([800.0, 800, 512, 384]), "r": adjust.rodrigues(rng.normal(size=3) / 9), "t": np.array([0.1 * i, 0, 6])} for i in range(k)})
+    lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, n * k + 1, k), pa.int32()), pa.array(v)) for v in (np.tile(np.arange(k, dtype=np.int32), n), *rng.uniform(0, 700, (2, n * k)))]
+    x = rng.normal(size=(n, 3))
+    rows = pa.RecordBatch.from_arrays([pa.array(range(n)), *map(pa.array, x.T), *lists], ["track_id", *"xyz", "img", "u", "v"])
+    tracemalloc.start()
+    adjust.Batch(rows, cams)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 * n * k
+
+    def blocks(part, at):
+        made = adjust.Reduced(x[at], part, cams, np.arange(k), 1e-3, 2.0, "cauchy", np.zeros((len(at), 3)), x[at], adjust.Bounds())
+        return {(int(i), int(j), p): b for p, (ii, jj, v) in enumerate(made.blocks(k)) for i, j, b in zip(ii, jj, v) if p == 0}
+
+    some = np.arange(200)
+    together = blocks(rows.slice(0, 200), some)
+    single = [blocks(rows.slice(t, 1), np.array([t])) for t in some]
+    assert len(together) == k * k and all(np.allclose(b, sum(s[key] for s in single), rtol=1e-9, atol=1e-9 * np.abs(b).max()) for key, b in together.items())
