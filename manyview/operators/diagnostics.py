@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from manyview.operators.errors import observed, projected
+from manyview.session import cut
+
+#: Lines of masks that go to all tasks, some fifty bytes each; more are joined by shuffling.
+MOST_SENT = 1_000_000
 
 
 def _in_image(width: int, height: int):
@@ -38,12 +42,15 @@ def draw_list(points: DataFrame, cameras: DataFrame, obs: DataFrame, width: int,
 
 
 def outside_masks(points: DataFrame, cameras: DataFrame, runs: DataFrame, width: int, height: int, margin: int = 0, least: float = 0.5) -> DataFrame:
-    """(track_id, n_views, ratio): points that fall outside the masks in at least that share of the images that show them."""
-    put = projected(points, cameras).where(_in_image(width, height)).select("track_id", "img_id", F.rint("u").cast("int").alias("pu"), F.rint("v").cast("int").alias("pv"))
-    p, r = put.alias("p"), runs.alias("r")
-    hit = (F.col("p.img_id") == F.col("r.img_id")) & (F.col("p.pv") == F.col("r.v")) & F.col("p.pu").between(F.col("r.u0") - margin, F.col("r.u1") + margin)
-    inside = p.join(r, hit, "left_semi").select("track_id", "img_id", F.lit(0).alias("out"))
-    judged = put.join(inside, ["track_id", "img_id"], "left").groupBy("track_id").agg(F.count(F.lit(1)).alias("n_views"), F.avg(F.coalesce("out", F.lit(1)).cast("double")).alias("ratio"))
+    """(track_id, n_views, ratio): points that fall outside the masks in at least that share of the images that show them.
+
+    A point's images are one after another in a task, so only its counts are shuffled."""
+    put = projected(points, F.broadcast(cameras)).where(_in_image(width, height)).select("track_id", "img_id", F.rint("u").cast("int").alias("pu"), F.rint("v").cast("int").alias("v"))
+    rows = cut(runs.where("v is not null").groupBy("img_id", "v").agg(F.collect_list(F.struct(F.col("u0") - margin, F.col("u1") + margin)).alias("in_row")))  # a row for each line of a mask
+    rows = F.broadcast(rows) if rows.count() <= MOST_SENT else rows
+    hit = F.exists("in_row", lambda r: F.col("pu").between(r["col1"], r["col2"]))
+    out = F.when(F.coalesce(hit, F.lit(False)), 0.0).otherwise(1.0)
+    judged = put.join(rows, ["img_id", "v"], "left").select("track_id", out.alias("out")).groupBy("track_id").agg(F.count(F.lit(1)).alias("n_views"), F.avg("out").alias("ratio"))
     return judged.where(F.col("ratio") >= least)
 
 

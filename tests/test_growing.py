@@ -88,3 +88,24 @@ def test_observations_of_a_batch_stay_arrays():
     together = blocks(rows.slice(0, 200), some)
     single = [blocks(rows.slice(t, 1), np.array([t])) for t in some]
     assert len(together) == k * k and all(np.allclose(b, sum(s[key] for s in single), rtol=1e-9, atol=1e-9 * np.abs(b).max()) for key, b in together.items())
+
+
+def test_masks_are_looked_up_without_a_shuffle_of_projections(spark):
+    """Points in all images are as many rows as both together; only a point's counts may be shuffled."""
+    from manyview.operators import diagnostics
+
+    s = queries.Scene(spark, SF)
+    runs = s.runs.where("img_id < 20").unionByName(s.runs.where("img_id = 3"))  # a line twice, images without a mask
+    judged = diagnostics.outside_masks(s.points, s.cameras, runs, queries.WIDTH, queries.HEIGHT, 1, 0.0)
+    got = {r["track_id"]: (r["n_views"], r["ratio"]) for r in judged.collect()}
+    plan = judged._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan.split("Initial Plan")[0] and plan.split("Initial Plan")[0].count("Exchange hashpartitioning") <= 1
+    masks = {}
+    for r in runs.collect():
+        masks.setdefault((r["img_id"], r["v"]), []).append((r["u0"] - 1, r["u1"] + 1))
+    outs = {}
+    for r in diagnostics.projected(s.points, s.cameras).collect():
+        if r["u"] is not None and 0 <= r["u"] <= queries.WIDTH - 1 and 0 <= r["v"] <= queries.HEIGHT - 1:
+            lines = masks.get((r["img_id"], round(r["v"])), [])
+            outs.setdefault(r["track_id"], []).append(not any(a <= round(r["u"]) <= b for a, b in lines))
+    assert got == {t: (len(o), sum(o) / len(o)) for t, o in outs.items()} and got
