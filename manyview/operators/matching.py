@@ -33,27 +33,36 @@ def window_pairs(images: DataFrame, window: int) -> DataFrame:
     return wanted.join(numbered.withColumnRenamed("img_id", "j"), "nth").select("i", "j")
 
 
-ROWS_AT_ONCE = 1024
+ROWS_AT_ONCE = 512
 DESCRIPTORS = 4096
 NEARLY = 1e-6
 
 
-def _nearest(left: np.ndarray, right: np.ndarray, ids: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
-    """(row of left, place, id of right, distance) of each row's two nearest; distances to nine decimals, then ids, decide.
+def _nearest(left: np.ndarray, right: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows of left, ids of right, distances) of each row's two nearest, in order; distances to nine decimals, then ids, decide.
 
-    Products of blocks find who may be among them, up to their rounding error; these few are measured by differences."""
-    squares = (right**2).sum(axis=1)
+    Products of blocks find who may be among them, up to their rounding error; these few are measured by differences. One table
+    of squares is held at a time and worked on in place."""
+    squares, out = (right**2).sum(axis=1), []
     for low in range(0, len(left), ROWS_AT_ONCE):
         part = left[low : low + ROWS_AT_ONCE]
-        rough = np.sqrt(np.maximum((part**2).sum(axis=1)[:, None] + squares - 2 * part @ right.T, 0))
-        limit = np.partition(rough, min(1, len(right) - 1), axis=1)[:, min(1, len(right) - 1)]
-        rows, columns = np.nonzero(rough <= limit[:, None] + NEARLY * (1 + limit[:, None]))
+        rough = (-2 * part) @ right.T
+        rough += squares
+        rough += (part**2).sum(axis=1)[:, None]
+        own = np.arange(len(part)), rough.argmin(axis=1)
+        limit = rough[own]
+        if len(right) > 1:  # the second
+            rough[own] = np.inf
+            first, limit = limit, rough.min(axis=1)
+            rough[own] = first
+        limit = np.sqrt(np.maximum(limit, 0))
+        rows, columns = np.nonzero(rough <= ((limit + NEARLY * (1 + limit)) ** 2)[:, None])
         exact = np.round(np.sqrt(((part[rows] - right[columns]) ** 2).sum(axis=1)), 9)
         order = np.lexsort((ids[columns], exact, rows))
         rows, columns, exact = rows[order], columns[order], exact[order]
-        place = np.arange(len(rows)) - np.searchsorted(rows, rows) + 1
-        for k in np.flatnonzero(place <= 2):
-            yield low + int(rows[k]), int(place[k]), int(ids[columns[k]]), float(exact[k])
+        two = np.arange(len(rows)) - np.searchsorted(rows, rows) < 2
+        out.append((low + rows[two], ids[columns[two]], exact[two]))
+    return tuple(np.concatenate(c) for c in zip(*out))
 
 
 def two_nearest(desc: DataFrame, pairs: DataFrame, queries: DataFrame | None = None) -> DataFrame:
@@ -72,10 +81,9 @@ def two_nearest(desc: DataFrame, pairs: DataFrame, queries: DataFrame | None = N
         for batch in batches:
             for at in range(batch.num_rows):
                 i, j, left_ids, left, right_ids, right = (c[at].values.to_numpy() if k > 1 else c[at].as_py() for k, c in enumerate(batch.columns))
-                found = list(_nearest(left.reshape(len(left_ids), -1), right.reshape(len(right_ids), -1), right_ids))
-                rows = [(i, j, int(left_ids[a]), b, dist) for a, _, b, dist in found]
-                kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.float64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["i", "j", "a", "b", "dist"])
+                rows, b, dist = _nearest(left.reshape(len(left_ids), -1), right.reshape(len(right_ids), -1), right_ids)
+                columns = [np.full(len(rows), i), np.full(len(rows), j), left_ids[rows], b]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int32()) for c in columns), pa.array(dist)], ["i", "j", "a", "b", "dist"])
 
     met = pairs.join(sides[0], "i").join(sides[1], "j").select("i", "j", "i_ids", "i_rows", "j_ids", "j_rows")
     if queries is not None:  # these take the place of the whole image

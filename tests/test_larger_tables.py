@@ -41,3 +41,22 @@ def test_hypotheses_are_judged_by_blocks_of_points():
 
     assert (twoview.inliers(2_000, 300_000, inside) == 300_000).all()
     assert max(sizes) <= twoview.CELLS
+
+
+def test_blocks_are_compared_in_little_memory():
+    """One table of squares at a time; ties by ids, and blocks of one row or of equal rows."""
+    from manyview.operators import matching
+
+    rng = np.random.default_rng(2)
+    left, right, ids = rng.integers(0, 3, (700, 8)).astype(float), rng.integers(0, 3, (900, 8)).astype(float), rng.permutation(900)
+    far = np.round(np.sqrt(((left[:, None] - right) ** 2).sum(2)), 9)
+    for n in (900, 2, 1):
+        rows, b, dist = matching._nearest(left, right[:n], ids[:n])
+        expected = [(a, ids[k], far[a, k]) for a in range(700) for k in np.lexsort((ids[:n], far[a, :n]))[:2]]
+        assert list(zip(rows, b, dist)) == expected
+    a, b = rng.normal(size=(2, 4_096, 64))
+    tracemalloc.start()
+    matching._nearest(a, b, np.arange(4_096))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6, peak
