@@ -77,3 +77,17 @@ def test_pieces_and_odd_rows(spark, plain, tmp_path, monkeypatch):
         content = file.read()
     assert aligntok.align(docs.limit(0), content, SECOND).collect() == []
     assert aligntok.align(docs.where("text = '' or text is null"), content, SECOND).count() == 2
+
+
+def test_links_are_counted_not_listed(spark):
+    """Both vocabularies take such a run by twos, one a character later, so all its tokens are one group: about 2.5e9 links of few pairs."""
+    n = 100_000
+    docs = spark.createDataFrame([(1, "l" * n), (2, "l" * n), (3, "some words")], "doc_id long, text string")
+    with open(FIRST, encoding="utf-8") as file:
+        rows = {r.doc_id: r for r in aligntok.align(docs, file.read(), SECOND).collect()}
+    first, second = Tokenizer.from_file(FIRST), SentencePieceProcessor(model_file=SECOND)
+    a, b = Counter(first.encode(" " + "l" * n, add_special_tokens=False).ids), Counter(second.encode("l" * n))
+    assert rows[1][1:] == rows[2][1:]
+    assert (rows[1].n_a, rows[1].n_b, rows[1].n_groups) == (a.total(), b.total(), 1)
+    assert rows[1].n_links == rows[1].n_best == a.total() * b.total() > 2**31
+    assert rows[1].count_sum == 2 * rows[1].n_links
