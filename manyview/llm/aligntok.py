@@ -69,7 +69,7 @@ class Vocabulary:
     """encode gives the ids of " " + text for each text; tokens are the bytes of each id."""
 
     def __init__(self, encode: Callable[[list[str]], list[list[int]]], tokens: list[bytes]):
-        self.encode, self.tokens = encode, pa.array(tokens, pa.binary())
+        self.encode, self.tokens = encode, pa.array(tokens, pa.large_binary())
         self.sizes = np.array([len(x) for x in tokens], np.int64)
 
 
@@ -111,7 +111,7 @@ def _flat(ids: list[list[int]]) -> np.ndarray:
 
 def _joined_bytes(texts: pa.Array) -> pa.Buffer:
     """All texts of an array without offset, one behind another."""
-    return texts.buffers()[2].slice(0, np.frombuffer(texts.buffers()[1], np.int32)[len(texts)]) if len(texts) else pa.py_buffer(b"")
+    return texts.buffers()[2].slice(0, np.frombuffer(texts.buffers()[1], np.int64)[len(texts)]) if len(texts) else pa.py_buffer(b"")
 
 
 def _cuts(sizes: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -158,12 +158,12 @@ def _group_texts(groups: np.ndarray, ids: list[np.ndarray], sizes: list[np.ndarr
         words[np.arange(len(marked)) + np.repeat(before, sizes[side])] = marked
     texts = names.take(pa.array(words))
     tokens = np.concatenate([[0], ends[0] + ends[1]])[np.concatenate([[0], np.cumsum(groups)])]
-    offsets = np.frombuffer(texts.buffers()[1], np.int32)[tokens] if len(texts) else np.zeros(len(groups) + 1, np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(groups), [None, pa.py_buffer(offsets.tobytes()), _joined_bytes(texts)])
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[tokens] if len(texts) else np.zeros(len(groups) + 1, np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(groups), [None, pa.py_buffer(offsets.tobytes()), _joined_bytes(texts)])
 
 
 def _names(tokens: int) -> pa.Array:
-    return pa.array([f"{i}{mark}".encode() for mark in ",|;" for i in range(tokens)], pa.binary())
+    return pa.array([f"{i}{mark}".encode() for mark in ",|;" for i in range(tokens)], pa.large_binary())
 
 
 def links(groups: np.ndarray, ids: list[np.ndarray], sizes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -215,6 +215,15 @@ SUMS, PIECES = ["n_a", "n_b", "n_groups", "n_links"], ["a", "b", "a_sizes", "b_s
 _OF_WORKER: dict[tuple[int, str], tuple] = {}
 
 
+def _of_worker(content: str, path: str) -> tuple[tuple[Vocabulary, Vocabulary], pa.Array]:
+    """Both vocabularies and the names of their ids, once for all tasks of a Python worker."""
+    key = hash(content), path
+    if key not in _OF_WORKER:
+        both = vocabulary_first(content), vocabulary_second(path)
+        _OF_WORKER[key] = both, _names(max(len(v.tokens) for v in both))
+    return _OF_WORKER[key]
+
+
 def first_pass(docs: DataFrame, first: str, second: str, id_column: str, text_column: str) -> DataFrame:
     """Rows of three kinds, each with a block. Documents: the id, SUMS, groups_sha256, numbers of their pieces in order. Pieces, in
     parts: PIECES. Pairs, in parts: codes, and how many of the block's documents hold each."""
@@ -234,11 +243,7 @@ def first_pass(docs: DataFrame, first: str, second: str, id_column: str, text_co
         return out.hexdigest()
 
     def ended(block: int, known: dict[str, int], ids: list, documents: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        key = hash(sent.value), second
-        if key not in _OF_WORKER:
-            both = vocabulary_first(sent.value), vocabulary_second(second)
-            _OF_WORKER[key] = both, _names(max(len(v.tokens) for v in both))
-        both, names = _OF_WORKER[key]
+        both, names = _of_worker(sent.value, second)
         pieces, texts, codes, upto, sums, at = list(known), [], [], [np.zeros(0, np.int64)], {c: [np.zeros(0, np.int64)] for c in SUMS}, 0
         for low in range(0, len(pieces), PIECES_AT_ONCE):
             groups, tokens, sizes = aligned(pieces[low : low + PIECES_AT_ONCE], both)
@@ -251,7 +256,7 @@ def first_pass(docs: DataFrame, first: str, second: str, id_column: str, text_co
             n_a, n_b = (x.astype(np.int64) for x in sizes)
             for c, x in zip(SUMS, (n_a, n_b, np.ones(len(n_a), np.int64), n_a * n_b)):
                 sums[c].append(_sums(x, np.cumsum(groups)))
-        texts, upto = pa.concat_arrays(texts) if texts else pa.array([], pa.binary()), np.concatenate(upto)
+        texts, upto = pa.concat_arrays(texts) if texts else pa.array([], pa.large_binary()), np.concatenate(upto)
         sums = {c: np.concatenate(x) for c, x in sums.items()}
         found, place = _places(codes)
         del codes

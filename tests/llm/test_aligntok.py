@@ -91,3 +91,16 @@ def test_links_are_counted_not_listed(spark):
     assert (rows[1].n_a, rows[1].n_b, rows[1].n_groups) == (a.total(), b.total(), 1)
     assert rows[1].n_links == rows[1].n_best == a.total() * b.total() > 2**31
     assert rows[1].count_sum == 2 * rows[1].n_links
+
+
+def test_many_blocks_and_shuffled_counts(spark, plain, monkeypatch):
+    monkeypatch.setattr(aligntok, "BLOCK_CHARS", 3_000)
+    monkeypatch.setattr(aligntok, "PIECES_AT_ONCE", 70)
+    monkeypatch.setattr(aligntok, "PAIRS_AT_ONCE", 100)
+    monkeypatch.setattr(aligntok, "MOST_SENT", 0)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").limit(60)
+    docs = docs.unionByName(spark.createDataFrame([(-1, "sign▁inside a text " + "of words " * 40), (-2, "")], "doc_id long, text string"), allowMissingColumns=True)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    with open(FIRST, encoding="utf-8") as file:
+        got = aligntok.align(docs, file.read(), SECOND).collect()
+    assert sorted(map(tuple, got)) == sorted(plain(rows))
