@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from manyview.session import cut
@@ -22,11 +22,15 @@ INVALID = 1e6
 POINTS, PAIRS = 2_000, 100_000
 #: Blocks that a task adds up, 288 bytes each.
 HELD = 40_000
+#: Cameras up to which the pairs of all are one product.
+DENSE = 60
+#: With which an adjustment starts.
+DAMPING = 1e-3
 
 
 def problem(obs: DataFrame, images: list[int], points_cap: int, least_views: int = 2) -> DataFrame:
     """(track_id, img_id, pt_idx, cam_idx): observations in the chosen images of the points with the most of them, relabelled.
-    Ties go to the smaller track_id; the cap is the feature, a bound on the work of one adjustment."""
+    Ties go to the smaller track_id; the cap is the feature, a bound on the work of one adjustment, for those who ask for one."""
     chosen = obs.where(F.col("img_id").isin(images))
     hits = chosen.groupBy("track_id").agg(F.count(F.lit(1)).alias("hits")).where(F.col("hits") >= least_views)
     most = hits.orderBy(F.desc("hits"), "track_id").limit(points_cap)
@@ -63,17 +67,24 @@ def linearised(x: np.ndarray, r: np.ndarray, t: np.ndarray, k: np.ndarray, uv: n
     """Residuals (..., 2) of points x (..., 3) in cameras r (..., 3, 3), t (..., 3), k (..., 4: fx, fy, cx, cy), and their derivatives
     by the camera's rotation and translation (..., 2, 6) and by the point (..., 2, 3). A point that no camera has before it
     has residuals INVALID and no derivatives."""
-    turned = (r @ x[..., None])[..., 0]
+    turned = np.stack([r[..., n, 0] * x[..., 0] + r[..., n, 1] * x[..., 1] + r[..., n, 2] * x[..., 2] for n in range(3)], -1)
     p = turned + t
     fine = p[..., 2] > 1e-9
     depth = np.where(fine, p[..., 2], 1.0)
     fx, fy = k[..., 0] / depth, k[..., 1] / depth
     u, v = p[..., 0] / depth, p[..., 1] / depth
     residual = np.stack([k[..., 0] * u + k[..., 2], k[..., 1] * v + k[..., 3]], -1) - uv
-    zero = np.zeros_like(fx)
-    d = np.stack([np.stack([fx, zero, -fx * u], -1), np.stack([zero, fy, -fy * v], -1)], -2)
-    d = np.where(fine[..., None, None], d, 0.0)
-    return np.where(fine[..., None], residual, INVALID), np.concatenate([-d @ skew(turned), d], -1), d @ r
+    fx, fy = np.where(fine, fx, 0.0), np.where(fine, fy, 0.0)
+    x, y, z = turned[..., 0], turned[..., 1], turned[..., 2]
+    of_camera, of_point = np.empty((*fx.shape, 2, 6)), np.empty((*fx.shape, 2, 3))
+    for n, column in enumerate((-fx * u * y, fx * (z + u * x), -fx * y, fx, 0.0, -fx * u)):
+        of_camera[..., 0, n] = column
+    for n, column in enumerate((-fy * (z + v * y), fy * v * x, fy * x, 0.0, fy, -fy * v)):
+        of_camera[..., 1, n] = column
+    for n in range(3):
+        of_point[..., 0, n] = fx * (r[..., 0, n] - u * r[..., 2, n])
+        of_point[..., 1, n] = fy * (r[..., 1, n] - v * r[..., 2, n])
+    return np.where(fine[..., None], residual, INVALID), of_camera, of_point
 
 
 #: Of a squared residual over the squared scale: the loss, and its derivative, which is the weight of the residual.
@@ -121,11 +132,20 @@ class Batch:
 
     def __init__(self, rows: pa.RecordBatch, cameras: Cameras):
         img, *uv = (rows.column(k) for k in (4, 5, 6))
-        self.sizes = img.value_lengths().to_numpy(zero_copy_only=False)
-        self.owner = np.repeat(np.arange(len(img)), self.sizes)
-        self.starts = np.cumsum(self.sizes) - self.sizes
-        self.camera = np.searchsorted(cameras.images, img.flatten().to_numpy(zero_copy_only=False))
-        self.uv = np.stack([c.flatten().to_numpy(zero_copy_only=False) for c in uv], 1).astype(float)
+        camera = np.searchsorted(cameras.images, img.flatten().to_numpy(zero_copy_only=False))
+        self._set(img.value_lengths().to_numpy(zero_copy_only=False), camera, np.stack([c.flatten().to_numpy(zero_copy_only=False) for c in uv], 1).astype(float))
+
+    def _set(self, sizes: np.ndarray, camera: np.ndarray, uv: np.ndarray) -> None:
+        self.sizes, self.camera, self.uv = sizes, camera, uv
+        self.owner = np.repeat(np.arange(len(sizes)), sizes)
+        self.starts = np.cumsum(sizes) - sizes
+
+    @classmethod
+    def of(cls, sizes: np.ndarray, camera: np.ndarray, uv: np.ndarray) -> Batch:
+        """From the number of each point's observations, one at least, and their cameras and pixels, point after point."""
+        made = cls.__new__(cls)
+        made._set(sizes, camera, uv)
+        return made
 
     def summed(self, values: np.ndarray) -> np.ndarray:
         return np.add.reduceat(values, self.starts, axis=0)
@@ -216,40 +236,66 @@ class Reduced:
     damping scales its columns; start: where the points started.
     """
 
-    def __init__(self, x: np.ndarray, rows: pa.RecordBatch, cameras: Cameras, place: np.ndarray, damping: float, scale: float, loss: str, peak: np.ndarray, start: np.ndarray, bounds: Bounds):
-        self.batch = batch = Batch(rows, cameras)
+    def __init__(self, x: np.ndarray, rows: pa.RecordBatch | Batch, cameras: Cameras, place: np.ndarray, damping: float, scale: float, loss: str, peak: np.ndarray, start: np.ndarray, bounds: Bounds):
+        self.batch = batch = rows if isinstance(rows, Batch) else Batch(rows, cameras)
         r, jc, jp = batch.linearised(x, cameras)
         costs, w = _costs(r, scale, loss)
-        w = w[:, None, None]
         self.cost = float(costs.sum())
-        v = batch.summed(w * jp.transpose(0, 2, 1) @ jp)
+        root = np.sqrt(w)[:, None]
+        r, jp = r * root, jp * root[:, :, None]
+        v = batch.summed(np.einsum("nki,nkj->nij", jp, jp))
         self.peak = np.maximum(peak, np.einsum("nii->ni", v))
-        self.g = -batch.summed((w * jp.transpose(0, 2, 1) @ r[:, :, None])[..., 0])
+        self.g = -batch.summed(np.einsum("nki,nk->ni", jp, r))
         self.start, self.reach = start, np.inf if bounds.point is None else bounds.point
-        open_ = ~blocked(self.g, x - start, self.reach)
-        v = v * open_[:, :, None] * open_[:, None, :] + (damping * (self.peak + 1e-9) + ~open_)[:, :, None] * np.eye(3)
-        self.g = self.g * open_
+        self.open = ~blocked(self.g, x - start, self.reach)
+        v = v * self.open[:, :, None] * self.open[:, None, :] + (damping * (self.peak + 1e-9) + ~self.open)[:, :, None] * np.eye(3)
+        self.g = self.g * self.open
         self.inverse = np.linalg.inv(v)
         free = place[batch.camera]
-        self.use = np.flatnonzero(free >= 0)
-        self.at, self.owner = free[self.use], batch.owner[self.use]
-        jc, jp, w, r = jc[self.use], jp[self.use], w[self.use], r[self.use]
-        self.u, self.gc = w * jc.transpose(0, 2, 1) @ jc, -(w * jc.transpose(0, 2, 1) @ r[:, :, None])[..., 0]
-        self.w = (w * jc.transpose(0, 2, 1) @ jp) * open_[self.owner][:, None, :]
+        use = slice(None) if (free >= 0).all() else np.flatnonzero(free >= 0)
+        self.at, self.owner = free[use], batch.owner[use]
+        self.r, self.jc, self.jp = r[use], jc[use] * root[use][:, :, None], jp[use]
 
     def blocks(self, n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(i, j, values of 36): this batch's share of the reduced system, only for pairs of cameras that share points; with j = -1
         of its right side, with j = -2 of the diagonals before the elimination."""
-        if not n:
+        if not n or not len(self.at):
+            return
+        w = np.einsum("nki,nkj->nij", self.jc, self.jp) * self.open[self.owner][:, None, :]
+        yield from (self._dense if n <= DENSE else self._sparse)(w, n)
+        pull = (w @ (self.inverse @ self.g[..., None])[self.owner])[..., 0]
+        order = np.argsort(self.at, kind="stable")
+        starts = np.flatnonzero(np.diff(self.at[order], prepend=-1))
+        at, jc, r = self.at[order][starts], self.jc[order], self.r[order]
+        parts = [(jc[s:e].reshape(-1, 6), r[s:e].ravel()) for s, e in zip(starts, [*starts[1:], len(order)])]
+        u, gc = np.array([m.T @ m for m, _ in parts]), -np.array([m.T @ e for m, e in parts])
+        yield at, at, u.reshape(-1, 36)
+        for k, part in ((-1, gc - np.add.reduceat(pull[order], starts, axis=0)), (-2, np.einsum("nii->ni", u))):
+            yield at, np.full(len(at), k), np.pad(part, ((0, 0), (0, 30)))
+
+    def _dense(self, w: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """One product for all pairs of a few cameras: -W V W' with V = L L' is the product of -W L with its own transpose."""
+        try:
+            half = np.linalg.cholesky(self.inverse)
+        except np.linalg.LinAlgError:  # not positive by rounding
+            yield from self._sparse(w, n)
             return
-        y = self.w @ self.inverse[self.owner]
+        spread = np.zeros((len(self.g), 3, n, 6))
+        spread[self.owner, :, self.at] = (w @ half[self.owner]).transpose(0, 2, 1)
+        flat = spread.reshape(-1, 6 * n)
+        values = -(flat.T @ flat).reshape(n, 6, n, 6).transpose(0, 2, 1, 3).reshape(n * n, 36)
+        some = np.flatnonzero(values.any(axis=1))
+        yield some // n, some % n, values[some]
+
+    def _sparse(self, w: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        y = w @ self.inverse[self.owner]
         sizes = np.bincount(self.owner, minlength=len(self.g))
         starts = np.cumsum(sizes) - sizes
         times = sizes[self.owner]  # each observation meets all of its point
         one = np.repeat(np.arange(len(self.owner)), times)
         other = np.arange(len(one)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(starts[self.owner], times)
 
-        left, right = (np.ascontiguousarray(m.transpose(1, 0, 2)) for m in (-y, self.w))
+        left, right = (np.ascontiguousarray(m.transpose(1, 0, 2)) for m in (-y, w))
         for low in range(0, len(one), PAIRS):
             i, j = one[low : low + PAIRS], other[low : low + PAIRS]
             codes = self.at[i] * n + self.at[j]
@@ -260,21 +306,45 @@ class Reduced:
                 a, b = left[:, i], right[:, j]
                 values = np.array([(a[:, s:e].reshape(6, -1) @ b[:, s:e].reshape(6, -1).T).ravel() for s, e in zip(starts, [*starts[1:], len(codes)])])
             else:
-                values = np.add.reduceat((-y[i] @ self.w[j].transpose(0, 2, 1)).reshape(-1, 36), starts, axis=0)
+                values = np.add.reduceat((-y[i] @ w[j].transpose(0, 2, 1)).reshape(-1, 36), starts, axis=0)
             yield codes[starts] // n, codes[starts] % n, values
-        at, values = _summed(self.at, np.concatenate([self.u.reshape(-1, 36), self.gc - (y @ self.g[self.owner][..., None])[..., 0], np.einsum("nii->ni", self.u)], 1))
-        yield at, at, values[:, :36]
-        for k, part in ((-1, values[:, 36:42]), (-2, values[:, 42:])):
-            yield at, np.full(len(at), k), np.pad(part, ((0, 0), (0, 30)))
 
     def moved(self, x: np.ndarray, delta: np.ndarray) -> np.ndarray:
         """The points after the cameras' step delta (cameras, 6), inside their bounds."""
-        pull = (self.w.transpose(0, 2, 1) @ delta[self.at][..., None])[..., 0]
+        step = np.einsum("nki,ni->nk", self.jc, delta[self.at])
+        pull = np.einsum("nki,nk->ni", self.jp, step) * self.open[self.owner]
         back = np.stack([np.bincount(self.owner, pull[:, k], len(self.g)) for k in range(3)], 1)
         new = x + (self.inverse @ (self.g - back)[..., None])[..., 0]
         return np.clip(new, self.start - self.reach, self.start + self.reach)
 
 
+def added(made: Iterator[Reduced], n: int) -> Iterator[pa.RecordBatch]:
+    """(i, j, v) of a task's batches, added up, and given away where they are too many; at -1, -1 cost, points and observations."""
+    cost, held, size = np.zeros(36), [], 0
+
+    def given(i: np.ndarray, j: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), _triples(v)], ["i", "j", "v"])
+
+    def together() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        codes, v = _summed(np.concatenate([i * (n + 2) + j + 2 for i, j, _ in held]), np.concatenate([v for *_, v in held]))
+        return codes // (n + 2), codes % (n + 2) - 2, v
+
+    for one in made:
+        cost[:3] += one.cost, len(one.g), len(one.batch.owner)
+        for block in one.blocks(n):
+            held.append(block)
+            size += len(block[0])
+        if size > HELD:
+            held = [together()]
+            size = len(held[0][0])
+            if size > HELD // 2:
+                yield given(*held.pop())
+                size = 0
+    if held:
+        yield given(*together())
+    yield given(np.array([-1]), np.array([-1]), cost[None])
+
+
 #: Blocks (of 36 doubles, 12 MB in all) that the driver multiplies itself; more stay a table, and each product is a job.
 FEW_BLOCKS = 40_000
 
@@ -328,10 +398,7 @@ def block_product(blocks: DataFrame, n: int) -> Callable[[np.ndarray], np.ndarra
     return product
 
 
-def local_product(blocks: DataFrame, n: int) -> Callable[[np.ndarray], np.ndarray]:
-    rows = blocks.toPandas()
-    i, j, values = rows["i"].to_numpy(int), rows["j"].to_numpy(int), np.array(rows["v"].tolist()).reshape(-1, 6, 6)
-
+def local_product(i: np.ndarray, j: np.ndarray, values: np.ndarray, n: int) -> Callable[[np.ndarray], np.ndarray]:
     def product(p: np.ndarray) -> np.ndarray:
         out = np.zeros((n, 6))
         np.add.at(out, i, (values @ p[j][..., None])[..., 0])
@@ -340,6 +407,77 @@ def local_product(blocks: DataFrame, n: int) -> Callable[[np.ndarray], np.ndarra
     return product
 
 
+class System:
+    """The reduced system of n free cameras, out of the parts (i, j, v) that `added` gives: right side, diagonals before the elimination,
+    diagonal blocks, cost, and how many points and observations there are. Where all pairs of cameras are at most `few` blocks, one job brings
+    their sums to the driver; else they are a table."""
+
+    def __init__(self, parts: DataFrame, n: int, few: int):
+        self.n, self.few = n, few
+        sums = parts.groupBy("i", "j").agg(*[F.sum(F.get("v", F.lit(k))).alias(f"v{k}") for k in range(36)])
+        self.table = None
+        if n * n > few:
+            self.table = cut(sums.select("i", "j", F.array(*[f"v{k}" for k in range(36)]).alias("v")))
+            rows = self.table.where("j < 0 or i = j").select("i", "j", *[F.get("v", F.lit(k)).alias(f"v{k}") for k in range(36)]).toArrow()  # three rows for each image
+        else:
+            rows = sums.toArrow()
+        i, j = rows["i"].to_numpy(), rows["j"].to_numpy()
+        v = np.stack([rows[f"v{k}"].to_numpy() for k in range(36)], 1)
+        total = v[i < 0].sum(axis=0)
+        self.cost, self.points, self.obs = float(total[0]), int(total[1]), int(total[2])
+        self.b, self.diagonals, self.diagonal = np.zeros((n, 6)), np.zeros((n, 6)), np.zeros((n, 6, 6))
+        for part, out in ((j == -1) & (i >= 0), self.b), (j == -2, self.diagonals):
+            out[i[part]] = v[part, :6]
+        self.diagonal[i[(i == j) & (i >= 0)]] = v[(i == j) & (i >= 0)].reshape(-1, 6, 6)
+        self.held = i[j >= 0], j[j >= 0], v[j >= 0].reshape(-1, 6, 6)
+
+    def product(self) -> Callable[[np.ndarray], np.ndarray]:
+        if self.table is None:
+            return local_product(*self.held, self.n)
+        blocks = self.table.where("j >= 0")
+        if blocks.count() > self.few:
+            return block_product(blocks, self.n)
+        rows = blocks.toPandas()
+        return local_product(rows["i"].to_numpy(int), rows["j"].to_numpy(int), np.array(rows["v"].tolist()).reshape(-1, 6, 6), self.n)
+
+
+def descended[S](state: S, table: dict, free: list[int], rounds: int, bounds: Bounds, reduced: Callable[[S, dict, float], System], moved: Callable[[S, dict, float, np.ndarray], S], first: System | None = None) -> tuple[S, dict, list[float]]:
+    """(state, table, costs) after `rounds` damped steps of the free cameras. reduced(state, table, damping): the system of a state's
+    points; moved(state, table, damping, delta): its points after the cameras' step. The damping scales each unknown by the
+    largest derivatives it has had; a step that does not lower the cost is not taken and raises it."""
+    n, damping = len(free), DAMPING
+    peak, gone = np.zeros((n, 6)), np.zeros((n, 6))
+    now = first or reduced(state, table, damping)
+    costs = [now.cost]
+    for _ in range(rounds if n else 0):
+        peak = np.maximum(peak, now.diagonals)
+        open_ = ~blocked(now.b, gone, bounds.camera())
+        more = damping * (peak + 1e-9)
+        of_blocks = now.product()
+        diagonal = now.diagonal * open_[:, :, None] * open_[:, None, :] + (more + ~open_)[:, :, None] * np.eye(6)
+        delta = solved(lambda p: np.where(open_, of_blocks(p) + more * p, p), diagonal, now.b * open_)  # noqa: B023
+        delta = np.clip(gone + delta, -bounds.camera(), bounds.camera()) - gone
+        tried, trial = moved(state, table, damping, delta), dict(table)
+        for img, d in zip(free, delta):
+            trial[img] = {"k": table[img]["k"], "r": rodrigues(d[:3]) @ table[img]["r"], "t": table[img]["t"] + d[3:]}
+        new = reduced(tried, trial, damping / 5)
+        if new.cost < now.cost:
+            state, table, now, damping, gone = tried, trial, new, damping / 5, gone + delta
+        else:
+            damping *= 10
+            now = reduced(state, table, damping)
+        costs.append(now.cost)
+    return state, table, costs
+
+
+def places(table: dict, fixed: int | list[int]) -> tuple[list[int], np.ndarray]:
+    """The free images, and by camera its number among them or -1. fixed: image ids, or how many of the smallest."""
+    held = set(sorted(table)[:fixed] if isinstance(fixed, int) else fixed)
+    free = [i for i in sorted(table) if i not in held]
+    number = {img: k for k, img in enumerate(free)}
+    return free, np.array([number.get(i, -1) for i in sorted(table)])
+
+
 def full(
     points: DataFrame, obs: DataFrame, cameras: DataFrame, rounds: int = 5, scale: float = 2.0, fixed: int | list[int] = 1, loss: str = "cauchy", bounds: Bounds = Bounds(),
     few: int = FEW_BLOCKS,
@@ -355,88 +493,39 @@ def full(
     start = F.array("x", "y", "z")
     rows = cut(listed(points, obs).withColumn("start", start).withColumn("peak", F.array(*[F.lit(0.0)] * 3)))
     names_, table = rows.columns, _camera_table(cameras)
-    held = sorted(table)[:fixed] if isinstance(fixed, int) else fixed
-    free = [i for i in sorted(table) if i not in set(held)]
-    place = np.array([free.index(i) if i in free else -1 for i in sorted(table)])
-    n, damping, costs = len(free), 1e-3, []
-    peak, gone = np.zeros((n, 6)), np.zeros((n, 6))
+    free, place = places(table, fixed)
+    n = len(free)
 
     def parts(batches: Iterator[pa.RecordBatch], cams: Cameras, lam: float) -> Iterator[tuple[pa.RecordBatch, np.ndarray, Reduced]]:
         for part, x in _sliced(batches):
             yield part, x, Reduced(x, part, cams, place, lam, scale, loss, _matrix(part.column(8)), _matrix(part.column(7)), bounds)
 
-    def moved(batches: Iterator[pa.RecordBatch], table_: dict, lam: float, delta: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for part, x, made in parts(batches, Cameras(table_), lam):
-            points_ = [pa.array(c) for c in made.moved(x, delta).T]
-            yield pa.RecordBatch.from_arrays([part.column(0), *points_, *(part.column(k) for k in (4, 5, 6, 7)), _triples(made.peak)], names_)
+    def moved(df: DataFrame, cams: dict, lam: float, delta: np.ndarray) -> DataFrame:
+        shared = spark.sparkContext.broadcast(cams)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part, x, made in parts(batches, Cameras(shared.value), lam):
+                points_ = [pa.array(c) for c in made.moved(x, delta).T]
+                yield pa.RecordBatch.from_arrays([part.column(0), *points_, *(part.column(k) for k in (4, 5, 6, 7)), _triples(made.peak)], names_)
 
-    def reduced(df: DataFrame, cams: dict, lam: float) -> tuple[DataFrame, np.ndarray, np.ndarray, float]:
-        """Blocks, right side, diagonals and cost."""
+        return cut(df.mapInArrow(run, df.schema))
+
+    def reduced(df: DataFrame, cams: dict, lam: float) -> System:
         shared = spark.sparkContext.broadcast(cams)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            cost, held, size = 0.0, [], 0
-
-            def given(i: np.ndarray, j: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
-                return pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), _triples(v)], ["i", "j", "v"])
-
-            def together() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-                codes, v = _summed(np.concatenate([i * (n + 2) + j + 2 for i, j, _ in held]), np.concatenate([v for *_, v in held]))
-                return codes // (n + 2), codes % (n + 2) - 2, v
-
-            for _, _, made in parts(batches, Cameras(shared.value), lam):
-                cost += made.cost
-                for block in made.blocks(n):
-                    held.append(block)
-                    size += len(block[0])
-                if size > HELD:  # a task's blocks are added up, and given away where they are too many
-                    held = [together()]
-                    size = len(held[0][0])
-                    if size > HELD // 2:
-                        yield given(*held.pop())
-                        size = 0
-            if held:
-                yield given(*together())
-            yield given(np.array([-1]), np.array([-1]), np.array([[cost] + [0.0] * 35]))
-
-        sums = df.mapInArrow(run, "i int, j int, v array<double>").groupBy("i", "j").agg(*[F.sum(F.get("v", F.lit(k))).alias(f"v{k}") for k in range(36)])
-        out = cut(sums.select("i", "j", F.array(*[f"v{k}" for k in range(36)]).alias("v")))
-        b, diagonals, cost = np.zeros((n, 6)), np.zeros((n, 6)), 0.0
-        for r in out.where("j < 0").collect():  # two rows for each image
-            if r["i"] < 0:
-                cost = r["v"][0]
-            else:
-                (b if r["j"] == -1 else diagonals)[r["i"]] = r["v"][:6]
-        return out.where("j >= 0"), b, diagonals, cost
+            return added((made for *_, made in parts(batches, Cameras(shared.value), lam)), n)
 
-    blocks, b, diagonals, cost = reduced(rows, table, damping)
-    costs.append(cost)
-    for _ in range(rounds if n else 0):
-        peak = np.maximum(peak, diagonals)
-        open_ = ~blocked(b, gone, bounds.camera())
-        more = damping * (peak + 1e-9)
-        of_blocks = (local_product if blocks.count() <= few else block_product)(blocks, n)
-        diagonal = np.zeros((n, 6, 6))
-        for r in blocks.where("i = j").collect():  # a row for each image
-            diagonal[r["i"]] = np.array(r["v"]).reshape(6, 6)
-        diagonal = diagonal * open_[:, :, None] * open_[:, None, :] + (more + ~open_)[:, :, None] * np.eye(6)
-        delta = solved(lambda p: np.where(open_, of_blocks(p) + more * p, p), diagonal, b * open_)  # noqa: B023
-        delta = np.clip(gone + delta, -bounds.camera(), bounds.camera()) - gone
-        shared, lam = spark.sparkContext.broadcast(table), damping
-        tried = cut(rows.mapInArrow(lambda it, c=shared, m=lam, d=delta: moved(it, c.value, m, d), rows.schema))
-        trial = dict(table)
-        for img, d in zip(free, delta):
-            trial[img] = {"k": table[img]["k"], "r": rodrigues(d[:3]) @ table[img]["r"], "t": table[img]["t"] + d[3:]}
-        new = reduced(tried, trial, damping / 5)
-        if new[3] < cost:
-            rows, table, (blocks, b, diagonals, cost), damping, gone = tried, trial, new, damping / 5, gone + delta
-        else:
-            damping *= 10
-            blocks, b, diagonals, _ = reduced(rows, table, damping)
-        costs.append(cost)
+        return System(df.mapInArrow(run, "i int, j int, v array<double>"), n, few)
+
+    rows, table, costs = descended(rows, table, free, rounds, bounds, reduced, moved)
+    return rows.select("track_id", "x", "y", "z"), camera_rows(spark, table), costs
+
+
+def camera_rows(spark: SparkSession, table: dict) -> DataFrame:
     flat = [(img, *map(float, c["k"]), *map(float, c["r"].ravel()), *map(float, c["t"]), *map(float, -c["r"].T @ c["t"])) for img, c in sorted(table.items())]
     names = ["fx", "fy", "cx", "cy", *[f"r{i}{j}" for i in range(3) for j in range(3)], "tx", "ty", "tz", "cx_w", "cy_w", "cz_w"]
-    return rows.select("track_id", "x", "y", "z"), spark.createDataFrame(flat, "img_id int, " + ", ".join(f"{n_} double" for n_ in names)), costs
+    return spark.createDataFrame(flat, "img_id int, " + ", ".join(f"{n_} double" for n_ in names))
 
 
 def updated(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -446,12 +535,17 @@ def updated(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def run(
-    points: DataFrame, obs: DataFrame, cameras: DataFrame, images: list[int], points_cap: int, least_points: int = 50, least_obs: int = 200,
+    points: DataFrame, obs: DataFrame, cameras: DataFrame, images: list[int], points_cap: int | None = None, least_points: int = 50, least_obs: int = 200,
     scale: float = 2.0, loss: str = "cauchy", rounds: int = 5,
 ) -> tuple[DataFrame, DataFrame]:
-    """(points, cameras) after an adjustment of the chosen images and of the points with the most views in them; both as they were
-    if there is too little to adjust. The first two chosen images stay in place, which also fixes the scale."""
-    chosen = cut(problem(obs.join(points.select("track_id"), "track_id", "left_semi"), images, points_cap))
+    """(points, cameras) after an adjustment of the chosen images and of all points with two views in them, or of the `points_cap` with the
+    most; both as they were if there is too little to adjust. The first two chosen images stay in place, which also fixes the scale."""
+    mine = obs.join(points.select("track_id"), "track_id", "left_semi")
+    if points_cap is None:
+        mine = mine.where(F.col("img_id").isin(images)).select("track_id", "img_id")
+        chosen = cut(mine.join(mine.groupBy("track_id").agg(F.count(F.lit(1)).alias("hits")).where("hits >= 2"), "track_id", "left_semi"))
+    else:
+        chosen = cut(problem(mine, images, points_cap))
     size = chosen.agg(F.countDistinct("track_id").alias("points"), F.count(F.lit(1)).alias("obs")).first()
     if len(images) < 2 or size["points"] < least_points or size["obs"] < least_obs:
         return points, cameras
@@ -459,4 +553,4 @@ def run(
     some = points.join(chosen.select("track_id").distinct(), "track_id", "left_semi")
     moved, placed, _ = full(some, seen, cameras.where(F.col("img_id").isin(images)), rounds, scale, fixed=images[:2], loss=loss)
     others = cameras.where(~F.col("img_id").isin(images)).select(placed.columns)
-    return updated(points, F.broadcast(moved)), placed.unionByName(others)  # points_cap rows at most
+    return updated(points, moved), placed.unionByName(others)

@@ -79,7 +79,12 @@ def adaptive_threshold(star: DataFrame, least_obs: int = 2) -> DataFrame:
 def adaptive(points: DataFrame, obs: DataFrame, cameras: DataFrame, least_obs: int = 2, depth_cov: float = 1.0) -> DataFrame:
     """(track_id, x, y, z, n_views, n_good, keep): by a threshold that follows the errors, view ratios, depths, then place."""
     star = observed(points, obs, cameras, DEPTH_MEDIAN).where((F.col("depth") > DEPTH_MEDIAN) & F.col("err").isNotNull())
-    star = cut(star.select("track_id", "depth", "err"))  # read three times
+    return adaptive_of(points, star.select("track_id", "depth", "err"), least_obs, depth_cov)
+
+
+def adaptive_of(points: DataFrame, star: DataFrame, least_obs: int = 2, depth_cov: float = 1.0) -> DataFrame:
+    """As adaptive, from the depths and errors (track_id, depth, err) of the views that points lie before."""
+    star = cut(star)  # read three times
     limit = adaptive_threshold(star, least_obs).select("threshold")
     good = F.col("err") < F.col("threshold")
     depth = F.when(good, F.col("depth"))

@@ -3,7 +3,7 @@ image. Groups are bounded by the keypoints of an image."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -278,6 +278,25 @@ def two_view_poses(pixels: DataFrame, k: tuple[float, float, float, float], thre
     return pixels.select(*_PIXELS).repartition(DEALT, "i", "j").groupBy("i", "j").applyInArrow(run, "i int, j int, r array<double>, t array<double>, n_inliers long")
 
 
+def posed_pairs(pixels: DataFrame, k: tuple[float, float, float, float], threshold: float, least: int, score: Callable[[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray], int]) -> DataFrame:
+    """(i, j, a, b, pose): as verify_pairs; and for each of its pairs a row without a and b, whose pose is the bytes of r (row by row), t and
+    score(i, j, r, t, pixels in i, pixels in j), over the inliers of that pose."""
+    kk = np.array(k)
+
+    def run(group: pa.Table) -> pa.Table:
+        i, j, at, x, y = _pair(group, kk)
+        r, t, inside = relative_pose(x, y, threshold / float(kk[:2].mean()), i * 100_003 + j)
+        kept = at[inside] if r is not None and inside.sum() >= least else at[:0]
+        rows = group.select(["i", "j", "a", "b"]).take(kept).cast(pa.schema([(c, pa.int32()) for c in "ijab"])).append_column("pose", pa.nulls(len(kept), pa.binary()))
+        if not len(kept):
+            return rows
+        value = score(i, j, r, t, _columns(group, ("xi", "yi"), kept), _columns(group, ("xj", "yj"), kept))
+        pose = pa.Table.from_pylist([{"i": i, "j": j, "a": None, "b": None, "pose": np.array([*r.ravel(), *t, value], float).tobytes()}], rows.schema)
+        return pa.concat_tables([rows, pose])
+
+    return pixels.select(*_PIXELS).repartition(DEALT, "i", "j").groupBy("i", "j").applyInArrow(run, "i int, j int, a int, b int, pose binary")
+
+
 def reprojected(r: np.ndarray, t: np.ndarray, x: np.ndarray, uv: np.ndarray) -> np.ndarray:
     """(..., n): how far n points fall from their pixels in each pose; infinitely where they lie behind it."""
     out = np.empty((*r.shape[:-2], len(x))) if x.ndim == 2 else None

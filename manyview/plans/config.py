@@ -46,8 +46,8 @@ class Adjustment:
     mode: str = "none"
     local_every: int = 3
     local_window: int = 4
-    local_cap: int = 5000
-    global_cap: int = 20000
+    local_cap: int | None = None  # points of an adjustment, those with the most views; None: all
+    global_cap: int | None = None
     global_points: int = 200
     global_obs: int = 800
     scale: float = 2.0

@@ -6,7 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from manyview.operators import adjust, cleanup, errors, growing, matching, register, tracks, triangulate, twoview
+from manyview.operators import cleanup, errors, growing, matching, register, tracks, triangulate, twoview
+from manyview.operators.growth import Growth, New
 from manyview.plans.config import PRESETS, Config
 from manyview.session import cut
 
@@ -47,10 +48,7 @@ def known_cameras(cameras: DataFrame, kps: DataFrame, matches: DataFrame, config
     return {"track_obs": track_obs, "points": points, "judged": judged, "meta": triangulate.point_meta(points, pixels, cameras), "errors": errors.point_summary(star), "order": order}
 
 
-_NAMES = growing.NAMES
-
-
-def _camera(k: tuple[float, ...], r: list[float], t: list[float]) -> tuple[float, ...]:
+def _camera(k: tuple[float, ...], r: list[float] | np.ndarray, t: list[float] | np.ndarray) -> tuple[float, ...]:
     turned = np.array(r).reshape(3, 3)
     return tuple(map(float, (*k, *turned.ravel(), *t, *(-turned.T @ np.array(t)))))
 
@@ -61,74 +59,57 @@ def single_camera(kps: DataFrame, matches: DataFrame, k: tuple[float, float, flo
     The first pair is the one with the most two-view points that pass all tests. Each next image is the one that sees the most
     points; its pose comes from them, and tracks that it shows get points with the view farthest away. The loop ends
     with the first image that can't be placed. Every few images the last ones are adjusted, at the end all of them, as the
-    configuration says; known poses, as in known_cameras, are never adjusted. Then the adaptive cleanup judges the points.
+    configuration says, with all points that two of them show, unless it names a cap; known poses, as in known_cameras, are never
+    adjusted. Then the adaptive cleanup judges the points.
     """
     spark = kps.sparkSession
     config = (config or PRESETS["singlecam"]).adapted(kps.select("img_id").distinct().count(), int(2 * k[2]), int(2 * k[3]))
     t = config.triangulation
-    pixels = cut(matching.with_pixels(matches, kps).select("i", "j", "a", "b", "xi", "yi", "xj", "yj"))
-    fine = cut(twoview.verify_pairs(pixels, k, config.matching.ransac_px, config.matching.least_inliers))
-    track_obs = cut(tracks.build(cut(tracks.labelled(fine))))
-    spots = cut(track_obs.join(kps.select("img_id", "kp_id", F.col("x").alias("u"), F.col("y").alias("v")), ["img_id", "kp_id"]).select("track_id", "img_id", "u", "v"))
-    inside = cut(pixels.join(fine, ["i", "j", "a", "b"], "left_semi"))
-    poses = cut(twoview.two_view_poses(inside, k, config.matching.ransac_px))
     unit = _camera(k, [1.0, 0, 0, 0, 1, 0, 0, 0, 1], [0.0, 0, 0])
-    at_j = [F.lit(v).alias(f"j_{n}") for n, v in zip(_NAMES[:4], k)] + [F.col("r")[n].alias(f"j_r{n // 3}{n % 3}") for n in range(9)] + [F.col("t")[n].alias(f"j_t{c}") for n, c in enumerate("xyz")]
-    posed = inside.join(poses, ["i", "j"]).select(*inside.columns, *[F.lit(v).alias(f"i_{n}") for n, v in zip(_NAMES, unit)], *at_j)
-    judged = cut(triangulate.reasons(posed, inside.columns, t.most_error, t.least_angle))
-    first = judged.where("reason = 0").groupBy("i", "j").agg(F.count(F.lit(1)).alias("score")).orderBy(F.desc("score"), "i", "j").first()
-    if first is None or first["score"] < 30:
+
+    def score(i: int, j: int, r: np.ndarray, way: np.ndarray, at_i: np.ndarray, at_j: np.ndarray) -> int:
+        """How many of a pair's matches give a point that passes all tests."""
+        rig, n = growing.Rig({i: unit, j: _camera(k, r, way)}), len(at_i)
+        pixels, number = np.concatenate([at_i, at_j]), np.arange(n)
+        views = growing.Views(n, np.concatenate([number, number]), np.repeat([rig.at(i), rig.at(j)], n), *pixels.T)
+        return int((~np.isnan(growing.of_two_views(views, rig, j, rig.known([i]), t.most_error, t.least_angle)[:, 0])).sum())
+
+    pixels = matching.with_pixels(matches, kps).select("i", "j", "a", "b", "xi", "yi", "xj", "yj")
+    posed = cut(twoview.posed_pairs(pixels, k, config.matching.ransac_px, config.matching.least_inliers, score))
+    fine = posed.where("a is not null").select("i", "j", "a", "b")
+    poses = [(r["i"], r["j"], np.frombuffer(r["pose"])) for r in posed.where("a is null").select("i", "j", "pose").collect()]  # a row for each pair of images
+    first = max(poses, key=lambda p: (p[2][12], -p[0], -p[1]), default=None)
+    if first is None or first[2][12] < 30:
         raise ValueError("no pair of images gives enough points")
-    pose = poses.where((F.col("i") == first["i"]) & (F.col("j") == first["j"])).first()
-    known = {first["i"]: unit, first["j"]: _camera(k, pose["r"], pose["t"])}
-    schema = "img_id int, " + ", ".join(f"{n} double" for n in _NAMES)
-    table = lambda: spark.createDataFrame([(img, *c) for img, c in sorted(known.items())], schema)  # noqa: E731  a row for each image
-
-    ends = [track_obs.select("track_id", F.col("img_id").alias(s), F.col("kp_id").alias(c)) for s, c in (("i", "a"), ("j", "b"))]
-    seeds = judged.where((F.col("reason") == 0) & (F.col("i") == first["i"]) & (F.col("j") == first["j"]))
-    seeds = cut(seeds.join(ends[0], ["i", "a"]).join(ends[1], ["j", "b", "track_id"]).select("track_id", "x", "y", "z"))
-    all_tracks = cut(growing.listed(spots))
-    made = cut(all_tracks.join(seeds, "track_id"))
-    open_ = cut(all_tracks.join(seeds.select("track_id"), "track_id", "left_anti"))
-    found = growing.views_by_image(made)
-    n_made = found.pop(None, 0)
+    known = {first[0]: unit, first[1]: _camera(k, first[2][:9], first[2][9:12])}
+    track_obs = cut(tracks.build(cut(tracks.labelled(fine))))
+    spots = track_obs.join(kps.select("img_id", "kp_id", F.col("x").alias("u"), F.col("y").alias("v")), ["img_id", "kp_id"])
+    growth = Growth(spots.select("track_id", "img_id", "u", "v"))
+    growth.then(New(growing.Rig(known), first[1], t.most_error, t.least_angle))
     a = config.adjustment
-
-    def adjusted(images: list[int], cap: int, least_points: int, least_obs: int) -> None:
-        """Moves points and the poses of the images to the least error; the first of the images stays."""
-        nonlocal made
-        moved, placed = adjust.run(made, spots, table(), images, cap, least_points, least_obs, a.scale, a.loss)
-        made = cut(moved)
-        for row in placed.collect():  # a row for each image
-            known[row["img_id"]] = tuple(row[n] for n in _NAMES)
-
     everyone = kps.select("img_id").distinct().count() if images is None else images
     while len(known) < everyone:
+        n_made, found = growth.counts()
         most, image = max(((n, -img) for img, n in found.items() if img not in known), default=(0, 0))
         image = -image
         if most < max(4, n_made // 100):
             break
-        placed = twoview.pnp(growing.shown(made, image), k, config.matching.ransac_px).first()
+        placed = twoview.pnp(growth.shown(image), k, config.matching.ransac_px).first()
         if placed is None:
             break
         known[image] = _camera(k, placed["r"], placed["t"])
-        rig, least_views, least_angle = growing.Rig(known), 2 if len(known) < 5 else 3, max(1.0, 3.0 - 0.3 * len(known))
-
-        def passing(views: growing.Views, rig: growing.Rig = rig, image: int = image, least_views: int = least_views, least_angle: float = least_angle) -> np.ndarray:
-            x = growing.of_two_views(views, rig, image, rig.known(rig.images), t.most_error, least_angle)
-            return np.where(growing.valid(x, views, rig, 1.5 * t.most_error, least_views)[:, None], x, np.nan)
-
-        new, open_, n, seen = growing.tried(open_, rig, image, passing)
-        n_made += n
-        found = {img: found.get(img, 0) + seen.get(img, 0) for img in {*found, *seen}}
-        made = made.unionByName(new)
+        least_views, least_angle = 2 if len(known) < 5 else 3, max(1.0, 3.0 - 0.3 * len(known))
+        growth.then(New(growing.Rig(known), image, t.most_error, least_angle, least_views))
         if a.has("local") and len(known) >= 3 and len(known) % a.local_every == 0:
-            adjusted(list(known)[-a.local_window :], a.local_cap, 50, 200)
+            known = growth.adjust(known, list(known)[-a.local_window :], a.local_cap, 50, 200, a.scale, a.loss)
     if a.has("global_end") and len(known) >= 3:
-        adjusted(list(known), a.global_cap, a.global_points, a.global_obs)
-    judged = cut(cleanup.adaptive(made, spots, table()))
-    points = made.select("track_id", "x", "y", "z").join(judged.where("keep").select("track_id"), "track_id", "left_semi")
-    return {"track_obs": track_obs, "points": points, "judged": judged, "cameras": table()}
+        known = growth.adjust(known, list(known), a.global_cap, a.global_points, a.global_obs, a.scale, a.loss)
+    growth.write()
+    made = growth.points()
+    judged = cut(cleanup.adaptive_of(made, growth.errors(growing.Rig(known))))
+    points = judged.where("keep").select("track_id", "x", "y", "z")
+    schema = "img_id int, " + ", ".join(f"{n} double" for n in growing.NAMES)
+    return {"track_obs": track_obs, "points": points, "judged": judged, "cameras": spark.createDataFrame([(img, *c) for img, c in sorted(known.items())], schema)}  # a row for each image
 
 
 def run(matches: DataFrame, kps: DataFrame, cameras: DataFrame | None = None, k: tuple[float, float, float, float] | None = None, config: Config | None = None) -> dict[str, DataFrame]:
