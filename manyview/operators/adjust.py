@@ -24,6 +24,8 @@ POINTS, PAIRS = 2_000, 100_000
 HELD = 40_000
 #: Cameras up to which the pairs of all are one product.
 DENSE = 60
+#: Free cameras up to which the driver adds up the blocks of all tasks, 24 kB each at most.
+WINDOW = 8
 #: With which an adjustment starts.
 DAMPING = 1e-3
 
@@ -414,15 +416,18 @@ class System:
 
     def __init__(self, parts: DataFrame, n: int, few: int):
         self.n, self.few = n, few
-        sums = parts.groupBy("i", "j").agg(*[F.sum(F.get("v", F.lit(k))).alias(f"v{k}") for k in range(36)])
         self.table = None
-        if n * n > few:
-            self.table = cut(sums.select("i", "j", F.array(*[f"v{k}" for k in range(36)]).alias("v")))
-            rows = self.table.where("j < 0 or i = j").select("i", "j", *[F.get("v", F.lit(k)).alias(f"v{k}") for k in range(36)]).toArrow()  # three rows for each image
+        if n <= WINDOW and n * n <= few:
+            rows = parts.toArrow()  # some rows for each task
         else:
-            rows = sums.toArrow()
-        i, j = rows["i"].to_numpy(), rows["j"].to_numpy()
-        v = np.stack([rows[f"v{k}"].to_numpy() for k in range(36)], 1)
+            rows = parts.groupBy("i", "j").agg(*[F.sum(F.get("v", F.lit(k))).alias(f"v{k}") for k in range(36)]).select("i", "j", F.array(*[f"v{k}" for k in range(36)]).alias("v"))
+            if n * n > few:
+                self.table = rows = cut(rows)
+                rows = rows.where("j < 0 or i = j")  # three rows for each image
+            rows = rows.toArrow()
+        i, j, v = rows["i"].to_numpy().astype(np.int64), rows["j"].to_numpy(), np.concatenate([np.zeros((0, 36)), *(_matrix(c) for c in rows["v"].chunks if len(c))])
+        codes, v = _summed(i * (n + 2) + j + 2, v)  # i = -1 only with j = -1
+        i, j = codes // (n + 2), codes % (n + 2) - 2
         total = v[i < 0].sum(axis=0)
         self.cost, self.points, self.obs = float(total[0]), int(total[1]), int(total[2])
         self.b, self.diagonals, self.diagonal = np.zeros((n, 6)), np.zeros((n, 6)), np.zeros((n, 6, 6))

@@ -63,7 +63,7 @@ def kept(points: DataFrame) -> DataFrame:
 def adaptive_threshold(star: DataFrame, least_obs: int = 2) -> DataFrame:
     """One row (n, median, mad, threshold) of the errors of points with at least least_obs views; of all points if there are none."""
     fine = star.where((F.col("depth") > DEPTH_MEDIAN) & F.col("err").isNotNull())
-    counted = fine.withColumn("views", F.count(F.lit(1)).over(Window.partitionBy("track_id")))
+    counted = fine if "views" in star.columns else fine.withColumn("views", F.count(F.lit(1)).over(Window.partitionBy("track_id")))
     any_with = counted.agg(F.coalesce(F.max("views") >= least_obs, F.lit(False)).alias("enough"))
     used = counted.crossJoin(any_with).where((F.col("views") >= least_obs) | ~F.col("enough"))
     used = cut(used.select("err"))
@@ -83,7 +83,8 @@ def adaptive(points: DataFrame, obs: DataFrame, cameras: DataFrame, least_obs: i
 
 
 def adaptive_of(points: DataFrame, star: DataFrame, least_obs: int = 2, depth_cov: float = 1.0) -> DataFrame:
-    """As adaptive, from the depths and errors (track_id, depth, err) of the views that points lie before."""
+    """As adaptive, from the depths and errors (track_id, depth, err) of the views that points lie before; and views, how many a track has of
+    them, if that is known."""
     star = cut(star)  # read three times
     limit = adaptive_threshold(star, least_obs).select("threshold")
     good = F.col("err") < F.col("threshold")

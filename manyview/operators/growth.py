@@ -21,15 +21,16 @@ from manyview.session import cut
 
 #: Tracks of a block, about.
 TRACKS = 2_000
-#: Functions that are run over again before a state is written.
-REPLAYED = 4
-SCHEMA = "ids binary, sizes binary, img binary, u binary, v binary, x binary"
-KINDS = (np.int64, np.int32, np.int32, np.float64, np.float64, np.float64)
+#: Functions, and steps of an adjustment of all images, that are run over again before a state is written.
+REPLAYED, STEPS = 4, 2
+COLUMNS = {"ids": np.int64, "sizes": np.int32, "img": np.int32, "u": np.float64, "v": np.float64, "x": np.float64, "peak": np.float64}
+SCHEMA = ", ".join(f"{c} binary" for c in COLUMNS)
 
 
 @dataclass
 class Block:
-    """Tracks: ids, how many views each has; img, u, v of the views, track after track; x (n, 3), NaN for a track without a point."""
+    """Tracks: ids, how many views each has; img, u, v of the views, track after track; x (n, 3), NaN for a track without a point; peak (n, 3)
+    within an adjustment."""
 
     ids: np.ndarray
     sizes: np.ndarray
@@ -37,13 +38,19 @@ class Block:
     u: np.ndarray
     v: np.ndarray
     x: np.ndarray
+    peak: np.ndarray | tuple = ()
 
     def __post_init__(self) -> None:
-        self.x = np.array(self.x, float).reshape(-1, 3)
+        self.x, self.peak = (np.array(c, float).reshape(-1, 3) for c in (self.x, self.peak))
         self.owner = np.repeat(np.arange(len(self.ids)), self.sizes)
 
     def row(self) -> list[bytes]:
-        return [np.ascontiguousarray(c, k).tobytes() for c, k in zip((self.ids, self.sizes, self.img, self.u, self.v, self.x), KINDS)]
+        return [np.ascontiguousarray(getattr(self, c), kind).tobytes() for c, kind in COLUMNS.items()]
+
+    def only(self, tracks: np.ndarray, views: np.ndarray) -> Block:
+        """The chosen tracks with the chosen of their views."""
+        views = views & tracks[self.owner]
+        return Block(self.ids[tracks], np.bincount(self.owner[views], minlength=len(tracks))[tracks], self.img[views], self.u[views], self.v[views], self.x[tracks])
 
     def made(self) -> np.ndarray:
         return ~np.isnan(self.x[:, 0])
@@ -107,19 +114,24 @@ class Moved:
         mine = np.isin(block.img, self.images) & block.made()[block.owner]
         return mine, np.bincount(block.owner[mine], minlength=len(block.ids))
 
-    def reduced(self, block: Block, table: dict, damping: float) -> tuple[np.ndarray, adjust.Reduced | None]:
-        """The chosen tracks and their part of the reduced system after the steps."""
+    def chosen(self, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which tracks are adjusted, which views count, and how many of them each track has."""
         mine, hits = self.hits(block)
         some = hits >= 2
         if self.most is not None:
             some &= (hits > self.most.hits) | ((hits == self.most.hits) & (block.ids <= self.most.last))
+        return some, mine, hits
+
+    def reduced(self, block: Block, table: dict, damping: float) -> tuple[np.ndarray, adjust.Reduced | None]:
+        """The chosen tracks and their part of the reduced system after the steps."""
+        some, mine, hits = self.chosen(block)
         at = np.flatnonzero(some)
         if not len(at):
             return at, None
         mine &= some[block.owner]
         cams = adjust.Cameras(table)
         batch = adjust.Batch.of(hits[some], np.searchsorted(cams.images, block.img[mine]), np.stack([block.u[mine], block.v[mine]], 1))
-        x, peak = block.x[at], np.zeros((len(at), 3))
+        x, peak = block.x[at], block.peak[at] if len(block.peak) else np.zeros((len(at), 3))
         start = x
 
         def part(table_: dict, damping_: float) -> adjust.Reduced:
@@ -135,8 +147,9 @@ class Moved:
         if self.steps:
             *before, (cameras, lam, delta) = self.steps
             at, made = replace(self, steps=tuple(before)).reduced(block, cameras, lam)
+            block.peak = np.zeros_like(block.x)
             if made is not None:
-                block.x[at] = made.moved(block.x[at], delta)
+                block.x[at], block.peak[at] = made.moved(block.x[at], delta), made.peak
 
 
 def packed(spots: DataFrame) -> DataFrame:
@@ -166,13 +179,13 @@ def packed(spots: DataFrame) -> DataFrame:
 
 
 def _rows(blocks: list[Block]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*(b.row() for b in blocks))], ["ids", "sizes", "img", "u", "v", "x"])
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*(b.row() for b in blocks))], list(COLUMNS))
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], steps: tuple[Callable[[Block], None], ...]) -> Iterator[Block]:
     for batch in batches:
         for row in range(batch.num_rows):
-            block = Block(*(np.frombuffer(batch.column(k)[row].as_buffer(), kind) for k, kind in enumerate(KINDS)))
+            block = Block(*(np.frombuffer(batch.column(k)[row].as_buffer(), kind) for k, kind in enumerate(COLUMNS.values())))
             for step in steps:
                 step(block)
             yield block
@@ -181,17 +194,32 @@ def _blocks(batches: Iterator[pa.RecordBatch], steps: tuple[Callable[[Block], No
 class Growth:
     """Tracks as blocks: the written state, and the steps since."""
 
-    def __init__(self, spots: DataFrame):
-        self.base, self.steps = cut(packed(spots)), ()
+    def __init__(self, spots: DataFrame | None, base: DataFrame | None = None):
+        self.base, self.steps = cut(packed(spots)) if base is None else base, ()
 
     def then(self, step: Callable[[Block], None]) -> None:
         self.steps += (step,)
         if len(self.steps) >= REPLAYED:
             self.write()
 
-    def write(self) -> None:
+    def write(self, peaks: bool = False) -> None:
+        def run(blocks: Iterator[Block]) -> Iterator[pa.RecordBatch]:
+            for b in blocks:
+                yield _rows([b if peaks else replace(b, peak=())])
+
         if self.steps:
-            self.base, self.steps = cut(self.mapped(lambda blocks: (_rows([b]) for b in blocks), SCHEMA)), ()
+            self.base, self.steps = cut(self.mapped(run, SCHEMA)), ()
+
+    def taken(self, work: Moved) -> Growth:
+        """The tracks that an adjustment moves, with the views that it counts."""
+
+        def run(blocks: Iterator[Block]) -> Iterator[pa.RecordBatch]:
+            for b in blocks:
+                some, mine, _ = work.chosen(b)
+                if some.any():
+                    yield _rows([b.only(some, mine)])
+
+        return Growth(None, cut(self.mapped(run, SCHEMA)))
 
     def mapped(self, function: Callable[[Iterator[Block]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
         steps = self.steps
@@ -237,16 +265,18 @@ class Growth:
         return self.mapped(run, "track_id long, x double, y double, z double")
 
     def errors(self, rig: growing.Rig, least_depth: float = DEPTH_MEDIAN) -> DataFrame:
-        """(track_id, depth, err) of the views in a rig's cameras that points lie before."""
+        """(track_id, depth, err, views) of the views in a rig's cameras that points lie before; views: how many a track has of them."""
 
         def run(blocks: Iterator[Block]) -> Iterator[pa.RecordBatch]:
             for block in blocks:
                 at, views = block.views(rig, block.made())
                 depth, err = growing.seen_at(block.x[at][views.owner], rig, views.camera, views.u, views.v, least_depth)
                 fine = (depth > least_depth) & ~np.isnan(err)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (block.ids[at][views.owner][fine], depth[fine], err[fine])], ["track_id", "depth", "err"])
+                track = views.owner[fine]
+                columns = block.ids[at][track], depth[fine], err[fine], np.bincount(track, minlength=len(at))[track]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["track_id", "depth", "err", "views"])
 
-        return self.mapped(run, "track_id long, depth double, err double")
+        return self.mapped(run, "track_id long, depth double, err double, views long")
 
     def most(self, work: Moved, points_cap: int) -> Most | None:
         """Of the points with two views or more in the images, the points_cap with the most; ties go to the smaller id. None where all are."""
@@ -280,19 +310,35 @@ class Growth:
         n, work = len(free), Moved(tuple(images), place, scale, loss)
         if points_cap is not None:
             work = replace(work, most=self.most(work, points_cap))
+        everyone = len(images) == len(cameras)
+        if everyone:
+            self.write()
+
+        def reduced(state: tuple[Growth, Moved], cams: dict, lam: float) -> adjust.System:
+            tracks, done = state
 
-        def reduced(state: Moved, cams: dict, lam: float) -> adjust.System:
             def run(blocks: Iterator[Block]) -> Iterator[pa.RecordBatch]:
-                return adjust.added((made for _, made in (state.reduced(b, cams, lam) for b in blocks) if made is not None), n)
+                return adjust.added((made for _, made in (done.reduced(b, cams, lam) for b in blocks) if made is not None), n)
+
+            return adjust.System(tracks.mapped(run, "i int, j int, v array<double>"), n, few)
 
-            return adjust.System(self.mapped(run, "i int, j int, v array<double>"), n, few)
+        def moved(state: tuple[Growth, Moved], cams: dict, lam: float, delta: np.ndarray) -> tuple[Growth, Moved]:
+            tracks, done = state
+            if everyone and len(done.steps) >= STEPS:
+                tracks, done = Growth(None, tracks.base), replace(done, steps=())
+                tracks.steps = (state[1],)
+                tracks.write(peaks=True)
+            return tracks, replace(done, steps=(*done.steps, (cams, lam, delta)))
 
-        first = reduced(work, table, adjust.DAMPING)
+        state = self if everyone else self.taken(work), replace(work, most=None) if not everyone else work
+        first = reduced(state, table, adjust.DAMPING)
         if first.points < least_points or first.obs < least_obs:
             return cameras
-        work, table, _ = adjust.descended(work, table, free, rounds, adjust.Bounds(), reduced, lambda state, cams, lam, delta: replace(state, steps=(*state.steps, (cams, lam, delta))), first)
-        if work.steps:
-            self.steps += (work,)
+        (tracks, done), table, _ = adjust.descended(state, table, free, rounds, adjust.Bounds(), reduced, moved, first)
+        if everyone:
+            self.base = tracks.base
+        if done.steps:
+            self.steps += (replace(done, most=work.most),)
             self.write()
-        moved = ((i, table[i]) for i in free)
-        return cameras | {i: tuple(map(float, (*c["k"], *c["r"].ravel(), *c["t"], *(-c["r"].T @ c["t"])))) for i, c in moved}
+        placed = ((i, table[i]) for i in free)
+        return cameras | {i: tuple(map(float, (*c["k"], *c["r"].ravel(), *c["t"], *(-c["r"].T @ c["t"])))) for i, c in placed}

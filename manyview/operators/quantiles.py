@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,26 +18,29 @@ FEW = 500_000
 CELLS = 4096
 
 
-def _ranked(df: DataFrame, column: str, rank: int, low: float, high: float, few: int) -> float:
-    """The value with `rank` others before it, of finite values, which lies between low and high."""
+def _ranked(df: DataFrame, column: str, rank: int, low: float, high: float, few: int) -> tuple[float, float]:
+    """The value with `rank` others before it, of finite values, which lies between low and high, and the next one (itself if it is the last)."""
     value = F.col(column)
-    before = 0
+    before, after = 0, high
     while low < high:
         scale = 1.0 if math.isfinite(high - low) else 0.5
         width = (high * scale - low * scale) / CELLS
         # Where a cell would be narrower than doubles can tell, fewer than CELLS doubles are left, and each is a cell.
         cell = F.least(F.floor((value * scale - F.lit(low * scale)) / width), F.lit(CELLS - 1)) if width > 0 else value
         inside = df.where((value >= low) & (value <= high)).groupBy(cell.alias("cell"))
-        cells = inside.agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("low"), F.max(value).alias("high")).orderBy("low").collect()
-        for r in cells:  # CELLS rows at most
+        cells = sorted(inside.agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("low"), F.max(value).alias("high")).collect(), key=lambda r: r["low"])  # CELLS rows at most
+        for k, r in enumerate(cells):
             if before + r["n"] > rank:
                 low, high, n = r["low"], r["high"], r["n"]
+                after = cells[k + 1]["low"] if k + 1 < len(cells) else after
                 break
             before += r["n"]
+        if rank + 1 == before + n:  # the last of its cell
+            return high, after
         if n <= few and low < high:
-            held = df.where((value >= low) & (value <= high)).select(value).orderBy(value).collect()  # few rows
-            return held[rank - before][0]
-    return low
+            held = np.sort(df.where((value >= low) & (value <= high)).select(value.alias("value")).toArrow()["value"].to_numpy())  # few rows
+            return float(held[rank - before]), float(held[rank - before + 1])
+    return low, low
 
 
 def exact_percentiles(df: DataFrame, wanted: dict[str, tuple[str, float]], few: int = FEW) -> dict[str, float | None]:
@@ -54,13 +58,17 @@ def exact_percentiles(df: DataFrame, wanted: dict[str, tuple[str, float]], few:
         row = df.agg(F.lit(1).alias("one"), *[F.percentile(c, F.lit(p)).alias(name) for name, (c, p) in wanted.items()]).first()
         return {"n": found["n"], **{name: row[name] for name in wanted}}
 
-    def at(c: str, rank: int) -> float:
+    def at(c: str, rank: int) -> tuple[float, float]:
+        """The value of a rank, and that of the next."""
         below, finite, above = (found[f"{part}_{c}"] for part in ("below", "finite", "above"))
-        if rank < below:
-            return -math.inf
-        if rank < below + finite:
-            return _ranked(df, c, rank - below, found[f"min_{c}"], found[f"max_{c}"], few)
-        return math.inf if rank < below + finite + above else math.nan
+
+        def outside(rank: int) -> float:
+            return -math.inf if rank < below else math.inf if rank < below + finite + above else math.nan
+
+        if not below <= rank < below + finite:
+            return outside(rank), found[f"min_{c}"] if finite and rank + 1 == below else outside(rank + 1)
+        here, after = _ranked(df, c, rank - below, found[f"min_{c}"], found[f"max_{c}"], few)
+        return here, after if rank + 1 < below + finite else outside(rank + 1)
 
     out: dict[str, float | None] = {"n": found["n"]}
     for name, (c, p) in wanted.items():
@@ -68,8 +76,8 @@ def exact_percentiles(df: DataFrame, wanted: dict[str, tuple[str, float]], few:
             out[name] = None
             continue
         place = p * (found[f"count_{c}"] - 1)
-        low, high = (at(c, k) for k in (math.floor(place), math.ceil(place))) if place % 1 else [at(c, int(place))] * 2
-        out[name] = low if low == high else low * (math.ceil(place) - place) + high * (place - math.floor(place)) if place % 1 else low
+        low, high = at(c, math.floor(place))
+        out[name] = low if low == high or not place % 1 else low * (math.ceil(place) - place) + high * (place - math.floor(place)) if place % 1 else low
     return out
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,7 +23,7 @@ def degrees(matches: DataFrame) -> DataFrame:
     return ends.groupBy("e.img_id", "e.kp_id").agg(F.count(F.lit(1)).alias("degree"))
 
 
-def labelled(matches: DataFrame) -> DataFrame:
+def labelled(matches: DataFrame, components: Callable[[DataFrame], DataFrame] = components) -> DataFrame:
     """(img_id, kp_id, degree, label) of each matched keypoint; label: the smallest node of its component."""
     label = components(matches.select(_node("j", "b").alias("a"), _node("i", "a").alias("b")))
     return degrees(matches).withColumn("node", _node("img_id", "kp_id")).join(label, "node").drop("node")

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from manyview.operators import cleanup, errors, growing, matching, register, tracks, triangulate, twoview
+from manyview.operators.graph import sorted_components
 from manyview.operators.growth import Growth, New
 from manyview.plans.config import PRESETS, Config
 from manyview.session import cut
@@ -82,7 +83,7 @@ def single_camera(kps: DataFrame, matches: DataFrame, k: tuple[float, float, flo
     if first is None or first[2][12] < 30:
         raise ValueError("no pair of images gives enough points")
     known = {first[0]: unit, first[1]: _camera(k, first[2][:9], first[2][9:12])}
-    track_obs = cut(tracks.build(cut(tracks.labelled(fine))))
+    track_obs = cut(tracks.build(cut(tracks.labelled(fine, sorted_components))))
     spots = track_obs.join(kps.select("img_id", "kp_id", F.col("x").alias("u"), F.col("y").alias("v")), ["img_id", "kp_id"])
     growth = Growth(spots.select("track_id", "img_id", "u", "v"))
     growth.then(New(growing.Rig(known), first[1], t.most_error, t.least_angle))

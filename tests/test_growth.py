@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from manyview.operators import adjust, cleanup, errors, growing, growth, triangulate, twoview
+from manyview.operators import adjust, cleanup, errors, graph, growing, growth, triangulate, twoview
 from manyview.plans import queries
 from manyview.plans.config import PRESETS, Config
 from manyview.session import cut
@@ -111,6 +111,8 @@ def test_steps_are_run_over_again(scene, monkeypatch):
     star = errors.observed(made, obs, cameras, cleanup.DEPTH_MEDIAN).where(F.col("depth") > cleanup.DEPTH_MEDIAN)
     got, expected = ({(r["track_id"], round(r["depth"], 6), round(r["err"], 6)) for r in d.select("track_id", "depth", "err").collect()} for d in (kept.errors(rig), star))
     assert got == expected and got
+    judged = [sorted((r["track_id"], r["n_views"], r["n_good"], r["keep"]) for r in d.collect()) for d in (cleanup.adaptive_of(made, kept.errors(rig)), cleanup.adaptive(made, obs, cameras))]
+    assert judged[0] == judged[1] and any(r[3] for r in judged[0])
 
 
 def test_pairs_with_poses_equal_verified_pairs(spark):
@@ -125,3 +127,42 @@ def test_pairs_with_poses_equal_verified_pairs(spark):
     for pair, p in poses.items():
         turn = p[:9].reshape(3, 3)
         assert np.allclose(turn @ turn.T, np.eye(3), atol=1e-8) and np.isclose(np.linalg.norm(p[9:12]), 1) and p[12] == sum(v[:2] == pair for v in verified)
+
+
+@pytest.mark.parametrize("steps", [1, 2, 100])
+def test_adjustment_of_all_images(scene, monkeypatch, steps):
+    """Points and their largest derivatives are written on the way."""
+    monkeypatch.setattr(growth, "STEPS", steps)
+    obs, cameras, points = scene
+    images = sorted(r["img_id"] for r in obs.select("img_id").distinct().collect())
+    grown, table = _grown(scene), {i: c for i, c in _table(cameras).items() if i in images}
+    placed = grown.adjust(table, images, None, 10, 30, 2.0, "cauchy")
+    moved, others = adjust.run(points, obs, cameras, images, None, 10, 30)
+    got, expected, was = _rows(grown.points()), _rows(moved), _rows(points)
+    assert got.keys() == expected.keys() and any(got[t] != was[t] for t in was)
+    assert all(np.allclose(got[t], expected[t], rtol=1e-6, atol=1e-6) for t in got)
+    assert all(np.allclose(c, placed[i], atol=1e-6) for i, c in _table(others).items() if i in placed)
+    assert not grown.steps and len(grown.base.first()["peak"]) == 0
+
+
+def test_an_adjustment_reads_only_its_tracks(scene):
+    grown = _grown(scene)
+    work = growth.Moved((3, 2, 5, 7), np.array([-1, -1, 0, 1]), 2.0, "cauchy")
+    part = grown.taken(work)
+    blocks = [b for batch in part.base.toArrow().to_batches() for b in growth._blocks([batch], ())]
+    mine = scene[0].where("img_id in (2, 3, 5, 7)").join(scene[2].select("track_id"), "track_id", "left_semi")
+    twice = mine.join(mine.groupBy("track_id").count().where("count >= 2"), "track_id", "left_semi").select("track_id", "img_id").collect()
+    assert twice and {(b.ids[o], i) for b in blocks for o, i in zip(b.owner, b.img)} == {tuple(r) for r in twice}
+
+
+def test_sorted_components(spark):
+    """Duplicates, both directions, loops, chains, a star, and links of wrong matches."""
+    rng = np.random.default_rng(3)
+    chain = [(k, k + 1) for k in range(100, 140)] + [(k + 1, k) for k in range(120, 130)]
+    some = [tuple(int(x) for x in p) for p in rng.integers(200, 600, (220, 2))]
+    links = spark.createDataFrame([*chain, (5, 5), *[(7, k) for k in range(1000, 1200)], (3, 1), (3, 2), (3, 1), *some, *some[:50]], "a long, b long")
+    got, expected = (sorted(map(tuple, f(links).collect())) for f in (graph.sorted_components, graph.components))
+    assert got == expected and len(got) > 500
+    assert graph.sorted_components(links.limit(0)).count() == 0
+    plan = graph._sorted_star(graph._sorted_star(cut(links), True), False)._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Initial Plan")[0].count("Exchange") == 2 and "Join" not in plan
